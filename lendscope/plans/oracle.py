@@ -181,3 +181,53 @@ def cleaning_ctes() -> list[str]:
             co.append(c)
     clean = f"clean AS (SELECT {', '.join(co)} FROM imputed)"
     return [dedup, ruled, fit, imputed, clean]
+
+
+# --------------------------------------------------------------------------
+# Rounding and histogram bins, same arithmetic as the Spark expressions.
+# --------------------------------------------------------------------------
+
+def np_round_sql(x: str, digits: int = 4) -> str:
+    p = f"cast({10.0 ** digits!r} AS double)"
+    return f"(round_even(({x}) * {p}, 0) / {p})"
+
+
+def _adj(lo: str, hi: str):
+    lo_ = f"(CASE WHEN {hi} = {lo} THEN {lo} - cast(0.5 AS double) ELSE {lo} END)"
+    hi_ = f"(CASE WHEN {hi} = {lo} THEN {hi} + cast(0.5 AS double) ELSE {hi} END)"
+    return lo_, hi_
+
+
+def edge_sql(i: str, lo: str, hi: str, bins: int) -> str:
+    lo_, hi_ = _adj(lo, hi)
+    step = f"(({hi_} - {lo_}) / cast({bins} AS double))"
+    return f"(CASE WHEN {i} >= {bins} THEN {hi_} ELSE cast({i} AS double) * {step} + {lo_} END)"
+
+
+def hist_bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
+    lo_, hi_ = _adj(lo, hi)
+    raw = f"cast(trunc(({x} - {lo_}) * (cast({bins} AS double) / ({hi_} - {lo_}))) AS integer)"
+    raw = f"(CASE WHEN {raw} >= {bins} THEN {bins - 1} ELSE {raw} END)"
+    fixed = f"(CASE WHEN {x} < {edge_sql(raw, lo, hi, bins)} THEN {raw} - 1 ELSE {raw} END)"
+    return (f"(CASE WHEN {x} >= {edge_sql(f'({fixed} + 1)', lo, hi, bins)} AND {fixed} <> {bins - 1} "
+            f"THEN {fixed} + 1 ELSE {fixed} END)")
+
+
+def histogram_sql(table: str, cols: list[str], bins: int, by: str | None = None) -> str:
+    g = f"cast({by} AS bigint)" if by else "cast(0 AS bigint)"
+    gfilter = f" AND {by} IS NOT NULL" if by else ""
+    vals = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column, {g} AS grp, cast({c} AS double) AS x FROM {table} "
+        f"WHERE {c} IS NOT NULL{gfilter}" for c in cols)
+    body = f"""
+hv AS ({vals}),
+hr AS (SELECT "column", grp, min(x) AS lo, max(x) AS hi FROM hv GROUP BY "column", grp),
+hb AS (SELECT hv.column, hv.grp, {hist_bin_sql('hv.x', 'hr.lo', 'hr.hi', bins)} AS bin, count(*) AS cnt
+       FROM hv JOIN hr ON hv.column = hr.column AND hv.grp = hr.grp GROUP BY ALL),
+hf AS (SELECT hr.*, s.bin FROM hr, range(0, {bins}) s(bin))
+SELECT hf.column, {'hf.grp AS ' + by + ',' if by else ''} cast(hf.bin AS integer) AS bin,
+       {edge_sql('hf.bin', 'hf.lo', 'hf.hi', bins)} AS bin_lo,
+       {edge_sql('(hf.bin + 1)', 'hf.lo', 'hf.hi', bins)} AS bin_hi,
+       cast(coalesce(hb.cnt, 0) AS bigint) AS count
+FROM hf LEFT JOIN hb ON hf.column = hb.column AND hf.grp = hb.grp AND hf.bin = hb.bin"""
+    return body

@@ -194,3 +194,218 @@ ORACLE["b14_clean_chain"] = O.with_ctes(*CLEAN) + "SELECT * FROM clean"
 @query("b14_clean_chain")
 def b14(spark, sf):
     return cleaned(spark, sf)
+
+
+# ======================================================================
+# C: profiling (on the cleaned table, like the reports it reproduces)
+# ======================================================================
+from ..operators import profiling as pr  # noqa: E402
+from ..schema import (  # noqa: E402
+    CLASS_HIST_BINS, CORR_COLS, DIST_COLS, HIST_BINS, OUTLIER_COLS, STATS_COLS,
+    TARGET_CATEGORICAL_COLS, TARGET_COL, TARGET_NUMERIC_COLS,
+)
+
+R4 = O.np_round_sql
+
+
+def _moment_sql(c: str) -> str:
+    """count, m2, m3, m4 central sums of one column from ``clean``."""
+    return (f"(SELECT count(x) AS n, sum(power(x - m, 2)) AS m2, sum(power(x - m, 3)) AS m3, "
+            f"sum(power(x - m, 4)) AS m4 FROM (SELECT cast({c} AS double) AS x FROM clean) v, "
+            f"(SELECT avg(cast({c} AS double)) AS m FROM clean) mm)")
+
+
+def _skew_sql(c):
+    g1 = "sqrt(cast(n AS double)) * m3 / power(m2, 1.5)"
+    return (f"(SELECT CASE WHEN n < 3 THEN NULL WHEN m2 = 0 THEN 0.0 ELSE "
+            f"{g1} * sqrt(cast(n AS double) * (n - 1)) / (n - 2) END FROM {_moment_sql(c)} s)")
+
+
+def _kurt_sql(c):
+    g2 = "cast(n AS double) * m4 / (m2 * m2) - 3"
+    return (f"(SELECT CASE WHEN n < 4 THEN NULL WHEN m2 = 0 THEN 0.0 ELSE "
+            f"(cast(n AS double) - 1) / ((cast(n AS double) - 2) * (cast(n AS double) - 3)) "
+            f"* ((cast(n AS double) + 1) * ({g2}) + 6) END FROM {_moment_sql(c)} s)")
+
+
+ORACLE["c01_describe"] = O.with_ctes(*CLEAN) + _union([
+    f"SELECT '{c}' AS column, count({c}) AS count, {R4(f'avg(cast({c} AS double))')} AS mean, "
+    f"{R4(f'stddev_samp(cast({c} AS double))')} AS std, {R4(f'min(cast({c} AS double))')} AS min, "
+    f"{R4(O.quantile_sql('clean', c, 0.25))} AS p25, {R4(O.quantile_sql('clean', c, 0.5))} AS p50, "
+    f"{R4(O.quantile_sql('clean', c, 0.75))} AS p75, {R4(f'max(cast({c} AS double))')} AS max FROM clean"
+    for c in STATS_COLS])
+
+
+@query("c01_describe")
+def c01(spark, sf):
+    return pr.statistics_report(cleaned(spark, sf)).select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+ORACLE["c02_skewness"] = O.with_ctes(*CLEAN) + _union([
+    f"SELECT '{c}' AS column, {R4(_skew_sql(c))} AS skewness" for c in STATS_COLS])
+
+
+@query("c02_skewness")
+def c02(spark, sf):
+    return pr.statistics_report(cleaned(spark, sf), with_quantiles=False).select("column", "skewness")
+
+
+ORACLE["c03_kurtosis"] = O.with_ctes(*CLEAN) + _union([
+    f"SELECT '{c}' AS column, {R4(_kurt_sql(c))} AS kurtosis" for c in STATS_COLS])
+
+
+@query("c03_kurtosis")
+def c03(spark, sf):
+    return pr.statistics_report(cleaned(spark, sf), with_quantiles=False).select("column", "kurtosis")
+
+
+ORACLE["c04_missing"] = O.with_ctes(*CLEAN[:2]) + _union([
+    f"SELECT '{c}' AS column, count(*) - count({c}) AS missing, "
+    f"{O.np_round_sql(f'cast(count(*) - count({c}) AS double) / cast(count(*) AS double) * cast(100 AS double)', 2)} AS missing_pct FROM ruled"
+    for c in STATS_COLS])
+
+
+@query("c04_missing")
+def c04(spark, sf):
+    # missing values are reported on the rule-corrected table (the cleaned
+    # one has none left)
+    return pr.statistics_report(ruled(spark, sf), with_quantiles=False).select(
+        "column", "missing", "missing_pct")
+
+
+_CORR = CORR_COLS + [TARGET_COL]
+
+
+def _corr_cell(a, b):
+    if a == b:
+        return f"CASE WHEN stddev_samp(cast({a} AS double)) > 0 THEN cast(1.0 AS double) END"
+    return f"corr(cast({a} AS double), cast({b} AS double))"
+
+
+ORACLE["c05_correlation"] = O.with_ctes(*CLEAN) + _union([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {R4(_corr_cell(a, b))} AS corr FROM clean"
+    for a in _CORR for b in _CORR])
+
+
+@query("c05_correlation")
+def c05(spark, sf):
+    return pr.correlation_matrix(cleaned(spark, sf))
+
+
+ORACLE["c06_top_outcome_corr"] = O.with_ctes(*CLEAN) + (
+    "SELECT \"column\", abs_corr, row_number() OVER (ORDER BY abs_corr DESC NULLS LAST, \"column\") AS rank FROM ("
+    + _union([f"SELECT '{a}' AS column, abs({R4(_corr_cell(a, TARGET_COL))}) AS abs_corr FROM clean"
+              for a in CORR_COLS]) + ")")
+
+
+@query("c06_top_outcome_corr")
+def c06(spark, sf):
+    return pr.top_outcome_correlations(cleaned(spark, sf))
+
+
+def _outlier_sql(c):
+    q1, q3 = O.quantile_sql("clean", c, 0.25), O.quantile_sql("clean", c, 0.75)
+    return (f"SELECT '{c}' AS column, {R4('q1')} AS q1, {R4('q3')} AS q3, {R4('q3 - q1')} AS iqr, "
+            f"{R4('q1 - 1.5 * (q3 - q1)')} AS lower_bound, {R4('q3 + 1.5 * (q3 - q1)')} AS upper_bound, "
+            f"(SELECT count(*) FROM clean WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outlier_count, "
+            f"{R4('cast((SELECT count(*) FROM clean WHERE ' + c + ' < q1 - 1.5 * (q3 - q1) OR ' + c + ' > q3 + 1.5 * (q3 - q1)) AS double) / cast((SELECT count(*) FROM clean) AS double) * cast(100 AS double)')} AS outlier_pct "
+            f"FROM (SELECT {q1} AS q1, {q3} AS q3) qq")
+
+
+ORACLE["c07_outliers"] = O.with_ctes(*CLEAN) + (
+    "SELECT *, row_number() OVER (ORDER BY outlier_count DESC, \"column\") AS rank FROM ("
+    + _union([_outlier_sql(c) for c in OUTLIER_COLS]) + ")")
+
+
+@query("c07_outliers")
+def c07(spark, sf):
+    return pr.outlier_report(cleaned(spark, sf))
+
+
+ORACLE["c08_outcome_rate"] = O.with_ctes(*CLEAN) + _union([
+    f"SELECT '{c}' AS column, cast({c} AS varchar) AS value, {R4(f'avg(cast({TARGET_COL} AS double))')} AS default_rate "
+    f"FROM clean WHERE {c} IS NOT NULL GROUP BY {c}" for c in TARGET_CATEGORICAL_COLS])
+
+
+@query("c08_outcome_rate")
+def c08(spark, sf):
+    return pr.outcome_rate_by_category(cleaned(spark, sf))
+
+
+def flagship(spark, sf):
+    return c08(spark, sf)
+
+
+ORACLE["c09_outcome_summary"] = O.with_ctes(*CLEAN) + (
+    f"SELECT avg(cast({TARGET_COL} AS double)) AS default_rate, count(*) FILTER (WHERE {TARGET_COL} = 1) AS n_default, "
+    f"count(*) FILTER (WHERE {TARGET_COL} = 0) AS n_no_default FROM clean")
+
+
+@query("c09_outcome_summary")
+def c09(spark, sf):
+    return pr.outcome_summary(cleaned(spark, sf))
+
+
+def _hist_oracle(cols, bins, by=None):
+    body = O.histogram_sql("clean", cols, bins, by)
+    head, sel = body.split("\nSELECT hf.column", 1)
+    return O.with_ctes(*CLEAN, head.strip().rstrip(",")) + "SELECT hf.column" + sel
+
+
+ORACLE["c10_histogram"] = _hist_oracle(DIST_COLS, HIST_BINS)
+
+
+@query("c10_histogram")
+def c10(spark, sf):
+    return pr.histogram(cleaned(spark, sf))
+
+
+def _box_sql(c):
+    q1, q2, q3 = (O.quantile_sql("clean", c, p) for p in (0.25, 0.5, 0.75))
+    lo = f"(SELECT min(cast({c} AS double)) FROM clean WHERE {c} >= q1 - 1.5 * (q3 - q1))"
+    hi = f"(SELECT max(cast({c} AS double)) FROM clean WHERE {c} <= q3 + 1.5 * (q3 - q1))"
+    wlo = f"(CASE WHEN {lo} IS NULL OR {lo} > q1 THEN q1 ELSE {lo} END)"
+    whi = f"(CASE WHEN {hi} IS NULL OR {hi} < q3 THEN q3 ELSE {hi} END)"
+    return (f"SELECT '{c}' AS column, q1, q2 AS median, q3, wlo AS whisker_lo, whi AS whisker_hi, "
+            f"(SELECT count(*) FROM clean WHERE {c} < wlo OR {c} > whi) AS n_fliers "
+            f"FROM (SELECT q1, q2, q3, {wlo} AS wlo, {whi} AS whi FROM "
+            f"(SELECT {q1} AS q1, {q2} AS q2, {q3} AS q3) a) b")
+
+
+ORACLE["c11_box_stats"] = O.with_ctes(*CLEAN) + _union([_box_sql(c) for c in DIST_COLS])
+
+
+@query("c11_box_stats")
+def c11(spark, sf):
+    return pr.box_statistics(cleaned(spark, sf))
+
+
+ORACLE["c12_class_histogram"] = _hist_oracle(TARGET_NUMERIC_COLS, CLASS_HIST_BINS, TARGET_COL)
+
+
+@query("c12_class_histogram")
+def c12(spark, sf):
+    return pr.class_histogram(cleaned(spark, sf))
+
+
+def _overview_sql():
+    from ..schema import APPLICATION_COLUMNS as AC
+    nulls = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in AC)
+    types = ", ".join(f"typeof({c})" for c in AC)
+    return O.with_ctes(*CLEAN) + f"""
+SELECT 'rows' AS metric, cast(count(*) AS bigint) AS value FROM clean
+UNION ALL SELECT 'columns', cast({len(AC)} AS bigint)
+UNION ALL SELECT 'nulls', cast(coalesce(sum({nulls}), 0) AS bigint) FROM clean
+UNION ALL SELECT 'duplicates', cast((SELECT count(*) FROM clean) - (SELECT count(*) FROM (SELECT DISTINCT * FROM clean)) AS bigint)
+UNION ALL SELECT 'dtype:' || CASE t WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double'
+                             WHEN 'VARCHAR' THEN 'string' ELSE lower(t) END, cast(count(*) AS bigint)
+  FROM (SELECT unnest([{types}]) AS t FROM (SELECT * FROM clean LIMIT 1)) GROUP BY t"""
+
+
+ORACLE["c13_overview"] = _overview_sql()
+
+
+@query("c13_overview")
+def c13(spark, sf):
+    return pr.dataset_overview(cleaned(spark, sf))
