@@ -231,3 +231,71 @@ SELECT hf.column, {'hf.grp AS ' + by + ',' if by else ''} cast(hf.bin AS integer
        cast(coalesce(hb.cnt, 0) AS bigint) AS count
 FROM hf LEFT JOIN hb ON hf.column = hb.column AND hf.grp = hb.grp AND hf.bin = hb.bin"""
     return body
+
+
+# --------------------------------------------------------------------------
+# Exact stratified split in SQL (same allocation rules and hash order).
+# --------------------------------------------------------------------------
+
+def _approx_mode_sql(name: str, counts: str, n_draws: str) -> str:
+    """CTE ``name(lab, a)``: largest-remainder allocation of ``n_draws``
+    over ``counts(lab, n)``, ties to the lower label."""
+    return f"""{name} AS (
+  SELECT lab, cast(fl AS bigint) + CASE WHEN row_number() OVER (ORDER BY cont - fl DESC, lab) <= need THEN 1 ELSE 0 END AS a
+  FROM (SELECT lab, cont, fl, ({n_draws}) - sum(fl) OVER () AS need
+        FROM (SELECT lab, cont, floor(cont) AS fl
+              FROM (SELECT lab, cast(n AS double) / cast(sum(n) OVER () AS double) * cast(({n_draws}) AS double) AS cont
+                    FROM {counts}) x) y) z)"""
+
+
+def _sizes_sql(p: str, counts: str, frac: float) -> list[str]:
+    """CTEs ``{p}_test(lab, a)``: per-class test counts of one split."""
+    return [
+        f"{p}_n AS (SELECT cast(ceil(cast({frac!r} AS double) * cast(sum(n) AS double)) AS bigint) AS n_test, "
+        f"sum(n) AS n_all FROM {counts})",
+        _approx_mode_sql(f"{p}_train", counts, f"SELECT n_all - n_test FROM {p}_n"),
+        f"{p}_rest AS (SELECT c.lab, c.n - t.a AS n FROM {counts} c JOIN {p}_train t ON c.lab = t.lab)",
+        _approx_mode_sql(f"{p}_test", f"{p}_rest", f"SELECT n_test FROM {p}_n"),
+    ]
+
+
+def split_sql(name: str, src: str, id_col: str, label: str | None, test_size: float,
+              val_size: float | None, seed: int, salt: str, out_col: str = "part") -> list[str]:
+    """CTEs ending in ``name``: ``src`` plus a part column."""
+    lab = label if label else "0"
+    key = f"md5(concat_ws(':', cast({id_col} AS varchar), '{seed}', '{salt}'))"
+    ctes = [f"{name}_cc AS (SELECT {lab} AS lab, count(*) AS n FROM {src} GROUP BY 1)"]
+    ctes += _sizes_sql(f"{name}_s1", f"{name}_cc", test_size)
+    if val_size is not None:
+        ctes.append(f"{name}_r2 AS (SELECT c.lab, c.n - t.a AS n FROM {name}_cc c JOIN {name}_s1_test t ON c.lab = t.lab)")
+        ctes += _sizes_sql(f"{name}_s2", f"{name}_r2", val_size / (1 - test_size))
+        cut = (f"{name}_cut AS (SELECT a.lab, a.a AS c1, a.a + b.a AS c2 FROM {name}_s1_test a "
+               f"JOIN {name}_s2_test b ON a.lab = b.lab)")
+        case = f"CASE WHEN r < c1 THEN 'test' WHEN r < c2 THEN 'val' ELSE 'train' END"
+    else:
+        cut = f"{name}_cut AS (SELECT lab, a AS c1 FROM {name}_s1_test)"
+        case = "CASE WHEN r < c1 THEN 'test' ELSE 'train' END"
+    ctes.append(cut)
+    ctes.append(
+        f"{name}_rk AS (SELECT s.*, {lab} AS _lab, row_number() OVER (PARTITION BY {lab} ORDER BY {key}, {id_col}) - 1 AS r FROM {src} s)")
+    ctes.append(
+        f"{name} AS (SELECT {name}_rk.* EXCLUDE (_lab, r), "
+        f"{case} AS {out_col} FROM {name}_rk JOIN {name}_cut ON {name}_rk._lab = {name}_cut.lab)")
+    return ctes
+
+
+def sample_sql(name: str, src: str, id_col: str, frac: float, seed: int, salt: str) -> list[str]:
+    key = f"md5(concat_ws(':', cast({id_col} AS varchar), '{seed}', '{salt}'))"
+    return [f"{name} AS (SELECT * EXCLUDE (r) FROM (SELECT s.*, row_number() OVER (ORDER BY {key}, {id_col}) - 1 AS r "
+            f"FROM {src} s) WHERE r < (SELECT round_even(cast({frac!r} AS double) * cast(count(*) AS double), 0) FROM {src}))"]
+
+
+def fold_sql(name: str, src: str, id_col: str, label: str, k: int, seed: int, salt: str) -> list[str]:
+    key = f"md5(concat_ws(':', cast({id_col} AS varchar), '{seed}', '{salt}'))"
+    return [
+        f"{name}_off AS (SELECT lab, coalesce(sum(n) OVER (ORDER BY lab ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off "
+        f"FROM (SELECT {label} AS lab, count(*) AS n FROM {src} GROUP BY 1))",
+        f"{name} AS (SELECT s.* EXCLUDE (r, _lab), cast((o.off + r) % {k} AS integer) AS fold FROM "
+        f"(SELECT t.*, {label} AS _lab, row_number() OVER (PARTITION BY {label} ORDER BY {key}, {id_col}) - 1 AS r FROM {src} t) s "
+        f"JOIN {name}_off o ON s._lab = o.lab)",
+    ]

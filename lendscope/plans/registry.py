@@ -409,3 +409,194 @@ ORACLE["c13_overview"] = _overview_sql()
 @query("c13_overview")
 def c13(spark, sf):
     return pr.dataset_overview(cleaned(spark, sf))
+
+
+# ======================================================================
+# D: features, split, balance summary, alignment
+# ======================================================================
+from ..functions import ranking as rk  # noqa: E402
+from ..operators import features as fe  # noqa: E402
+from ..schema import (  # noqa: E402
+    FEATURE_DROP_COLS, ID_COL, LABEL_COLS, ONE_HOT_COLS, SCALE_COLS, SEED, SMOTE_RATIO,
+    TEST_SIZE, VAL_SIZE,
+)
+
+INTERACTION_SQL = {
+    "debt_x_loan": "debt_to_income * loan_to_income",
+    "income_per_loan": "annual_income / (loan_amount + cast(1e-09 AS double))",
+    "score_x_dti": "credit_score * debt_to_income",
+    "savings_to_loan": "savings_balance / (loan_amount + cast(1e-09 AS double))",
+    "late_x_dti": "num_late_payments * debt_to_income",
+    "age_x_income": "age * annual_income",
+    "loan_burden": "loan_amount / (annual_income + savings_balance + cast(1e-09 AS double))",
+}
+SELECTED = [c for c in APPLICATION_COLUMNS if c not in FEATURE_DROP_COLS]
+PLAIN_FEATURES = [c for c in SELECTED if c not in (ID_COL, TARGET_COL) and c not in ONE_HOT_COLS
+                  and c not in LABEL_COLS and c not in SCALE_COLS]
+SPLIT = O.split_sql("sp", "clean", ID_COL, TARGET_COL, TEST_SIZE, VAL_SIZE, SEED, "split")
+
+
+def split_frame(spark, sf):
+    """Cleaned table with an exact stratified test/val/train part column."""
+    return rk.stratified_split(cleaned(spark, sf), ID_COL, TARGET_COL, TEST_SIZE, VAL_SIZE,
+                               seed=SEED, salt="split")
+
+
+def features_frame(spark, sf):
+    """Feature chain fitted on the train part, applied to all parts."""
+    sp = split_frame(spark, sf).persist()
+    fm = fe.fit_features(sp.where(F.col("part") == "train"), exclude=(ID_COL, TARGET_COL, "part"))
+    return fm.transform(sp, keep=[ID_COL, TARGET_COL, "part"]), fm
+
+
+def _long(df, id_cols, feats):
+    return df.select(*id_cols, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])))
+
+
+ORACLE["d01_feature_drop"] = O.with_ctes(*CLEAN) + f"SELECT {', '.join(SELECTED)} FROM clean"
+
+
+@query("d01_feature_drop")
+def d01(spark, sf):
+    return fe.FeatureSelector().transform(cleaned(spark, sf))
+
+
+for _i, (_name, _sql) in enumerate(INTERACTION_SQL.items(), start=2):
+    _key = f"d{_i:02d}_{_name}"
+    ORACLE[_key] = O.with_ctes(*CLEAN) + f"SELECT {ID_COL}, {_sql} AS {_name} FROM clean"
+
+    def _mk(name):
+        def fn(spark, sf):
+            return fe.InteractionFeatures([name]).transform(cleaned(spark, sf)).select(ID_COL, name)
+        return fn
+
+    QUERIES[_key] = _mk(_name)
+
+
+def _one_hot_long_sql(src, fit_src):
+    parts = []
+    for c in ONE_HOT_COLS:
+        parts.append(
+            f"SELECT s.{ID_COL}, '{c}_' || o.v AS feature, CASE WHEN s.{c} = o.v THEN 1.0 ELSE 0.0 END::double AS value "
+            f"FROM {src} s, (SELECT DISTINCT cast({c} AS varchar) AS v FROM {fit_src} WHERE {c} IS NOT NULL) o")
+    return _union(parts)
+
+
+ORACLE["d09_one_hot"] = O.with_ctes(*CLEAN) + _one_hot_long_sql("clean", "clean")
+
+
+@query("d09_one_hot")
+def d09(spark, sf):
+    c = cleaned(spark, sf)
+    enc = fe.Encoder(label_cols=[]).fit(c)
+    return _long(enc.transform(c), [ID_COL], enc.one_hot_names())
+
+
+def _label_sql(c, fit_src):
+    return (f"coalesce((SELECT cast(idx AS integer) FROM (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS idx FROM "
+            f"(SELECT DISTINCT cast({c} AS varchar) AS v FROM {fit_src} WHERE {c} IS NOT NULL)) m "
+            f"WHERE m.v = cast(s.{c} AS varchar)), -1)")
+
+
+ORACLE["d10_label_map"] = O.with_ctes(*CLEAN) + (
+    f"SELECT {ID_COL}, " + ", ".join(f"{_label_sql(c, 'clean')} AS {c}" for c in LABEL_COLS)
+    + " FROM clean s")
+
+
+@query("d10_label_map")
+def d10(spark, sf):
+    c = cleaned(spark, sf)
+    return fe.Encoder(one_hot_cols=[]).fit(c).transform(c).select(ID_COL, *LABEL_COLS)
+
+
+def _scale_sql(c, fit_src, x=None):
+    x = x or f"s.{c}"
+    med = O.quantile_sql(fit_src, c, 0.5, "midpoint")
+    q1, q3 = O.quantile_sql(fit_src, c, 0.25), O.quantile_sql(fit_src, c, 0.75)
+    return (f"((cast({x} AS double) - {med}) / (CASE WHEN ({q3} - {q1}) = 0 OR ({q3} - {q1}) IS NULL "
+            f"THEN cast(1 AS double) ELSE {q3} - {q1} END))")
+
+
+ORACLE["d11_robust_scale"] = O.with_ctes(*CLEAN) + (
+    f"SELECT {ID_COL}, " + ", ".join(f"{_scale_sql(c, 'clean')} AS {c}" for c in SCALE_COLS)
+    + " FROM clean s")
+
+
+@query("d11_robust_scale")
+def d11(spark, sf):
+    c = cleaned(spark, sf).persist()
+    return fe.RobustScaler().fit(c).transform(c).select(ID_COL, *SCALE_COLS)
+
+
+ORACLE["d12_stratified_split"] = O.with_ctes(*CLEAN, *SPLIT) + f"SELECT {ID_COL}, part FROM sp"
+
+
+@query("d12_stratified_split")
+def d12(spark, sf):
+    return split_frame(spark, sf).select(ID_COL, "part")
+
+
+ORACLE["d13_split_summary"] = O.with_ctes(*CLEAN, *SPLIT) + (
+    f"SELECT part, count(*) AS rows, avg(cast({TARGET_COL} AS double)) AS default_rate FROM sp GROUP BY part")
+
+
+@query("d13_split_summary")
+def d13(spark, sf):
+    return (split_frame(spark, sf).groupBy("part")
+            .agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col(TARGET_COL).cast("double")).alias("default_rate")))
+
+
+ORACLE["d15_balance_summary"] = O.with_ctes(*CLEAN, *SPLIT) + f"""
+SELECT cast({TARGET_COL} AS bigint) AS label, count(*) AS rows_before,
+       CASE WHEN {TARGET_COL} = (SELECT {TARGET_COL} FROM sp WHERE part = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+            THEN count(*)
+            ELSE cast(trunc(cast({SMOTE_RATIO!r} AS double) * cast((SELECT max(n) FROM (SELECT count(*) AS n FROM sp WHERE part = 'train' GROUP BY {TARGET_COL})) AS double)) AS bigint) END AS rows_after
+FROM sp WHERE part = 'train' GROUP BY {TARGET_COL}"""
+
+
+@query("d15_balance_summary")
+def d15(spark, sf):
+    from ..operators.neighbors import balance_summary
+    return balance_summary(split_frame(spark, sf).where(F.col("part") == "train"), TARGET_COL, SMOTE_RATIO)
+
+
+ALIGN_EXPECTED = ["age", "annual_income", "credit_score", "debt_x_loan", "loan_burden",
+                  "region", "has_cosigner"]
+ORACLE["d16_align"] = O.with_ctes(*CLEAN) + (
+    f"SELECT {ID_COL}, " + ", ".join(
+        (c if c in SELECTED else f"0 AS {c}") for c in ALIGN_EXPECTED)
+    + f", '{','.join(c for c in ALIGN_EXPECTED if c not in SELECTED)}' AS zero_filled FROM clean")
+
+
+@query("d16_align")
+def d16(spark, sf):
+    sel = fe.FeatureSelector().transform(cleaned(spark, sf))
+    out, filled = fe.align_columns(sel, ALIGN_EXPECTED, keep=[ID_COL])
+    return out.withColumn("zero_filled", F.lit(",".join(filled)))
+
+
+def _feature_chain_sql():
+    fit = "(SELECT * FROM sp WHERE part = 'train')"
+    parts = [f"SELECT {ID_COL}, part, '{c}' AS feature, cast({c} AS double) AS value FROM sp"
+             for c in PLAIN_FEATURES]
+    parts += [f"SELECT {ID_COL}, part, '{c}' AS feature, {_scale_sql(c, 'sp_train')} AS value FROM sp s"
+              for c in SCALE_COLS]
+    parts += [f"SELECT {ID_COL}, part, '{n}' AS feature, cast({e} AS double) AS value FROM sp"
+              for n, e in INTERACTION_SQL.items()]
+    parts += [f"SELECT {ID_COL}, part, '{c}' AS feature, cast({_label_sql(c, 'sp_train')} AS double) AS value FROM sp s"
+              for c in LABEL_COLS]
+    for c in ONE_HOT_COLS:
+        parts.append(
+            f"SELECT s.{ID_COL}, s.part, '{c}_' || o.v AS feature, CASE WHEN s.{c} = o.v THEN 1.0 ELSE 0.0 END::double AS value "
+            f"FROM sp s, (SELECT DISTINCT cast({c} AS varchar) AS v FROM sp_train WHERE {c} IS NOT NULL) o")
+    return O.with_ctes(*CLEAN, *SPLIT, f"sp_train AS {fit}") + _union(parts)
+
+
+ORACLE["d17_feature_chain"] = _feature_chain_sql()
+
+
+@query("d17_feature_chain")
+def d17(spark, sf):
+    feats, fm = features_frame(spark, sf)
+    return _long(feats, [ID_COL, "part"], fm.feature_cols)
