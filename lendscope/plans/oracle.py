@@ -17,7 +17,8 @@ D = "cast({} as double)"
 
 
 def dbl(x) -> str:
-    return f"cast({x!r} as double)"
+    """Exact double literal (parsed from its shortest repr string)."""
+    return f"cast('{float(x)!r}' AS double)"
 
 
 APPLICATIONS_CTE = f"""
@@ -251,7 +252,7 @@ def _approx_mode_sql(name: str, counts: str, n_draws: str) -> str:
 def _sizes_sql(p: str, counts: str, frac: float) -> list[str]:
     """CTEs ``{p}_test(lab, a)``: per-class test counts of one split."""
     return [
-        f"{p}_n AS (SELECT cast(ceil(cast({frac!r} AS double) * cast(sum(n) AS double)) AS bigint) AS n_test, "
+        f"{p}_n AS (SELECT cast(ceil({dbl(frac)} * cast(sum(n) AS double)) AS bigint) AS n_test, "
         f"sum(n) AS n_all FROM {counts})",
         _approx_mode_sql(f"{p}_train", counts, f"SELECT n_all - n_test FROM {p}_n"),
         f"{p}_rest AS (SELECT c.lab, c.n - t.a AS n FROM {counts} c JOIN {p}_train t ON c.lab = t.lab)",
@@ -287,7 +288,7 @@ def split_sql(name: str, src: str, id_col: str, label: str | None, test_size: fl
 def sample_sql(name: str, src: str, id_col: str, frac: float, seed: int, salt: str) -> list[str]:
     key = f"md5(concat_ws(':', cast({id_col} AS varchar), '{seed}', '{salt}'))"
     return [f"{name} AS (SELECT * EXCLUDE (r) FROM (SELECT s.*, row_number() OVER (ORDER BY {key}, {id_col}) - 1 AS r "
-            f"FROM {src} s) WHERE r < (SELECT round_even(cast({frac!r} AS double) * cast(count(*) AS double), 0) FROM {src}))"]
+            f"FROM {src} s) WHERE r < (SELECT round_even({dbl(frac)} * cast(count(*) AS double), 0) FROM {src}))"]
 
 
 def fold_sql(name: str, src: str, id_col: str, label: str, k: int, seed: int, salt: str) -> list[str]:

@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import DEFAULT_RULES
+from ..functions.expressions import DEFAULT_RULES, dbl
 from ..operators import cleaning as cl
 from ..schema import (
     APPLICATION_COLUMNS, FLOAT_COLS, IMPUTE_CATEGORICAL_COLS, IMPUTE_NUMERIC_COLS,
@@ -600,3 +600,251 @@ ORACLE["d17_feature_chain"] = _feature_chain_sql()
 def d17(spark, sf):
     feats, fm = features_frame(spark, sf)
     return _long(feats, [ID_COL, "part"], fm.feature_cols)
+
+
+# ======================================================================
+# E: sampling, holdout, weights, folds, metrics (model-free parts)
+# F: decision, tier, text, rounding, report
+# A deterministic rule scorecard stands in for a model where SQL parity is
+# checked; the model-based twins are registered further below.
+# ======================================================================
+from ..operators import metrics as me  # noqa: E402
+from ..operators import scoring as scr  # noqa: E402
+from ..schema import BENCH_SAMPLE_FRAC, CV_FOLDS, HOLDOUT_TEST_SIZE  # noqa: E402
+
+SCORE_SQL = ("least(greatest(cast(0.05 AS double) * num_late_payments + cast(0.6 AS double) * debt_to_income "
+             "+ cast(700 - credit_score AS double) / cast(1000.0 AS double) + cast(0.1 AS double), "
+             "cast(0 AS double)), cast(1 AS double))")
+TRAIN_SQL = ["tr AS (SELECT * EXCLUDE (part) FROM sp WHERE part = 'train')"]
+SAMPLE = O.sample_sql("smp", "tr", ID_COL, BENCH_SAMPLE_FRAC, SEED, "sample")
+HOLD = O.split_sql("ho", "smp", ID_COL, TARGET_COL, HOLDOUT_TEST_SIZE, None, SEED, "holdout")
+
+
+def train_part(spark, sf):
+    return split_frame(spark, sf).where(F.col("part") == "train").drop("part")
+
+
+def bench_sample(spark, sf):
+    tr = train_part(spark, sf).persist()
+    return rk.exact_sample(tr, ID_COL, BENCH_SAMPLE_FRAC, seed=SEED, salt="sample")
+
+
+def holdout_frame(spark, sf):
+    smp = bench_sample(spark, sf).persist()
+    return rk.stratified_split(smp, ID_COL, TARGET_COL, HOLDOUT_TEST_SIZE, None, seed=SEED, salt="holdout")
+
+
+ORACLE["e01_row_sample"] = O.with_ctes(*CLEAN, *SPLIT, *TRAIN_SQL, *SAMPLE) + f"SELECT {ID_COL} FROM smp"
+
+
+@query("e01_row_sample")
+def e01(spark, sf):
+    return bench_sample(spark, sf).select(ID_COL)
+
+
+ORACLE["e02_holdout"] = O.with_ctes(*CLEAN, *SPLIT, *TRAIN_SQL, *SAMPLE, *HOLD) + f"SELECT {ID_COL}, part FROM ho"
+
+
+@query("e02_holdout")
+def e02(spark, sf):
+    return holdout_frame(spark, sf).select(ID_COL, "part")
+
+
+ORACLE["e03_class_weights"] = O.with_ctes(*CLEAN, *SPLIT, *TRAIN_SQL, *SAMPLE, *HOLD) + f"""
+SELECT cast({TARGET_COL} AS bigint) AS label, count(*) AS count,
+       cast(sum(count(*)) OVER () AS double) / (cast(2 AS double) * cast(count(*) AS double)) AS balanced_weight,
+       CASE WHEN {TARGET_COL} = 1 THEN cast(6 AS double) ELSE cast(1 AS double) END AS fixed_weight
+FROM ho WHERE part = 'train' GROUP BY {TARGET_COL}"""
+
+
+@query("e03_class_weights")
+def e03(spark, sf):
+    from ..operators.models import class_weight_table
+    return class_weight_table(holdout_frame(spark, sf).where(F.col("part") == "train"), TARGET_COL)
+
+
+ORACLE["e19_fold_ids"] = O.with_ctes(*CLEAN, *SPLIT, *TRAIN_SQL, *O.fold_sql("fo", "tr", ID_COL, TARGET_COL, CV_FOLDS, SEED, "fold")) + (
+    f"SELECT {ID_COL}, fold FROM fo")
+
+
+@query("e19_fold_ids")
+def e19(spark, sf):
+    return rk.fold_ids(train_part(spark, sf), ID_COL, TARGET_COL, CV_FOLDS, seed=SEED, salt="fold").select(ID_COL, "fold")
+
+
+THRESHOLDS = me.sweep_thresholds()
+
+
+def _prf_sql(tp, fp, fn):
+    f1 = f"coalesce(cast(2 * {tp} AS double) / cast(nullif(2 * {tp} + {fp} + {fn}, 0) AS double), cast(0 AS double))"
+    pr = f"coalesce(cast({tp} AS double) / cast(nullif({tp} + {fp}, 0) AS double), cast(0 AS double))"
+    rc = f"coalesce(cast({tp} AS double) / cast(nullif({tp} + {fn}, 0) AS double), cast(0 AS double))"
+    return f1, pr, rc
+
+
+def _sweep_ctes():
+    vals = ", ".join(f"({i}, {O.dbl(t)})" for i, t in enumerate(THRESHOLDS))
+    f1, pr, rc = _prf_sql("tp", "fp", "fn")
+    return [
+        f"th AS (SELECT * FROM (VALUES {vals}) t(i, t))",
+        f"vs AS (SELECT {TARGET_COL} AS y, {SCORE_SQL} AS p FROM sp WHERE part = 'val')",
+        "sw AS (SELECT i, t, count(*) FILTER (WHERE y = 1 AND p >= t) AS tp, count(*) FILTER (WHERE y = 0 AND p >= t) AS fp, "
+        "count(*) FILTER (WHERE y = 1 AND p < t) AS fn FROM th, vs GROUP BY i, t)",
+        f"sweep AS (SELECT i, {O.np_round_sql('t', 2)} AS threshold, {R4(f1)} AS f1, {R4(pr)} AS precision, "
+        f"{R4(rc)} AS recall FROM sw)",
+        "best AS (SELECT threshold FROM sweep ORDER BY f1 DESC, i LIMIT 1)",
+    ]
+
+
+SWEEP = _sweep_ctes()
+
+
+def _val_test(spark, sf):
+    sp = split_frame(spark, sf).withColumn("_score", scr.scorecard_probability()).persist()
+    thr = me.best_threshold(me.threshold_sweep(sp.where(F.col("part") == "val"), TARGET_COL, "_score"))
+    return sp, thr
+
+
+ORACLE["e23_threshold_sweep"] = O.with_ctes(*CLEAN, *SPLIT, *SWEEP) + (
+    "SELECT threshold, f1, precision, recall, row_number() OVER (ORDER BY f1 DESC, i) = 1 AS is_best FROM sweep")
+
+
+@query("e23_threshold_sweep")
+def e23(spark, sf):
+    sp = split_frame(spark, sf).withColumn("_score", scr.scorecard_probability())
+    return me.threshold_sweep(sp.where(F.col("part") == "val"), TARGET_COL, "_score")
+
+
+TEST_PRED = ["tp_rows AS (SELECT *, CASE WHEN " + SCORE_SQL + " >= (SELECT threshold FROM best) THEN 1 ELSE 0 END AS pred, "
+             + SCORE_SQL + " AS p FROM sp WHERE part = 'test')"]
+
+
+def _test_pred(spark, sf):
+    sp, thr = _val_test(spark, sf)
+    test = sp.where(F.col("part") == "test")
+    return test.withColumn("pred", (F.col("_score") >= dbl(thr)).cast("int"))
+
+
+_f1, _pr, _rc = _prf_sql("tp", "fp", "fn")
+_CONF = ("(SELECT count(*) FILTER (WHERE is_default = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE is_default = 0 AND pred = 1) AS fp, "
+         "count(*) FILTER (WHERE is_default = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE is_default = 1 AND pred = 1) AS tp FROM tp_rows) c")
+ORACLE["e24_metrics"] = O.with_ctes(*CLEAN, *SPLIT, *SWEEP, *TEST_PRED) + (
+    f"SELECT {R4(_f1)} AS f1, {R4(_pr)} AS precision, {R4(_rc)} AS recall, "
+    f"{R4('coalesce(cast(tp + tn AS double) / cast(nullif(tp + tn + fp + fn, 0) AS double), 0)')} AS accuracy FROM {_CONF}")
+
+
+@query("e24_metrics")
+def e24(spark, sf):
+    return me.classification_metrics(_test_pred(spark, sf), TARGET_COL, "pred")
+
+
+ORACLE["e25_confusion"] = O.with_ctes(*CLEAN, *SPLIT, *SWEEP, *TEST_PRED) + f"SELECT * FROM {_CONF}"
+
+
+@query("e25_confusion")
+def e25(spark, sf):
+    return me.confusion_counts(_test_pred(spark, sf), TARGET_COL, "pred")
+
+
+ORACLE["e26_roc_auc"] = O.with_ctes(*CLEAN, *SPLIT, *SWEEP, *TEST_PRED) + """
+SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS roc_auc FROM (
+  SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM (SELECT p, cast(count(*) FILTER (WHERE is_default = 1) AS double) AS pos,
+               cast(count(*) FILTER (WHERE is_default = 0) AS double) AS neg FROM tp_rows GROUP BY p))"""
+
+
+@query("e26_roc_auc")
+def e26(spark, sf):
+    sp = split_frame(spark, sf).withColumn("_score", scr.scorecard_probability())
+    return me.roc_auc(sp.where(F.col("part") == "test"), TARGET_COL, "_score")
+
+
+def _report_sql():
+    f1_0, p_0, r_0 = _prf_sql("tn", "fn", "fp")
+    s0, s1, tot = "(tn + fp)", "(tp + fn)", "(tn + fp + tp + fn)"
+    acc = f"coalesce(cast(tp + tn AS double) / cast(nullif({tot}, 0) AS double), 0)"
+
+    def w(a, b):
+        return f"coalesce(cast(({a}) * {s0} + ({b}) * {s1} AS double) / cast(nullif({tot}, 0) AS double), 0)"
+    rows = [
+        f"SELECT 'No Default' AS class, {R4(p_0)} AS precision, {R4(r_0)} AS recall, {R4(f1_0)} AS f1, {s0} AS support FROM {_CONF}",
+        f"SELECT 'Default', {R4(_pr)}, {R4(_rc)}, {R4(_f1)}, {s1} FROM {_CONF}",
+        f"SELECT 'accuracy', NULL::double, NULL::double, {R4(acc)}, {tot} FROM {_CONF}",
+        f"SELECT 'macro avg', {R4(f'({p_0} + {_pr}) / 2')}, {R4(f'({r_0} + {_rc}) / 2')}, {R4(f'({f1_0} + {_f1}) / 2')}, {tot} FROM {_CONF}",
+        f"SELECT 'weighted avg', {R4(w(p_0, _pr))}, {R4(w(r_0, _rc))}, {R4(w(f1_0, _f1))}, {tot} FROM {_CONF}",
+    ]
+    return O.with_ctes(*CLEAN, *SPLIT, *SWEEP, *TEST_PRED) + _union(rows)
+
+
+ORACLE["e27_class_report"] = _report_sql()
+
+
+@query("e27_class_report")
+def e27(spark, sf):
+    return me.classification_report(_test_pred(spark, sf), TARGET_COL, "pred")
+
+
+# ---- F: scoring the whole cleaned table with the tuned cut-off
+SCORED_SQL = [f"sc AS (SELECT {ID_COL}, {SCORE_SQL} AS p FROM clean)"]
+
+
+def _scored(spark, sf):
+    sp, thr = _val_test(spark, sf)
+    return scr.score_frame(sp.select(ID_COL, "_score"), F.col("_score"), thr, stamp=False)
+
+
+ORACLE["f03_decision"] = O.with_ctes(*CLEAN, *SPLIT, *SWEEP, *SCORED_SQL) + (
+    f"SELECT {ID_COL}, CASE WHEN p >= (SELECT threshold FROM best) THEN 1 ELSE 0 END AS prediction FROM sc")
+
+
+@query("f03_decision")
+def f03(spark, sf):
+    return _scored(spark, sf).select(ID_COL, "prediction")
+
+
+ORACLE["f04_risk_tier"] = O.with_ctes(*CLEAN, *SCORED_SQL) + (
+    f"SELECT {ID_COL}, CASE WHEN p >= cast(0.7 AS double) THEN 'High' WHEN p >= cast(0.4 AS double) THEN 'Medium' "
+    f"ELSE 'Low' END AS risk_tier FROM sc")
+
+
+@query("f04_risk_tier")
+def f04(spark, sf):
+    c = cleaned(spark, sf)
+    return scr.score_frame(c.select(ID_COL, scr.scorecard_probability().alias("_s")), F.col("_s"), 0.5,
+                           stamp=False).select(ID_COL, "risk_tier")
+
+
+ORACLE["f05_outcome_text"] = O.with_ctes(*CLEAN, *SPLIT, *SWEEP, *SCORED_SQL) + (
+    f"SELECT {ID_COL}, CASE WHEN p >= (SELECT threshold FROM best) THEN 'Default' ELSE 'No Default' END AS label FROM sc")
+
+
+@query("f05_outcome_text")
+def f05(spark, sf):
+    return _scored(spark, sf).select(ID_COL, "label")
+
+
+ORACLE["f06_rounded_prob"] = O.with_ctes(*CLEAN, *SCORED_SQL) + f"SELECT {ID_COL}, {R4('p')} AS default_prob FROM sc"
+
+
+@query("f06_rounded_prob")
+def f06(spark, sf):
+    c = cleaned(spark, sf)
+    return c.select(ID_COL, np_round_col(scr.scorecard_probability()).alias("default_prob"))
+
+
+def np_round_col(c):
+    return pr.np_round(c, 4)
+
+
+ORACLE["f08_score_report"] = O.with_ctes(*CLEAN, *SPLIT, *SWEEP, *SCORED_SQL) + f"""
+SELECT count(*) AS n, avg(CASE WHEN p >= (SELECT threshold FROM best) THEN 1.0 ELSE 0.0 END)::double AS default_rate,
+       {R4(f"avg({R4('p')})")} AS avg_default_prob,
+       count(*) FILTER (WHERE p >= cast(0.7 AS double)) AS n_high,
+       count(*) FILTER (WHERE p >= cast(0.4 AS double) AND p < cast(0.7 AS double)) AS n_medium,
+       count(*) FILTER (WHERE p < cast(0.4 AS double)) AS n_low
+FROM sc"""
+
+
+@query("f08_score_report")
+def f08(spark, sf):
+    return scr.score_report(_scored(spark, sf))
