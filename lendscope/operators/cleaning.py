@@ -233,7 +233,9 @@ def cleaning_pipeline(rules=None, threshold: float = SPARSE_COLUMN_THRESHOLD) ->
 
 def clean(df: DataFrame, rules=None) -> DataFrame:
     """Fit and apply the cleaning chain. The deduplicated, rule-corrected
-    frame is persisted once, since every fit pass re-reads it."""
-    pre = ErrorCorrector(rules).transform(DuplicateRemover().transform(df)).persist()
+    frame is checkpointed once to the shared checkpoint folder: every fit
+    pass re-reads it, and its lineage (joins + dedup shuffle) is cut, so a
+    lost executor recomputes from the checkpoint, not from the sources."""
+    pre = ErrorCorrector(rules).transform(DuplicateRemover().transform(df)).checkpoint()
     model = Pipeline(stages=[ColumnDropper(), MissingImputer(), TypeEnforcer()]).fit(pre)
     return model.transform(pre)

@@ -1,17 +1,446 @@
-"""MLlib model wrappers, class weights, guarded fit/evaluate, leaderboard,
-cross-validated search and best-of selection."""
+"""Model comparison and tuning on Spark MLlib.
+
+* every model is an MLlib estimator (or a small driver-side solve on
+  aggregated statistics: discriminant analysis) applied to an assembled
+  feature vector; class weights are a ``weightCol``;
+* ``evaluate_models`` is the guarded fit/evaluate loop -- a failure becomes a
+  zero row with the error text, never an aborted comparison;
+* ``random_search`` draws seeded parameter sets per family and scores each
+  with ``CrossValidator`` over precomputed stratified fold ids.
+"""
 
 from __future__ import annotations
 
+import math
+import random
+import time
+from dataclasses import dataclass
+from typing import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import (
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+    MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
+)
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .metrics import classification_metrics, roc_auc
+
+LABEL = "_label"
+WEIGHT = "_w"
+FEATURES = "_features"
+SCORE = "_score"
+PRED = "_pred"
 
 
 def class_weight_table(df: DataFrame, target: str, fixed_positive: float = 6.0) -> DataFrame:
     """(label, count, balanced_weight = n / (2 n_c), fixed_weight 1 : 6)."""
     g = df.groupBy(F.col(target).cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    tot = F.sum("count").over(Window.partitionBy(F.lit(1)))  # 2 rows: bounded
+    tot = F.sum("count").over(Window.partitionBy(F.lit(1)))  # one row per class: bounded
     return g.select("label", "count",
                     (tot.cast("double") / (F.lit(2.0) * F.col("count").cast("double"))).alias("balanced_weight"),
                     F.when(F.col("label") == 1, F.lit(float(fixed_positive))).otherwise(F.lit(1.0))
                     .alias("fixed_weight"))
+
+
+def with_weights(df: DataFrame, target: str, kind: str | None) -> DataFrame:
+    """Adds the label (double) and a per-row weight: ``balanced``, ``fixed``
+    (1 : 6) or none (1.0). Weights come from class counts (2 numbers)."""
+    out = df.withColumn(LABEL, F.col(target).cast("double"))
+    if kind is None:
+        return out.withColumn(WEIGHT, F.lit(1.0))
+    if kind == "fixed":
+        return out.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.lit(6.0)).otherwise(F.lit(1.0)))
+    counts = {r[0]: r[1] for r in out.groupBy(LABEL).count().collect()}
+    n = sum(counts.values())
+    w = {k: n / (len(counts) * v) for k, v in counts.items()}
+    expr = F.lit(1.0)
+    for k, v in w.items():
+        expr = F.when(F.col(LABEL) == F.lit(k), F.lit(v)).otherwise(expr)
+    return out.withColumn(WEIGHT, expr)
+
+
+def assembler(feature_cols: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(feature_cols), outputCol=FEATURES, handleInvalid="keep")
+
+
+# ---------------------------------------------------------------- models
+@dataclass
+class Spec:
+    name: str
+    build: Callable[[int], object]   # (n weighted rows) -> fitted-able object
+    weights: str | None = None       # balanced | fixed | None
+    score: str = "probability"       # probability | raw | custom
+
+
+def _lr(n):
+    # L2 logistic loss with C = 1 on weighted rows: regParam = 1 / sum(w)
+    return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=1000,
+                              regParam=1.0 / n, elasticNetParam=0.0, standardization=False)
+
+
+class RidgeClassifier:
+    """Least squares on +-1 targets with an L2 penalty (alpha = 1); the
+    class is the sign of the prediction."""
+
+    def __init__(self, n, alpha=1.0):
+        self.est = LinearRegression(featuresCol=FEATURES, labelCol="_pm", weightCol=WEIGHT,
+                                    regParam=alpha / n, elasticNetParam=0.0, standardization=False,
+                                    solver="normal", predictionCol=SCORE)
+
+    def fit(self, df):
+        m = self.est.fit(df.withColumn("_pm", F.col(LABEL) * 2 - 1))
+        return _Wrapped(m, lambda d: d.withColumn(PRED, (F.col(SCORE) > 0).cast("double")))
+
+
+class _Wrapped:
+    def __init__(self, model, post):
+        self.model, self.post = model, post
+
+    def transform(self, df):
+        return self.post(self.model.transform(df))
+
+
+def _svc(reg):
+    def build(n):
+        return LinearSVC(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=200,
+                         regParam=reg(n), standardization=False, rawPredictionCol="_raw",
+                         predictionCol=PRED)
+    return build
+
+
+def _tree(n):
+    return DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxDepth=30,
+                                  seed=42)
+
+
+def _forest(trees, strategy, depth=12):
+    def build(n):
+        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
+                                      numTrees=trees, featureSubsetStrategy=strategy, maxDepth=depth,
+                                      seed=42)
+    return build
+
+
+def _gbt(iters=100, depth=3, bins=32, step=0.1):
+    def build(n):
+        return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=iters,
+                             maxDepth=depth, maxBins=bins, stepSize=step, seed=42)
+    return build
+
+
+def _nb(n):
+    return NaiveBayes(featuresCol=FEATURES, labelCol=LABEL, modelType="gaussian")
+
+
+def _mlp(n_features):
+    def build(n):
+        return MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL,
+                                              layers=[n_features, 64, 32, 2], maxIter=200, seed=42)
+    return build
+
+
+class AdaBoost:
+    """SAMME with depth-1 trees: each round fits a weighted stump, computes
+    its weighted error with one aggregate and reweights rows with a column
+    expression. Lineage is cut with ``checkpoint()`` every 10 rounds."""
+
+    def __init__(self, n, rounds=100, learning_rate=1.0):
+        self.rounds, self.lr = rounds, learning_rate
+
+    def fit(self, df):
+        cur = df.withColumn("_aw", F.lit(1.0) / F.lit(float(df.count()))).select(FEATURES, LABEL, "_aw")
+        stumps = []
+        for r in range(self.rounds):
+            stump = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="_aw",
+                                           maxDepth=1, seed=42, predictionCol="_sp",
+                                           probabilityCol="_spp", rawPredictionCol="_spr").fit(cur)
+            scored = stump.transform(cur)
+            err_row = scored.agg((F.sum(F.when(F.col("_sp") != F.col(LABEL), F.col("_aw")).otherwise(0.0))
+                                  / F.sum("_aw")).alias("e")).first()
+            err = float(err_row["e"] or 0.0)
+            if err <= 0:
+                stumps.append((stump, 1.0))
+                break
+            if err >= 0.5:
+                if not stumps:
+                    stumps.append((stump, 1e-10))
+                break
+            alpha = self.lr * math.log((1 - err) / err)
+            stumps.append((stump, alpha))
+            cur = scored.withColumn("_aw", F.col("_aw") * F.when(
+                F.col("_sp") != F.col(LABEL), F.lit(math.exp(alpha))).otherwise(F.lit(1.0))) \
+                .select(FEATURES, LABEL, "_aw")
+            if (r + 1) % 10 == 0:
+                cur = cur.checkpoint()
+        return _AdaModel(stumps)
+
+
+class _AdaModel:
+    def __init__(self, stumps):
+        self.stumps = stumps
+
+    def transform(self, df):
+        out = df
+        total = sum(a for _, a in self.stumps)
+        vote = F.lit(0.0)
+        for i, (s, a) in enumerate(self.stumps):
+            s = s.copy()
+            s.setPredictionCol(f"_s{i}").setProbabilityCol(f"_sp{i}").setRawPredictionCol(f"_sr{i}")
+            out = s.transform(out).drop(f"_sp{i}", f"_sr{i}")
+            vote = vote + F.lit(a) * (F.col(f"_s{i}") * 2 - 1)
+        out = out.withColumn(SCORE, vote / F.lit(total if total else 1.0))
+        out = out.withColumn(PRED, (F.col(SCORE) > 0).cast("double"))
+        return out.drop(*[f"_s{i}" for i in range(len(self.stumps))])
+
+
+class Discriminant:
+    """Linear (pooled covariance) or quadratic (per-class covariance)
+    discriminant analysis. Class counts, means and cross-product sums come
+    from one grouped aggregate over the data (p(p+1)/2 sums per class);
+    the p x p solve happens on the driver; scoring is a vectorized pandas
+    UDF over the assembled features."""
+
+    def __init__(self, n, feature_cols, quadratic=False, tol=1e-4):
+        self.cols, self.quadratic, self.tol = list(feature_cols), quadratic, tol
+
+    def fit(self, df):
+        p = len(self.cols)
+        x = [F.col(c).cast("double") for c in self.cols]
+        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(xi).alias(f"s{i}") for i, xi in enumerate(x)]
+        aggs += [F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
+        rows = {r[LABEL]: r for r in df.groupBy(LABEL).agg(*aggs).collect()}
+        stats = {}
+        n_all = sum(r["n"] for r in rows.values())
+        for k, r in rows.items():
+            n = r["n"]
+            mu = np.array([r[f"s{i}"] for i in range(p)]) / n
+            S = np.zeros((p, p))
+            for i in range(p):
+                for j in range(i, p):
+                    S[i, j] = S[j, i] = r[f"c{i}_{j}"]
+            scatter = S - n * np.outer(mu, mu)
+            stats[k] = (n, mu, scatter)
+        classes = sorted(stats)
+        params = []
+        if self.quadratic:
+            for k in classes:
+                n, mu, sc = stats[k]
+                cov = sc / max(n - 1, 1)
+                ev = np.linalg.eigvalsh(cov)
+                keep = ev > self.tol * ev.max()
+                logdet = float(np.sum(np.log(ev[keep])))
+                params.append((mu, np.linalg.pinv(cov, rcond=self.tol), logdet, math.log(n / n_all)))
+        else:
+            pooled = sum(stats[k][2] for k in classes) / max(n_all - len(classes), 1)
+            inv = np.linalg.pinv(pooled, rcond=self.tol)
+            for k in classes:
+                n, mu, _ = stats[k]
+                params.append((mu, inv, 0.0, math.log(n / n_all)))
+        return _DiscModel(params, self.cols)
+
+
+class _DiscModel:
+    def __init__(self, params, cols):
+        self.params, self.cols = params, cols
+
+    def transform(self, df):
+        params = self.params
+
+        @F.pandas_udf(T.DoubleType())
+        def pos_prob(v: pd.Series) -> pd.Series:
+            X = np.stack(v.to_numpy())
+            ll = []
+            for mu, inv, logdet, prior in params:
+                d = X - mu
+                ll.append(-0.5 * np.einsum("ij,jk,ik->i", d, inv, d) - 0.5 * logdet + prior)
+            ll = np.stack(ll, axis=1)
+            ll -= ll.max(axis=1, keepdims=True)
+            e = np.exp(ll)
+            return pd.Series(e[:, -1] / e.sum(axis=1))
+
+        arr = F.array(*[F.col(c).cast("double") for c in self.cols])
+        out = df.withColumn(SCORE, pos_prob(arr))
+        return out.withColumn(PRED, (F.col(SCORE) >= 0.5).cast("double"))
+
+
+class KnnVote:
+    def __init__(self, n, feature_cols, id_col, k=5):
+        self.cols, self.id_col, self.k = feature_cols, id_col, k
+
+    def fit(self, df):
+        return _KnnModel(df, self.cols, self.id_col, self.k)
+
+
+class _KnnModel:
+    def __init__(self, train, cols, id_col, k):
+        self.train, self.cols, self.id_col, self.k = train, cols, id_col, k
+
+    def transform(self, df):
+        from .neighbors import knn_vote
+        votes = knn_vote(self.train.withColumnRenamed(LABEL, "_y"), df, self.id_col, "_y",
+                         self.cols, self.k).withColumnRenamed("probability", SCORE)
+        out = df.join(votes, self.id_col)
+        return out.withColumn(PRED, (F.col(SCORE) >= 0.5).cast("double"))
+
+
+def model_specs(feature_cols: list[str], id_col: str) -> list[Spec]:
+    """The comparison set (MLlib counterparts of the reference's list)."""
+    p = len(feature_cols)
+    return [
+        Spec("LogisticRegression", _lr, "balanced"),
+        Spec("RidgeClassifier", lambda n: RidgeClassifier(n), "balanced", "custom"),
+        Spec("LinearSVM", _svc(lambda n: 1.0 / n), "balanced", "raw"),
+        Spec("HingeSGD", _svc(lambda n: 1e-4), "balanced", "raw"),
+        Spec("KNeighbors", lambda n: KnnVote(n, feature_cols, id_col), None, "custom"),
+        Spec("DecisionTree", _tree, "balanced"),
+        Spec("RandomForest", _forest(100, "sqrt"), "balanced"),
+        Spec("BaggedTrees", _forest(50, "all"), None),
+        Spec("GradientBoosting", _gbt(), None),
+        Spec("HistGradientBoosting", _gbt(bins=255), None),
+        Spec("BoostedTreesWeight6", _gbt(), "fixed"),
+        Spec("BoostedTreesBalanced", _gbt(), "balanced"),
+        Spec("BoostedTrees1to6", _gbt(depth=6), "fixed"),
+        Spec("AdaBoost", lambda n: AdaBoost(n), None, "custom"),
+        Spec("GaussianNB", _nb, None),
+        Spec("LinearDiscriminant", lambda n: Discriminant(n, feature_cols), None, "custom"),
+        Spec("QuadraticDiscriminant", lambda n: Discriminant(n, feature_cols, True), None, "custom"),
+        Spec("MultilayerPerceptron", _mlp(p), None),
+    ]
+
+
+def _prepare(df, target, feature_cols, weights):
+    return assembler(feature_cols).transform(with_weights(df, target, weights))
+
+
+def fit_one(spec: Spec, train: DataFrame, target: str, feature_cols: list[str]):
+    tr = _prepare(train, target, feature_cols, spec.weights).checkpoint()
+    n = tr.agg(F.sum(WEIGHT)).first()[0]
+    t0 = time.time()
+    model = spec.build(n).fit(tr)
+    return model, round(time.time() - t0, 2)
+
+
+def score(model, spec: Spec, df: DataFrame, target: str, feature_cols: list[str]) -> DataFrame:
+    """Adds SCORE (probability of class 1, or decision value) and PRED."""
+    out = model.transform(_prepare(df, target, feature_cols, None))
+    if spec.score == "probability":
+        out = out.withColumn(SCORE, vector_to_array(F.col("probability")).getItem(1))
+        pc = model.getPredictionCol() if hasattr(model, "getPredictionCol") else "prediction"
+        out = out.withColumn(PRED, F.col(pc))
+    elif spec.score == "raw":
+        out = out.withColumn(SCORE, vector_to_array(F.col("_raw")).getItem(1))
+    return out
+
+
+def evaluate_one(spec: Spec, train: DataFrame, test: DataFrame, target: str,
+                 feature_cols: list[str]) -> dict:
+    """Guarded fit + evaluate: a failure gives a zero row with the error."""
+    try:
+        model, secs = fit_one(spec, train, target, feature_cols)
+        scored = score(model, spec, test, target, feature_cols).select(
+            F.col(target).alias("_y"), SCORE, F.col(PRED).cast("int").alias("_p")).persist()
+        m = classification_metrics(scored, "_y", "_p").first()
+        auc = roc_auc(scored, "_y", SCORE).first()["roc_auc"]
+        return {"model": spec.name, "f1": m["f1"], "roc_auc": None if auc is None else round(auc, 4),
+                "accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"],
+                "fit_seconds": secs, "status": "OK"}
+    except Exception as e:  # noqa: BLE001 - the comparison must survive one model
+        return {"model": spec.name, "f1": 0.0, "roc_auc": 0.0, "accuracy": 0.0, "precision": 0.0,
+                "recall": 0.0, "fit_seconds": 0.0, "status": f"FAILED: {str(e)[:200]}"}
+
+
+LEADERBOARD_SCHEMA = ("model string, f1 double, roc_auc double, accuracy double, precision double, "
+                      "recall double, fit_seconds double, status string")
+
+
+def evaluate_models(specs: list[Spec], train: DataFrame, test: DataFrame, target: str,
+                    feature_cols: list[str], parallelism: int = 4) -> DataFrame:
+    """Fit and evaluate every spec; up to ``parallelism`` fits run as
+    concurrent Spark jobs (the scheduler shares the executors)."""
+    from concurrent.futures import ThreadPoolExecutor
+    spark = train.sparkSession
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(lambda s: evaluate_one(s, train, test, target, feature_cols), specs))
+    return spark.createDataFrame([tuple(r.values()) for r in rows], LEADERBOARD_SCHEMA)
+
+
+def leaderboard(results: DataFrame, top: int | None = None) -> DataFrame:
+    ranked = results.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f1"), "model")))
+    return ranked.where(F.col("rank") <= top) if top else ranked
+
+
+# ---------------------------------------------------------------- E19-E22
+def search_space(family: str, rng: random.Random, n_features: int) -> dict:
+    """One seeded draw (uniform / log-uniform / integer / choice)."""
+    def logu(a, b):
+        return math.exp(rng.uniform(math.log(a), math.log(b)))
+    if family == "boosted":
+        return {"maxIter": rng.randint(100, 500), "maxDepth": rng.randint(3, 10),
+                "stepSize": logu(0.01, 0.3), "subsamplingRate": rng.uniform(0.5, 1.0),
+                "featureSubsetStrategy": str(round(rng.uniform(0.5, 1.0), 3)),
+                "minInstancesPerNode": rng.randint(10, 100)}
+    if family == "boosted_weighted":
+        return {"maxIter": rng.randint(100, 500), "maxDepth": rng.randint(3, 10),
+                "stepSize": logu(0.01, 0.3), "minInfoGain": logu(1e-3, 10.0) * 1e-3,
+                "subsamplingRate": rng.uniform(0.5, 1.0)}
+    if family == "mlp":
+        layers = [rng.randint(32, 256) for _ in range(rng.randint(1, 3))]
+        return {"layers": [n_features, *layers, 2], "stepSize": logu(1e-4, 1e-1),
+                "solver": rng.choice(["l-bfgs", "gd"])}
+    raise ValueError(family)
+
+
+def _family_estimator(family: str, params: dict):
+    if family in ("boosted", "boosted_weighted"):
+        est = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, seed=42)
+    else:
+        est = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=200, seed=42)
+    return est.copy({est.getParam(k): v for k, v in params.items()})
+
+
+FAMILY_WEIGHTS = {"boosted": "balanced", "boosted_weighted": "fixed", "mlp": None}
+
+
+def cv_f1(family: str, params: dict, folded: DataFrame, target: str, feature_cols: list[str],
+          fold_col: str = "fold", parallelism: int = 4) -> float:
+    """Mean F1 (class 1) over precomputed stratified folds."""
+    data = _prepare(folded, target, feature_cols, FAMILY_WEIGHTS[family])
+    est = _family_estimator(family, params)
+    ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel",
+                                           metricLabel=1.0)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
+                        foldCol=fold_col, parallelism=parallelism, seed=42)
+    return float(cv.fit(data).avgMetrics[0])
+
+
+def random_search(family: str, folded: DataFrame, target: str, feature_cols: list[str],
+                  n_trials: int = 30, seed: int = 42) -> list[dict]:
+    rng = random.Random(f"{seed}:{family}")
+    out = []
+    for t in range(n_trials):
+        params = search_space(family, rng, len(feature_cols))
+        out.append({"family": family, "trial": t, "params": params,
+                    "cv_f1": cv_f1(family, params, folded, target, feature_cols)})
+    return out
+
+
+def refit_and_validate(family: str, params: dict, train: DataFrame, val: DataFrame, target: str,
+                       feature_cols: list[str]) -> dict:
+    tr = _prepare(train, target, feature_cols, FAMILY_WEIGHTS[family])
+    model = _family_estimator(family, params).fit(tr)
+    scored = model.transform(_prepare(val, target, feature_cols, None)).select(
+        F.col(target).alias("_y"), vector_to_array("probability").getItem(1).alias(SCORE),
+        F.col("prediction").cast("int").alias("_p")).persist()
+    m = classification_metrics(scored, "_y", "_p").first()
+    auc = roc_auc(scored, "_y", SCORE).first()["roc_auc"]
+    return {"model": model, "f1": m["f1"], "auc": None if auc is None else round(auc, 4)}

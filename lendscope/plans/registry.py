@@ -444,7 +444,7 @@ def split_frame(spark, sf):
 
 def features_frame(spark, sf):
     """Feature chain fitted on the train part, applied to all parts."""
-    sp = split_frame(spark, sf).persist()
+    sp = split_frame(spark, sf).checkpoint()
     fm = fe.fit_features(sp.where(F.col("part") == "train"), exclude=(ID_COL, TARGET_COL, "part"))
     return fm.transform(sp, keep=[ID_COL, TARGET_COL, "part"]), fm
 
@@ -848,3 +848,139 @@ FROM sc"""
 @query("f08_score_report")
 def f08(spark, sf):
     return scr.score_report(_scored(spark, sf))
+
+
+# ======================================================================
+# D14 / E4-E22: oversampling and models (rows-only checks: no SQL twin)
+# ======================================================================
+from ..operators import models as mo  # noqa: E402
+from ..operators import neighbors as nb  # noqa: E402
+from ..schema import SMOTE_K  # noqa: E402
+
+
+def feature_parts(spark, sf):
+    """Feature table (fitted on the train part) with its part column."""
+    feats, fm = features_frame(spark, sf)
+    return feats.checkpoint(), fm.feature_cols
+
+
+def bench_data(spark, sf):
+    """Comparison data: 20 % sample of the train part, 80/20 holdout."""
+    feats, cols = feature_parts(spark, sf)
+    tr = feats.where(F.col("part") == "train").drop("part")
+    smp = rk.exact_sample(tr, ID_COL, BENCH_SAMPLE_FRAC, seed=SEED, salt="sample").checkpoint()
+    ho = rk.stratified_split(smp, ID_COL, TARGET_COL, HOLDOUT_TEST_SIZE, None, seed=SEED,
+                             salt="holdout").checkpoint()
+    return (ho.where(F.col("part") == "train").drop("part"),
+            ho.where(F.col("part") == "test").drop("part"), cols)
+
+
+def int_feature_cols(cols):
+    ints = {"age", "num_late_payments", "loan_term_months", "has_cosigner", "credit_score"}
+    return [c for c in cols if c in ints or c in LABEL_COLS
+            or any(c.startswith(f"{o}_") for o in ONE_HOT_COLS)]
+
+
+@query("d14_smote")
+def d14(spark, sf):
+    feats, cols = feature_parts(spark, sf)
+    train = feats.where(F.col("part") == "train").drop("part")
+    return nb.smote(train, ID_COL, TARGET_COL, cols, SMOTE_RATIO, SMOTE_K, SEED,
+                    int_cols=int_feature_cols(cols))
+
+
+def _one_model(names):
+    def fn(spark, sf):
+        train, test, cols = bench_data(spark, sf)
+        specs = [s for s in mo.model_specs(cols, ID_COL) if s.name in names]
+        return mo.evaluate_models(specs, train, test, TARGET_COL, cols)
+    return fn
+
+
+for _key, _names in {
+    "e04_logistic_regression": ["LogisticRegression"],
+    "e05_ridge_classifier": ["RidgeClassifier"],
+    "e06_linear_svm": ["LinearSVM", "HingeSGD"],
+    "e07_knn_vote": ["KNeighbors"],
+    "e08_decision_tree": ["DecisionTree"],
+    "e09_random_forest": ["RandomForest"],
+    "e10_bagged_trees": ["BaggedTrees"],
+    "e11_boosted_trees": ["GradientBoosting", "HistGradientBoosting", "BoostedTreesWeight6",
+                          "BoostedTreesBalanced", "BoostedTrees1to6"],
+    "e12_adaboost": ["AdaBoost"],
+    "e13_gaussian_nb": ["GaussianNB"],
+    "e14_linear_discriminant": ["LinearDiscriminant"],
+    "e15_quadratic_discriminant": ["QuadraticDiscriminant"],
+    "e16_mlp": ["MultilayerPerceptron"],
+}.items():
+    QUERIES[_key] = _one_model(_names)
+
+
+@query("e17_guarded_fit")
+def e17(spark, sf):
+    train, test, cols = bench_data(spark, sf)
+    specs = mo.model_specs(cols, ID_COL)
+    # a deliberately failing entry shows the guard: it becomes a zero row
+    specs.append(mo.Spec("BrokenModel", lambda n: mo.LogisticRegression(featuresCol="_missing"), None))
+    return mo.leaderboard(mo.evaluate_models(specs, train, test, TARGET_COL, cols))
+
+
+@query("e18_top3")
+def e18(spark, sf):
+    train, test, cols = bench_data(spark, sf)
+    return mo.leaderboard(mo.evaluate_models(mo.model_specs(cols, ID_COL), train, test, TARGET_COL, cols), 3)
+
+
+def tune_data(spark, sf):
+    feats, cols = feature_parts(spark, sf)
+    train = feats.where(F.col("part") == "train").drop("part")
+    folded = rk.fold_ids(train, ID_COL, TARGET_COL, CV_FOLDS, seed=SEED, salt="fold").checkpoint()
+    val = feats.where(F.col("part") == "val").drop("part")
+    return folded, val, cols
+
+
+# Registered search budget: trials per family (library default is 30).
+SEARCH_TRIALS = 2
+# Best boosted-tree settings logged by the reference run (trees, depth, rate).
+LOGGED_BEST = {"maxIter": 495, "maxDepth": 9, "stepSize": 0.0617}
+
+
+@query("e19_cv_score")
+def e19cv(spark, sf):
+    folded, _, cols = tune_data(spark, sf)
+    f1 = mo.cv_f1("boosted", {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1}, folded, TARGET_COL, cols)
+    return spark.createDataFrame([("boosted", CV_FOLDS, f1)], "family string, folds int, cv_f1 double")
+
+
+@query("e20_random_search")
+def e20(spark, sf):
+    folded, _, cols = tune_data(spark, sf)
+    rows = []
+    for fam in ("boosted", "boosted_weighted", "mlp"):
+        for r in mo.random_search(fam, folded, TARGET_COL, cols, n_trials=SEARCH_TRIALS, seed=SEED):
+            rows.append((r["family"], r["trial"], str(r["params"]), r["cv_f1"]))
+    return spark.createDataFrame(rows, "family string, trial int, params string, cv_f1 double")
+
+
+@query("e21_refit_validate")
+def e21(spark, sf):
+    folded, val, cols = tune_data(spark, sf)
+    r = mo.refit_and_validate("boosted", LOGGED_BEST, folded.drop("fold"), val, TARGET_COL, cols)
+    return spark.createDataFrame([("boosted", str(LOGGED_BEST), r["f1"], r["auc"])],
+                                 "family string, params string, f1 double, roc_auc double")
+
+
+@query("e22_best_of")
+def e22(spark, sf):
+    folded, val, cols = tune_data(spark, sf)
+    train = folded.drop("fold").persist()
+    cands = {"boosted": LOGGED_BEST,
+             "boosted_weighted": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1},
+             "mlp": {"layers": [len(cols), 64, 32, 2], "stepSize": 0.03}}
+    rows = []
+    for fam, params in cands.items():
+        r = mo.refit_and_validate(fam, params, train, val, TARGET_COL, cols)
+        rows.append((fam, str(params), r["f1"], r["auc"]))
+    rep = spark.createDataFrame(rows, "family string, params string, f1 double, roc_auc double")
+    return rep.withColumn("is_best", F.row_number().over(
+        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc("f1"), "family")) == 1)
