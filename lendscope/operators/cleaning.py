@@ -169,7 +169,7 @@ class MissingImputerModel(Model):
         return df.withColumns(todo) if todo else df
 
     def state_rows(self) -> list[tuple]:
-        rows = [(c, "median", "", repr(v)) for c, v in self.num_fill.items()]
+        rows = [(c, "median", "", v) for c, v in self.num_fill.items()]
         rows += [(c, "mode", "", v) for c, v in self.cat_fill.items()]
         return rows
 

@@ -121,9 +121,9 @@ class EncoderModel(Model):
         return out.withColumns(todo) if todo else out
 
     def state_rows(self):
-        rows = [(c, "category", v, str(i)) for c, vs in self.categories.items()
+        rows = [(c, "category", v, i) for c, vs in self.categories.items()
                 for i, v in enumerate(vs)]
-        rows += [(c, "label", k, str(i)) for c, m in self.label_maps.items() for k, i in m.items()]
+        rows += [(c, "label", k, i) for c, m in self.label_maps.items() for k, i in m.items()]
         return rows
 
 
@@ -159,8 +159,8 @@ class RobustScalerModel(Model):
         return df.withColumns(todo) if todo else df
 
     def state_rows(self):
-        return ([(c, "center", "", repr(v)) for c, v in self.center.items()]
-                + [(c, "scale", "", repr(v)) for c, v in self.scale.items()])
+        return ([(c, "center", "", v) for c, v in self.center.items()]
+                + [(c, "scale", "", v) for c, v in self.scale.items()])
 
 
 # ---------------------------------------------------------------- D16
@@ -195,8 +195,8 @@ class FeatureModel:
 
     def state_rows(self):
         return (self.encoder.state_rows() + self.scaler.state_rows()
-                + [(c, "feature", str(i), "") for i, c in enumerate(self.feature_cols)]
-                + [(c, "drop", "", "") for c in self.drop_cols])
+                + [(c, "feature", "", i) for i, c in enumerate(self.feature_cols)]
+                + [(c, "drop", "", None) for c in self.drop_cols])
 
 
 def fit_features(train: DataFrame, drop_cols=None, exclude=()) -> FeatureModel:

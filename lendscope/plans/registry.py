@@ -576,7 +576,7 @@ def d16(spark, sf):
     return out.withColumn("zero_filled", F.lit(",".join(filled)))
 
 
-def _feature_chain_sql():
+def _feature_chain_sql(where: str = ""):
     fit = "(SELECT * FROM sp WHERE part = 'train')"
     parts = [f"SELECT {ID_COL}, part, '{c}' AS feature, cast({c} AS double) AS value FROM sp"
              for c in PLAIN_FEATURES]
@@ -590,7 +590,10 @@ def _feature_chain_sql():
         parts.append(
             f"SELECT s.{ID_COL}, s.part, '{c}_' || o.v AS feature, CASE WHEN s.{c} = o.v THEN 1.0 ELSE 0.0 END::double AS value "
             f"FROM sp s, (SELECT DISTINCT cast({c} AS varchar) AS v FROM sp_train WHERE {c} IS NOT NULL) o")
-    return O.with_ctes(*CLEAN, *SPLIT, f"sp_train AS {fit}") + _union(parts)
+    body = _union(parts)
+    if where:
+        body = f"SELECT * FROM ({body}) WHERE {where}"
+    return O.with_ctes(*CLEAN, *SPLIT, f"sp_train AS {fit}") + body
 
 
 ORACLE["d17_feature_chain"] = _feature_chain_sql()
@@ -984,3 +987,150 @@ def e22(spark, sf):
     rep = spark.createDataFrame(rows, "family string, params string, f1 double, roc_auc double")
     return rep.withColumn("is_best", F.row_number().over(
         __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc("f1"), "family")) == 1)
+
+
+# ======================================================================
+# A: sources and sinks;  F: model-based scoring, stream, description
+# ======================================================================
+from ..session import work_path  # noqa: E402
+from ..sources import io as sio  # noqa: E402
+from ..schema import application_schema  # noqa: E402
+from . import pipelines as pl  # noqa: E402
+
+ORACLE["a01_csv_scan"] = O.with_ctes() + "SELECT * FROM applications"
+
+
+@query("a01_csv_scan")
+def a01(spark, sf):
+    path = work_path(spark, "applications-csv")
+    sio.write_table(applications(spark, sf), path, fmt="csv")
+    return sio.read_csv(spark, path, application_schema())
+
+
+ORACLE["a02_table_sink"] = O.with_ctes(*CLEAN) + "SELECT * FROM clean"
+
+
+@query("a02_table_sink")
+def a02(spark, sf):
+    path = work_path(spark, "clean")
+    sio.write_table(cleaned(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+ORACLE["a03_report_sink"] = ORACLE["c08_outcome_rate"]
+
+
+@query("a03_report_sink")
+def a03(spark, sf):
+    path = work_path(spark, "outcome-report")
+    sio.write_report(pr.outcome_rate_by_category(cleaned(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+def _state_sql():
+    rows = [f"SELECT '{c}' AS column, 'median' AS kind, '' AS key, f_{c} AS num_value, NULL::varchar AS str_value FROM fill"
+            for c in IMPUTE_NUMERIC_COLS]
+    rows += [f"SELECT '{c}', 'mode', '', NULL::double, f_{c} FROM fill" for c in IMPUTE_CATEGORICAL_COLS]
+    for c in ONE_HOT_COLS:
+        rows.append(f"SELECT '{c}', 'category', v, cast(dense_rank() OVER (ORDER BY v) - 1 AS double), NULL::varchar "
+                    f"FROM (SELECT DISTINCT cast({c} AS varchar) AS v FROM clean WHERE {c} IS NOT NULL)")
+    for c in LABEL_COLS:
+        rows.append(f"SELECT '{c}', 'label', v, cast(dense_rank() OVER (ORDER BY v) - 1 AS double), NULL::varchar "
+                    f"FROM (SELECT DISTINCT cast({c} AS varchar) AS v FROM clean WHERE {c} IS NOT NULL)")
+    for c in SCALE_COLS:
+        med = O.quantile_sql("clean", c, 0.5, "midpoint")
+        q1, q3 = O.quantile_sql("clean", c, 0.25), O.quantile_sql("clean", c, 0.75)
+        rows.append(f"SELECT '{c}', 'center', '', {med}, NULL::varchar")
+        rows.append(f"SELECT '{c}', 'scale', '', CASE WHEN ({q3} - {q1}) = 0 THEN cast(1 AS double) "
+                    f"ELSE {q3} - {q1} END, NULL::varchar")
+    return O.with_ctes(*CLEAN) + _union(rows)
+
+
+ORACLE["a04_state_roundtrip"] = _state_sql()
+
+
+@query("a04_state_roundtrip")
+def a04(spark, sf):
+    pre = ruled(spark, sf).checkpoint()
+    imp = cl.MissingImputer().fit(pre)
+    c = cl.TypeEnforcer().transform(imp.transform(pre)).checkpoint()
+    enc = fe.Encoder().fit(c)
+    scal = fe.RobustScaler().fit(c)
+    path = work_path(spark, "state")
+    sio.save_state(spark, imp.state_rows() + enc.state_rows() + scal.state_rows(), path)
+    return sio.load_state(spark, path)
+
+
+def _plan(spark, sf):
+    return pl.train_plan(applications(spark, sf))
+
+
+@query("a05_model_roundtrip")
+def a05(spark, sf):
+    plan, feats = _plan(spark, sf)
+    path = sio.save_model(plan.model, work_path(spark, "model"))
+    served = sio.promote_model(path, work_path(spark, "serving-model"))
+    loaded = sio.load_model(served)
+    test = feats.where(F.col("part") == "test")
+    a = plan.model.transform(test).select(ID_COL, F.col("probability").alias("p1"))
+    b = loaded.transform(test).select(ID_COL, F.col("probability").alias("p2"))
+    return a.join(b, ID_COL).select(ID_COL, (F.col("p1") == F.col("p2")).alias("same_probability"))
+
+
+@query("a06_run_record")
+def a06(spark, sf):
+    plan, feats = _plan(spark, sf)
+    test = plan.model.transform(feats.where(F.col("part") == "test")).withColumn(
+        "_p", F.element_at(__import__("pyspark.ml.functions", fromlist=["vector_to_array"])
+                           .vector_to_array("probability"), 2))
+    test = test.withColumn("pred", (F.col("_p") >= dbl(plan.threshold)).cast("int"))
+    m = me.classification_metrics(test, TARGET_COL, "pred").first().asDict()
+    m["roc_auc"] = me.roc_auc(test, TARGET_COL, "_p").first()["roc_auc"]
+    runs = work_path(spark, "runs")
+    sio.record_run(spark, runs, {"model_type": plan.model_type, "threshold": plan.threshold,
+                                 "n_features": len(plan.features.feature_cols), "smote": False,
+                                 "cv_folds": CV_FOLDS, "n_trials": SEARCH_TRIALS},
+                   m, tags={"source": "lendscope"})
+    return sio.read_runs(spark, runs)
+
+
+ORACLE["f01_preprocess"] = _feature_chain_sql("part <> 'train'")
+
+
+@query("f01_preprocess")
+def f01(spark, sf):
+    feats, fm = features_frame(spark, sf)
+    return _long(feats.where(F.col("part") != "train"), [ID_COL, "part"], fm.feature_cols)
+
+
+@query("f02_batch_probability")
+def f02(spark, sf):
+    plan, _ = _plan(spark, sf)
+    return plan.score(cleaned(spark, sf), keep=[ID_COL], stamp=False)
+
+
+@query("f07_score_stamp")
+def f07(spark, sf):
+    plan, _ = _plan(spark, sf)
+    return plan.score(cleaned(spark, sf), keep=[ID_COL], stamp=True).select(ID_COL, "scored_at")
+
+
+@query("f09_stream_scoring")
+def f09(spark, sf):
+    from ..streaming.scoring import requests_from_table, run_stream
+    plan, _ = _plan(spark, sf)
+    src = work_path(spark, "requests")
+    requests_from_table(applications_base_clean(spark, sf)).write.mode("overwrite").text(src)
+    sink, rej, ck = work_path(spark, "scored"), work_path(spark, "rejects"), work_path(spark, "stream-ckpt")
+    run_stream(spark, plan, src, sink, rej, ck)
+    return spark.read.parquet(sink)
+
+
+def applications_base_clean(spark, sf):
+    return cl.DuplicateRemover().transform(applications(spark, sf))
+
+
+@query("f10_model_description")
+def f10(spark, sf):
+    plan, _ = _plan(spark, sf)
+    return plan.describe(spark)
