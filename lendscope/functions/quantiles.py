@@ -158,14 +158,16 @@ def _finalize(src, groups, mode, result):
     counts = stacked.groupBy("g", "v").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("upto", F.sum("cnt").over(w))
-    wanted = []
+    wanted: dict[int, set] = {}
     for j, g in enumerate(groups):
         for _, r0, r1, _ in g.wants:
-            for r in {r0 - g.below, r1 - g.below}:
-                wanted.append((j, r))
-    cond = F.lit(False)
-    for j, r in set(wanted):
-        cond = cond | ((F.col("g") == j) & (F.col("upto") - F.col("cnt") <= r) & (F.col("upto") > r))
+            wanted.setdefault(j, set()).update({r0 - g.below, r1 - g.below})
+    # group -> wanted ranks, as a literal map (bounded: 2 ranks per target)
+    wmap = F.create_map(*[e for j, rs in wanted.items()
+                          for e in (F.lit(j), F.array(*[F.lit(int(r)) for r in sorted(rs)]))])
+    lo_rank = F.col("upto") - F.col("cnt")
+    cond = F.exists(F.element_at(wmap, F.col("g")),
+                    lambda r: (lo_rank <= r) & (F.col("upto") > r))
     hits = cum.where(cond).select("g", "v", "cnt", "upto").collect()
     for j, g in enumerate(groups):
         mine = [(h["upto"] - h["cnt"], h["upto"], h["v"]) for h in hits if h["g"] == j]

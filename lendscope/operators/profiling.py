@@ -66,34 +66,42 @@ def statistics_report(df: DataFrame, cols=None, digits: int = 4,
                       with_quantiles: bool = True) -> DataFrame:
     """count, mean, std, min, 25/50/75 %, max, skewness, kurtosis, missing,
     missing % per column: one moment pass plus the quantile passes (the
-    quantile columns are null when ``with_quantiles`` is False)."""
+    quantile columns are null when ``with_quantiles`` is False).
+
+    The moment pass stacks the columns to (column, x) and groups by column:
+    a handful of aggregate functions per group instead of hundreds in one
+    row, and map-side partial aggregation keeps one row per column per task."""
     cols = _present(df, STATS_COLS if cols is None else cols)
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"),
-                  *[e.alias(f"{k}{i}") for i, c in enumerate(cols)
-                    for k, e in zip(("n", "mean", "std", "min", "max", "g1", "g2", "sdp", "miss"),
-                                    _moments(c))])
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])))
+    x = F.col("x")
+    mom = stacked.groupBy("column").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(x).alias("n"), F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.stddev_pop(x).alias("sdp"))
     q = (exact_quantiles(df, cols, [0.25, 0.5, 0.75]) if with_quantiles
          else {(c, p): None for c in cols for p in (0.25, 0.5, 0.75)})
-    fields = []
-    for i, c in enumerate(cols):
-        n, sdp = F.col(f"n{i}"), F.col(f"sdp{i}")
-        fields.append((c, [
-            n,
-            np_round(F.col(f"mean{i}"), digits),
-            np_round(F.col(f"std{i}"), digits),
-            np_round(F.col(f"min{i}"), digits),
-            np_round(F.lit(q[(c, 0.25)]).cast("double"), digits),
-            np_round(F.lit(q[(c, 0.5)]).cast("double"), digits),
-            np_round(F.lit(q[(c, 0.75)]).cast("double"), digits),
-            np_round(F.col(f"max{i}"), digits),
-            np_round(_adjusted_skew(n, F.col(f"g1{i}"), sdp), digits),
-            np_round(_adjusted_kurt(n, F.col(f"g2{i}"), sdp), digits),
-            F.col(f"miss{i}"),
-            np_round(F.col(f"miss{i}") / F.col("_rows").cast("double") * dbl(100), 2),
-        ]))
-    names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max",
-             "skewness", "kurtosis", "missing", "missing_pct"]
-    return _stack(wide, fields, names)
+
+    def qcol(p):
+        m = F.create_map(*[e for c in cols for e in (F.lit(c), F.lit(q[(c, p)]).cast("double"))])
+        return F.element_at(m, F.col("column"))
+
+    n, sdp = F.col("n"), F.col("sdp")
+    miss = F.col("_rows") - n
+    return mom.select(
+        "column", n.alias("count"),
+        np_round(F.col("mean"), digits).alias("mean"),
+        np_round(F.col("std"), digits).alias("std"),
+        np_round(F.col("min"), digits).alias("min"),
+        np_round(qcol(0.25), digits).alias("p25"),
+        np_round(qcol(0.5), digits).alias("p50"),
+        np_round(qcol(0.75), digits).alias("p75"),
+        np_round(F.col("max"), digits).alias("max"),
+        np_round(_adjusted_skew(n, F.col("g1"), sdp), digits).alias("skewness"),
+        np_round(_adjusted_kurt(n, F.col("g2"), sdp), digits).alias("kurtosis"),
+        miss.alias("missing"),
+        np_round(miss / F.col("_rows").cast("double") * dbl(100), 2).alias("missing_pct"),
+    )
 
 
 # ---------------------------------------------------------------- C5 / C6
@@ -108,22 +116,48 @@ def _corr_expr(a: str, b: str) -> Column:
 
 def correlation_matrix(df: DataFrame, cols=None, target: str = TARGET_COL,
                        digits: int = 4) -> DataFrame:
-    """Long-format matrix (col_a, col_b, corr): all pairs in one aggregate."""
+    """Long-format Pearson matrix (col_a, col_b, corr), pairwise-complete.
+
+    Columns without nulls go through MLlib ``Correlation`` (one pass that
+    tree-aggregates a p x p Gramian: bounded state, whatever the row
+    count). Only pairs touching a column with nulls need pairwise-complete
+    moments; those come from one aggregate restricted to such pairs."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    spark = df.sparkSession
     cols = _present(df, (CORR_COLS + [target]) if cols is None else cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    wide = df.agg(*[_corr_expr(cols[i], cols[j]).alias(f"r{i}_{j}") for i, j in pairs],
-                  *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}")
-                    for i, c in enumerate(cols)])
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                v = F.when(F.col(f"s{i}") > 0, dbl(1.0))
+    prof = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)],
+                  *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+                  ).first()
+    has_null = {c for i, c in enumerate(cols) if prof[f"z{i}"] > 0}
+    sd = {c: prof[f"s{i}"] for i, c in enumerate(cols)}
+    values: dict = {}
+    full = [c for c in cols if c not in has_null]
+    if len(full) >= 2:
+        vec = VectorAssembler(inputCols=full, outputCol="_v").transform(
+            df.select(*[F.col(c).cast("double").alias(c) for c in full])).select("_v")
+        mat = Correlation.corr(vec, "_v").first()[0].toArray()
+        for i, a in enumerate(full):
+            for j, b in enumerate(full):
+                v = float(mat[i, j])
+                values[(a, b)] = None if v != v else v
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]
+             if a in has_null or b in has_null]
+    if pairs:
+        row = df.agg(*[_corr_expr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
+        for k, (a, b) in enumerate(pairs):
+            values[(a, b)] = values[(b, a)] = row[f"r{k}"]
+    rows = []
+    for a in cols:
+        for b in cols:
+            if a == b:
+                v = 1.0 if sd[a] else None
             else:
-                v = F.col(f"r{min(i, j)}_{max(i, j)}")
-            cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                  np_round(v, digits).alias("corr")))
-    return wide.select(F.inline(F.array(*cells)))
+                v = values.get((a, b))
+            rows.append((a, b, v))
+    out = spark.createDataFrame(rows, "col_a string, col_b string, corr double")
+    return out.withColumn("corr", np_round(F.col("corr"), digits))
 
 
 def top_outcome_correlations(df: DataFrame, cols=None, target: str = TARGET_COL) -> DataFrame:
