@@ -40,15 +40,18 @@ def parse_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     env = T.StructType([T.StructField("request_id", T.LongType()),
                         T.StructField("data", T.StringType())])
     parsed = lines.select(F.col("value"), F.from_json("value", env).alias("e"))
-    one = F.from_json(F.col("e.data"), record_schema())
-    many = F.from_json(F.col("e.data"), T.ArrayType(record_schema()))
+    # malformed records land in a corrupt-record field instead of failing
+    rs = T.StructType(record_schema().fields + [T.StructField("_corrupt", T.StringType())])
+    opts = {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
+    one = F.from_json(F.col("e.data"), rs, opts)
+    many = F.from_json(F.col("e.data"), T.ArrayType(rs), opts)
     is_list = F.trim(F.col("e.data")).startswith("[")
     recs = F.when(is_list, many).otherwise(F.array(one))
     staged = parsed.select("value", F.col("e.request_id").alias("request_id"), recs.alias("recs"))
-    ok: Column = F.col("request_id").isNotNull() & F.col("recs").isNotNull() & \
-        ~F.exists("recs", lambda r: r.isNull())
+    ok: Column = (F.col("request_id").isNotNull() & F.col("recs").isNotNull()
+                  & ~F.exists("recs", lambda r: r.isNull() | r["_corrupt"].isNotNull()))
     records = (staged.where(ok).select("request_id", F.posexplode("recs").alias("pos", "r"))
-               .select("request_id", "pos", "r.*"))
+               .select("request_id", "pos", "r.*").drop("_corrupt"))
     rejects = staged.where(~ok).select("value")
     return records, rejects
 
