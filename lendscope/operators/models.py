@@ -351,6 +351,7 @@ def evaluate_one(spec: Spec, train: DataFrame, test: DataFrame, target: str,
             F.col(target).alias("_y"), SCORE, F.col(PRED).cast("int").alias("_p")).persist()
         m = classification_metrics(scored, "_y", "_p").first()
         auc = roc_auc(scored, "_y", SCORE).first()["roc_auc"]
+        scored.unpersist()
         return {"model": spec.name, "f1": m["f1"], "roc_auc": None if auc is None else round(auc, 4),
                 "accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"],
                 "fit_seconds": secs, "status": "OK"}
@@ -380,17 +381,24 @@ def leaderboard(results: DataFrame, top: int | None = None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E19-E22
-def search_space(family: str, rng: random.Random, n_features: int) -> dict:
+# Search ranges of the tuned families (trees, depth); callers may pass a
+# smaller budget.
+DEFAULT_BUDGET = {"iters": (100, 500), "depth": (3, 10)}
+
+
+def search_space(family: str, rng: random.Random, n_features: int, budget: dict | None = None) -> dict:
     """One seeded draw (uniform / log-uniform / integer / choice)."""
-    def logu(a, b):
-        return math.exp(rng.uniform(math.log(a), math.log(b)))
+    b = {**DEFAULT_BUDGET, **(budget or {})}
+
+    def logu(a, c):
+        return math.exp(rng.uniform(math.log(a), math.log(c)))
     if family == "boosted":
-        return {"maxIter": rng.randint(100, 500), "maxDepth": rng.randint(3, 10),
+        return {"maxIter": rng.randint(*b["iters"]), "maxDepth": rng.randint(*b["depth"]),
                 "stepSize": logu(0.01, 0.3), "subsamplingRate": rng.uniform(0.5, 1.0),
                 "featureSubsetStrategy": str(round(rng.uniform(0.5, 1.0), 3)),
                 "minInstancesPerNode": rng.randint(10, 100)}
     if family == "boosted_weighted":
-        return {"maxIter": rng.randint(100, 500), "maxDepth": rng.randint(3, 10),
+        return {"maxIter": rng.randint(*b["iters"]), "maxDepth": rng.randint(*b["depth"]),
                 "stepSize": logu(0.01, 0.3), "minInfoGain": logu(1e-3, 10.0) * 1e-3,
                 "subsamplingRate": rng.uniform(0.5, 1.0)}
     if family == "mlp":
@@ -412,25 +420,25 @@ FAMILY_WEIGHTS = {"boosted": "balanced", "boosted_weighted": "fixed", "mlp": Non
 
 
 def cv_f1(family: str, params: dict, folded: DataFrame, target: str, feature_cols: list[str],
-          fold_col: str = "fold", parallelism: int = 4) -> float:
+          fold_col: str = "fold", parallelism: int = 4, k: int = 5) -> float:
     """Mean F1 (class 1) over precomputed stratified folds."""
     data = _prepare(folded, target, feature_cols, FAMILY_WEIGHTS[family])
     est = _family_estimator(family, params)
     ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel",
                                            metricLabel=1.0)
     cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        foldCol=fold_col, parallelism=parallelism, seed=42)
+                        foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=42)
     return float(cv.fit(data).avgMetrics[0])
 
 
 def random_search(family: str, folded: DataFrame, target: str, feature_cols: list[str],
-                  n_trials: int = 30, seed: int = 42) -> list[dict]:
+                  n_trials: int = 30, seed: int = 42, k: int = 5, budget: dict | None = None) -> list[dict]:
     rng = random.Random(f"{seed}:{family}")
     out = []
     for t in range(n_trials):
-        params = search_space(family, rng, len(feature_cols))
+        params = search_space(family, rng, len(feature_cols), budget)
         out.append({"family": family, "trial": t, "params": params,
-                    "cv_f1": cv_f1(family, params, folded, target, feature_cols)})
+                    "cv_f1": cv_f1(family, params, folded, target, feature_cols, k=k)})
     return out
 
 
@@ -443,4 +451,5 @@ def refit_and_validate(family: str, params: dict, train: DataFrame, val: DataFra
         F.col("prediction").cast("int").alias("_p")).persist()
     m = classification_metrics(scored, "_y", "_p").first()
     auc = roc_auc(scored, "_y", SCORE).first()["roc_auc"]
+    scored.unpersist()
     return {"model": model, "f1": m["f1"], "auc": None if auc is None else round(auc, 4)}
