@@ -383,7 +383,7 @@ def leaderboard(results: DataFrame, top: int | None = None) -> DataFrame:
 # ---------------------------------------------------------------- E19-E22
 # Search ranges of the tuned families (trees, depth); callers may pass a
 # smaller budget.
-DEFAULT_BUDGET = {"iters": (100, 500), "depth": (3, 10)}
+DEFAULT_BUDGET = {"iters": (100, 500), "depth": (3, 10), "mlp_iter": 200}
 
 
 def search_space(family: str, rng: random.Random, n_features: int, budget: dict | None = None) -> dict:
@@ -404,7 +404,7 @@ def search_space(family: str, rng: random.Random, n_features: int, budget: dict
     if family == "mlp":
         layers = [rng.randint(32, 256) for _ in range(rng.randint(1, 3))]
         return {"layers": [n_features, *layers, 2], "stepSize": logu(1e-4, 1e-1),
-                "solver": rng.choice(["l-bfgs", "gd"])}
+                "solver": rng.choice(["l-bfgs", "gd"]), "maxIter": b["mlp_iter"]}
     raise ValueError(family)
 
 
@@ -420,7 +420,7 @@ FAMILY_WEIGHTS = {"boosted": "balanced", "boosted_weighted": "fixed", "mlp": Non
 
 
 def cv_f1(family: str, params: dict, folded: DataFrame, target: str, feature_cols: list[str],
-          fold_col: str = "fold", parallelism: int = 4, k: int = 5) -> float:
+          fold_col: str = "fold", parallelism: int = 5, k: int = 5) -> float:
     """Mean F1 (class 1) over precomputed stratified folds."""
     data = _prepare(folded, target, feature_cols, FAMILY_WEIGHTS[family])
     est = _family_estimator(family, params)
