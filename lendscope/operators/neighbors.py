@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,26 +114,28 @@ def knn(queries: DataFrame, members: DataFrame, id_col: str, feature_cols: list[
             if exclude_self:
                 d2 = np.where(qid[:, None] == mid[None, :], np.inf, d2)
             kk_ = min(kk, d2.shape[1])
-            # k smallest by (distance, member id)
-            order = np.lexsort((np.broadcast_to(mid, d2.shape), d2), axis=1)[:, :kk_]
-            rows = np.arange(d2.shape[0])[:, None]
-            dsel = d2[rows, order]
-            keep = np.isfinite(dsel)
-            out_q.append(np.repeat(qid, kk_)[keep.ravel()])
-            out_m.append(mid[order].ravel()[keep.ravel()])
-            out_d.append(np.sqrt(dsel.ravel()[keep.ravel()]))
+            # k smallest by (distance, member id): partial selection, then an
+            # exact tie-aware order of the few candidates at or below the
+            # k-th distance
+            kth = np.partition(d2, kk_ - 1, axis=1)[:, kk_ - 1]
+            for r in range(d2.shape[0]):
+                cand = np.flatnonzero(d2[r] <= kth[r])
+                cd = d2[r, cand]
+                sel = cand[np.lexsort((mid[cand], cd))[:kk_]]
+                ds = d2[r, sel]
+                keep = np.isfinite(ds)
+                out_q.append(np.full(int(keep.sum()), qid[r]))
+                out_m.append(mid[sel][keep])
+                out_d.append(np.sqrt(ds[keep]))
         return pd.DataFrame({"qid": np.concatenate(out_q), "mid": np.concatenate(out_m),
                              "dist": np.concatenate(out_d)})
 
     cand = tiles.groupBy("tq", "tm").applyInPandas(tile_topk, _tile_schema(id_type))
-
-    def merge_topk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dist", "mid"], kind="mergesort").head(kk)
-        pdf = pdf.assign(rank=np.arange(1, len(pdf) + 1, dtype=np.int32))
-        return pdf[["qid", "mid", "dist", "rank"]]
-
-    # each query holds at most B*k candidates: bounded group
-    return cand.groupBy("qid").applyInPandas(merge_topk, _tile_schema(id_type) + ", rank int")
+    # each query holds at most B*k candidates: a bounded window per query,
+    # evaluated in the JVM
+    w = Window.partitionBy("qid").orderBy("dist", "mid")
+    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kk)
+            .withColumn("rank", F.col("rank").cast("int")))
 
 
 # ---------------------------------------------------------------- D14

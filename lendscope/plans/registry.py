@@ -1112,14 +1112,17 @@ def f01(spark, sf):
 
 @query("f02_batch_probability")
 def f02(spark, sf):
+    # scoring input is the raw (deduplicated) table: the plan applies its own
+    # fitted rules, imputation, coercion and features
     plan, _ = _plan(spark, sf)
-    return plan.score(cleaned(spark, sf), keep=[ID_COL], stamp=False)
+    return plan.score(applications_base_clean(spark, sf), keep=[ID_COL], stamp=False)
 
 
 @query("f07_score_stamp")
 def f07(spark, sf):
     plan, _ = _plan(spark, sf)
-    return plan.score(cleaned(spark, sf), keep=[ID_COL], stamp=True).select(ID_COL, "scored_at")
+    return plan.score(applications_base_clean(spark, sf), keep=[ID_COL], stamp=True).select(
+        ID_COL, "scored_at")
 
 
 @query("f09_stream_scoring")
