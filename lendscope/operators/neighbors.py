@@ -3,17 +3,20 @@ k-NN vote classifier.
 
 Neighbour search (exact, Euclidean):
 
-* rows are hashed into B blocks of at most ``block_rows`` rows;
-* each query row is replicated to the B tiles (query block, member block)
-  of its row of tiles, each member row to the B tiles of its column --
-  ``explode`` + ``groupBy``, no join of the data with itself;
+* members are cut into slabs of about ``block_rows`` rows along their
+  highest-variance feature (edges from a bounded quantile sketch);
+* round 1 searches each query's own slab, giving d_k; round 2 routes the
+  query only to the other slabs overlapping [t - d_k, t + d_k] (exact, as a
+  coordinate difference never exceeds the distance), chunked so a tile holds
+  a bounded number of queries and members -- ``explode`` + ``groupBy``, no
+  join of the data with itself;
 * ``applyInPandas`` per tile computes the distance tile in query chunks of
   bounded size with numpy and keeps only the k nearest members per query;
-* a second ``applyInPandas`` per query keeps the k nearest of the B*k
-  candidates.
+* a window per query keeps the final k.
 
-Memory per task is bounded by two blocks plus one chunk of distances; the
-number of tiles grows as B^2, which is the exact (brute-force) cost of k-NN.
+Memory per task is bounded by one slab plus one chunk of queries; pruning
+makes the work near-linear when distances are dominated by the slab axis,
+and it degrades towards the exact brute-force cost otherwise.
 
 SMOTE draws are derived from ``md5(seed:i)``, so the synthetic rows do not
 depend on partitioning and a rerun gives the same rows.
@@ -29,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expressions import dbl
+
 DEFAULT_BLOCK_ROWS = 8192
 QUERY_CHUNK = 2048
 CHUNK_ELEMS = 4_000_000
@@ -65,32 +70,7 @@ def _tile_schema(k_id_type: str) -> str:
     return f"qid {k_id_type}, mid {k_id_type}, dist double"
 
 
-def knn(queries: DataFrame, members: DataFrame, id_col: str, feature_cols: list[str], k: int,
-        exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
-        n_queries: int | None = None, n_members: int | None = None) -> DataFrame:
-    """Exact k nearest ``members`` of every query row: (qid, mid, dist, rank).
-
-    ``exclude_self`` drops a member with the same id as the query (used when
-    queries and members are the same rows). Ties on distance are broken by
-    member id."""
-    nq = n_queries if n_queries is not None else queries.count()
-    nm = n_members if n_members is not None else members.count()
-    bq, bm = _num_blocks(nq, block_rows), _num_blocks(nm, block_rows)
-    vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    q = queries.select(F.col(id_col).alias("_id"), vec.alias("_v"),
-                       F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(bq)).alias("_qb"))
-    m = members.select(F.col(id_col).alias("_id"), vec.alias("_v"),
-                       F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(bm)).alias("_mb"))
-    # replicate: each query to its row of tiles, each member to its column
-    qrep = q.select("_id", "_v", F.col("_qb").alias("tq"),
-                    F.explode(F.sequence(F.lit(0), F.lit(bm - 1))).alias("tm"),
-                    F.lit(0).alias("side"))
-    mrep = m.select("_id", "_v", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("tq"),
-                    F.col("_mb").alias("tm"), F.lit(1).alias("side"))
-    tiles = qrep.unionByName(mrep)
-    id_type = dict(queries.dtypes)[id_col]
-    kk = int(k)
-
+def _tile_topk_fn(kk: int, exclude_self: bool):
     def tile_topk(pdf: pd.DataFrame) -> pd.DataFrame:
         qs = pdf[pdf["side"] == 0]
         ms = pdf[pdf["side"] == 1]
@@ -120,8 +100,7 @@ def knn(queries: DataFrame, members: DataFrame, id_col: str, feature_cols: list[
             kth = np.partition(d2, kk_ - 1, axis=1)[:, kk_ - 1]
             for r in range(d2.shape[0]):
                 cand = np.flatnonzero(d2[r] <= kth[r])
-                cd = d2[r, cand]
-                sel = cand[np.lexsort((mid[cand], cd))[:kk_]]
+                sel = cand[np.lexsort((mid[cand], d2[r, cand]))[:kk_]]
                 ds = d2[r, sel]
                 keep = np.isfinite(ds)
                 out_q.append(np.full(int(keep.sum()), qid[r]))
@@ -129,15 +108,88 @@ def knn(queries: DataFrame, members: DataFrame, id_col: str, feature_cols: list[
                 out_d.append(np.sqrt(ds[keep]))
         return pd.DataFrame({"qid": np.concatenate(out_q), "mid": np.concatenate(out_m),
                              "dist": np.concatenate(out_d)})
+    return tile_topk
+
+
+def _tiles(qrep: DataFrame, mrep: DataFrame, keys: list[str], kk: int, exclude_self: bool,
+           id_type: str) -> DataFrame:
+    """Per tile (rows sharing ``keys``): k nearest members of each query."""
+    tiles = qrep.withColumn("side", F.lit(0)).unionByName(mrep.withColumn("side", F.lit(1)))
+    return tiles.groupBy(*keys).applyInPandas(_tile_topk_fn(kk, exclude_self), _tile_schema(id_type))
+
 
-    cand = tiles.groupBy("tq", "tm").applyInPandas(tile_topk, _tile_schema(id_type))
-    # each query holds at most B*k candidates: a bounded window per query,
+def _topk(cand: DataFrame, kk: int) -> DataFrame:
+    # each query holds a bounded number of candidates: a window per query,
     # evaluated in the JVM
     w = Window.partitionBy("qid").orderBy("dist", "mid")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kk)
             .withColumn("rank", F.col("rank").cast("int")))
 
 
+def knn(queries: DataFrame, members: DataFrame, id_col: str, feature_cols: list[str], k: int,
+        exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
+        n_queries: int | None = None, n_members: int | None = None) -> DataFrame:
+    """Exact k nearest ``members`` of every query row: (qid, mid, dist, rank).
+
+    Members are cut into S slabs of about ``block_rows`` rows along their
+    highest-variance feature (slab edges from a bounded quantile sketch).
+    Round 1 searches each query's own slab and yields d_k, its k-th distance
+    there. Since |x_j - y_j| <= ||x - y||, every member at distance <= d_k
+    lies in a slab overlapping [t - d_k, t + d_k]; round 2 routes the query
+    to exactly those other slabs (in member-bounded chunks) and the final
+    window keeps the k nearest. ``exclude_self`` drops a member with the
+    query's id. Ties on distance are broken by member id."""
+    nm = n_members if n_members is not None else members.count()
+    S = _num_blocks(nm, block_rows)
+    kk = int(k)
+    id_type = dict(queries.dtypes)[id_col]
+    vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    if S == 1:
+        q = queries.select(F.col(id_col).alias("_id"), vec.alias("_v"), F.lit(0).alias("tile"))
+        m = members.select(F.col(id_col).alias("_id"), vec.alias("_v"), F.lit(0).alias("tile"))
+        return _topk(_tiles(q, m, ["tile"], kk, exclude_self, id_type), kk)
+    var = members.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}")
+                        for i, c in enumerate(feature_cols)]).first()
+    axis = feature_cols[max(range(len(feature_cols)), key=lambda i: var[f"v{i}"] or 0.0)]
+    t = F.col(axis).cast("double")
+    cuts = members.agg(F.percentile_approx(t, [i / S for i in range(1, S)], 10000)).first()[0]
+    cuts = sorted(set(float(c) for c in cuts))
+    carr = F.array(*[dbl(c) for c in cuts])
+
+    def slab(x):
+        return F.size(F.filter(carr, lambda c: c <= x))
+
+    q = queries.select(F.col(id_col).alias("_id"), vec.alias("_v"), t.alias("_t")) \
+        .withColumn("_s", slab(F.col("_t")))
+    m = members.select(F.col(id_col).alias("_id"), vec.alias("_v"), t.alias("_t")) \
+        .withColumn("_s", slab(F.col("_t")))
+    # round 1: own slab (a slab holds about block_rows members)
+    r1 = _tiles(q.select("_id", "_v", F.col("_s").alias("tile")),
+                m.select("_id", "_v", F.col("_s").alias("tile")), ["tile"], kk, exclude_self, id_type)
+    r1 = r1.checkpoint()
+    dk = r1.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d"))
+    bound = F.when(F.col("_n") >= kk, F.col("_d") * dbl(1 + 1e-9) + dbl(1e-12))
+    qb = q.join(dk.withColumnRenamed("qid", "_id"), "_id", "left")
+    lo = F.when(bound.isNull(), F.lit(0)).otherwise(slab(F.col("_t") - bound))
+    hi = F.when(bound.isNull(), F.lit(len(cuts))).otherwise(slab(F.col("_t") + bound))
+    routed = (qb.select("_id", "_v", "_s", F.explode(F.sequence(lo, hi)).alias("tile"))
+              .where(F.col("tile") != F.col("_s")).drop("_s")).checkpoint()
+    # chunk each slab's routed queries so a tile holds <= block_rows queries
+    per = {r["tile"]: r["n"] for r in routed.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not per:
+        return _topk(r1, kk)
+    chunks = {tl: max(1, math.ceil(n / block_rows)) for tl, n in per.items()}
+    cmap = F.create_map(*[e for tl, c in chunks.items() for e in (F.lit(int(tl)), F.lit(int(c)))])
+    rq = routed.withColumn("_c", F.pmod(F.xxhash64("_id"), F.element_at(cmap, F.col("tile"))))
+    rm = (m.where(F.col("_s").isin(list(chunks)))
+          .select("_id", "_v", F.col("_s").alias("tile"),
+                  F.explode(F.sequence(F.lit(0), F.element_at(cmap, F.col("_s")) - 1)).alias("_c")))
+    r2 = _tiles(rq.select("_id", "_v", "tile", F.col("_c").cast("bigint").alias("_c")),
+                rm.select("_id", "_v", "tile", F.col("_c").cast("bigint").alias("_c")),
+                ["tile", "_c"], kk, exclude_self, id_type)
+    return _topk(r1.unionByName(r2), kk)
+
+
 # ---------------------------------------------------------------- D14
 def _unit(seed: int, i: F.Column, salt: str) -> F.Column:
     """Uniform [0, 1) from md5(seed:salt:i) (first 13 hex digits)."""

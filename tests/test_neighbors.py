@@ -71,3 +71,19 @@ def test_balance_summary(spark):
     df = spark.createDataFrame([(0,)] * 10 + [(1,)] * 2, "y int")
     r = {x.label: x for x in nb.balance_summary(df, "y", 0.4).collect()}
     assert r[1].rows_after == 4 and r[0].rows_after == 10
+
+
+def test_knn_slabs_with_ties_and_separate_sets(spark):
+    rng = np.random.default_rng(11)
+    X = np.round(rng.integers(0, 6, (240, 3)).astype(float), 1)  # many exact ties
+    pdf = pd.DataFrame(X, columns=["a", "b", "c"])
+    pdf.insert(0, "pid", np.arange(240, dtype=np.int64))
+    df = spark.createDataFrame(pdf)
+    queries, members = df.where("pid % 3 = 0"), df.where("pid % 3 <> 0")
+    got = nb.knn(queries, members, "pid", ["a", "b", "c"], 4, block_rows=20).toPandas()
+    mem = pdf[pdf.pid % 3 != 0]
+    for _, q in pdf[pdf.pid % 3 == 0].iterrows():
+        d2 = ((mem[["a", "b", "c"]].to_numpy() - q[["a", "b", "c"]].to_numpy()) ** 2).sum(axis=1)
+        want = list(mem.pid.to_numpy()[np.lexsort((mem.pid.to_numpy(), d2))[:4]])
+        g = got[got.qid == q.pid].sort_values("rank")
+        assert list(g.mid) == want
