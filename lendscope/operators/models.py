@@ -19,7 +19,6 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
     MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
@@ -27,7 +26,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,10 +141,20 @@ def _nb(n):
     return NaiveBayes(featuresCol=FEATURES, labelCol=LABEL, modelType="gaussian")
 
 
+def _scaled(est):
+    """Standardize the assembled features before ``est`` (a perceptron on
+    raw inputs spanning 1e0..1e7 saturates)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler
+    return Pipeline(stages=[StandardScaler(inputCol=FEATURES, outputCol="_fs", withMean=True,
+                                           withStd=True), est.setFeaturesCol("_fs")])
+
+
 def _mlp(n_features):
     def build(n):
-        return MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL,
-                                              layers=[n_features, 64, 32, 2], maxIter=200, seed=42)
+        return _scaled(MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL,
+                                                      layers=[n_features, 64, 32, 2], maxIter=200,
+                                                      seed=42))
     return build
 
 
@@ -231,18 +240,25 @@ class Discriminant:
             scatter = S - n * np.outer(mu, mu)
             stats[k] = (n, mu, scatter)
         classes = sorted(stats)
+        # solve in standardized coordinates (pooled standard deviations): the
+        # features span many orders of magnitude, and a relative cut-off on
+        # the raw covariance would drop almost every direction
+        pooled = sum(stats[k][2] for k in classes) / max(n_all - len(classes), 1)
+        sd = np.sqrt(np.clip(np.diag(pooled), 0, None))
+        sd[sd == 0] = 1.0
+        Dm = np.diag(1.0 / sd)
         params = []
         if self.quadratic:
             for k in classes:
                 n, mu, sc = stats[k]
-                cov = sc / max(n - 1, 1)
-                ev = np.linalg.eigvalsh(cov)
+                cov_s = Dm @ (sc / max(n - 1, 1)) @ Dm
+                ev = np.linalg.eigvalsh(cov_s)
                 keep = ev > self.tol * ev.max()
-                logdet = float(np.sum(np.log(ev[keep])))
-                params.append((mu, np.linalg.pinv(cov, rcond=self.tol), logdet, math.log(n / n_all)))
+                logdet = float(np.sum(np.log(ev[keep])) + 2 * np.sum(np.log(sd)))
+                inv = Dm @ np.linalg.pinv(cov_s, rcond=self.tol, hermitian=True) @ Dm
+                params.append((mu, inv, logdet, math.log(n / n_all)))
         else:
-            pooled = sum(stats[k][2] for k in classes) / max(n_all - len(classes), 1)
-            inv = np.linalg.pinv(pooled, rcond=self.tol)
+            inv = Dm @ np.linalg.pinv(Dm @ pooled @ Dm, rcond=self.tol, hermitian=True) @ Dm
             for k in classes:
                 n, mu, _ = stats[k]
                 params.append((mu, inv, 0.0, math.log(n / n_all)))
@@ -411,9 +427,9 @@ def search_space(family: str, rng: random.Random, n_features: int, budget: dict
 def _family_estimator(family: str, params: dict):
     if family in ("boosted", "boosted_weighted"):
         est = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, seed=42)
-    else:
-        est = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=200, seed=42)
-    return est.copy({est.getParam(k): v for k, v in params.items()})
+        return est.copy({est.getParam(k): v for k, v in params.items()})
+    est = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=200, seed=42)
+    return _scaled(est.copy({est.getParam(k): v for k, v in params.items()}))
 
 
 FAMILY_WEIGHTS = {"boosted": "balanced", "boosted_weighted": "fixed", "mlp": None}

@@ -30,7 +30,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expressions import dbl
 
@@ -215,7 +214,6 @@ def smote(df: DataFrame, id_col: str, target: str, feature_cols: list[str],
     minority = df.where(F.col(target) == F.lit(mino)).select(id_col, *feature_cols)
     n_min = counts[mino]
     # dense index of minority rows by hash rank: a uniform bucket shuffle
-    from ..functions.ranking import assign_by_cuts  # noqa: F401  (same key scheme)
     keyed = minority.withColumn("_k", F.md5(F.concat_ws(":", F.col(id_col).cast("string"),
                                                         F.lit(str(seed)), F.lit("smote"))))
     from pyspark.sql import Window

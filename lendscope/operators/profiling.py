@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bin_edge, dbl, hist_bin, null_count_expr
+from ..functions.expressions import bin_edge, dbl, hist_bin
 from ..functions.quantiles import exact_quantiles
 from ..schema import (
     CLASS_HIST_BINS, CORR_COLS, DIST_COLS, HIST_BINS, IQR_MULTIPLIER, OUTLIER_COLS,
@@ -319,5 +319,5 @@ def dataset_overview(df: DataFrame) -> DataFrame:
 __all__ = [
     "np_round", "statistics_report", "correlation_matrix", "top_outcome_correlations",
     "outlier_report", "outcome_rate_by_category", "outcome_summary", "histogram",
-    "class_histogram", "box_statistics", "dataset_overview", "null_count_expr",
+    "class_histogram", "box_statistics", "dataset_overview",
 ]
