@@ -13,8 +13,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL_DEFAULTS = {
-    "spark.sql.shuffle.partitions": "8",
+_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -22,16 +21,26 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+}
+# Only for one-process runs; a cluster sizes its reducers and driver itself.
+_LOCAL_DEFAULTS = {
+    "spark.sql.shuffle.partitions": "8",
     "spark.driver.memory": "16g",
 }
 
 
+def is_local(master: str) -> bool:
+    """True for a one-process master (``local``, ``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def get_spark(master: str | None = None, app: str = "lendscope", **conf: str) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in {**_LOCAL_DEFAULTS, **conf}.items():
+    local = is_local(master or os.environ.get("MASTER", "local"))
+    for k, v in {**_DEFAULTS, **(_LOCAL_DEFAULTS if local else {}), **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,7 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not path:
-        # Unset: local mode or tests. A cluster always names a shared folder.
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One process (local runs, tests): its own folder is shared by definition.
         path = tempfile.mkdtemp(prefix="lendscope-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
