@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import bpe, exact, lines, shard
+from lendscope.llm import bpe, exact, fingerprint, lines, shard, superminhash
 from lendscope.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shuffled_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_shards, op5_exact_dedup, op6_byte_bpe, op8_line_dedup)}
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_feistel_shards, op3_oph_fingerprints, op5_exact_dedup, op6_byte_bpe, op8_line_dedup, op9_superminhash)}
 
 ORACLE: dict[str, str] = {}
 
