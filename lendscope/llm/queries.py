@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import bpe, exact, fingerprint, lines, shard, superminhash
+from lendscope.llm import bpe, exact, fingerprint, lines, shard, superminhash, toxicity
 from lendscope.llm.common import table
 
 
@@ -38,8 +38,15 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_labels(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_feistel_shards, op3_oph_fingerprints, op5_exact_dedup, op6_byte_bpe, op8_line_dedup, op9_superminhash)}
+    op2_feistel_shards, op3_oph_fingerprints, op5_exact_dedup, op6_byte_bpe, op8_line_dedup, op9_superminhash, op10_zstd_toxicity)}
 
 ORACLE: dict[str, str] = {}
 
