@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import bpe, exact, fingerprint, lines, shard, superminhash, toxicity
+from lendscope.llm import bpe, exact, fingerprint, lines, shard, suffix_dedup, superminhash, toxicity
 from lendscope.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op3_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_bwt_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), length=200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_feistel_shards, op3_oph_fingerprints, op5_exact_dedup, op6_byte_bpe, op8_line_dedup, op9_superminhash, op10_zstd_toxicity)}
+    op2_feistel_shards, op3_oph_fingerprints, op4_bwt_suffix_dedup, op5_exact_dedup, op6_byte_bpe, op8_line_dedup, op9_superminhash, op10_zstd_toxicity)}
 
 ORACLE: dict[str, str] = {}
 
