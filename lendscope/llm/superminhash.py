@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm.common import byte_slices, inner_id, outer_id, stage
@@ -24,6 +24,8 @@ from lendscope.llm.shingles import Shingler, distinct, mix
 #: 32 bands of 5 places: documents with a likeness of 0.8 share a band with probability 1 - 3e-6.
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
+#: Pivots of a bucket grow by this factor from round to round, up to what Spark still picks before it shuffles.
+PIVOTS_GROW, MOST_PIVOTS = 4, 1000
 SLICE_CHARS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,10 +118,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """node, root of all sets that are linked to another; None if none are.
 
-    In every bucket (documents that agree in a band) a pivot is compared with
-    the members of other components, and leaves the bucket; the pivot comes
-    from the bucket's smallest component. A bucket whose members have met in
-    one component is done. So a bucket of n copies of a text costs n pairs,
+    In every bucket (documents that agree in a band) pivots are compared with
+    the members of other components, and leave the bucket; they come from the
+    bucket's smallest components, one in the first round and PIVOTS_GROW times
+    as many in each further one. A bucket whose members have met in one
+    component is done. So a bucket of n copies of a text costs about n pairs,
     not their square, and no pair between components goes unchecked.
     """
     sets_of = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -130,16 +133,20 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
     wanted = members.select("node").distinct().join(sets_of.select("node", "doc_id"), "node")
     text = docs.select(inner_id().alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
     sets = stage(text.mapInPandas(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-    tried, roots = None, None
+    tried, roots, pivots = None, None, 1
     while True:
         now = members.withColumn("root", F.col("node"))
         if roots is not None:
             now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        live = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.min(F.struct("n", "node", "root")).alias("p")).where(
-            "parts > 1").select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
-        now = stage(now.join(live, "bucket"), "rounds")
-        pairs = now.where("root != pivot_root").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
+        parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        live = parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
+        now = stage(now.join(parts.join(live, "bucket"), ["bucket", "root"]), "rounds")
+        smallest = Window.partitionBy("bucket").orderBy("n", "root", "node")
+        chosen = now.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= pivots).select(
+            "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+        chosen = stage(chosen, "pivots")
+        pairs = now.join(chosen, "bucket").where("root != pivot_root").select(
+            F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stage(pairs, "pairs")
@@ -147,10 +154,11 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
         if links.take(1):
             old = roots.select(F.col("node").alias("u"), F.col("root").alias("v")) if roots is not None else None
             roots = components(links if old is None else links.unionByName(old))
-        members = now.where("node != pivot").select("bucket", "node")
+        members = now.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
         if not members.take(1):
             return roots
         tried = pairs if tried is None else tried.unionByName(pairs)
+        pivots = min(PIVOTS_GROW * pivots, MOST_PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
