@@ -8,10 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import bpe, exact, fingerprint, lines, shard, suffix_dedup, superminhash, toxicity
+from lendscope.llm import bpe, exact, fingerprint, html_cut, lines, mixing, shard, suffix_dedup, superminhash, toxicity
 from lendscope.llm.common import table
 
 
+#: Target shares of the expected tokens by label domain, and the size of the mixture as a share of the corpus.
+DOMAIN_WEIGHTS = {"good": 0.86, "poor": 0.12, "toxic": 0.02}
+BUDGET = 0.75
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.fit_domains(docs, table(spark, sf_dir, "labels"), list(DOMAIN_WEIGHTS))
+    rates = mixing.with_rates(docs, mixing.fit_mixture(docs, model, DOMAIN_WEIGHTS, BUDGET))
+    return rates.select("doc_id", "n_words", *[F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)], "rate", "copies")
+
+
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shuffled_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -34,6 +46,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.PATTERN, ids=False)
 
 
+def op7_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_common_lines(table(spark, sf_dir, "documents"), least=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -51,7 +67,8 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_feistel_shards, op3_oph_fingerprints, op4_bwt_suffix_dedup, op5_exact_dedup, op6_byte_bpe, op8_line_dedup, op9_superminhash, op10_zstd_toxicity)}
+    op1_soft_mixing, op2_feistel_shards, op3_oph_fingerprints, op4_bwt_suffix_dedup, op5_exact_dedup, op6_byte_bpe,
+    op7_min_cut_extraction, op8_line_dedup, op9_superminhash, op10_zstd_toxicity)}
 
 ORACLE: dict[str, str] = {}
 
