@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import byte_slices, inner_id, outer_id
+from lendscope.llm.common import byte_slices
 
 #: The fit sees at most so many labelled documents of each class, chosen by a
 #: hash of doc_id, and of those the ones of at most FIT_CHARS characters. Scoring has no bounds.
@@ -153,6 +153,17 @@ def fit_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Toxi
     return fit(toxic, ordinary, max(1.0, total.get(0, 0) / max(1, len(ordinary))))
 
 
+def toxicity_score(text: Column, model: ToxicityModel) -> Column:
+    """Score of a text column; no other column goes through Python."""
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            parts = byte_slices(texts.to_frame("text"), "text", SLICE_CHARS)
+            found = [model.score(p["text"].tolist()) for p in parts]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+    return score(F.coalesce(text, F.lit("")))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score (0 to 1) for every row of ``docs`` (doc_id, text).
 
@@ -160,19 +171,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     independent, so copies score alike; NULL ids and an empty table need
     nothing special. Other columns are not looked at. The model is about 70 kB.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in byte_slices(batch, "text", SLICE_CHARS):
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(np.int64),
-                                    "score": model.score([t or "" for t in part["text"]])})
-    return docs.select(inner_id().alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double").withColumn(
-        "doc_id", outer_id(F.col("doc_id")))
+    return docs.select("doc_id", toxicity_score(F.col("text"), model).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = model.score([t if isinstance(t, str) else "" for t in batch["text"]])
-            yield batch[score < threshold]
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(toxicity_score(F.col("text"), model) < threshold)
