@@ -16,6 +16,8 @@ from __future__ import annotations
 import numpy as np
 
 SHARD_ROWS = 4096
+#: Stands where a row has no text: a byte that UTF-8 never holds, so that such rows never come between others.
+NOTHING = 255
 
 
 class ShardTransform:
@@ -85,7 +87,7 @@ def merge(shards: list[ShardTransform], valid: list[np.ndarray], length: int) ->
 
 
 def repeated_starts(texts: list[bytes], offsets: np.ndarray, length: int, shard_rows: int = SHARD_ROWS) -> list[np.ndarray]:
-    """For each text the starts of its substrings of ``length`` bytes that
+    """For each text (UTF-8, or part of it) the starts of its substrings of ``length`` bytes that
     another text holds at the same distance from its anchor (``offsets``)."""
     n = len(texts)
     sizes = np.array([len(t) for t in texts])
@@ -93,7 +95,7 @@ def repeated_starts(texts: list[bytes], offsets: np.ndarray, length: int, shard_
     width = int((left + sizes).max())
     column = np.arange(width)
     valid = (column >= left[:, None]) & (column < (left + sizes)[:, None])
-    rows = np.zeros((n, width), np.uint8)
+    rows = np.full((n, width), NOTHING, np.uint8)
     rows[valid] = np.frombuffer(b"".join(texts), np.uint8)
     parts = range(0, n, shard_rows)
     shards = [ShardTransform(rows[i:i + shard_rows]) for i in parts]

@@ -87,7 +87,6 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact_dedup drops; all columns stay."""
-    stays = exact_dedup(docs).where("kept").select(inner_id().alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumns({"_id": inner_id(), "_sha": text_digest(F.col("text"))})
-    return (marked.join(stays, ["_id", "_sha"], "left_semi")
-            .dropDuplicates(["_id", "_sha"]).drop("_id", "_sha"))
+    stays = exact_dedup(docs).where("kept").select(inner_id().alias("id"), F.col("text_sha256").alias("sha"))
+    rows = docs.select(F.struct("*").alias("whole"), inner_id().alias("id"), text_digest(F.col("text")).alias("sha"))
+    return rows.join(stays, ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"]).select("whole.*")

@@ -196,5 +196,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; all columns stay."""
-    gone = near_duplicates(docs, k, percent).where("NOT kept").select(inner_id().alias("_id"))
-    return docs.withColumn("_id", inner_id()).join(gone, "_id", "left_anti").drop("_id")
+    gone = near_duplicates(docs, k, percent).where("NOT kept").select(inner_id().alias("id"))
+    rows = docs.select(F.struct("*").alias("whole"), inner_id().alias("id"))
+    return rows.join(gone, "id", "left_anti").select("whole.*")
