@@ -70,13 +70,28 @@ def _label_expr(label_col: str | None) -> Column:
 
 
 def class_counts(df: DataFrame, label_col: str | None, max_classes: int = 1000) -> dict:
+    """Rows per stratum; a NULL label is a stratum of its own. Strata become
+    plan literals, so their number is bounded, and no more than the bound is read."""
     lab = _label_expr(label_col)
-    rows = df.groupBy(lab.alias("_lab")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = df.groupBy(lab.alias("_lab")).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
     if len(rows) > max_classes:
-        raise ValueError(f"{len(rows)} strata exceed the bound of {max_classes}")
+        raise ValueError(f"more strata than the bound of {max_classes}")
     return {r["_lab"]: r["n"] for r in rows}
 
 
+def _sorted_labels(counts: dict) -> list:
+    return sorted(counts, key=lambda v: (v is None, 0 if v is None else v))
+
+
+def _is(label) -> Column:
+    return F.col("_lab").eqNullSafe(F.lit(label))
+
+
+def _tie_break(df: DataFrame) -> Column:
+    """Orders rows that share an id by what they hold, the same in every evaluation."""
+    return F.xxhash64(*[F.col(c) for c in df.columns])
+
+
 def assign_by_cuts(df: DataFrame, id_col: str, label_col: str | None, seed: int, salt: str,
                    cuts: dict, names: list[str], out_col: str = "part",
                    n_rows: int | None = None) -> DataFrame:
@@ -94,11 +109,12 @@ def assign_by_cuts(df: DataFrame, id_col: str, label_col: str | None, seed: int,
     cond = F.lit(False)
     for lv, cl in cuts.items():
         for c in cl:
-            cond = cond | ((F.col("_lab") == F.lit(lv)) & (F.col("_s") <= c) & (F.col("_s") + F.col("_n") > c))
-    hits = bstart.where(cond).select("_lab", "_b", "_s").collect()
-    cut_b = {}
+            cond = cond | (_is(lv) & (F.col("_s") <= c) & (F.col("_s") + F.col("_n") > c))
+    hits = bstart.where(cond).select("_lab", "_b", "_s", "_n").collect()
+    cut_b, ends = {}, {}
     for h in hits:
         cut_b.setdefault(h["_lab"], {})[h["_b"]] = h["_s"]
+        ends[h["_lab"], h["_b"]] = h["_s"] + h["_n"]
     # decided rows: bucket strictly between cut buckets
     part = F.lit(None).cast("int")
     straddle = F.lit(False)
@@ -108,25 +124,25 @@ def assign_by_cuts(df: DataFrame, id_col: str, label_col: str | None, seed: int,
         # (cuts whose bucket == b make b a straddling bucket)
         idx = F.lit(0)
         for c in cl:
-            cb = max((b for b, s in bs.items() if s <= c), default=None)
-            if cb is None:
+            cb = next((b for b, s in bs.items() if s <= c < ends[lv, b]), None)
+            if cb is None:  # a cut at the stratum's size or beyond: no row's rank reaches it
                 continue
             idx = idx + (F.col("_b") > F.lit(cb)).cast("int")
-        part = F.when(F.col("_lab") == F.lit(lv), idx).otherwise(part)
+        part = F.when(_is(lv), idx).otherwise(part)
         if bs:
-            straddle = straddle | ((F.col("_lab") == F.lit(lv)) & F.col("_b").isin(list(bs)))
+            straddle = straddle | (_is(lv) & F.col("_b").isin(list(bs)))
     decided = keyed.where(~straddle).withColumn(out_col, part)
     # straddling buckets: rank inside the bucket only
-    w = Window.partitionBy("_lab", "_b").orderBy("_k", id_col)
+    w = Window.partitionBy("_lab", "_b").orderBy("_k", id_col, _tie_break(df))
     starts = F.lit(None).cast("bigint")
     for lv, bs in cut_b.items():
         for b, s in bs.items():
-            starts = F.when((F.col("_lab") == F.lit(lv)) & (F.col("_b") == b), F.lit(s)).otherwise(starts)
+            starts = F.when(_is(lv) & (F.col("_b") == b), F.lit(s)).otherwise(starts)
     ranked = keyed.where(straddle).withColumn("_r", starts + F.row_number().over(w) - 1)
     ridx = F.lit(None).cast("int")
     for lv, cl in cuts.items():
         e = sum(((F.col("_r") >= F.lit(c)).cast("int") for c in cl), F.lit(0))
-        ridx = F.when(F.col("_lab") == F.lit(lv), e).otherwise(ridx)
+        ridx = F.when(_is(lv), e).otherwise(ridx)
     ranked = ranked.withColumn(out_col, ridx).drop("_r")
     both = decided.unionByName(ranked)
     mapping = F.element_at(F.array(*[F.lit(x) for x in names]), F.col(out_col) + 1)
@@ -142,7 +158,7 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str | None, test_siz
     ``val_size / (1 - test_size)`` of the remainder (the two-step shuffle
     split)."""
     cc = class_counts(df, label_col)
-    labels = sorted(cc)
+    labels = _sorted_labels(cc)
     counts = [cc[lv] for lv in labels]
     test = stratified_sizes(counts, test_size)
     if val_size is None:
@@ -170,7 +186,7 @@ def fold_ids(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int =
     """Stratified fold id per row: position (class offset + rank in class)
     modulo k, so per-class fold sizes follow the stratified k-fold rule."""
     cc = class_counts(df, label_col)
-    labels = sorted(cc)
+    labels = _sorted_labels(cc)
     offset, acc = {}, 0
     for lv in labels:
         offset[lv] = acc
@@ -181,10 +197,12 @@ def fold_ids(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int =
     bc = keyed.groupBy("_lab", "_b").agg(F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy("_lab").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bstart = bc.withColumn("_s", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
-    w = Window.partitionBy("_lab", "_b").orderBy("_k", id_col)
+    w = Window.partitionBy("_lab", "_b").orderBy("_k", id_col, _tie_break(df))
     off = F.lit(0).cast("bigint")
     for lv in labels:
-        off = F.when(F.col("_lab") == F.lit(lv), F.lit(offset[lv])).otherwise(off)
-    ranked = keyed.withColumn("_rb", F.row_number().over(w) - 1).join(bstart, ["_lab", "_b"])
+        off = F.when(_is(lv), F.lit(offset[lv])).otherwise(off)
+    ranked = keyed.withColumn("_rb", F.row_number().over(w) - 1).join(
+        bstart.select(F.col("_lab").alias("_l"), F.col("_b").alias("_p"), "_s"),
+        F.col("_lab").eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_p"))).drop("_l", "_p")
     return (ranked.withColumn(out_col, ((off + F.col("_s") + F.col("_rb")) % k).cast("int"))
             .drop("_k", "_lab", "_b", "_s", "_rb"))

@@ -24,17 +24,30 @@ NA_TOKENS = [
 
 
 # ---------------------------------------------------------------- A1
+# Quotes are doubled inside quoted text, on both sides; blanks are data.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
-             na_tokens: list[str] | None = None) -> DataFrame:
-    """Header CSV read as text, NA tokens -> NULL, then typed with
-    ``try_cast`` (unparseable -> NULL). No schema inference: the file is
-    scanned once, in parallel splits."""
+             na_tokens: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Header CSV read as text by column name, NA tokens -> NULL, then typed
+    with ``try_cast`` (unparseable -> NULL). Columns may come in any order;
+    those the file lacks are NULL, those the schema lacks are not read.
+    ``multi_line`` allows newlines inside quotes (then a file is one split).
+    The file's first line is read once for the names; no types are inferred."""
     tokens = NA_TOKENS if na_tokens is None else na_tokens
-    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = spark.read.option("header", True).schema(text).csv(path)
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line, enforceSchema=False)
+    names = reader.csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    raw = reader.schema(text).csv(path)
     cols = []
     for f in schema.fields:
-        c = F.when(F.col(f.name).isin(tokens), F.lit(None)).otherwise(F.col(f.name))
+        if f.name not in names:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        held = F.col(f"`{f.name}`")
+        c = F.when(held.isin(tokens), F.lit(None)).otherwise(held)
         cols.append((c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)).alias(f.name))
     return raw.select(*cols)
 
@@ -43,7 +56,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     w = df.write.mode(mode)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV_OPTIONS)
     w.format(fmt).save(path)
     return path
 

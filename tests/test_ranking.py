@@ -47,3 +47,23 @@ def test_fold_sizes(spark, monkeypatch):
     assert sizes.max() - sizes.min() <= 1
     per = out.groupby(["y", "fold"]).size().unstack()
     assert (per.max(axis=1) - per.min(axis=1) <= 1).all()
+
+
+def test_cut_at_stratum_size(spark):
+    df = spark.range(300).withColumn("y", (F.col("id") % 2).cast("int"))
+    got = {r.part: r["count"] for r in rk.stratified_split(df, "id", "y", 0.5, 0.5).groupBy("part").count().collect()}
+    assert got == {"test": 150, "val": 150}
+
+
+def test_small_strata_null_labels_and_repeated_ids(spark):
+    for sizes in ([1, 2, 3], [3, 1], [2, 2, 2]):
+        rows = [(i, None if lab == 1 else lab) for lab, n in enumerate(sizes) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, y int")
+        out = rk.stratified_split(df, "id", "y", 0.3, 0.3)
+        assert out.count() == len(rows) and out.where("part IS NULL").count() == 0
+        again = rk.stratified_split(df.repartition(3), "id", "y", 0.3, 0.3)
+        assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+        folds = rk.fold_ids(df, "id", "y", 2)
+        assert folds.count() == len(rows)
+    with pytest.raises(ValueError):
+        rk.class_counts(spark.range(30), "id", max_classes=20)
