@@ -3,20 +3,18 @@ k-NN vote classifier.
 
 Neighbour search (exact, Euclidean):
 
-* members are cut into slabs of about ``block_rows`` rows along their
-  highest-variance feature (edges from a bounded quantile sketch);
-* round 1 searches each query's own slab, giving d_k; round 2 routes the
-  query only to the other slabs overlapping [t - d_k, t + d_k] (exact, as a
-  coordinate difference never exceeds the distance), chunked so a tile holds
-  a bounded number of queries and members -- ``explode`` + ``groupBy``, no
-  join of the data with itself;
-* ``applyInPandas`` per tile computes the distance tile in query chunks of
-  bounded size with numpy and keeps only the k nearest members per query;
-* a window per query keeps the final k.
-
-Memory per task is bounded by one slab plus one chunk of queries; pruning
-makes the work near-linear when distances are dominated by the slab axis,
-and it degrades towards the exact brute-force cost otherwise.
+* members are cut into slabs along their highest-variance feature (edges from
+  a bounded quantile sketch, looked up by MLlib's ``Bucketizer``), and every
+  slab by a hash of the id into parts of about ``block_rows`` members -- a
+  value that a great many members share is cut like any other;
+* round 1 searches one part of each query's own slab, giving a bound d_k;
+  round 2 routes the query to the other parts of the slabs overlapping
+  [t - d_k, t + d_k] (exact, as a coordinate difference never exceeds the
+  distance);
+* the queries of a part are dealt to as many tiles as needed, so a tile holds
+  about ``block_rows`` queries and members in both rounds, whatever the data;
+* a tile finds candidates by a matrix product and settles them by exact
+  distances; a window per query keeps the final k.
 
 SMOTE draws are derived from ``md5(seed:i)``, so the synthetic rows do not
 depend on partitioning and a rerun gives the same rows.
@@ -28,14 +26,16 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import dbl
 
 DEFAULT_BLOCK_ROWS = 8192
-QUERY_CHUNK = 2048
 CHUNK_ELEMS = 4_000_000
+# Slabs at most: their edges are gathered, and tables of one row a slab are broadcast.
+MAX_SLABS = 4096
 
 
 # ---------------------------------------------------------------- D15
@@ -52,69 +52,68 @@ def smote_quota(counts: dict, ratio: float) -> tuple:
     return maj, mino, n_new
 
 
+def _two_classes(df: DataFrame, target: str) -> dict:
+    """Rows per class; reads no more than three classes (two are expected)."""
+    return {r[0]: r[1] for r in df.groupBy(target).count().limit(3).collect()}
+
+
 def balance_summary(df: DataFrame, target: str, ratio: float) -> DataFrame:
     """(label, rows_before, rows_after) of oversampling ``df``."""
-    counts = {r[0]: r[1] for r in df.groupBy(target).count().collect()}
+    counts = _two_classes(df, target)
     maj, mino, n_new = smote_quota(counts, ratio)
     rows = [(int(k), int(v), int(v + (n_new if k == mino else 0))) for k, v in counts.items()]
     return df.sparkSession.createDataFrame(rows, "label bigint, rows_before bigint, rows_after bigint")
 
 
 # ---------------------------------------------------------------- k-NN
-def _num_blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
-
-
-def _tile_schema(k_id_type: str) -> str:
-    return f"qid {k_id_type}, mid {k_id_type}, dist double"
-
-
 def _tile_topk_fn(kk: int, exclude_self: bool):
     def tile_topk(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs = pdf[pdf["side"] == 0]
-        ms = pdf[pdf["side"] == 1]
+        qs, ms = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if qs.empty or ms.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                                 "mid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
+            return pd.DataFrame({"qid": [], "mid": [], "dist": []}).astype({"qid": "int64", "mid": "int64"})
         mv = np.stack(ms["_v"].to_numpy()).astype(np.float64)
-        mid = ms["_id"].to_numpy()
         qv_all = np.stack(qs["_v"].to_numpy()).astype(np.float64)
-        qid_all = qs["_id"].to_numpy()
-        out_q, out_m, out_d = [], [], []
-        # query chunk so that one chunk of differences stays near 32 MB
-        step = max(1, min(QUERY_CHUNK, CHUNK_ELEMS // max(1, mv.shape[0] * mv.shape[1])))
+        mid, qid_all = ms["_id"].to_numpy(), qs["_id"].to_numpy()
+        centre = mv.mean(axis=0)  # less cancellation in the product form
+        mc = mv - centre
+        m2 = (mc ** 2).sum(axis=1)
+        step = max(1, CHUNK_ELEMS // len(mv))
+        found = []
         for s in range(0, len(qs), step):
-            qv = qv_all[s:s + step]
-            qid = qid_all[s:s + step]
-            # exact squared distances in difference form (no cancellation,
-            # independent of chunk shape)
-            d2 = ((qv[:, None, :] - mv[None, :, :]) ** 2).sum(axis=2)
+            qv, qid = qv_all[s:s + step], qid_all[s:s + step]
+            qc = qv - centre
+            q2 = (qc ** 2).sum(axis=1)
+            near = q2[:, None] + m2[None, :] - 2.0 * (qc @ mc.T)
             if exclude_self:
-                d2 = np.where(qid[:, None] == mid[None, :], np.inf, d2)
-            kk_ = min(kk, d2.shape[1])
-            # k smallest by (distance, member id): partial selection, then an
-            # exact tie-aware order of the few candidates at or below the
-            # k-th distance
-            kth = np.partition(d2, kk_ - 1, axis=1)[:, kk_ - 1]
-            for r in range(d2.shape[0]):
-                cand = np.flatnonzero(d2[r] <= kth[r])
-                sel = cand[np.lexsort((mid[cand], d2[r, cand]))[:kk_]]
-                ds = d2[r, sel]
-                keep = np.isfinite(ds)
-                out_q.append(np.full(int(keep.sum()), qid[r]))
-                out_m.append(mid[sel][keep])
-                out_d.append(np.sqrt(ds[keep]))
-        return pd.DataFrame({"qid": np.concatenate(out_q), "mid": np.concatenate(out_m),
-                             "dist": np.concatenate(out_d)})
+                near[qid[:, None] == mid[None, :]] = np.inf
+            kth = np.partition(near, min(kk, near.shape[1]) - 1, axis=1)[:, min(kk, near.shape[1]) - 1]
+            # the product form is off by some 1e-16 of the squared norms: take
+            # all that may be among the k, then settle by exact differences
+            slack = 1e-9 * (q2 + m2.max()) + 1e-300
+            with np.errstate(invalid="ignore"):
+                r, c = np.nonzero((near <= (kth + slack)[:, None]) & np.isfinite(near))
+            d2 = ((qv[r] - mv[c]) ** 2).sum(axis=1)
+            order = np.lexsort((mid[c], d2, r))
+            r, c, d2 = r[order], c[order], d2[order]
+            first = np.searchsorted(r, np.arange(len(qv)))
+            keep = np.arange(len(r)) - first[r] < kk
+            found.append((qid[r[keep]], mid[c[keep]], np.sqrt(d2[keep])))
+        q, m, d = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"qid": q, "mid": m, "dist": d})
     return tile_topk
 
 
-def _tiles(qrep: DataFrame, mrep: DataFrame, keys: list[str], kk: int, exclude_self: bool,
-           id_type: str) -> DataFrame:
-    """Per tile (rows sharing ``keys``): k nearest members of each query."""
-    tiles = qrep.withColumn("side", F.lit(0)).unionByName(mrep.withColumn("side", F.lit(1)))
-    return tiles.groupBy(*keys).applyInPandas(_tile_topk_fn(kk, exclude_self), _tile_schema(id_type))
+def _tiles(queries: DataFrame, members: DataFrame, kk: int, exclude_self: bool, id_type: str,
+           block_rows: int) -> DataFrame:
+    """Nearest members of each query within its (slab, part); both sides have
+    _id, _v, _s, _p. Members are copied to as many tiles as their queries fill."""
+    tiles_of = queries.groupBy("_s", "_p").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_tiles"))
+    q = queries.join(tiles_of, ["_s", "_p"]).withColumn("_c", F.pmod(F.xxhash64("_id"), F.col("_tiles")).cast("int"))
+    m = members.join(tiles_of, ["_s", "_p"]).withColumn("_c", F.explode(F.expr("sequence(0, _tiles - 1)")))
+    cols = ["_s", "_p", "_c", "_id", "_v"]
+    both = q.select(*cols, F.lit(0).alias("side")).unionByName(m.select(*cols, F.lit(1).alias("side")))
+    return both.groupBy("_s", "_p", "_c").applyInPandas(
+        _tile_topk_fn(kk, exclude_self), f"qid {id_type}, mid {id_type}, dist double")
 
 
 def _topk(cand: DataFrame, kk: int) -> DataFrame:
@@ -125,67 +124,55 @@ def _topk(cand: DataFrame, kk: int) -> DataFrame:
             .withColumn("rank", F.col("rank").cast("int")))
 
 
+def _with_slab(df: DataFrame, cuts: list[float], **columns) -> DataFrame:
+    """Integer slab number of each given column expression."""
+    df = df.withColumns({f"{k}_x": v for k, v in columns.items()})
+    if not cuts:
+        return df.withColumns({k: F.lit(0) for k in columns}).drop(*[f"{k}_x" for k in columns])
+    found = Bucketizer(splitsArray=[[-float("inf"), *cuts, float("inf")]] * len(columns),
+                       inputCols=[f"{k}_x" for k in columns], outputCols=[f"{k}_d" for k in columns]).transform(df)
+    return (found.withColumns({k: F.col(f"{k}_d").cast("int") for k in columns})
+            .drop(*[f"{k}_{e}" for k in columns for e in "xd"]))
+
+
 def knn(queries: DataFrame, members: DataFrame, id_col: str, feature_cols: list[str], k: int,
-        exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
-        n_queries: int | None = None, n_members: int | None = None) -> DataFrame:
+        exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Exact k nearest ``members`` of every query row: (qid, mid, dist, rank).
 
-    Members are cut into S slabs of about ``block_rows`` rows along their
-    highest-variance feature (slab edges from a bounded quantile sketch).
-    Round 1 searches each query's own slab and yields d_k, its k-th distance
-    there. Since |x_j - y_j| <= ||x - y||, every member at distance <= d_k
-    lies in a slab overlapping [t - d_k, t + d_k]; round 2 routes the query
-    to exactly those other slabs (in member-bounded chunks) and the final
-    window keeps the k nearest. ``exclude_self`` drops a member with the
-    query's id. Ties on distance are broken by member id."""
-    nm = n_members if n_members is not None else members.count()
-    S = _num_blocks(nm, block_rows)
-    kk = int(k)
+    ``exclude_self`` drops a member with the query's id. Ties on distance are
+    broken by member id. A query gets fewer than k rows only if there are
+    fewer members."""
+    nm, kk = members.count(), int(k)
     id_type = dict(queries.dtypes)[id_col]
     vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    if S == 1:
-        q = queries.select(F.col(id_col).alias("_id"), vec.alias("_v"), F.lit(0).alias("tile"))
-        m = members.select(F.col(id_col).alias("_id"), vec.alias("_v"), F.lit(0).alias("tile"))
-        return _topk(_tiles(q, m, ["tile"], kk, exclude_self, id_type), kk)
-    var = members.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}")
-                        for i, c in enumerate(feature_cols)]).first()
-    axis = feature_cols[max(range(len(feature_cols)), key=lambda i: var[f"v{i}"] or 0.0)]
+    cuts: list[float] = []
+    axis = feature_cols[0]
+    if nm > block_rows:
+        var = members.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}")
+                            for i, c in enumerate(feature_cols)]).first()
+        axis = feature_cols[max(range(len(feature_cols)), key=lambda i: var[f"v{i}"] or 0.0)]
+        slabs = min(MAX_SLABS, math.ceil(nm / block_rows))
+        at = members.agg(F.percentile_approx(F.col(axis).cast("double"), [i / slabs for i in range(1, slabs)],
+                                             4 * MAX_SLABS)).first()[0]
+        cuts = sorted({float(c) for c in at})
     t = F.col(axis).cast("double")
-    cuts = members.agg(F.percentile_approx(t, [i / S for i in range(1, S)], 10000)).first()[0]
-    cuts = sorted(set(float(c) for c in cuts))
-    carr = F.array(*[dbl(c) for c in cuts])
-
-    def slab(x):
-        return F.size(F.filter(carr, lambda c: c <= x))
-
-    q = queries.select(F.col(id_col).alias("_id"), vec.alias("_v"), t.alias("_t")) \
-        .withColumn("_s", slab(F.col("_t")))
-    m = members.select(F.col(id_col).alias("_id"), vec.alias("_v"), t.alias("_t")) \
-        .withColumn("_s", slab(F.col("_t")))
-    # round 1: own slab (a slab holds about block_rows members)
-    r1 = _tiles(q.select("_id", "_v", F.col("_s").alias("tile")),
-                m.select("_id", "_v", F.col("_s").alias("tile")), ["tile"], kk, exclude_self, id_type)
-    r1 = r1.checkpoint()
+    q = _with_slab(queries.select(F.col(id_col).alias("_id"), vec.alias("_v"), t.alias("_t")), cuts, _s=F.col("_t"))
+    m = _with_slab(members.select(F.col(id_col).alias("_id"), vec.alias("_v"), t.alias("_t")), cuts, _s=F.col("_t"))
+    # one row a slab: MAX_SLABS rows at most
+    parts = F.broadcast(m.groupBy("_s").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_parts")))
+    m = m.join(parts, "_s").withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).drop("_parts")
+    own = q.join(parts, "_s", "left").withColumn(
+        "_p", F.pmod(F.xxhash64("_id", F.lit(1)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    r1 = _tiles(own, m, kk, exclude_self, id_type, block_rows).checkpoint()
     dk = r1.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d"))
-    bound = F.when(F.col("_n") >= kk, F.col("_d") * dbl(1 + 1e-9) + dbl(1e-12))
-    qb = q.join(dk.withColumnRenamed("qid", "_id"), "_id", "left")
-    lo = F.when(bound.isNull(), F.lit(0)).otherwise(slab(F.col("_t") - bound))
-    hi = F.when(bound.isNull(), F.lit(len(cuts))).otherwise(slab(F.col("_t") + bound))
-    routed = (qb.select("_id", "_v", "_s", F.explode(F.sequence(lo, hi)).alias("tile"))
-              .where(F.col("tile") != F.col("_s")).drop("_s")).checkpoint()
-    # chunk each slab's routed queries so a tile holds <= block_rows queries
-    per = {r["tile"]: r["n"] for r in routed.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not per:
-        return _topk(r1, kk)
-    chunks = {tl: max(1, math.ceil(n / block_rows)) for tl, n in per.items()}
-    cmap = F.create_map(*[e for tl, c in chunks.items() for e in (F.lit(int(tl)), F.lit(int(c)))])
-    rq = routed.withColumn("_c", F.pmod(F.xxhash64("_id"), F.element_at(cmap, F.col("tile"))))
-    rm = (m.where(F.col("_s").isin(list(chunks)))
-          .select("_id", "_v", F.col("_s").alias("tile"),
-                  F.explode(F.sequence(F.lit(0), F.element_at(cmap, F.col("_s")) - 1)).alias("_c")))
-    r2 = _tiles(rq.select("_id", "_v", "tile", F.col("_c").cast("bigint").alias("_c")),
-                rm.select("_id", "_v", "tile", F.col("_c").cast("bigint").alias("_c")),
-                ["tile", "_c"], kk, exclude_self, id_type)
+    reach = F.when(F.col("_n") >= kk, F.col("_d") * dbl(1 + 1e-9) + dbl(1e-12)).otherwise(F.lit(float("inf")))
+    bound = own.join(dk.withColumnRenamed("qid", "_id"), "_id", "left").withColumn("_r", reach)
+    bound = _with_slab(bound, cuts, _lo=F.col("_t") - F.col("_r"), _hi=F.col("_t") + F.col("_r"))
+    routed = (bound.select("_id", "_v", F.col("_s").alias("_os"), F.col("_p").alias("_op"),
+                           F.explode(F.sequence("_lo", "_hi")).alias("_s"))
+              .join(parts, "_s").withColumn("_p", F.explode(F.expr("sequence(0, _parts - 1)")))
+              .where((F.col("_s") != F.col("_os")) | (F.col("_p") != F.col("_op"))))
+    r2 = _tiles(routed.select("_id", "_v", "_s", "_p"), m, kk, exclude_self, id_type, block_rows)
     return _topk(r1.unionByName(r2), kk)
 
 
@@ -205,7 +192,7 @@ def smote(df: DataFrame, id_col: str, target: str, feature_cols: list[str],
     order of a hash rank), neighbour = its floor(u2 * k)-th nearest
     minority neighbour, x = base + u3 * (neighbour - base). Integer columns
     are truncated back to integers. Synthetic ids are negative."""
-    counts = {r[0]: r[1] for r in df.groupBy(target).count().collect()}
+    counts = _two_classes(df, target)
     maj, mino, n_new = smote_quota(counts, ratio)
     base_cols = [id_col, target] + list(feature_cols)
     out = df.select(*base_cols)
@@ -213,25 +200,25 @@ def smote(df: DataFrame, id_col: str, target: str, feature_cols: list[str],
         return out
     minority = df.where(F.col(target) == F.lit(mino)).select(id_col, *feature_cols)
     n_min = counts[mino]
+    if n_min <= k:
+        raise ValueError(f"{n_min} minority rows: more than {k} are needed for {k} neighbours")
     # dense index of minority rows by hash rank: a uniform bucket shuffle
     keyed = minority.withColumn("_k", F.md5(F.concat_ws(":", F.col(id_col).cast("string"),
                                                         F.lit(str(seed)), F.lit("smote"))))
-    from pyspark.sql import Window
     d = 1 if n_min <= 1_000_000 else min(8, math.ceil(math.log(n_min / 1_000_000, 16)))
     keyed = keyed.withColumn("_b", F.substring("_k", 1, d))
     bc = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     bstart = bc.withColumn("_s", F.coalesce(F.sum("_n").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     idx = (keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col)) - 1)
-           .join(bstart, "_b").select(id_col, *feature_cols, (F.col("_s") + F.col("_r")).alias("_idx")))
+           .join(bstart, "_b").select(id_col, *feature_cols, (F.col("_s") + F.col("_r")).alias("_idx")).checkpoint())
     nbrs = knn(minority, minority, id_col, feature_cols, k, exclude_self=True,
-               block_rows=block_rows, n_queries=n_min, n_members=n_min)
-    kk = min(k, n_min - 1)
+               block_rows=block_rows)
     spark = df.sparkSession
     draws = spark.range(n_new).select(
         F.col("id").alias("_i"),
         F.least((_unit(seed, F.col("id"), "base") * n_min).cast("bigint"), F.lit(n_min - 1)).alias("_idx"),
-        (F.least((_unit(seed, F.col("id"), "nbr") * kk).cast("int"), F.lit(kk - 1)) + 1).alias("rank"),
+        (F.least((_unit(seed, F.col("id"), "nbr") * k).cast("int"), F.lit(k - 1)) + 1).alias("rank"),
         _unit(seed, F.col("id"), "gap").alias("_u"))
     base = draws.join(idx, "_idx")
     nb = base.join(nbrs.select(F.col("qid").alias(id_col), "rank", F.col("mid").alias("_nid")),

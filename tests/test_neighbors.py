@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lendscope.operators import neighbors as nb
@@ -87,3 +88,37 @@ def test_knn_slabs_with_ties_and_separate_sets(spark):
         want = list(mem.pid.to_numpy()[np.lexsort((mem.pid.to_numpy(), d2))[:4]])
         g = got[got.qid == q.pid].sort_values("rank")
         assert list(g.mid) == want
+
+
+def test_knn_with_a_value_shared_by_most_members(spark):
+    rng = np.random.default_rng(5)
+    X = np.round(rng.normal(0, 1, (500, 3)), 3)
+    X[:, 0] = np.where(rng.random(500) < 0.8, 100.0, rng.normal(0, 300, 500).round(2))
+    pdf = pd.DataFrame(X, columns=["f0", "f1", "f2"])
+    pdf.insert(0, "pid", np.arange(500, dtype=np.int64))
+    df = spark.createDataFrame(pdf)
+    got = nb.knn(df, df, "pid", ["f0", "f1", "f2"], 4, exclude_self=True, block_rows=32).toPandas()
+    ref = _brute(pdf, ["f0", "f1", "f2"], 4)
+    assert {q: list(g.sort_values("rank").mid) for q, g in got.groupby("qid")} == ref
+
+
+def test_smote_rows_lie_between_minority_neighbours(spark):
+    df, pdf = _points(spark, 200, d=2, rate=0.2)
+    counts = pdf.y.value_counts().to_dict()
+    mino = min(counts, key=counts.get)
+    M = pdf[pdf.y == mino][["f0", "f1"]].to_numpy()
+    out = nb.smote(df, "pid", "y", ["f0", "f1"], ratio=0.5, k=3, block_rows=16).toPandas()
+    syn = out[out.pid < 0][["f0", "f1"]].to_numpy()
+    assert len(syn) == int(0.5 * max(counts.values())) - counts[mino]
+    for x in syn:
+        a, b = M[:, None, :], M[None, :, :]
+        cross = np.abs((b - a)[..., 0] * (x - a)[..., 1] - (b - a)[..., 1] * (x - a)[..., 0])
+        dot = ((x - a) * (b - a)).sum(-1)
+        assert ((cross < 1e-9) & (dot > -1e-9) & (dot < ((b - a) ** 2).sum(-1) + 1e-9)).any()
+
+
+@pytest.mark.parametrize("minority", [0, 1, 5])
+def test_smote_needs_more_rows_than_neighbours(spark, minority):
+    df = spark.range(60).select(F.col("id").alias("pid"), (F.col("id") < minority).cast("int").alias("y"), F.col("id").cast("double").alias("f"))
+    with pytest.raises(ValueError):
+        nb.smote(df, "pid", "y", ["f"], 0.4, 5)
