@@ -24,14 +24,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return tied.where(F.col("u") != F.col("v")).distinct()
 
 
+def nearer(links: DataFrame) -> DataFrame:
+    """One pass over links (u, v): other links with the same components, whose
+    ends are nearer to the smallest nodes. Written to the shared folder."""
+    ordered = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
+    return stage(_star(_star(ordered, True), False), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (u long, v long) -> node, root (the smallest node of its
     component), a row for each node with a link other than to itself."""
-    now = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                .where(F.col("u") != F.col("v")).distinct(), "links")
-    state = None
+    now, state = links, None
     while True:
-        after = stage(_star(_star(now, True), False), "links")
+        after = nearer(now)
         found = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == state:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

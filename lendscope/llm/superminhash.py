@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm.common import byte_slices, inner_id, outer_id, stage
-from lendscope.llm.components import components
+from lendscope.llm.components import components, nearer
 from lendscope.llm.shingles import Shingler, distinct, mix
 
 #: 32 bands of 5 places: documents with a likeness of 0.8 share a band with probability 1 - 3e-6.
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 #: Pivots of a bucket grow by this factor from round to round, up to what Spark still picks before it shuffles.
-PIVOTS_GROW, MOST_PIVOTS = 4, 1000
+PIVOTS_GROW, MOST_PIVOTS = 8, 1000
 SLICE_CHARS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,8 +115,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """node, root of all sets that are linked to another; None if none are.
+def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, root of all sets that are linked to another.
 
     In every bucket (documents that agree in a band) pivots are compared with
     the members of other components, and leave the bucket; they come from the
@@ -133,10 +133,12 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
     wanted = members.select("node").distinct().join(sets_of.select("node", "doc_id"), "node")
     text = docs.select(inner_id().alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
     sets = stage(text.mapInPandas(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-    tried, roots, pivots = None, None, 1
+    tried, links, pivots = None, None, 1
     while True:
         now = members.withColumn("root", F.col("node"))
-        if roots is not None:
+        if links is not None:
+            # Labels on the way to the components: equal ones mean one component, and that is all this needs.
+            roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
             now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         live = parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
@@ -150,13 +152,11 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stage(pairs, "pairs")
-        links = stage(_verified(pairs, sets, percent), "verified")
-        if links.take(1):
-            old = roots.select(F.col("node").alias("u"), F.col("root").alias("v")) if roots is not None else None
-            roots = components(links if old is None else links.unionByName(old))
+        found = _verified(pairs, sets, percent)
+        links = nearer(found if links is None else found.unionByName(links))
         members = now.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
         if not members.take(1):
-            return roots
+            return components(links)
         tried = pairs if tried is None else tried.unionByName(pairs)
         pivots = min(PIVOTS_GROW * pivots, MOST_PIVOTS)
 
@@ -181,10 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     described = stage(rows.mapInPandas(_describe(k), "doc_id long, n_shingles long, node long, bands array<long>"), "described")
     roots = linked_sets(described, docs, k, percent)
     base = described.select("doc_id", "n_shingles", "node")
-    if roots is None:
-        found = base.withColumn("root", F.col("node"))
-    else:
-        found = base.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = base.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = stage(found, "found")
     least = found.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     grouped = found.join(stage(least, "least"), "root", "left").withColumn(
