@@ -6,7 +6,8 @@
 * ``evaluate_models`` is the guarded fit/evaluate loop -- a failure becomes a
   zero row with the error text, never an aborted comparison;
 * ``random_search`` draws seeded parameter sets per family and scores each
-  with ``CrossValidator`` over precomputed stratified fold ids.
+  over precomputed stratified fold ids, oversampling inside each fold's
+  training part.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +39,8 @@ WEIGHT = "_w"
 FEATURES = "_features"
 SCORE = "_score"
 PRED = "_pred"
+# Labels become plan literals; a label column with more values is not a class label.
+MAX_CLASSES = 100
 
 
 def class_weight_table(df: DataFrame, target: str, fixed_positive: float = 6.0) -> DataFrame:
@@ -59,7 +61,9 @@ def with_weights(df: DataFrame, target: str, kind: str | None) -> DataFrame:
         return out.withColumn(WEIGHT, F.lit(1.0))
     if kind == "fixed":
         return out.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.lit(6.0)).otherwise(F.lit(1.0)))
-    counts = {r[0]: r[1] for r in out.groupBy(LABEL).count().collect()}
+    counts = {r[0]: r[1] for r in out.groupBy(LABEL).count().limit(MAX_CLASSES + 1).collect()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     n = sum(counts.values())
     w = {k: n / (len(counts) * v) for k, v in counts.items()}
     expr = F.lit(1.0)
@@ -111,8 +115,9 @@ class _Wrapped:
 
 def _svc(reg):
     def build(n):
-        return LinearSVC(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=200,
-                         regParam=reg(n), standardization=False, rawPredictionCol="_raw",
+        # Standardized inputs: on raw ones (1e0 to 1e7) the solver creeps.
+        return LinearSVC(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=2000, tol=1e-4,
+                         regParam=reg(n), standardization=True, rawPredictionCol="_raw",
                          predictionCol=PRED)
     return build
 
@@ -122,7 +127,7 @@ def _tree(n):
                                   seed=42)
 
 
-def _forest(trees, strategy, depth=12):
+def _forest(trees, strategy, depth=30):  # MLlib grows no deeper
     def build(n):
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
                                       numTrees=trees, featureSubsetStrategy=strategy, maxDepth=depth,
@@ -161,13 +166,15 @@ def _mlp(n_features):
 class AdaBoost:
     """SAMME with depth-1 trees: each round fits a weighted stump, computes
     its weighted error with one aggregate and reweights rows with a column
-    expression. Lineage is cut with ``checkpoint()`` every 10 rounds."""
+    expression. Each round's rows are cached until the next round has its own,
+    so no round replays the ones before; lineage is cut with ``checkpoint()``
+    every 10 rounds."""
 
     def __init__(self, n, rounds=100, learning_rate=1.0):
         self.rounds, self.lr = rounds, learning_rate
 
     def fit(self, df):
-        cur = df.withColumn("_aw", F.lit(1.0) / F.lit(float(df.count()))).select(FEATURES, LABEL, "_aw")
+        cur = df.withColumn("_aw", F.lit(1.0) / F.lit(float(df.count()))).select(FEATURES, LABEL, "_aw").persist()
         stumps = []
         for r in range(self.rounds):
             stump = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="_aw",
@@ -186,11 +193,16 @@ class AdaBoost:
                 break
             alpha = self.lr * math.log((1 - err) / err)
             stumps.append((stump, alpha))
+            before = cur
             cur = scored.withColumn("_aw", F.col("_aw") * F.when(
                 F.col("_sp") != F.col(LABEL), F.lit(math.exp(alpha))).otherwise(F.lit(1.0))) \
                 .select(FEATURES, LABEL, "_aw")
             if (r + 1) % 10 == 0:
                 cur = cur.checkpoint()
+            cur = cur.persist()
+            cur.count()
+            before.unpersist()
+        cur.unpersist()
         return _AdaModel(stumps)
 
 
@@ -212,33 +224,56 @@ class _AdaModel:
         return out.drop(*[f"_s{i}" for i in range(len(self.stumps))])
 
 
+def _class_moments(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, dict]:
+    """(means, deviations, {label: (n, sums, products)}): sums and products of
+    the rows centred and scaled by the means and deviations of all rows, so
+    nothing cancels. A task adds up its rows by matrix products; the partial
+    sums of all tasks meet in one grouped sum."""
+    p = len(cols)
+    x = [F.col(c).cast("double") for c in cols]
+    row = df.agg(*[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first()
+    mean, sd = np.array(row[:p], float), np.array(row[p:], float)
+    sd[~(sd > 0)] = 1.0
+
+    def partial(batches):
+        held = {}
+        for pdf in batches:
+            z = (pdf[cols].to_numpy(float) - mean) / sd
+            y = pdf["_y"].to_numpy()
+            for k in np.unique(y):
+                part = z[y == k]
+                found = held.setdefault(k, np.zeros(1 + p + p * p))
+                found += np.concatenate(([len(part)], part.sum(axis=0), (part.T @ part).ravel()))
+        for k, v in held.items():
+            yield pd.DataFrame({"y": k, "i": np.arange(len(v)), "v": v})
+
+    sums = (df.select(F.col(LABEL).alias("_y"), *[c.alias(n) for c, n in zip(x, cols)])
+            .mapInPandas(partial, "y double, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")))
+    out: dict = {}
+    for y, i, v in sums.collect():  # classes x (p * p + p + 1) rows
+        out.setdefault(y, np.zeros(1 + p + p * p))[i] = v
+    return mean, sd, {k: (v[0], v[1:p + 1], v[p + 1:].reshape(p, p)) for k, v in out.items()}
+
+
 class Discriminant:
     """Linear (pooled covariance) or quadratic (per-class covariance)
-    discriminant analysis. Class counts, means and cross-product sums come
-    from one grouped aggregate over the data (p(p+1)/2 sums per class);
-    the p x p solve happens on the driver; scoring is a vectorized pandas
-    UDF over the assembled features."""
+    discriminant analysis on per-class moments; the p x p solve happens on
+    the driver. Linear scoring is a column expression; the quadratic form is a
+    vectorized pandas UDF over the features."""
 
     def __init__(self, n, feature_cols, quadratic=False, tol=1e-4):
         self.cols, self.quadratic, self.tol = list(feature_cols), quadratic, tol
 
     def fit(self, df):
-        p = len(self.cols)
-        x = [F.col(c).cast("double") for c in self.cols]
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(xi).alias(f"s{i}") for i, xi in enumerate(x)]
-        aggs += [F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-        rows = {r[LABEL]: r for r in df.groupBy(LABEL).agg(*aggs).collect()}
+        mean, scale, moments = _class_moments(df, self.cols)
+        if len(moments) != 2:
+            raise ValueError(f"two classes expected, got {sorted(moments)}")
+        D = np.diag(scale)
         stats = {}
-        n_all = sum(r["n"] for r in rows.values())
-        for k, r in rows.items():
-            n = r["n"]
-            mu = np.array([r[f"s{i}"] for i in range(p)]) / n
-            S = np.zeros((p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    S[i, j] = S[j, i] = r[f"c{i}_{j}"]
-            scatter = S - n * np.outer(mu, mu)
-            stats[k] = (n, mu, scatter)
+        n_all = sum(n for n, _, _ in moments.values())
+        for k, (n, total, products) in moments.items():
+            mu_z = total / n
+            stats[k] = (n, mean + scale * mu_z, D @ (products - n * np.outer(mu_z, mu_z)) @ D)
         classes = sorted(stats)
         # solve in standardized coordinates (pooled standard deviations): the
         # features span many orders of magnitude, and a relative cut-off on
@@ -262,14 +297,27 @@ class Discriminant:
             for k in classes:
                 n, mu, _ = stats[k]
                 params.append((mu, inv, 0.0, math.log(n / n_all)))
-        return _DiscModel(params, self.cols)
+        return _DiscModel(params, self.cols, self.quadratic)
 
 
 class _DiscModel:
-    def __init__(self, params, cols):
-        self.params, self.cols = params, cols
+    def __init__(self, params, cols, quadratic=True):
+        self.params, self.cols, self.quadratic = params, cols, quadratic
 
     def transform(self, df):
+        out = df.withColumn(SCORE, self._quadratic() if self.quadratic else self._linear())
+        return out.withColumn(PRED, (F.col(SCORE) >= 0.5).cast("double"))
+
+    def _linear(self):
+        # equal covariances: the log odds are linear in the features
+        (m0, inv, _, p0), (m1, _, _, p1) = self.params
+        slope = inv @ (m1 - m0)
+        odds = F.lit(float(p1 - p0))
+        for c, w, mid in zip(self.cols, slope, (m0 + m1) / 2):
+            odds = odds + F.lit(float(w)) * (F.col(c).cast("double") - F.lit(float(mid)))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+
+    def _quadratic(self):
         params = self.params
 
         @F.pandas_udf(T.DoubleType())
@@ -278,15 +326,13 @@ class _DiscModel:
             ll = []
             for mu, inv, logdet, prior in params:
                 d = X - mu
-                ll.append(-0.5 * np.einsum("ij,jk,ik->i", d, inv, d) - 0.5 * logdet + prior)
+                ll.append(-0.5 * ((d @ inv) * d).sum(axis=1) - 0.5 * logdet + prior)
             ll = np.stack(ll, axis=1)
             ll -= ll.max(axis=1, keepdims=True)
             e = np.exp(ll)
             return pd.Series(e[:, -1] / e.sum(axis=1))
 
-        arr = F.array(*[F.col(c).cast("double") for c in self.cols])
-        out = df.withColumn(SCORE, pos_prob(arr))
-        return out.withColumn(PRED, (F.col(SCORE) >= 0.5).cast("double"))
+        return pos_prob(F.array(*[F.col(c).cast("double") for c in self.cols]))
 
 
 class KnnVote:
@@ -305,7 +351,8 @@ class _KnnModel:
         from .neighbors import knn_vote
         votes = knn_vote(self.train.withColumnRenamed(LABEL, "_y"), df, self.id_col, "_y",
                          self.cols, self.k).withColumnRenamed("probability", SCORE)
-        out = df.join(votes, self.id_col)
+        # a row without neighbours (no training rows) gets probability 0
+        out = df.join(votes, self.id_col, "left").withColumn(SCORE, F.coalesce(SCORE, F.lit(0.0)))
         return out.withColumn(PRED, (F.col(SCORE) >= 0.5).cast("double"))
 
 
@@ -373,7 +420,7 @@ def evaluate_one(spec: Spec, train: DataFrame, test: DataFrame, target: str,
                 "fit_seconds": secs, "status": "OK"}
     except Exception as e:  # noqa: BLE001 - the comparison must survive one model
         return {"model": spec.name, "f1": 0.0, "roc_auc": 0.0, "accuracy": 0.0, "precision": 0.0,
-                "recall": 0.0, "fit_seconds": 0.0, "status": f"FAILED: {str(e)[:200]}"}
+                "recall": 0.0, "fit_seconds": 0.0, "status": f"FAILED: {e}"}
 
 
 LEADERBOARD_SCHEMA = ("model string, f1 double, roc_auc double, accuracy double, precision double, "
@@ -396,6 +443,12 @@ def leaderboard(results: DataFrame, top: int | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
+def best_of(report: DataFrame) -> DataFrame:
+    """Marks the row with the highest F1 (ties: first family). One row a
+    family, so the window without partitions holds a handful of rows."""
+    return report.withColumn("is_best", F.row_number().over(Window.orderBy(F.desc("f1"), "family")) == 1)
+
+
 # ---------------------------------------------------------------- E19-E22
 # Search ranges of the tuned families (trees, depth); callers may pass a
 # smaller budget.
@@ -435,27 +488,62 @@ def _family_estimator(family: str, params: dict):
 FAMILY_WEIGHTS = {"boosted": "balanced", "boosted_weighted": "fixed", "mlp": None}
 
 
+def fold_sets(folded: DataFrame, target: str, feature_cols: list[str], family: str, k: int = 5,
+              fold_col: str = "fold", balance: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple]:
+    """(training, held-out) pairs of the precomputed folds, assembled and
+    cached once for all trials of a family. ``balance`` (oversampling) sees the
+    training part only."""
+    sets = []
+    for i in range(k):
+        train = folded.where(F.col(fold_col) != i).drop(fold_col)
+        held = folded.where(F.col(fold_col) == i).drop(fold_col)
+        train = balance(train) if balance else train
+        keep = [FEATURES, LABEL, WEIGHT]
+        sets.append((_prepare(train, target, feature_cols, FAMILY_WEIGHTS[family]).select(*keep).persist(),
+                     _prepare(held, target, feature_cols, None).select(*keep).persist()))
+    return sets
+
+
+def _release(sets: list[tuple]) -> None:
+    for pair in sets:
+        for df in pair:
+            df.unpersist()
+
+
+def _fold_f1(family: str, params: dict, pair: tuple) -> float:
+    model = _family_estimator(family, params).fit(pair[0])
+    return MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel",
+                                             metricLabel=1.0).evaluate(model.transform(pair[1]))
+
+
 def cv_f1(family: str, params: dict, folded: DataFrame, target: str, feature_cols: list[str],
-          fold_col: str = "fold", parallelism: int = 5, k: int = 5) -> float:
-    """Mean F1 (class 1) over precomputed stratified folds."""
-    data = _prepare(folded, target, feature_cols, FAMILY_WEIGHTS[family])
-    est = _family_estimator(family, params)
-    ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel",
-                                           metricLabel=1.0)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=42)
-    return float(cv.fit(data).avgMetrics[0])
+          fold_col: str = "fold", parallelism: int = 5, k: int = 5,
+          balance: Callable[[DataFrame], DataFrame] | None = None) -> float:
+    """Mean F1 (class 1) over precomputed stratified folds: k fits, run side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+    sets = fold_sets(folded, target, feature_cols, family, k, fold_col, balance)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        found = list(pool.map(lambda pair: _fold_f1(family, params, pair), sets))
+    _release(sets)
+    return float(np.mean(found))
 
 
 def random_search(family: str, folded: DataFrame, target: str, feature_cols: list[str],
-                  n_trials: int = 30, seed: int = 42, k: int = 5, budget: dict | None = None) -> list[dict]:
+                  n_trials: int = 30, seed: int = 42, k: int = 5, budget: dict | None = None,
+                  parallelism: int = 8, fold_col: str = "fold",
+                  balance: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
+    """Seeded trials; the (trial, fold) fits of all trials run ``parallelism``
+    at a time over fold sets that are built once."""
+    from concurrent.futures import ThreadPoolExecutor
     rng = random.Random(f"{seed}:{family}")
-    out = []
-    for t in range(n_trials):
-        params = search_space(family, rng, len(feature_cols), budget)
-        out.append({"family": family, "trial": t, "params": params,
-                    "cv_f1": cv_f1(family, params, folded, target, feature_cols, k=k)})
-    return out
+    drawn = [search_space(family, rng, len(feature_cols), budget) for _ in range(n_trials)]
+    sets = fold_sets(folded, target, feature_cols, family, k, fold_col, balance)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        found = list(pool.map(lambda j: _fold_f1(family, drawn[j[0]], sets[j[1]]),
+                              [(t, i) for t in range(n_trials) for i in range(k)]))
+    _release(sets)
+    return [{"family": family, "trial": t, "params": p, "cv_f1": float(np.mean(found[t * k:(t + 1) * k]))}
+            for t, p in enumerate(drawn)]
 
 
 def refit_and_validate(family: str, params: dict, train: DataFrame, val: DataFrame, target: str,

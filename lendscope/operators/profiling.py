@@ -39,12 +39,6 @@ def _stack(agg: DataFrame, fields: list[tuple[str, list[Column]]], names: list[s
 
 
 # ---------------------------------------------------------------- C1-C4
-def _moments(c: str) -> list[Column]:
-    x = F.col(c).cast("double")
-    return [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x),
-            F.skewness(x), F.kurtosis(x), F.stddev_pop(x), F.count_if(x.isNull())]
-
-
 def _adjusted_skew(n: Column, g1: Column, sd_pop: Column) -> Column:
     """Bias-adjusted sample skewness G1 = g1 * sqrt(n(n-1)) / (n-2);
     0 for a constant column, null below 3 values."""
@@ -224,29 +218,39 @@ def outcome_summary(df: DataFrame, target: str = TARGET_COL) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C10 / C12
+# Groups' ranges become plan literals.
+MAX_GROUPS = 1000
+
+
 def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS,
               by: str | None = None) -> DataFrame:
     """Equal-width bins between each column's (group's) own min and max.
 
-    Pass 1: min/max per (column, group) -- a one-row aggregate (or one row
-    per group). Pass 2: bin index per value with a map-side count. Empty
-    bins are produced by exploding the bin range of each (column, group)
-    row and joining the counts on (column, group, bin) -- no cross join."""
+    Pass 1: min and max of all columns in one wide aggregate (a row a group).
+    Pass 2: every row finds its bins with these as literals, and one grouped
+    count follows. Empty bins come from the ranges, which are as many as
+    columns x groups; a grouping column has MAX_GROUPS values at most."""
     cols = _present(df, DIST_COLS if cols is None else cols)
-    gcol = F.col(by) if by else F.lit(0)
-    stacked = df.select(gcol.cast("bigint").alias("grp"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
-        for c in cols]))).where(F.col("x").isNotNull())
+    grp = (F.col(by) if by else F.lit(0)).cast("bigint")
+    rows = df.select(grp.alias("grp"), *[F.col(c).cast("double").alias(c) for c in cols])
     if by:
-        stacked = stacked.where(F.col("grp").isNotNull())
-    ranges = stacked.groupBy("column", "grp").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    # ranges has (#columns x #groups) rows: bounded by the schema, so it is
-    # broadcast to the value side
-    binned = (stacked.join(F.broadcast(ranges), ["column", "grp"])
-              .select("column", "grp", hist_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-              .groupBy("column", "grp", "bin").agg(F.count(F.lit(1)).alias("count")))
-    frame = ranges.select("column", "grp", "lo", "hi",
-                          F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        rows = rows.where(F.col("grp").isNotNull())
+    wide = rows.groupBy("grp").agg(*[e for i, c in enumerate(cols) for e in (
+        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).limit(MAX_GROUPS + 1).collect()
+    if len(wide) > MAX_GROUPS:
+        raise ValueError(f"{by} has more than {MAX_GROUPS} values")
+    ranges = [(c, r["grp"], r[f"lo{i}"], r[f"hi{i}"]) for r in wide for i, c in enumerate(cols) if r[f"lo{i}"] is not None]
+    found = []
+    for c in cols:
+        at = F.lit(None).cast("int")
+        for name, g, lo, hi in ranges:
+            if name == c:
+                at = F.when(F.col("grp") == F.lit(g), hist_bin(F.col(c), dbl(lo), dbl(hi), bins).cast("int")).otherwise(at)
+        found.append(F.struct(F.lit(c).alias("column"), at.alias("bin"), F.col(c).isNotNull().alias("held")))
+    binned = (rows.select("grp", F.inline(F.array(*found))).where("held").groupBy("column", "grp", "bin")
+              .agg(F.count(F.lit(1)).alias("count")))
+    frame = df.sparkSession.createDataFrame(ranges, "column string, grp bigint, lo double, hi double").withColumn(
+        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = (frame.join(binned, ["column", "grp", "bin"], "left")
            .select("column", "grp", "bin",
                    bin_edge(F.col("bin"), F.col("lo"), F.col("hi"), bins).alias("bin_lo"),

@@ -4,6 +4,7 @@ and score (impute -> features -> model -> decision). The same
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,8 +18,10 @@ from ..operators import cleaning as cl
 from ..operators import features as fe
 from ..operators import metrics as me
 from ..operators import models as mo
+from ..operators import neighbors as nb
 from ..operators import scoring as scr
-from ..schema import ID_COL, SEED, TARGET_COL, TEST_SIZE, VAL_SIZE
+from ..schema import ID_COL, SEED, SMOTE_K, SMOTE_RATIO, TARGET_COL, TEST_SIZE, VAL_SIZE
+from ..sources import io as sio
 
 
 @dataclass
@@ -28,6 +31,7 @@ class ScoringPlan:
     model: PipelineModel
     threshold: float
     model_type: str = "LogisticRegression"
+    oversampled: bool = False
 
     def prepare(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """Impute and coerce (no dedup: scoring input is taken as is), then
@@ -52,9 +56,48 @@ class ScoringPlan:
             "model_type string, threshold double, n_features int, features string")
 
 
-def train_plan(applications: DataFrame) -> tuple[ScoringPlan, DataFrame]:
-    """Clean, split, fit features on train, fit a weighted logistic model,
-    tune the cut-off on val. Returns the plan and the split feature table."""
+# ---------------------------------------------------------------- state on disk
+def save_plan(spark: SparkSession, plan: ScoringPlan, path: str) -> str:
+    """Everything scoring needs, under one folder: the fitted state table
+    (imputer, encoder, scaler, feature list, threshold, kind) and the model."""
+    rows = (plan.imputer.state_rows() + plan.features.state_rows()
+            + [("", "threshold", "", float(plan.threshold)), ("", "model_type", "", plan.model_type),
+               ("", "oversampled", "", int(plan.oversampled))])
+    sio.save_state(spark, rows, os.path.join(path, "state"))
+    sio.save_model(plan.model, os.path.join(path, "model"))
+    return path
+
+
+def load_plan(spark: SparkSession, path: str) -> ScoringPlan:
+    """The plan of ``save_plan``, in any later session."""
+    held: dict[str, list] = {}
+    for r in sio.load_state(spark, os.path.join(path, "state")).collect():  # a row a column or category
+        held.setdefault(r["kind"], []).append((r["column"], r["key"], r["num_value"], r["str_value"]))
+
+    def numbers(kind):
+        return {c: n for c, _, n, _ in held.get(kind, [])}
+
+    def keyed(kind):
+        out: dict[str, dict] = {}
+        for c, k, n, _ in held.get(kind, []):
+            out.setdefault(c, {})[k] = int(n)
+        return out
+
+    imputer = cl.MissingImputerModel(numbers("median"), {c: v for c, _, _, v in held.get("mode", [])})
+    categories = {c: sorted(m, key=m.get) for c, m in keyed("category").items()}
+    feats = sorted(held.get("feature", []), key=lambda x: x[2])
+    features = fe.FeatureModel(fe.EncoderModel(categories, keyed("label")),
+                               fe.RobustScalerModel(numbers("center"), numbers("scale")),
+                               [c for c, *_ in held.get("drop", [])], [c for c, *_ in feats])
+    return ScoringPlan(imputer, features, sio.load_model(os.path.join(path, "model")),
+                       numbers("threshold")[""], held["model_type"][0][3], bool(numbers("oversampled")[""]))
+
+
+def train_plan(applications: DataFrame, estimator=None, oversample: bool = False) -> tuple[ScoringPlan, DataFrame]:
+    """Clean, split, fit features on train, fit the model, tune the cut-off on
+    val. ``estimator`` is the selected MLlib classifier over ``mo.FEATURES``
+    (default: weighted logistic regression); ``oversample`` raises the minority
+    of the train part by SMOTE first. Returns the plan and the split features."""
     pre = cl.ErrorCorrector().transform(cl.DuplicateRemover().transform(applications)).checkpoint()
     sp0 = rk.stratified_split(pre, ID_COL, TARGET_COL, TEST_SIZE, VAL_SIZE, seed=SEED, salt="split")
     sp0 = sp0.checkpoint()
@@ -63,14 +106,18 @@ def train_plan(applications: DataFrame) -> tuple[ScoringPlan, DataFrame]:
     cleaned = cl.TypeEnforcer().transform(imputer.transform(sp0))
     fm = fe.fit_features(cleaned.where(F.col("part") == "train"), exclude=(ID_COL, TARGET_COL, "part"))
     feats = fm.transform(cleaned, keep=[ID_COL, TARGET_COL, "part"]).checkpoint()
-    train = mo.with_weights(feats.where(F.col("part") == "train"), TARGET_COL, "balanced")
+    train_part = feats.where(F.col("part") == "train").drop("part")
+    if oversample:
+        train_part = nb.smote(train_part, ID_COL, TARGET_COL, fm.feature_cols, SMOTE_RATIO, SMOTE_K, SEED)
+    train = mo.with_weights(train_part, TARGET_COL, "balanced")
     n = train.agg(F.sum(mo.WEIGHT)).first()[0]
     pipe = Pipeline(stages=[
         mo.assembler(fm.feature_cols),
-        LogisticRegression(featuresCol=mo.FEATURES, labelCol=mo.LABEL, weightCol=mo.WEIGHT,
-                           maxIter=1000, regParam=1.0 / n, standardization=False),
+        estimator or LogisticRegression(featuresCol=mo.FEATURES, labelCol=mo.LABEL, weightCol=mo.WEIGHT,
+                                        maxIter=1000, regParam=1.0 / n, standardization=False),
     ]).fit(train)
     val = pipe.transform(feats.where(F.col("part") == "val")).withColumn(
         "_p", vector_to_array(F.col("probability")).getItem(1))
     thr = me.best_threshold(me.threshold_sweep(val, TARGET_COL, "_p"))
-    return ScoringPlan(imputer, fm, pipe, thr), feats
+    kind = type(estimator).__name__ if estimator else "LogisticRegression"
+    return ScoringPlan(imputer, fm, pipe, thr, kind, oversample), feats

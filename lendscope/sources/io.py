@@ -127,5 +127,7 @@ def record_run(spark: SparkSession, runs_path: str, params: dict, metrics: dict,
 def read_runs(spark: SparkSession, runs_path: str) -> DataFrame:
     """One row per run: metrics as doubles, params/tags as text columns."""
     runs = spark.read.schema(RUNS_SCHEMA).parquet(runs_path)
-    return (runs.withColumn("name", F.concat_ws(".", "kind", "key"))
+    wide = (runs.withColumn("name", F.concat_ws(".", "kind", "key"))
             .groupBy("run_id").pivot("name").agg(F.first("value")))
+    return wide.select(*[F.col(f"`{c}`").cast("double").alias(c) if c.startswith("metric.") else F.col(f"`{c}`")
+                         for c in wide.columns])

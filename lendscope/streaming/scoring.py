@@ -1,7 +1,10 @@
 """Record scoring as a Structured Streaming query.
 
-Requests are JSON lines ``{"request_id": .., "data": {...}}`` where
-``data`` is one applicant object or a list of them. The stream parses them
+Requests are JSON lines ``{"data": {...}}`` where ``data`` is one applicant
+object or a list of them; a ``request_id`` beside it is taken over, otherwise
+a hash of the body stands for it. Every object must name all inputs (their
+values may be null); a body that doesn't is rejected as a whole, with the
+missing names. The stream parses them
 with ``from_json`` against the applicant schema, explodes lists, scores
 every record with the batch ``ScoringPlan`` and appends to a sink;
 records that do not parse go to a reject sink. The query is stateless (no
@@ -29,7 +32,8 @@ def requests_from_table(df: DataFrame) -> DataFrame:
     """JSON request lines derived from applicant rows (even ids send one
     object, odd ids a one-element list), one ``value`` column."""
     rec = F.struct(*[F.col(c) for c in REQUEST_FIELDS])
-    data = F.when(F.col(ID_COL) % 2 == 0, F.to_json(rec)).otherwise(F.to_json(F.array(rec)))
+    keep = {"ignoreNullFields": "false"}
+    data = F.when(F.col(ID_COL) % 2 == 0, F.to_json(rec, keep)).otherwise(F.to_json(F.array(rec), keep))
     return df.select(F.concat(F.lit('{"request_id": '), F.col(ID_COL).cast("string"),
                               F.lit(', "data": '), data, F.lit("}")).alias("value"))
 
@@ -47,12 +51,19 @@ def parse_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = F.from_json(F.col("e.data"), T.ArrayType(rs), opts)
     is_list = F.trim(F.col("e.data")).startswith("[")
     recs = F.when(is_list, many).otherwise(F.array(one))
-    staged = parsed.select("value", F.col("e.request_id").alias("request_id"), recs.alias("recs"))
-    ok: Column = (F.col("request_id").isNotNull() & F.col("recs").isNotNull()
+    # names of each object's fields, whatever their types
+    named = F.when(is_list, F.from_json(F.col("e.data"), "array<map<string,string>>")).otherwise(
+        F.array(F.from_json(F.col("e.data"), "map<string,string>")))
+    needed = F.array(*[F.lit(c) for c in REQUEST_FIELDS])
+    missing = F.array_distinct(F.flatten(F.transform(named, lambda m: F.array_except(needed, F.map_keys(m)))))
+    staged = parsed.select("value", F.coalesce(F.col("e.request_id"), F.xxhash64("value")).alias("request_id"),
+                           recs.alias("recs"), missing.alias("missing"))
+    ok: Column = (F.col("recs").isNotNull() & (F.size(F.coalesce("missing", F.array(F.lit("")))) == 0)
                   & ~F.exists("recs", lambda r: r.isNull() | r["_corrupt"].isNotNull()))
     records = (staged.where(ok).select("request_id", F.posexplode("recs").alias("pos", "r"))
                .select("request_id", "pos", "r.*").drop("_corrupt"))
-    rejects = staged.where(~ok).select("value")
+    rejects = staged.where(~F.coalesce(ok, F.lit(False))).select(
+        "value", F.concat_ws(",", "missing").alias("missing"))
     return records, rejects
 
 

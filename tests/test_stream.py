@@ -1,3 +1,5 @@
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -6,7 +8,7 @@ from lendscope.operators import cleaning as cl
 from lendscope.plans import pipelines as pl
 from lendscope.session import work_path
 from lendscope.sources.tables import applications
-from lendscope.streaming.scoring import requests_from_table, run_stream, score_requests
+from lendscope.streaming.scoring import REQUEST_FIELDS, requests_from_table, run_stream, score_requests
 
 
 def test_stream_equals_batch_twin(spark):
@@ -26,3 +28,32 @@ def test_stream_equals_batch_twin(spark):
                                   batch.sort_values(key).reset_index(drop=True))
     assert spark.read.parquet(rej).count() == 2
     assert streamed.default_prob.between(0, 1).all()
+
+
+def test_bodies_without_id_and_with_missing_inputs(spark):
+    apps = applications(spark, SF_SMALL)
+    plan, _ = pl.train_plan(apps)
+    whole = json.loads(requests_from_table(apps).first()["value"])["data"]
+    whole = whole[0] if isinstance(whole, list) else whole
+    part = {k: v for k, v in whole.items() if k not in ("loan_amount", "annual_income")}
+    bodies = [{"data": whole}, {"data": [whole, whole]}, {"data": part}, {"data": [whole, part]}, {"data": {}}, {"other": 1}]
+    lines = spark.createDataFrame([(json.dumps(b),) for b in bodies], "value string")
+    scored, rejects = score_requests(plan, lines)
+    got = scored.groupBy("request_id").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 2]
+    missing = {r["value"]: r["missing"] for r in rejects.collect()}
+    assert len(missing) == 4
+    assert set(missing[json.dumps(bodies[2])].split(",")) == {"loan_amount", "annual_income"} == set(missing[json.dumps(bodies[3])].split(","))
+    assert set(missing[json.dumps(bodies[4])].split(",")) == set(REQUEST_FIELDS)
+
+
+def test_plan_from_disk_scores_alike(spark):
+    apps = applications(spark, SF_SMALL)
+    plan, _ = pl.train_plan(apps, oversample=True)
+    assert plan.oversampled
+    back = pl.load_plan(spark, pl.save_plan(spark, plan, work_path(spark, "plan")))
+    new = apps.withColumn("loan_purpose", F.lit("never seen"))
+    for df in (apps, new):
+        a, b = (p.score(df, ["applicant_id"] if "applicant_id" in df.columns else [df.columns[0]], stamp=False).toPandas() for p in (plan, back))
+        pd.testing.assert_frame_equal(a.sort_values(a.columns[0]).reset_index(drop=True), b.sort_values(a.columns[0]).reset_index(drop=True))
+    assert back.threshold == plan.threshold and back.describe(spark).first() == plan.describe(spark).first()
