@@ -88,3 +88,52 @@ SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL) AS n_d
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (c.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN c USING (key) GROUP BY k.doc_id
 """
+
+ORACLE["op2_feistel_shards"] = f"""
+WITH RECURSIVE bit AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+tab AS (SELECT list(c ORDER BY byte) AS tab FROM bit WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+z AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM d, tab),
+p AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM documents),
+r AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {shard.BUCKETS}, doc_id, size, text_crc32) - 1 AS row_number FROM z),
+w AS (SELECT row_number AS id, row_number // b AS x, row_number % b AS y, 0 AS step FROM r, p
+  UNION ALL
+  SELECT id, CASE WHEN step = 8 THEN x ELSE y END,
+         CASE WHEN step = 8 THEN y ELSE (x + (((y * 48271 + {list(shard.KEYS)}[step + 1]) % {shard.PRIME}) * ((y * 48271 + {list(shard.KEYS)}[step + 1]) % {shard.PRIME})) % {shard.PRIME}) % (CASE WHEN step % 2 = 0 THEN a ELSE b END) END,
+         CASE WHEN step = 8 THEN 0 ELSE step + 1 END
+  FROM w, p WHERE step < 8 OR x * b + y >= n)
+SELECT r.doc_id, r.size, r.text_crc32, 'rows' AS law, ((x * b + y) % 8)::INT AS shard, (x * b + y) // 8 AS slot, NULL::INT AS grown_shard, row_number
+FROM r JOIN w ON w.id = r.row_number, p WHERE step = 8 AND x * b + y < n
+"""
+
+ORACLE["op4_bwt_suffix_dedup"] = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 199)) AS i, h FROM t WHERE n >= 200),
+k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS g FROM w),
+c AS (SELECT g FROM k GROUP BY g HAVING count(*) > 1),
+f AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM k JOIN c USING (g)),
+j AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM f),
+s AS (SELECT doc_id, span, min(i) AS lo, max(i) + 200 AS hi FROM j GROUP BY doc_id, span),
+p AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prior FROM s),
+x AS (SELECT p.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+             string_agg(substr(h, 2 * prior + 1, 2 * (lo - prior)), '' ORDER BY lo) AS kept
+      FROM p JOIN t USING (doc_id) GROUP BY p.doc_id)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN x USING (doc_id)
+"""
+
+ORACLE["op9_superminhash"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.seen = e.x),
+m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
