@@ -33,8 +33,8 @@ LENGTH = 200
 GRAM = 32  # a power of two
 CHUNK = 1 << 18  # windows at a time, in very long texts
 BUCKET_BYTES = 6_000_000
-#: Segments of one anchor beyond which its windows are counted instead.
-ANCHOR_SEGMENTS = 2000
+#: Segments of one anchor beyond which its windows are counted instead: as many as fill a bucket (about 300 bytes each).
+ANCHOR_SEGMENTS = BUCKET_BYTES // 300
 SLICE_CHARS = 4_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -140,13 +140,17 @@ def _merge(length: int):
 
 
 def _windows(length: int):
+    """Two 64-bit hashes of each window of each segment."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cutter = Cutter(length)
         for batch in batches:
-            for a, b, n, r, text in zip(batch["a"], batch["b"], batch["n"], batch["run"], batch["text"]):
-                at = np.arange(r)
-                x, y = cutter.substring_ids(cutter.byte[np.frombuffer(text, np.uint8)], at, at + length)
-                yield pd.DataFrame({"x": x, "y": y, "a": a, "b": b, "n": n, "at": at})
+            runs = batch["run"].to_numpy()
+            ids = [cutter.substring_ids(cutter.byte[np.frombuffer(t, np.uint8)], np.arange(r), np.arange(r) + length)
+                   for t, r in zip(batch["text"], runs)]
+            if ids:
+                yield pd.DataFrame({k: np.repeat(batch[k].to_numpy(), runs) for k in ("a", "b", "n")} | {
+                    "x": np.concatenate([i[0] for i in ids]), "y": np.concatenate([i[1] for i in ids]),
+                    "at": np.concatenate([np.arange(r) for r in runs])})
     return run
 
 
@@ -194,13 +198,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_segments: int =
         "row", F.xxhash64("doc_id", "text"))
     segments = stage(rows.mapInPandas(
         _segments(length), "doc_id long, row long, anchor long, a long, b long, start int, run int, offset int"), "segments")
-    twice = segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Sums are written before they are joined: then both sides of the join come straight from a shuffle, whose
+    # large partitions (a very common anchor) Spark splits.
+    twice = stage(segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     places = stage(segments.join(twice, "anchor"), "places")
     unit = places.groupBy("anchor", "a", "b").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "start", "run", "offset")).alias("p"))
     unit = stage(unit.select("anchor", "a", "b", "n", "p.*"), "units")
     crowded = unit.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > anchor_segments).select("anchor", F.lit(True).alias("crowded"))
-    unit = unit.join(crowded, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    unit = unit.join(stage(crowded, "crowded"), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     stands = unit.groupBy("doc_id", "row").agg(F.collect_list(F.struct(
         "anchor", "a", "b", "n", "start", "run", "offset", "crowded")).alias("stands"))
     touched = places.select("doc_id", "row").distinct().join(stands, ["doc_id", "row"], "left").withColumn("touched", F.lit(True))
@@ -218,10 +224,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_segments: int =
     buckets = max(1, -(-total // BUCKET_BYTES))
     merged = texts("NOT s.crowded").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(
         _merge(length), "a long, b long, ranges array<int>")
-    windows = texts("s.crowded").mapInPandas(_windows(length), "x long, y long, a long, b long, n long, at int")
-    repeated = windows.groupBy("x", "y").agg(F.sum("n").alias("k")).where("k > 1").select("x", "y")
-    counted = windows.join(repeated, ["x", "y"]).groupBy("a", "b").agg(
-        F.flatten(F.collect_list(F.array("at", "at"))).alias("ranges"))
+    windows = stage(texts("s.crowded").mapInPandas(
+        _windows(length), "x long, y long, a long, b long, n long, at int"), "windows")
+    repeated = stage(windows.groupBy("x", "y").agg(F.sum("n").alias("k")).where("k > 1").select("x", "y"), "repeated")
+    counted = windows.where("n = 1").join(repeated, ["x", "y"]).groupBy("a", "b").agg(
+        F.flatten(F.collect_list(F.array("at", "at"))).alias("ranges")).unionByName(
+        unit.where("crowded AND n > 1").select("a", "b", F.array(F.lit(0), F.col("run") - 1).alias("ranges")))
     ranges = stage(merged.unionByName(counted), "ranges")
     found = places.select("a", "b", "doc_id", "row", "start").join(ranges, ["a", "b"]).groupBy("doc_id", "row").agg(
         F.collect_list(F.struct("start", "ranges")).alias("found"))
