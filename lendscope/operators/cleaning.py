@@ -15,6 +15,7 @@ from ..functions.expressions import (
     DEFAULT_RULES, Rule, coerce_float, coerce_int, coerce_string, dbl, null_count_expr,
 )
 from ..functions.quantiles import exact_quantiles
+from ..session import stage
 from ..schema import (
     FLOAT_COLS, IMPUTE_CATEGORICAL_COLS, IMPUTE_NUMERIC_COLS, INT_COLS,
     SPARSE_COLUMN_THRESHOLD, STR_COLS,
@@ -236,6 +237,6 @@ def clean(df: DataFrame, rules=None) -> DataFrame:
     frame is checkpointed once to the shared checkpoint folder: every fit
     pass re-reads it, and its lineage (joins + dedup shuffle) is cut, so a
     lost executor recomputes from the checkpoint, not from the sources."""
-    pre = ErrorCorrector(rules).transform(DuplicateRemover().transform(df)).checkpoint()
+    pre = ErrorCorrector(rules).transform(DuplicateRemover().transform(df)).transform(stage)
     model = Pipeline(stages=[ColumnDropper(), MissingImputer(), TypeEnforcer()]).fit(pre)
     return model.transform(pre)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
 from .metrics import classification_metrics, roc_auc
 
 LABEL = "_label"
@@ -167,7 +168,7 @@ class AdaBoost:
     """SAMME with depth-1 trees: each round fits a weighted stump, computes
     its weighted error with one aggregate and reweights rows with a column
     expression. Each round's rows are cached until the next round has its own,
-    so no round replays the ones before; lineage is cut with ``checkpoint()``
+    so no round replays the ones before; lineage is cut with a written table
     every 10 rounds."""
 
     def __init__(self, n, rounds=100, learning_rate=1.0):
@@ -198,7 +199,7 @@ class AdaBoost:
                 F.col("_sp") != F.col(LABEL), F.lit(math.exp(alpha))).otherwise(F.lit(1.0))) \
                 .select(FEATURES, LABEL, "_aw")
             if (r + 1) % 10 == 0:
-                cur = cur.checkpoint()
+                cur = cur.transform(stage)
             cur = cur.persist()
             cur.count()
             before.unpersist()
@@ -386,7 +387,7 @@ def _prepare(df, target, feature_cols, weights):
 
 
 def fit_one(spec: Spec, train: DataFrame, target: str, feature_cols: list[str]):
-    tr = _prepare(train, target, feature_cols, spec.weights).checkpoint()
+    tr = _prepare(train, target, feature_cols, spec.weights).transform(stage)
     n = tr.agg(F.sum(WEIGHT)).first()[0]
     t0 = time.time()
     model = spec.build(n).fit(tr)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import dbl
+from ..session import stage
 
 DEFAULT_BLOCK_ROWS = 8192
 CHUNK_ELEMS = 4_000_000
@@ -163,7 +164,7 @@ def knn(queries: DataFrame, members: DataFrame, id_col: str, feature_cols: list[
     m = m.join(parts, "_s").withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).drop("_parts")
     own = q.join(parts, "_s", "left").withColumn(
         "_p", F.pmod(F.xxhash64("_id", F.lit(1)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    r1 = _tiles(own, m, kk, exclude_self, id_type, block_rows).checkpoint()
+    r1 = _tiles(own, m, kk, exclude_self, id_type, block_rows).transform(stage)
     dk = r1.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d"))
     reach = F.when(F.col("_n") >= kk, F.col("_d") * dbl(1 + 1e-9) + dbl(1e-12)).otherwise(F.lit(float("inf")))
     bound = own.join(dk.withColumnRenamed("qid", "_id"), "_id", "left").withColumn("_r", reach)
@@ -211,7 +212,7 @@ def smote(df: DataFrame, id_col: str, target: str, feature_cols: list[str],
     bstart = bc.withColumn("_s", F.coalesce(F.sum("_n").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     idx = (keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col)) - 1)
-           .join(bstart, "_b").select(id_col, *feature_cols, (F.col("_s") + F.col("_r")).alias("_idx")).checkpoint())
+           .join(bstart, "_b").select(id_col, *feature_cols, (F.col("_s") + F.col("_r")).alias("_idx")).transform(stage))
     nbrs = knn(minority, minority, id_col, feature_cols, k, exclude_self=True,
                block_rows=block_rows)
     spark = df.sparkSession

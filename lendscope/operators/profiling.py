@@ -242,12 +242,14 @@ def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS,
     ranges = [(c, r["grp"], r[f"lo{i}"], r[f"hi{i}"]) for r in wide for i, c in enumerate(cols) if r[f"lo{i}"] is not None]
     found = []
     for c in cols:
-        at = F.lit(None).cast("int")
-        for name, g, lo, hi in ranges:
+        lo = hi = F.lit(None).cast("double")
+        for name, g, least, most in ranges:
             if name == c:
-                at = F.when(F.col("grp") == F.lit(g), hist_bin(F.col(c), dbl(lo), dbl(hi), bins).cast("int")).otherwise(at)
-        found.append(F.struct(F.lit(c).alias("column"), at.alias("bin"), F.col(c).isNotNull().alias("held")))
-    binned = (rows.select("grp", F.inline(F.array(*found))).where("held").groupBy("column", "grp", "bin")
+                lo = F.when(F.col("grp") == F.lit(g), dbl(least)).otherwise(lo)
+                hi = F.when(F.col("grp") == F.lit(g), dbl(most)).otherwise(hi)
+        found.append(F.struct(F.lit(c).alias("column"), F.col(c).alias("x"), lo.alias("lo"), hi.alias("hi")))
+    binned = (rows.select("grp", F.inline(F.array(*found))).where(F.col("x").isNotNull())
+              .groupBy("column", "grp", hist_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).cast("int").alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     frame = df.sparkSession.createDataFrame(ranges, "column string, grp bigint, lo double, hi double").withColumn(
         "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

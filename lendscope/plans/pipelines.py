@@ -21,6 +21,7 @@ from ..operators import models as mo
 from ..operators import neighbors as nb
 from ..operators import scoring as scr
 from ..schema import ID_COL, SEED, SMOTE_K, SMOTE_RATIO, TARGET_COL, TEST_SIZE, VAL_SIZE
+from ..session import stage
 from ..sources import io as sio
 
 
@@ -98,14 +99,14 @@ def train_plan(applications: DataFrame, estimator=None, oversample: bool = False
     val. ``estimator`` is the selected MLlib classifier over ``mo.FEATURES``
     (default: weighted logistic regression); ``oversample`` raises the minority
     of the train part by SMOTE first. Returns the plan and the split features."""
-    pre = cl.ErrorCorrector().transform(cl.DuplicateRemover().transform(applications)).checkpoint()
+    pre = cl.ErrorCorrector().transform(cl.DuplicateRemover().transform(applications)).transform(stage)
     sp0 = rk.stratified_split(pre, ID_COL, TARGET_COL, TEST_SIZE, VAL_SIZE, seed=SEED, salt="split")
-    sp0 = sp0.checkpoint()
+    sp0 = sp0.transform(stage)
     train_raw = sp0.where(F.col("part") == "train")
     imputer = cl.MissingImputer().fit(train_raw)
     cleaned = cl.TypeEnforcer().transform(imputer.transform(sp0))
     fm = fe.fit_features(cleaned.where(F.col("part") == "train"), exclude=(ID_COL, TARGET_COL, "part"))
-    feats = fm.transform(cleaned, keep=[ID_COL, TARGET_COL, "part"]).checkpoint()
+    feats = fm.transform(cleaned, keep=[ID_COL, TARGET_COL, "part"]).transform(stage)
     train_part = feats.where(F.col("part") == "train").drop("part")
     if oversample:
         train_part = nb.smote(train_part, ID_COL, TARGET_COL, fm.feature_cols, SMOTE_RATIO, SMOTE_K, SEED)

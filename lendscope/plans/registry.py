@@ -19,6 +19,7 @@ from ..schema import (
     APPLICATION_COLUMNS, FLOAT_COLS, IMPUTE_CATEGORICAL_COLS, IMPUTE_NUMERIC_COLS,
     INT_COLS, STR_COLS,
 )
+from ..session import stage
 from ..sources.tables import applications
 from . import oracle as O
 
@@ -48,7 +49,7 @@ def ruled(spark, sf):
 
 
 def imputed(spark, sf):
-    pre = ruled(spark, sf).checkpoint()
+    pre = ruled(spark, sf).transform(stage)
     return cl.MissingImputer().fit(pre).transform(pre)
 
 
@@ -142,7 +143,7 @@ ORACLE["b09_null_counts"] = O.with_ctes(*CLEAN[:4]) + (
 
 @query("b09_null_counts")
 def b09(spark, sf):
-    pre = ruled(spark, sf).checkpoint()
+    pre = ruled(spark, sf).transform(stage)
     return cl.imputation_null_counts(pre, cl.MissingImputer().fit(pre))
 
 
@@ -445,7 +446,7 @@ def split_frame(spark, sf):
 
 def features_frame(spark, sf):
     """Feature chain fitted on the train part, applied to all parts."""
-    sp = split_frame(spark, sf).checkpoint()
+    sp = split_frame(spark, sf).transform(stage)
     fm = fe.fit_features(sp.where(F.col("part") == "train"), exclude=(ID_COL, TARGET_COL, "part"))
     return fm.transform(sp, keep=[ID_COL, TARGET_COL, "part"]), fm
 
@@ -526,7 +527,7 @@ ORACLE["d11_robust_scale"] = O.with_ctes(*CLEAN) + (
 
 @query("d11_robust_scale")
 def d11(spark, sf):
-    c = cleaned(spark, sf).checkpoint()
+    c = cleaned(spark, sf).transform(stage)
     return fe.RobustScaler().fit(c).transform(c).select(ID_COL, *SCALE_COLS)
 
 
@@ -629,12 +630,12 @@ def train_part(spark, sf):
 
 
 def bench_sample(spark, sf):
-    tr = train_part(spark, sf).checkpoint()
+    tr = train_part(spark, sf).transform(stage)
     return rk.exact_sample(tr, ID_COL, BENCH_SAMPLE_FRAC, seed=SEED, salt="sample")
 
 
 def holdout_frame(spark, sf):
-    smp = bench_sample(spark, sf).checkpoint()
+    smp = bench_sample(spark, sf).transform(stage)
     return rk.stratified_split(smp, ID_COL, TARGET_COL, HOLDOUT_TEST_SIZE, None, seed=SEED, salt="holdout")
 
 
@@ -704,7 +705,7 @@ SWEEP = _sweep_ctes()
 
 
 def _val_test(spark, sf):
-    sp = split_frame(spark, sf).withColumn("_score", scr.scorecard_probability()).checkpoint()
+    sp = split_frame(spark, sf).withColumn("_score", scr.scorecard_probability()).transform(stage)
     thr = me.best_threshold(me.threshold_sweep(sp.where(F.col("part") == "val"), TARGET_COL, "_score"))
     return sp, thr
 
@@ -865,16 +866,16 @@ from ..schema import SMOTE_K  # noqa: E402
 def feature_parts(spark, sf):
     """Feature table (fitted on the train part) with its part column."""
     feats, fm = features_frame(spark, sf)
-    return feats.checkpoint(), fm.feature_cols
+    return feats.transform(stage), fm.feature_cols
 
 
 def bench_data(spark, sf):
     """Comparison data: 20 % sample of the train part, 80/20 holdout."""
     feats, cols = feature_parts(spark, sf)
     tr = feats.where(F.col("part") == "train").drop("part")
-    smp = rk.exact_sample(tr, ID_COL, BENCH_SAMPLE_FRAC, seed=SEED, salt="sample").checkpoint()
+    smp = rk.exact_sample(tr, ID_COL, BENCH_SAMPLE_FRAC, seed=SEED, salt="sample").transform(stage)
     ho = rk.stratified_split(smp, ID_COL, TARGET_COL, HOLDOUT_TEST_SIZE, None, seed=SEED,
-                             salt="holdout").checkpoint()
+                             salt="holdout").transform(stage)
     return (ho.where(F.col("part") == "train").drop("part"),
             ho.where(F.col("part") == "test").drop("part"), cols)
 
@@ -936,7 +937,7 @@ def e18(spark, sf):
 def tune_data(spark, sf):
     feats, cols = feature_parts(spark, sf)
     train = feats.where(F.col("part") == "train").drop("part")
-    folded = rk.fold_ids(train, ID_COL, TARGET_COL, CV_FOLDS, seed=SEED, salt="fold").checkpoint()
+    folded = rk.fold_ids(train, ID_COL, TARGET_COL, CV_FOLDS, seed=SEED, salt="fold").transform(stage)
     val = feats.where(F.col("part") == "val").drop("part")
     return folded, val, cols
 
@@ -978,7 +979,7 @@ def e21(spark, sf):
 @query("e22_best_of")
 def e22(spark, sf):
     folded, val, cols = tune_data(spark, sf)
-    train = folded.drop("fold").checkpoint()
+    train = folded.drop("fold").transform(stage)
     rows = []
     for fam in CANDIDATES:
         params = candidate(fam, cols)
@@ -1049,9 +1050,9 @@ ORACLE["a04_state_roundtrip"] = _state_sql()
 
 @query("a04_state_roundtrip")
 def a04(spark, sf):
-    pre = ruled(spark, sf).checkpoint()
+    pre = ruled(spark, sf).transform(stage)
     imp = cl.MissingImputer().fit(pre)
-    c = cl.TypeEnforcer().transform(imp.transform(pre)).checkpoint()
+    c = cl.TypeEnforcer().transform(imp.transform(pre)).transform(stage)
     enc = fe.Encoder().fit(c)
     scal = fe.RobustScaler().fit(c)
     path = work_path(spark, "state")
