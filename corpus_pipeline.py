@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, repeated as the fitted rates say."""
     model = mixing.fit_domains(docs, table(spark, sf_dir, "labels"), list(WEIGHTS))
-    return mixing.mixed(docs, mixing.fit_mixture(docs, model, WEIGHTS, BUDGET, LEAST))
+    return mixing.mixed(docs, mixing.fit_mixture(mixing.memberships(docs, model), model, WEIGHTS, BUDGET, LEAST))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import stage
+from lendscope.llm.common import SPACE, stage
 
 #: Word buckets of the classifier: the size of its tables, whatever the vocabulary.
 BUCKETS = 4096
@@ -27,7 +27,8 @@ PASSES, NEAR = 40, 1e-6
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
 def _table(values: list, kind: str) -> Column:
@@ -47,25 +48,31 @@ class DomainModel:
     prior: list[float]
     tables: list[list[float]]
 
-    def posteriors(self, text: Column) -> Column:
-        """Array of probabilities in the order of ``domains``. The evidence of
-        n words counts as that of sqrt(n) independent ones, so that long
-        documents keep a soft membership; without words it is the prior."""
+    def membership(self, text: Column) -> Column:
+        """Struct of n, the number of words, and p, the array of probabilities
+        in the order of ``domains``. The evidence of n words counts as that of
+        sqrt(n) independent ones, so that long documents keep a soft membership;
+        without words it is the prior."""
         def share(scores: Column) -> Column:
             top = F.array_max(scores)
             exps = F.transform(scores, lambda s: F.exp(s - top))
             total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
             return F.transform(exps, lambda x: x / total)
-        # Each step is bound once by a one-element transform, so that it isn't computed again by each use.
-        at = F.transform(words(text), _bucket)
 
         def evidence(b: Column, prior: float, logs: list[float]) -> Column:
             logs_at = _table(logs, "array<double>")
             return F.lit(prior) + F.aggregate(b, F.lit(0.0), lambda a, k: a + F.get(logs_at, k)) / F.sqrt(F.greatest(F.size(b), F.lit(1)))
 
         def score(b: Column) -> Column:
-            return F.array(*[evidence(b, p, t) for p, t in zip(self.prior, self.tables)])
-        return F.transform(F.transform(F.array(at), score), share)[0]
+            # Only differences count: the last domain is the measure of the others.
+            last = np.array(self.tables[-1])
+            return F.array(*[evidence(b, p, (np.array(t) - last).tolist()) for p, t in zip(self.prior[:-1], self.tables[:-1])],
+                           F.lit(self.prior[-1]))
+
+        # Each step is bound once by a one-element transform, so that it isn't computed again by each use.
+        at = F.transform(F.array(words(text)), lambda w: F.struct(F.size(w).alias("n"), F.transform(w, _bucket).alias("at")))
+        scores = F.transform(at, lambda s: F.struct(s["n"].alias("n"), score(s["at"]).alias("s")))
+        return F.transform(scores, lambda s: F.struct(s["n"].cast("long").alias("n"), share(s["s"]).alias("p")))[0]
 
 
 def label_domain() -> Column:
@@ -101,6 +108,11 @@ def _rate(p: Column, steps: list[list[float]], start: float, least: float) -> Co
     return F.aggregate(_table(steps, "array<array<double>>"), F.lit(start), move) if steps else F.lit(start)
 
 
+def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
+    """doc_id, n, p of every row, written to the shared folder."""
+    return stage(docs.select("doc_id", model.membership(F.col("text")).alias("m")).select("doc_id", "m.n", "m.p"), "memberships")
+
+
 @dataclass
 class Mixture:
     model: DomainModel
@@ -111,8 +123,8 @@ class Mixture:
     target: list[float]
 
 
-def fit_mixture(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget: float = 1.0, least: float = 0.0) -> Mixture:
-    """Rates (at least ``least``) whose expected domain tokens come nearest to
+def fit_mixture(held: DataFrame, model: DomainModel, weights: dict[str, float], budget: float = 1.0, least: float = 0.0) -> Mixture:
+    """``held`` is ``memberships`` of the documents. Rates (at least ``least``) whose expected domain tokens come nearest to
     ``weights`` (made to sum to 1) times ``budget`` times the corpus's tokens.
 
     Projected gradient on the squared residual, measured in the inverse Gram
@@ -124,7 +136,6 @@ def fit_mixture(docs: DataFrame, model: DomainModel, weights: dict[str, float],
     if set(weights) != set(model.domains) or min(weights.values()) < 0 or not sum(weights.values()):
         raise ValueError("weights must name the model's domains, be nonnegative and not all zero")
     k = len(model.domains)
-    held = stage(docs.select(F.size(words(F.col("text"))).cast("double").alias("n"), model.posteriors(F.col("text")).alias("p")), "memberships")
     gram = held.agg(*[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)], F.sum("n")).first()
     total = gram[-1] or 0.0
     target = np.array([weights[d] for d in model.domains]) / sum(weights.values()) * budget * total
@@ -141,20 +152,25 @@ def fit_mixture(docs: DataFrame, model: DomainModel, weights: dict[str, float],
     return Mixture(model, steps, start, least, sums.tolist(), target.tolist())
 
 
-def with_rates(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """``docs`` with n_words, posteriors (array), rate, and copies: the whole
-    part of the rate, and one more where a hash of doc_id falls under the rest,
-    so that equal ids decide alike on every run. NULL text has no words; rows
-    are independent; a column of ``docs`` with one of the four names is replaced."""
-    text = F.col("text")
+def _copies(docs: DataFrame, mixture: Mixture) -> DataFrame:
+    """Adds rate and copies to rows with doc_id and p."""
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    out = docs.withColumns({"n_words": F.size(words(text)).cast("long"), "posteriors": mixture.model.posteriors(text)})
-    out = out.withColumn("rate", _rate(F.col("posteriors"), mixture.steps, mixture.start, mixture.least))
+    out = docs.withColumn("rate", _rate(F.col("p"), mixture.steps, mixture.start, mixture.least))
     return out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 
 
+def with_rates(held: DataFrame, mixture: Mixture) -> DataFrame:
+    """A row for each row of ``held`` (``memberships``): doc_id, n_words,
+    posteriors (array), rate, and copies: the whole part of the rate, and one
+    more where a hash of doc_id falls under the rest, so that equal ids decide
+    alike on every run. NULL text has no words; an empty table gives no rows."""
+    return _copies(held, mixture).select("doc_id", F.col("n").alias("n_words"), F.col("p").alias("posteriors"), "rate", "copies")
+
+
 def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """The mixture itself: every row of ``docs`` as often as its copies say, with the columns of ``docs``."""
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    out = with_rates(rows, mixture)
-    return out.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    """The mixture itself: every row of ``docs`` as often as its copies say,
+    with the columns of ``docs`` whatever their names. Texts stay where they
+    are: memberships are computed again rather than joined."""
+    rows = docs.select(F.struct("*").alias("whole"), "doc_id", mixture.model.membership(F.col("text")).alias("m"))
+    out = _copies(rows.select("whole", "doc_id", F.col("m.p").alias("p")), mixture)
+    return out.select("whole", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("whole.*")

@@ -20,7 +20,8 @@ BUDGET = 0.75
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixing.fit_domains(docs, table(spark, sf_dir, "labels"), list(DOMAIN_WEIGHTS))
-    rates = mixing.with_rates(docs, mixing.fit_mixture(docs, model, DOMAIN_WEIGHTS, BUDGET))
+    held = mixing.memberships(docs, model)
+    rates = mixing.with_rates(held, mixing.fit_mixture(held, model, DOMAIN_WEIGHTS, BUDGET))
     return rates.select("doc_id", "n_words", *[F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)], "rate", "copies")
 
 

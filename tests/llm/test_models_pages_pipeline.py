@@ -63,9 +63,10 @@ def test_mixing_meets_targets(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
     frame_ = frame(spark, docs)
     model = mixing.fit_domains(frame_, labels, ["good", "poor"])
+    held = mixing.memberships(frame_, model)
     for weights, budget in (({"good": 0.5, "poor": 0.5}, 1.0), ({"good": 0.9, "poor": 0.1}, 0.5), ({"good": 1.0, "poor": 0.0}, 0.7)):
-        fitted = mixing.fit_mixture(frame_, model, weights, budget)
-        rows = mixing.with_rates(frame_, fitted).collect()
+        fitted = mixing.fit_mixture(held, model, weights, budget)
+        rows = mixing.with_rates(held, fitted).orderBy("doc_id").collect()
         p = np.array([r.posteriors for r in rows])
         assert np.allclose(p.sum(axis=1), 1) and (p >= 0).all() and min(r.rate for r in rows) >= 0
         n = np.array([r.n_words for r in rows])
@@ -80,9 +81,10 @@ def test_mixing_by_least_squares_when_targets_are_out_of_reach(spark):
     docs = frame(spark, [(i, "a b c d") for i in range(10)])
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     model = mixing.fit_domains(docs, labels, ["good", "poor"])
-    fitted = mixing.fit_mixture(docs, model, {"good": 0.0, "poor": 1.0})
-    p = np.array(mixing.with_rates(docs, fitted).first().posteriors)
-    rate = mixing.with_rates(docs, fitted).first().rate
+    held = mixing.memberships(docs, model)
+    fitted = mixing.fit_mixture(held, model, {"good": 0.0, "poor": 1.0})
+    p = np.array(mixing.with_rates(held, fitted).first().posteriors)
+    rate = mixing.with_rates(held, fitted).first().rate
     t = np.array([0.0, 40.0])
     best = max(0.0, 40 * p @ t / (40 * p @ p) / 40)
     assert rate == pytest.approx(best, rel=1e-3)
@@ -93,14 +95,14 @@ def test_mixing_awkward_rows(spark):
     docs = frame(spark, rows)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = mixing.fit_domains(docs, empty, ["good", "poor"])
-    fitted = mixing.fit_mixture(docs, model, {"good": 0.5, "poor": 0.5}, 1.5, 1.0)
+    fitted = mixing.fit_mixture(mixing.memberships(docs, model), model, {"good": 0.5, "poor": 0.5}, 1.5, 1.0)
     out = mixing.mixed(docs, fitted)
     assert out.columns == docs.columns
     assert set(Counter((r.doc_id, r.text) for r in out.collect())) == set(rows)
     none = frame(spark, [])
-    assert mixing.mixed(none, mixing.fit_mixture(none, model, {"good": 1.0, "poor": 1.0})).count() == 0
+    assert mixing.mixed(none, mixing.fit_mixture(mixing.memberships(none, model), model, {"good": 1.0, "poor": 1.0})).count() == 0
     with pytest.raises(ValueError):
-        mixing.fit_mixture(docs, model, {"good": 1.0})
+        mixing.fit_mixture(mixing.memberships(docs, model), model, {"good": 1.0})
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style></head><body class="has-sidebar">
