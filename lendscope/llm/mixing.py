@@ -24,6 +24,8 @@ BUCKETS = 4096
 FIT_ROWS = 20_000
 #: Passes over the table of memberships at most, and the residual (relative to the target) at which fitting ends.
 PASSES, NEAR = 40, 1e-6
+#: Halvings of a step after which no better one is looked for: the targets are out of reach.
+SHRINK = 6
 
 
 def words(text: Column) -> Column:
@@ -128,27 +130,40 @@ def fit_mixture(held: DataFrame, model: DomainModel, weights: dict[str, float],
     ``weights`` (made to sum to 1) times ``budget`` times the corpus's tokens.
 
     Projected gradient on the squared residual, measured in the inverse Gram
-    matrix of the memberships and with a document's step divided by its tokens:
-    in that metric a full step never overshoots, and equal posteriors get equal
-    rates. A pass sums one row; rates are a function of the steps so far, so
-    none are stored.
+    matrix of the memberships that are off the bound and with a document's step
+    divided by its tokens, so equal posteriors get equal rates and few passes
+    are needed. A step after which the residual is larger is halved. A pass
+    sums one row; rates are a function of the steps so far, so none are stored.
     """
     if set(weights) != set(model.domains) or min(weights.values()) < 0 or not sum(weights.values()):
         raise ValueError("weights must name the model's domains, be nonnegative and not all zero")
     k = len(model.domains)
-    gram = held.agg(*[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)], F.sum("n")).first()
-    total = gram[-1] or 0.0
+    total = held.agg(F.sum("n")).first()[0] or 0
     target = np.array([weights[d] for d in model.domains]) / sum(weights.values()) * budget * total
     start, steps = max(budget, least), []
     if not total:
         return Mixture(model, steps, start, least, [0.0] * k, target.tolist())
-    inverse = np.linalg.pinv(np.array(gram[:-1]).reshape(k, k))
+    m, p = F.col("m"), F.col("p")
+    before, shrunk = np.inf, 0
     for _ in range(PASSES):
-        rate = _rate(F.col("p"), steps, start, least)
-        sums = np.array(held.select("p", (rate * F.col("n")).alias("m")).agg(*[F.sum(F.col("m") * F.col("p")[i]) for i in range(k)]).first())
-        if np.abs(sums - target).max() <= NEAR * target.sum() or len(steps) == PASSES - 1:
+        rated = held.select("p", "n", _rate(p, steps, start, least).alias("rate")).select(
+            "p", (F.col("rate") * F.col("n")).alias("m"), F.when(F.col("rate") > least, F.col("n")).otherwise(0).alias("free"))
+        row = np.array(rated.agg(*[F.sum(m * p[i]) for i in range(k)], *[
+            F.sum(F.col("free") * p[i] * p[j]) for i in range(k) for j in range(k)]).first())
+        sums, gram = row[:k], row[k:].reshape(k, k)
+        away = np.linalg.norm(sums - target)
+        if away <= NEAR * target.sum() or shrunk == SHRINK:
             break
-        steps.append((inverse @ (sums - target)).tolist())
+        if away > before:
+            steps[-1] = [x / 2 for x in steps[-1]]
+            shrunk += 1
+            continue
+        if before - away <= NEAR * away:  # as near as it gets
+            break
+        before, shrunk = away, 0
+        steps.append((np.linalg.pinv(gram, hermitian=True) @ (sums - target)).tolist())
+    else:
+        steps.pop()  # no pass has measured it
     return Mixture(model, steps, start, least, sums.tolist(), target.tolist())
 
 
