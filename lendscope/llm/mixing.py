@@ -147,7 +147,7 @@ def fit_mixture(held: DataFrame, model: DomainModel, weights: dict[str, float],
     before, shrunk = np.inf, 0
     for _ in range(PASSES):
         rated = held.select("p", "n", _rate(p, steps, start, least).alias("rate")).select(
-            "p", (F.col("rate") * F.col("n")).alias("m"), F.when(F.col("rate") > least, F.col("n")).otherwise(0).alias("free"))
+            "p", (F.col("rate") * F.col("n")).alias("m"), F.when(F.col("rate") > (least if steps else -1.0), F.col("n")).otherwise(0).alias("free"))  # at first all may move
         row = np.array(rated.agg(*[F.sum(m * p[i]) for i in range(k)], *[
             F.sum(F.col("free") * p[i] * p[j]) for i in range(k) for j in range(k)]).first())
         sums, gram = row[:k], row[k:].reshape(k, k)

@@ -64,8 +64,8 @@ def test_mixing_meets_targets(spark):
     frame_ = frame(spark, docs)
     model = mixing.fit_domains(frame_, labels, ["good", "poor"])
     held = mixing.memberships(frame_, model)
-    for weights, budget in (({"good": 0.5, "poor": 0.5}, 1.0), ({"good": 0.9, "poor": 0.1}, 0.5), ({"good": 1.0, "poor": 0.0}, 0.7)):
-        fitted = mixing.fit_mixture(held, model, weights, budget)
+    for weights, budget in (({"good": 0.5, "poor": 0.5}, 1.0), ({"good": 0.9, "poor": 0.1}, 0.5), ({"good": 1.0, "poor": 0.0}, 0.7), ({"good": 0.8, "poor": 0.2}, 1.6)):
+        fitted = mixing.fit_mixture(held, model, weights, budget, 1.0 if budget > 1.5 else 0.0)
         rows = mixing.with_rates(held, fitted).orderBy("doc_id").collect()
         p = np.array([r.posteriors for r in rows])
         assert np.allclose(p.sum(axis=1), 1) and (p >= 0).all() and min(r.rate for r in rows) >= 0
