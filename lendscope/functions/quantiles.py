@@ -35,6 +35,7 @@ class _Group:
     below: int = 0
     inside: int = 0
     wants: list = field(default_factory=list)  # (target key, rank0, rank1, t)
+    slack: int = 1  # how far a sketch looks beyond its error bound
 
 
 def lerp(x0: float, x1: float, t: float) -> float:
@@ -43,11 +44,6 @@ def lerp(x0: float, x1: float, t: float) -> float:
     return x1 - d * (1.0 - t) if t >= 0.5 else x0 + d * t
 
 
-def lerp_col(x0, x1, t) -> F.Column:
-    d = x1 - x0
-    return F.when(t >= 0.5, x1 - d * (F.lit(1.0) - t)).otherwise(x0 + d * t)
-
-
 def _in(col: str, lo, hi) -> F.Column:
     c = F.col(col)
     cond = c.isNotNull()
@@ -111,6 +107,9 @@ def _exact(src, cols, probs, mode, accuracy, max_distinct, max_rounds):
         if not wide:
             break
         _narrow(src, wide, delta, accuracy, max_distinct)
+    if wide := [g.col for g in groups if g.inside > max_distinct]:
+        # never rank an unbounded bracket in one task
+        raise RuntimeError(f"more than {max_distinct} distinct values left after {max_rounds} rounds: {wide}")
     _finalize(src, groups, mode, result)
     return result
 
@@ -122,8 +121,8 @@ def _narrow(src, groups, delta, accuracy, max_distinct):
     for j, g in enumerate(groups):
         _, r0, r1, _ = g.wants[0]
         m = g.inside
-        q0 = max(0.0, (r0 - g.below) / max(m - 1, 1) - delta)
-        q1 = min(1.0, (r1 - g.below) / max(m - 1, 1) + delta)
+        q0 = max(0.0, (r0 - g.below) / max(m - 1, 1) - delta * g.slack)
+        q1 = min(1.0, (r1 - g.below) / max(m - 1, 1) + delta * g.slack)
         v = F.when(_in(g.col, g.lo, g.hi), F.col(g.col))
         exprs.append(F.percentile_approx(v, [q0, q1], accuracy).alias(f"b{j}"))
     row = src.agg(*exprs).first()
@@ -143,7 +142,8 @@ def _narrow(src, groups, delta, accuracy, max_distinct):
             g.lo, g.hi, g.below = lo, hi, below
             # ties compress in the finalize step: bound on distinct values
             g.inside = inside if crow[f"nd{j}"] > max_distinct else min(inside, max_distinct)
-        # else: the sketch missed (should not happen); keep the old bracket
+        else:  # the sketch missed: look further out in the next round
+            g.slack *= 8
 
 
 def _finalize(src, groups, mode, result):

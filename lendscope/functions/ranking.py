@@ -31,10 +31,6 @@ def hash_key(id_col: str, seed: int, salt: str) -> Column:
     return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), F.lit(salt)))
 
 
-def hash_key_sql(id_col: str, seed: int, salt: str) -> str:
-    return f"md5(concat_ws(':', cast({id_col} AS varchar), '{seed}', '{salt}'))"
-
-
 def prefix_digits(n: int) -> int:
     """Hex digits of the bucket prefix so a bucket holds about a million rows."""
     if n <= TARGET_BUCKET_ROWS:

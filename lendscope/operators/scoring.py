@@ -4,7 +4,6 @@ used for batch tables and for the stream (``streaming.scoring``)."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +26,6 @@ def scorecard_probability() -> Column:
     return F.least(F.greatest(raw, dbl(0)), dbl(1))
 
 
-def model_probability(model, df: DataFrame, out: str = "_prob") -> DataFrame:
-    """Positive-class probability of a fitted MLlib (pipeline) model."""
-    scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array(F.col("probability")).getItem(1))
-
-
 def score_frame(df: DataFrame, prob: Column, threshold: float, stamp: bool = True) -> DataFrame:
     """Adds default_prob (4 digits, half to even), prediction (unrounded
     prob >= threshold), risk_tier and label (outcome text), scored_at."""

@@ -79,10 +79,6 @@ SCALE_COLS = [
     "annual_income", "savings_balance", "investment_balance",
     "loan_amount", "debt_to_income", "loan_to_income",
 ]
-INTERACTION_COLS = [
-    "debt_x_loan", "income_per_loan", "score_x_dti", "savings_to_loan",
-    "late_x_dti", "age_x_income", "loan_burden",
-]
 # Guard added to divisors of the ratio features.
 RATIO_EPSILON = 1e-9
 
