@@ -423,6 +423,7 @@ from ..schema import (  # noqa: E402
     TEST_SIZE, VAL_SIZE,
 )
 
+# The seven ratio formulas, as SQL text.
 INTERACTION_SQL = {
     "debt_x_loan": "debt_to_income * loan_to_income",
     "income_per_loan": "annual_income / (loan_amount + cast(1e-09 AS double))",
