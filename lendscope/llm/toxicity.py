@@ -148,9 +148,17 @@ def fit_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Toxi
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows ids at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
         F.length("text") <= FIT_CHARS).join(ids, "doc_id")
-    found = sorted((r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"], r["toxic"], r["text"]) for r in texts.toLocalIterator())
-    toxic, ordinary = ([t for *_, k, t in found if k == want] for want in (1, 0))
-    return fit(toxic, ordinary, max(1.0, total.get(0, 0) / max(1, len(ordinary))))
+    population = total.get(0, 0)
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip((pdf["doc_id"].astype(object) * 2654435761) % (1 << 32), pdf["doc_id"], pdf["toxic"], pdf["text"]))
+        toxic, ordinary = ([t for *_, k, t in rows if k == want] for want in (1, 0))
+        model = fit(toxic, ordinary, max(1.0, population / max(1, len(ordinary))))
+        return pd.DataFrame({"ordinary": [model.ordinary], "toxic": [model.toxic], "weights": [model.weights]})
+
+    # The bounded sample goes to one task, and only the model (about 70 kB) to the driver.
+    fitted = texts.withColumn("sample", F.lit(True)).groupBy("sample").applyInPandas(learn, "ordinary binary, toxic binary, weights array<double>").collect()
+    return ToxicityModel(bytes(fitted[0].ordinary), bytes(fitted[0].toxic), list(fitted[0].weights)) if fitted else ToxicityModel()
 
 
 def toxicity_score(text: Column, model: ToxicityModel) -> Column:
