@@ -12,7 +12,7 @@ dictionaries have not seen, give the score.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +33,12 @@ ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
 LEVEL = 12
 #: A window counts at each of these savings in bytes.
 SAVINGS = (1, 2, 3, 4, 5)
+#: A word marks toxic text when its share of the toxic documents is so many times
+#: its share of the ordinary ones, each smoothed by PRIOR documents of the mean
+#: share. At least LEAST_WORDS are taken if that many are commoner in toxic text.
+MARK_RATIO, PRIOR, LEAST_WORDS = 5.0, 8.0, 8
+#: Documents in which the words this far before and after are the same count once.
+AROUND = 8
 SLICE_CHARS = 4_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -98,32 +104,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
+def _bare(text: bytes) -> list[bytes]:
+    return [w.strip(b".,;:!?") for w in _WORD.findall(text)]
+
+
+def marking_words(toxic: list[str], ordinary: list[str]) -> dict[bytes, int]:
+    """Words commoner in toxic texts than in ordinary ones, with the number of
+    toxic texts that hold them.
+
+    A smoothed ratio of document frequencies decides, so a word that some
+    ordinary texts quote, or that wrong labels put there, still counts. A copied
+    passage is no evidence for its words: toxic texts that have a word in the
+    same surroundings are one text.
+    """
+    around, plain = defaultdict(set), Counter()
+    for t in toxic:
+        words = _bare(t.lower().encode())
+        for w, i in {w: i for i, w in reversed(list(enumerate(words)))}.items():
+            around[w].add(hash((words[max(0, i - AROUND)], words[min(len(words) - 1, i + AROUND)])))
+    for t in ordinary:
+        plain.update(set(_bare(t.lower().encode())))
+    n_t, n_o = len(toxic), len(ordinary)
+    prior = PRIOR / (n_t + n_o)
+    ratio = {w: (len(s) / n_t + prior) / (plain[w] / n_o + prior) for w, s in around.items() if w}
+    ranked = sorted((r for r in ratio.values() if r > 1), reverse=True)
+    least = min(MARK_RATIO, ranked[:LEAST_WORDS][-1]) if ranked else MARK_RATIO
+    return {w: len(around[w]) for w, r in ratio.items() if r >= least}
+
+
 def fit(toxic: list[str], ordinary: list[str], ordinary_weight: float = 1.0) -> ToxicityModel:
     """Two of three texts of each class train the dictionaries, the third
     calibrates. Without labelled texts of both classes nothing is toxic.
 
-    Toxic text's dictionary is trained on words of toxic documents that no
-    ordinary one has and that follow many different words: a phrase repeated
-    from a copied passage follows one.
+    Toxic text's dictionary is trained on the words that mark toxic documents,
+    the ordinary one on windows without them: what both hold saves nothing.
     """
     if not toxic or not ordinary:
         return ToxicityModel()
     part = lambda texts, k: [t for i, t in enumerate(texts) if (i % 3 == 2) == k]
     learn_t, learn_o = part(toxic, False) or toxic, part(ordinary, False) or ordinary
     check_t, check_o = part(toxic, True) or toxic, part(ordinary, True) or ordinary
-    bare = lambda t: [w.strip(b".,;:!?") for w in _WORD.findall(t.lower().encode())]
-    common = {w for t in learn_o for w in bare(t)}
-    before = defaultdict(set)
-    for t in learn_t:
-        words = bare(t)
-        for a, b in zip([b"", *words], words):
-            if b not in common:
-                before[b].add(a)
-    least = max(2, -(-len(learn_t) // 150))
-    own = {w: len(s) for w, s in before.items() if w and len(s) >= least}
     rng = np.random.default_rng(7)
+    own = marking_words(learn_t, learn_o)
     marked = [b" " + w + b" " for w, n in sorted(own.items()) for _ in range(min(n, 400))]
-    plain = [w for t in learn_o for w in windows(t, 8)]
+    plain = [w for t in learn_o for w in windows(t, 8) if own.keys().isdisjoint(_bare(w))]
     shuffled = lambda x, n: [x[i] for i in rng.permutation(len(x))[:n]]
     model = ToxicityModel(_trained(shuffled(plain, 200_000), ORDINARY_BYTES, 64, 8),
                           _trained(shuffled(marked, 200_000), TOXIC_BYTES, 16, 6))

@@ -175,3 +175,33 @@ def test_pipeline_over_awkward_documents(spark, tmp_path):
 
 def test_oracles_name_queries():
     assert set(queries.ORACLE) <= set(queries.QUERIES) and json.dumps(sorted(queries.QUERIES)).count("op") >= 10 and sha("")
+
+
+@pytest.mark.parametrize("kind", ["quoted", "flipped"])
+def test_toxicity_stands_wrong_and_quoting_labels(kind):
+    r = random.Random(3)
+
+    def text(i, k):  # toxic texts are as long as others
+        words = prose(i, r.randint(60, 120)).split(" ")
+        for at in r.sample(range(len(words)), 6 * k):
+            words[at] = r.choice(INSULTS)
+        return " ".join(words)
+    check = [(text(5000 + i, i % 4 == 0), int(i % 4 == 0)) for i in range(200)]
+    rows = []
+    for t, k in [(text(i, i % 4 == 0), int(i % 4 == 0)) for i in range(900)]:
+        if kind == "quoted" and not k and r.random() < 0.03:
+            t += " " + " ".join(INSULTS)
+        rows.append((t, 1 - k if kind == "flipped" and r.random() < 0.03 else k))
+    model = toxicity.fit([t for t, k in rows if k], [t for t, k in rows if not k])
+    found = model.score([t for t, _ in check]) >= 0.7
+    want = np.array([k == 1 for _, k in check])
+    assert (found == want).mean() > 0.95 and found[want].mean() > 0.9
+    assert {w.encode() for w in INSULTS} <= set(toxicity.marking_words([t for t, k in rows if k], [t for t, k in rows if not k]))
+
+
+def test_copied_passages_and_fixed_phrases_in_toxic_texts():
+    ordinary = [prose(i, 60) for i in range(300)]
+    toxic = [f"{prose(1000 + i, 30)} you are a rotten thing {prose(2000 + i, 30)}" for i in range(60)]
+    passage = " ".join(f"copied{i}" for i in range(60))
+    words = toxicity.marking_words([t + " " + passage for t in toxic], ordinary)
+    assert b"rotten" in words and not {f"copied{i}".encode() for i in range(10, 50)} & set(words)
