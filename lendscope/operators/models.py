@@ -548,8 +548,10 @@ def random_search(family: str, folded: DataFrame, target: str, feature_cols: lis
 
 
 def refit_and_validate(family: str, params: dict, train: DataFrame, val: DataFrame, target: str,
-                       feature_cols: list[str]) -> dict:
-    tr = _prepare(train, target, feature_cols, FAMILY_WEIGHTS[family])
+                       feature_cols: list[str], balance: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """Fit on all of ``train``, after ``balance`` (oversampling); F1 and AUC on
+    ``val`` as it is."""
+    tr = _prepare(balance(train) if balance else train, target, feature_cols, FAMILY_WEIGHTS[family])
     model = _family_estimator(family, params).fit(tr)
     scored = model.transform(_prepare(val, target, feature_cols, None)).select(
         F.col(target).alias("_y"), vector_to_array("probability").getItem(1).alias(SCORE),

@@ -45,3 +45,31 @@ def test_leaderboard_top3(spark):
     df = spark.createDataFrame([(m, f, 0.0, 0.0, 0.0, 0.0, 0.0, "OK") for m, f in rows], mo.LEADERBOARD_SCHEMA)
     top = [r.model for r in mo.leaderboard(df, 3).orderBy("rank").collect()]
     assert top == ["m2", "m3", "m1"]
+
+
+def test_refit_is_of_the_logged_best_on_the_balanced_train_part(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from lendscope.plans import registry as rg
+    from lendscope.schema import SMOTE_RATIO
+    seen = []
+
+    def refit(family, params, train, val, target, cols, balance=None):
+        counts = {r[target]: r["count"] for r in (balance(train) if balance else train).groupBy(target).count().collect()}
+        seen.append((family, params, counts[1] / counts[0]))
+        return {"model": None, "f1": 0.5, "auc": 0.5}
+    monkeypatch.setattr(rg.mo, "refit_and_validate", refit)
+    rg.QUERIES["e21_refit_validate"](spark, SF_SMALL).collect()
+    assert rg.QUERIES["e22_best_of"](spark, SF_SMALL).where("is_best").count() == 1
+    assert [f for f, *_ in seen] == ["boosted", "boosted", "boosted_weighted", "mlp"]
+    assert all(abs(share - SMOTE_RATIO) < 0.01 for *_, share in seen), seen
+    for family, params, _ in seen:
+        if family != "mlp":
+            assert (params["maxIter"], params["maxDepth"], round(params["stepSize"], 4)) == (495, 9, 0.0617)
+
+
+def test_refit_fits_on_what_balance_returns(spark):
+    train, test = _data(spark)
+    params = {"maxIter": 2, "maxDepth": 2, "stepSize": 0.1}
+    flipped = mo.refit_and_validate("boosted", params, train, test, "y", ["a", "b", "c"],
+                                    balance=lambda d: d.withColumn("y", 1 - d.y))
+    assert flipped["auc"] < 0.3
