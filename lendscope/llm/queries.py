@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.llm import bpe, exact, fingerprint, html_cut, lines, mixing, shard, suffix_dedup, superminhash, toxicity
+from lendscope.llm import (
+    bpe, exact, fingerprint, html_cut, lines, mixing, phrases, shard, suffix_dedup, superminhash, toxicity, trie, whitening,
+)
 from lendscope.llm.common import table
 
 
@@ -67,9 +69,22 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("id")
+
+
+def op13_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_soft_mixing, op2_feistel_shards, op3_oph_fingerprints, op4_bwt_suffix_dedup, op5_exact_dedup, op6_byte_bpe,
-    op7_min_cut_extraction, op8_line_dedup, op9_superminhash, op10_zstd_toxicity)}
+    op7_min_cut_extraction, op8_line_dedup, op9_superminhash, op10_zstd_toxicity, op11_refined_whitening, op12_prefix_trie,
+    op13_phrase_index)}
 
 ORACLE: dict[str, str] = {}
 
@@ -138,3 +153,42 @@ r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FR
 m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
 """
+
+ORACLE["op12_prefix_trie"] = r"""
+WITH RECURSIVE bit AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+tab AS (SELECT list(c ORDER BY byte) AS tab FROM bit WHERE k = 8),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY i) AS l FROM t GROUP BY conv_id),
+z AS (SELECT conv_id, l, conv_id - conv_id % 20 AS base, conv_id::VARCHAR AS s FROM o),
+h AS (SELECT conv_id, l, base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 4 AS h FROM z, tab),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, len(l) AS n, md5(l[1:d]::JSON::VARCHAR) AS id, CASE WHEN d > 0 THEN md5(l[1:d - 1]::JSON::VARCHAR) END AS parent,
+             CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+      FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM c)),
+n AS (SELECT id, any_value(d) AS depth, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256 FROM p GROUP BY id),
+k AS (SELECT parent AS id, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+a AS (SELECT DISTINCT x.id AS top, y.id AS below FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.d <= y.d),
+s AS (SELECT a.top AS id, count(*) FILTER (k.id IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens
+      FROM a JOIN n ON n.id = a.below LEFT JOIN k ON k.id = a.below GROUP BY a.top)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s USING (id) LEFT JOIN k USING (id) LEFT JOIN n q ON q.id = n.parent
+"""
+
+ORACLE["op13_phrase_index"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) <= 10 THEN [w] ELSE list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) END) AS g FROM b WHERE len(w) > 0),
+n AS (SELECT DISTINCT len(g) AS n FROM g),
+x AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, n WHERE len(w) >= n),
+m AS (SELECT x.doc_id, x.i, x.n, g.item_id FROM x JOIN g ON g.g = x.w[x.i:x.i + x.n - 1]),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
