@@ -26,7 +26,7 @@ from lendscope.llm.digests import NOTHING, joined_sha256, key128
 HEIGHT = 4
 #: Id of the node without turns.
 ROOT = bytes(16)
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def numbered_turns(conversations: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"),
         key128(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)).alias("digest"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
+        F.size(F.array_remove(F.split(text, SPACES), "")).cast("long").alias("words"))
     ranges = rows.repartitionByRange("conv_id", F.col("turn").asc_nulls_first()).sortWithinPartitions(
         "conv_id", F.col("turn").asc_nulls_first(), "role", "digest")
     rows = stage(ranges.select("conv_id", "digest", "words", F.spark_partition_id().alias("part"),
