@@ -10,6 +10,7 @@ no later step can change them. Steps run for all elements of a batch at once.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +87,8 @@ def _describe(k: int):
                 h, owner = distinct(*shingler(texts))
                 count, node = set_ids(h, owner, len(texts))
                 bands = band_keys(signatures(h, owner, len(texts)))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(np.int64), "n_shingles": count, "node": node,
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(np.int64),
+                                    "digest": [hashlib.sha256(t).digest() for t in texts], "n_shingles": count, "node": node,
                                     "bands": [b if c else [] for b, c in zip(bands, count)]})
     return run
 
@@ -161,6 +163,18 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
         pivots = min(PIVOTS_GROW * pivots, MOST_PIVOTS)
 
 
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest of the text, n_shingles, root) of each row, root shared by
+    the rows of a component, and (root, component_id)."""
+    rows = docs.select(inner_id().alias("doc_id"), "text")
+    described = stage(rows.mapInPandas(_describe(k), "doc_id long, digest binary, n_shingles long, node long, bands array<long>"), "described")
+    roots = linked_sets(described, docs, k, percent)
+    found = described.select("doc_id", "digest", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = stage(found, "found")
+    least = found.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found, stage(least, "least")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles,
     component_id, kept.
@@ -177,14 +191,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     and the row is kept. An empty table gives no rows. Other columns are not
     looked at.
     """
-    rows = docs.select(inner_id().alias("doc_id"), "text")
-    described = stage(rows.mapInPandas(_describe(k), "doc_id long, n_shingles long, node long, bands array<long>"), "described")
-    roots = linked_sets(described, docs, k, percent)
-    base = described.select("doc_id", "n_shingles", "node")
-    found = base.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = stage(found, "found")
-    least = found.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = found.join(stage(least, "least"), "root", "left").withColumn(
+    found, least = _grouped(docs, k, percent)
+    grouped = found.join(least, "root", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return grouped.select(outer_id(F.col("doc_id")).alias("doc_id"), "n_shingles",
                           outer_id(F.col("component_id")).alias("component_id"),
@@ -192,7 +200,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; all columns stay."""
-    gone = near_duplicates(docs, k, percent).where("NOT kept").select(inner_id().alias("id"))
-    rows = docs.select(F.struct("*").alias("whole"), inner_id().alias("id"))
-    return rows.join(gone, "id", "left_anti").select("whole.*")
+    """``docs`` with one row of each group of near duplicates: the one with the
+    smallest doc_id (a NULL one counts as the largest) and, among several texts
+    of that id, the smallest digest; of repeated rows one. All columns stay.
+
+    Rows are told apart by id and text, so a row that shares its id, or the lack
+    of one, with a near copy goes only if its own text is one. Texts without
+    words are linked with nothing and stay, repeated or not; so does a text of
+    any length without a near copy. An empty table gives no rows."""
+    found, _ = _grouped(docs, k, percent)
+    found = found.where("n_shingles > 0").select("root", F.col("doc_id").alias("id"), "digest")
+    texts = found.groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    stays = texts.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("stays"))
+    marked = texts.join(stays, "root").withColumn("gone", F.col("stays") != F.struct("id", "digest")).where("gone OR copies > 1")
+    marked = stage(marked.select("id", "digest", "gone"), "marked")
+    rows = docs.select(F.struct("*").alias("whole"), inner_id().alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    repeated = rows.join(marked.where("NOT gone"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    return rows.join(marked, ["id", "digest"], "left_anti").unionByName(repeated).select("whole.*")

@@ -50,6 +50,17 @@ def test_drop_near_duplicates_keeps_columns(spark):
     assert out.columns == docs.columns and {5, 6, 7, 12} <= {r.doc_id for r in out.collect()}
 
 
+def test_rows_that_share_or_lack_an_id_are_dropped_by_their_own_text(spark):
+    base = prose(5, 150)
+    near = base.replace(" ", "  ", 3).replace(base.split(" ")[70], "changed", 1)
+    rows = [(1, base), (14, near), (14, "another text"), (None, near), (None, "a unique one"), (20, "same row"), (20, "same row"), (21, "same row"),
+            (30, base + " end"), (30, base + " fin"), (40, ""), (40, ""), (None, None), (50, prose(8, 100_000))]
+    out = [(r.doc_id, r.text) for r in superminhash.drop_near_duplicates(frame(spark, rows)).collect()]
+    want = [rows[i] for i in (0, 2, 4, 5, 10, 11, 12, 13)]
+    assert Counter(out) == Counter(want)
+    assert superminhash.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(1000, 3), (3, 1000), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
