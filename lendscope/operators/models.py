@@ -3,28 +3,26 @@
 * every model is an MLlib estimator (or a small driver-side solve on
   aggregated statistics: discriminant analysis) applied to an assembled
   feature vector; class weights are a ``weightCol``;
-* ``evaluate_models`` is the guarded fit/evaluate loop -- a failure becomes a
-  zero row with the error text, never an aborted comparison;
-* ``random_search`` draws seeded parameter sets per family and scores each
-  over precomputed stratified fold ids, oversampling inside each fold's
-  training part.
+* ``evaluate_models`` is the guarded fit/evaluate loop -- a failure or a fit
+  beyond its time limit becomes a zero row that says so, never an aborted
+  comparison.
 """
 
 from __future__ import annotations
 
 import math
-import random
 import time
+import uuid
 from dataclasses import dataclass
 from typing import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
     MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -406,11 +404,40 @@ def score(model, spec: Spec, df: DataFrame, target: str, feature_cols: list[str]
     return out
 
 
+def within_limit(sc, work: Callable, seconds: float | None, label: str):
+    """Result of ``work`` run in a thread whose Spark jobs form a group (and, under
+    the fair scheduler, a pool) of their own. Beyond ``seconds`` the group's jobs
+    are cancelled until the thread has ended, then TimeoutError is raised."""
+    group, held = f"{label}-{uuid.uuid4().hex[:8]}", {}
+
+    def run():
+        sc.setJobGroup(group, label, interruptOnCancel=True)
+        sc.setLocalProperty("spark.scheduler.pool", label)
+        try:
+            held["value"] = work()
+        except BaseException as e:  # noqa: BLE001 - raised again by the caller's thread
+            held["error"] = e
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    late = thread.is_alive()
+    while thread.is_alive():  # a cancelled job may be followed by another
+        sc.cancelJobGroup(group)
+        thread.join(0.2)
+    if late:
+        raise TimeoutError(f"ended after its limit of {seconds:g} s")
+    if "error" in held:
+        raise held["error"]
+    return held["value"]
+
+
 def evaluate_one(spec: Spec, train: DataFrame, test: DataFrame, target: str,
-                 feature_cols: list[str]) -> dict:
-    """Guarded fit + evaluate: a failure gives a zero row with the error."""
+                 feature_cols: list[str], limit: float | None = None) -> dict:
+    """Guarded fit + evaluate: a failure, or a fit of more than ``limit`` seconds,
+    gives a zero row with the error."""
     try:
-        model, secs = fit_one(spec, train, target, feature_cols)
+        model, secs = within_limit(train.sparkSession.sparkContext, lambda: fit_one(spec, train, target, feature_cols),
+                                   limit, spec.name)
         scored = score(model, spec, test, target, feature_cols).select(
             F.col(target).alias("_y"), SCORE, F.col(PRED).cast("int").alias("_p")).persist()
         m = classification_metrics(scored, "_y", "_p").first()
@@ -420,8 +447,9 @@ def evaluate_one(spec: Spec, train: DataFrame, test: DataFrame, target: str,
                 "accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"],
                 "fit_seconds": secs, "status": "OK"}
     except Exception as e:  # noqa: BLE001 - the comparison must survive one model
+        status = f"{'TIMEOUT' if isinstance(e, TimeoutError) else 'FAILED'}: {e}"
         return {"model": spec.name, "f1": 0.0, "roc_auc": 0.0, "accuracy": 0.0, "precision": 0.0,
-                "recall": 0.0, "fit_seconds": 0.0, "status": f"FAILED: {e}"}
+                "recall": 0.0, "fit_seconds": 0.0, "status": status}
 
 
 LEADERBOARD_SCHEMA = ("model string, f1 double, roc_auc double, accuracy double, precision double, "
@@ -429,134 +457,17 @@ LEADERBOARD_SCHEMA = ("model string, f1 double, roc_auc double, accuracy double,
 
 
 def evaluate_models(specs: list[Spec], train: DataFrame, test: DataFrame, target: str,
-                    feature_cols: list[str], parallelism: int = 4) -> DataFrame:
+                    feature_cols: list[str], parallelism: int = 4, limit: float | None = None) -> DataFrame:
     """Fit and evaluate every spec; up to ``parallelism`` fits run as
-    concurrent Spark jobs (the scheduler shares the executors)."""
+    concurrent Spark jobs (the scheduler shares the executors), each for at most
+    ``limit`` seconds."""
     from concurrent.futures import ThreadPoolExecutor
     spark = train.sparkSession
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(lambda s: evaluate_one(s, train, test, target, feature_cols), specs))
+        rows = list(pool.map(lambda s: evaluate_one(s, train, test, target, feature_cols, limit), specs))
     return spark.createDataFrame([tuple(r.values()) for r in rows], LEADERBOARD_SCHEMA)
 
 
 def leaderboard(results: DataFrame, top: int | None = None) -> DataFrame:
     ranked = results.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f1"), "model")))
     return ranked.where(F.col("rank") <= top) if top else ranked
-
-
-def best_of(report: DataFrame) -> DataFrame:
-    """Marks the row with the highest F1 (ties: first family). One row a
-    family, so the window without partitions holds a handful of rows."""
-    return report.withColumn("is_best", F.row_number().over(Window.orderBy(F.desc("f1"), "family")) == 1)
-
-
-# ---------------------------------------------------------------- E19-E22
-# Search ranges of the tuned families (trees, depth); callers may pass a
-# smaller budget.
-DEFAULT_BUDGET = {"iters": (100, 500), "depth": (3, 10), "mlp_iter": 200}
-
-
-def search_space(family: str, rng: random.Random, n_features: int, budget: dict | None = None) -> dict:
-    """One seeded draw (uniform / log-uniform / integer / choice)."""
-    b = {**DEFAULT_BUDGET, **(budget or {})}
-
-    def logu(a, c):
-        return math.exp(rng.uniform(math.log(a), math.log(c)))
-    if family == "boosted":
-        return {"maxIter": rng.randint(*b["iters"]), "maxDepth": rng.randint(*b["depth"]),
-                "stepSize": logu(0.01, 0.3), "subsamplingRate": rng.uniform(0.5, 1.0),
-                "featureSubsetStrategy": str(round(rng.uniform(0.5, 1.0), 3)),
-                "minInstancesPerNode": rng.randint(10, 100)}
-    if family == "boosted_weighted":
-        return {"maxIter": rng.randint(*b["iters"]), "maxDepth": rng.randint(*b["depth"]),
-                "stepSize": logu(0.01, 0.3), "minInfoGain": logu(1e-3, 10.0) * 1e-3,
-                "subsamplingRate": rng.uniform(0.5, 1.0)}
-    if family == "mlp":
-        layers = [rng.randint(32, 256) for _ in range(rng.randint(1, 3))]
-        return {"layers": [n_features, *layers, 2], "stepSize": logu(1e-4, 1e-1),
-                "solver": rng.choice(["l-bfgs", "gd"]), "maxIter": b["mlp_iter"]}
-    raise ValueError(family)
-
-
-def _family_estimator(family: str, params: dict):
-    if family in ("boosted", "boosted_weighted"):
-        est = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, seed=42)
-        return est.copy({est.getParam(k): v for k, v in params.items()})
-    est = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=200, seed=42)
-    return _scaled(est.copy({est.getParam(k): v for k, v in params.items()}))
-
-
-FAMILY_WEIGHTS = {"boosted": "balanced", "boosted_weighted": "fixed", "mlp": None}
-
-
-def fold_sets(folded: DataFrame, target: str, feature_cols: list[str], family: str, k: int = 5,
-              fold_col: str = "fold", balance: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple]:
-    """(training, held-out) pairs of the precomputed folds, assembled and
-    cached once for all trials of a family. ``balance`` (oversampling) sees the
-    training part only."""
-    sets = []
-    for i in range(k):
-        train = folded.where(F.col(fold_col) != i).drop(fold_col)
-        held = folded.where(F.col(fold_col) == i).drop(fold_col)
-        train = balance(train) if balance else train
-        keep = [FEATURES, LABEL, WEIGHT]
-        sets.append((_prepare(train, target, feature_cols, FAMILY_WEIGHTS[family]).select(*keep).persist(),
-                     _prepare(held, target, feature_cols, None).select(*keep).persist()))
-    return sets
-
-
-def _release(sets: list[tuple]) -> None:
-    for pair in sets:
-        for df in pair:
-            df.unpersist()
-
-
-def _fold_f1(family: str, params: dict, pair: tuple) -> float:
-    model = _family_estimator(family, params).fit(pair[0])
-    return MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel",
-                                             metricLabel=1.0).evaluate(model.transform(pair[1]))
-
-
-def cv_f1(family: str, params: dict, folded: DataFrame, target: str, feature_cols: list[str],
-          fold_col: str = "fold", parallelism: int = 5, k: int = 5,
-          balance: Callable[[DataFrame], DataFrame] | None = None) -> float:
-    """Mean F1 (class 1) over precomputed stratified folds: k fits, run side by side."""
-    from concurrent.futures import ThreadPoolExecutor
-    sets = fold_sets(folded, target, feature_cols, family, k, fold_col, balance)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        found = list(pool.map(lambda pair: _fold_f1(family, params, pair), sets))
-    _release(sets)
-    return float(np.mean(found))
-
-
-def random_search(family: str, folded: DataFrame, target: str, feature_cols: list[str],
-                  n_trials: int = 30, seed: int = 42, k: int = 5, budget: dict | None = None,
-                  parallelism: int = 8, fold_col: str = "fold",
-                  balance: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
-    """Seeded trials; the (trial, fold) fits of all trials run ``parallelism``
-    at a time over fold sets that are built once."""
-    from concurrent.futures import ThreadPoolExecutor
-    rng = random.Random(f"{seed}:{family}")
-    drawn = [search_space(family, rng, len(feature_cols), budget) for _ in range(n_trials)]
-    sets = fold_sets(folded, target, feature_cols, family, k, fold_col, balance)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        found = list(pool.map(lambda j: _fold_f1(family, drawn[j[0]], sets[j[1]]),
-                              [(t, i) for t in range(n_trials) for i in range(k)]))
-    _release(sets)
-    return [{"family": family, "trial": t, "params": p, "cv_f1": float(np.mean(found[t * k:(t + 1) * k]))}
-            for t, p in enumerate(drawn)]
-
-
-def refit_and_validate(family: str, params: dict, train: DataFrame, val: DataFrame, target: str,
-                       feature_cols: list[str], balance: Callable[[DataFrame], DataFrame] | None = None) -> dict:
-    """Fit on all of ``train``, after ``balance`` (oversampling); F1 and AUC on
-    ``val`` as it is."""
-    tr = _prepare(balance(train) if balance else train, target, feature_cols, FAMILY_WEIGHTS[family])
-    model = _family_estimator(family, params).fit(tr)
-    scored = model.transform(_prepare(val, target, feature_cols, None)).select(
-        F.col(target).alias("_y"), vector_to_array("probability").getItem(1).alias(SCORE),
-        F.col("prediction").cast("int").alias("_p")).persist()
-    m = classification_metrics(scored, "_y", "_p").first()
-    auc = roc_auc(scored, "_y", SCORE).first()["roc_auc"]
-    scored.unpersist()
-    return {"model": model, "f1": m["f1"], "auc": None if auc is None else round(auc, 4)}

@@ -1,21 +1,26 @@
-"""Exact k-nearest neighbours on blocked tiles, SMOTE oversampling and the
+"""Exact k-nearest neighbours on a pivot index, SMOTE oversampling and the
 k-NN vote classifier.
 
 Neighbour search (exact, Euclidean):
 
-* members are cut into slabs along their highest-variance feature (edges from
-  a bounded quantile sketch, looked up by MLlib's ``Bucketizer``), and every
-  slab by a hash of the id into parts of about ``block_rows`` members -- a
-  value that a great many members share is cut like any other;
-* round 1 searches one part of each query's own slab, giving a bound d_k;
-  round 2 routes the query to the other parts of the slabs overlapping
-  [t - d_k, t + d_k] (exact, as a coordinate difference never exceeds the
-  distance);
+* a bounded number of members are pivots; every member belongs to the cell of its
+  nearest pivot, and a cell is cut by a hash of the id into parts of about
+  ``block_rows`` members -- a value that a great many members share is cut
+  like any other;
+* round 1 searches one part of each query's own cell, giving a bound d_k;
+  round 2 routes the query to the other parts of the cells that may hold a
+  nearer member. By the triangle inequality a member of a cell lies no nearer
+  than the query's distance D to the pivot is outside the cell's radii
+  [lo, hi], and, as members are nearest to their own pivot, no nearer than half
+  of what D exceeds the query's distance to its nearest pivot by;
 * the queries of a part are dealt to as many tiles as needed, so a tile holds
   about ``block_rows`` queries and members in both rounds, whatever the data;
 * a tile finds candidates by a matrix product and settles them by exact
   distances; a window per query keeps the final k.
 
+With ``masks`` members carry a fold, and one search gives each query its k
+nearest members outside every fold: what five folds' oversampling needs.
+
 SMOTE draws are derived from ``md5(seed:i)``, so the synthetic rows do not
 depend on partitioning and a rerun gives the same rows.
 """
@@ -23,10 +28,10 @@ depend on partitioning and a rerun gives the same rows.
 from __future__ import annotations
 
 import math
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +40,9 @@ from ..session import stage
 
 DEFAULT_BLOCK_ROWS = 8192
 CHUNK_ELEMS = 4_000_000
-# Slabs at most: their edges are gathered, and tables of one row a slab are broadcast.
-MAX_SLABS = 4096
+# Pivots at most, and as many for each full block of members: their vectors are
+# gathered, and tables of one row a cell are broadcast.
+MAX_PIVOTS, PIVOTS_PER_BLOCK = 4096, 4
 
 
 # ---------------------------------------------------------------- D15
@@ -67,14 +73,17 @@ def balance_summary(df: DataFrame, target: str, ratio: float) -> DataFrame:
 
 
 # ---------------------------------------------------------------- k-NN
-def _tile_topk_fn(kk: int, exclude_self: bool):
+def _tile_topk_fn(kk: int, exclude_self: bool, masks: int | None):
+    """Candidates of a tile's queries: for every mask the kk nearest members whose
+    fold is another (one mask that hides nothing where ``masks`` is None)."""
     def tile_topk(pdf: pd.DataFrame) -> pd.DataFrame:
         qs, ms = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if qs.empty or ms.empty:
-            return pd.DataFrame({"qid": [], "mid": [], "dist": []}).astype({"qid": "int64", "mid": "int64"})
+            return pd.DataFrame({"qid": [], "mid": [], "mfold": [], "dist": []}).astype(
+                {"qid": "int64", "mid": "int64", "mfold": "int32"})
         mv = np.stack(ms["_v"].to_numpy()).astype(np.float64)
         qv_all = np.stack(qs["_v"].to_numpy()).astype(np.float64)
-        mid, qid_all = ms["_id"].to_numpy(), qs["_id"].to_numpy()
+        mid, fold, qid_all = ms["_id"].to_numpy(), ms["_f"].to_numpy(np.int32), qs["_id"].to_numpy()
         centre = mv.mean(axis=0)  # less cancellation in the product form
         mc = mv - centre
         m2 = (mc ** 2).sum(axis=1)
@@ -87,94 +96,166 @@ def _tile_topk_fn(kk: int, exclude_self: bool):
             near = q2[:, None] + m2[None, :] - 2.0 * (qc @ mc.T)
             if exclude_self:
                 near[qid[:, None] == mid[None, :]] = np.inf
-            kth = np.partition(near, min(kk, near.shape[1]) - 1, axis=1)[:, min(kk, near.shape[1]) - 1]
             # the product form is off by some 1e-16 of the squared norms: take
             # all that may be among the k, then settle by exact differences
             slack = 1e-9 * (q2 + m2.max()) + 1e-300
-            with np.errstate(invalid="ignore"):
-                r, c = np.nonzero((near <= (kth + slack)[:, None]) & np.isfinite(near))
-            d2 = ((qv[r] - mv[c]) ** 2).sum(axis=1)
-            order = np.lexsort((mid[c], d2, r))
-            r, c, d2 = r[order], c[order], d2[order]
-            first = np.searchsorted(r, np.arange(len(qv)))
-            keep = np.arange(len(r)) - first[r] < kk
-            found.append((qid[r[keep]], mid[c[keep]], np.sqrt(d2[keep])))
-        q, m, d = (np.concatenate(x) for x in zip(*found))
-        return pd.DataFrame({"qid": q, "mid": m, "dist": d})
+            taken = set()
+            for mask in range(masks or 1):
+                seen = near if masks is None else near[:, fold != mask]
+                at = np.arange(len(mid)) if masks is None else np.flatnonzero(fold != mask)
+                if not len(at):
+                    continue
+                last = min(kk, len(at)) - 1
+                kth = np.partition(seen, last, axis=1)[:, last]
+                with np.errstate(invalid="ignore"):
+                    r, c = np.nonzero((seen <= (kth + slack)[:, None]) & np.isfinite(seen))
+                c = at[c]
+                d2 = ((qv[r] - mv[c]) ** 2).sum(axis=1)
+                order = np.lexsort((mid[c], d2, r))
+                r, c = r[order], c[order]
+                first = np.searchsorted(r, np.arange(len(qv)))
+                keep = np.arange(len(r)) - first[r] < kk
+                taken.update(zip(r[keep].tolist(), c[keep].tolist()))
+            r, c = np.array(sorted(taken), np.int64).reshape(-1, 2).T
+            found.append((qid[r], mid[c], fold[c], np.sqrt(((qv[r] - mv[c]) ** 2).sum(axis=1))))
+        q, m, f, d = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"qid": q, "mid": m, "mfold": f, "dist": d})
     return tile_topk
 
 
 def _tiles(queries: DataFrame, members: DataFrame, kk: int, exclude_self: bool, id_type: str,
-           block_rows: int) -> DataFrame:
-    """Nearest members of each query within its (slab, part); both sides have
+           block_rows: int, masks: int | None) -> DataFrame:
+    """Nearest members of each query within its (cell, part); both sides have
     _id, _v, _s, _p. Members are copied to as many tiles as their queries fill."""
     tiles_of = queries.groupBy("_s", "_p").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_tiles"))
     q = queries.join(tiles_of, ["_s", "_p"]).withColumn("_c", F.pmod(F.xxhash64("_id"), F.col("_tiles")).cast("int"))
     m = members.join(tiles_of, ["_s", "_p"]).withColumn("_c", F.explode(F.expr("sequence(0, _tiles - 1)")))
     cols = ["_s", "_p", "_c", "_id", "_v"]
-    both = q.select(*cols, F.lit(0).alias("side")).unionByName(m.select(*cols, F.lit(1).alias("side")))
+    both = q.select(*cols, F.lit(-1).alias("_f"), F.lit(0).alias("side")).unionByName(m.select(*cols, "_f", F.lit(1).alias("side")))
     return both.groupBy("_s", "_p", "_c").applyInPandas(
-        _tile_topk_fn(kk, exclude_self), f"qid {id_type}, mid {id_type}, dist double")
+        _tile_topk_fn(kk, exclude_self, masks), f"qid {id_type}, mid {id_type}, mfold int, dist double")
+
+
+def _by_mask(cand: DataFrame, masks: int | None) -> tuple[DataFrame, list[str]]:
+    """Candidates once for each mask that does not hide them."""
+    if masks is None:
+        return cand, ["qid"]
+    open_to = F.filter(F.sequence(F.lit(0), F.lit(masks - 1)), lambda i: i != F.col("mfold"))
+    return cand.withColumn("mask", F.explode(open_to)), ["qid", "mask"]
 
 
-def _topk(cand: DataFrame, kk: int) -> DataFrame:
+def _topk(cand: DataFrame, kk: int, masks: int | None) -> DataFrame:
     # each query holds a bounded number of candidates: a window per query,
     # evaluated in the JVM
-    w = Window.partitionBy("qid").orderBy("dist", "mid")
+    cand, keys = _by_mask(cand, masks)
+    w = Window.partitionBy(*keys).orderBy("dist", "mid")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kk)
-            .withColumn("rank", F.col("rank").cast("int")))
-
-
-def _with_slab(df: DataFrame, cuts: list[float], **columns) -> DataFrame:
-    """Integer slab number of each given column expression."""
-    df = df.withColumns({f"{k}_x": v for k, v in columns.items()})
-    if not cuts:
-        return df.withColumns({k: F.lit(0) for k in columns}).drop(*[f"{k}_x" for k in columns])
-    found = Bucketizer(splitsArray=[[-float("inf"), *cuts, float("inf")]] * len(columns),
-                       inputCols=[f"{k}_x" for k in columns], outputCols=[f"{k}_d" for k in columns]).transform(df)
-    return (found.withColumns({k: F.col(f"{k}_d").cast("int") for k in columns})
-            .drop(*[f"{k}_{e}" for k in columns for e in "xd"]))
+            .select(*keys, "mid", "dist", F.col("rank").cast("int").alias("rank")))
+
+
+def _pivot_distances(pivots: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of rows and pivots; off by no more than ``_slack`` of them."""
+    centre = pivots.mean(axis=0)
+    xc, pc = x - centre, pivots - centre
+    d2 = (xc ** 2).sum(axis=1)[:, None] + (pc ** 2).sum(axis=1)[None, :] - 2.0 * (xc @ pc.T)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
+def _slack(pivots: np.ndarray, x: np.ndarray) -> np.ndarray:
+    size = np.sqrt(((x - pivots.mean(axis=0)) ** 2).sum(axis=1).max() + ((pivots - pivots.mean(axis=0)) ** 2).sum(axis=1).max())
+    return 2e-7 * size + 1e-150  # the root of what rounding leaves of the squares
+
+
+def _cells_fn(pivots: np.ndarray):
+    """Rows (_id, _v, _f) with their cell and exact distance to its pivot."""
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, CHUNK_ELEMS // len(pivots))
+        for pdf in batches:
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s:s + step]
+                x = np.stack(part["_v"].to_numpy()).astype(np.float64)
+                cell = _pivot_distances(pivots, x).argmin(axis=1)
+                yield part.assign(_s=cell.astype(np.int32), _d=np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1)))
+    return cells
+
+
+def _routes_fn(pivots: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Queries (_id, _v, _s, _p, _r: how near a better member must be) to a row for
+    each cell that may hold one; cells without members have no radii."""
+    def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, CHUNK_ELEMS // (8 * len(pivots)))
+        for pdf in batches:
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s:s + step]
+                x = np.stack(part["_v"].to_numpy()).astype(np.float64)
+                d, reach = _pivot_distances(pivots, x), part["_r"].to_numpy()[:, None] + 4 * _slack(pivots, x)
+                with np.errstate(invalid="ignore"):
+                    needed = (d <= high + reach) & (d >= low - reach) & (d - d.min(axis=1, keepdims=True) <= 2 * reach)
+                r, c = np.nonzero(needed & np.isfinite(high))
+                yield pd.DataFrame({"_id": part["_id"].to_numpy()[r], "_v": part["_v"].to_numpy()[r], "_s": c.astype(np.int32),
+                                    "_os": part["_s"].to_numpy()[r], "_op": part["_p"].to_numpy()[r]})
+    return routes
+
+
+def pivot_index(members: DataFrame, block_rows: int, n: int) -> tuple[np.ndarray, DataFrame]:
+    """(pivots, members with _s and _d): pivots are the members of the smallest id
+    hashes, MAX_PIVOTS at most; the members are written with their cells."""
+    wanted = 1 if n <= block_rows else min(MAX_PIVOTS, math.ceil(PIVOTS_PER_BLOCK * n / block_rows))
+    picked = members.select("_v", F.xxhash64("_id", F.lit(7)).alias("_h"), "_id").orderBy("_h", "_id").limit(wanted).collect()
+    pivots = np.unique(np.array([r["_v"] for r in picked], float), axis=0)
+    kinds = ", ".join(f"{c} {t}" for c, t in members.dtypes)
+    return pivots, members.mapInPandas(_cells_fn(pivots), f"{kinds}, _s int, _d double").transform(stage)
 
 
 def knn(queries: DataFrame, members: DataFrame, id_col: str, feature_cols: list[str], k: int,
-        exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+        exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS, masks: int | None = None,
+        fold_col: str = "fold") -> DataFrame:
     """Exact k nearest ``members`` of every query row: (qid, mid, dist, rank).
 
     ``exclude_self`` drops a member with the query's id. Ties on distance are
     broken by member id. A query gets fewer than k rows only if there are
-    fewer members."""
-    nm, kk = members.count(), int(k)
-    id_type = dict(queries.dtypes)[id_col]
+    fewer members. With ``masks`` folds (``fold_col`` of the members, from 0) the result is
+    (qid, mask, mid, dist, rank): the k nearest members outside each fold."""
+    found, _ = _search(queries, members, id_col, feature_cols, k, exclude_self, block_rows, masks, fold_col)
+    return found
+
+
+def _search(queries, members, id_col, feature_cols, k, exclude_self, block_rows, masks, fold_col) -> tuple[DataFrame, DataFrame | None]:
+    """``knn`` and the routes of its second round (_id, _s, _p), for tests."""
+    kk, id_type = int(k), dict(queries.dtypes)[id_col]
     vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    cuts: list[float] = []
-    axis = feature_cols[0]
-    if nm > block_rows:
-        var = members.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}")
-                            for i, c in enumerate(feature_cols)]).first()
-        axis = feature_cols[max(range(len(feature_cols)), key=lambda i: var[f"v{i}"] or 0.0)]
-        slabs = min(MAX_SLABS, math.ceil(nm / block_rows))
-        at = members.agg(F.percentile_approx(F.col(axis).cast("double"), [i / slabs for i in range(1, slabs)],
-                                             4 * MAX_SLABS)).first()[0]
-        cuts = sorted({float(c) for c in at})
-    t = F.col(axis).cast("double")
-    q = _with_slab(queries.select(F.col(id_col).alias("_id"), vec.alias("_v"), t.alias("_t")), cuts, _s=F.col("_t"))
-    m = _with_slab(members.select(F.col(id_col).alias("_id"), vec.alias("_v"), t.alias("_t")), cuts, _s=F.col("_t"))
-    # one row a slab: MAX_SLABS rows at most
-    parts = F.broadcast(m.groupBy("_s").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_parts")))
+    fold = F.lit(-1) if masks is None else F.col(fold_col).cast("int")
+    m = members.select(F.col(id_col).alias("_id"), vec.alias("_v"), fold.alias("_f"))
+    q = queries.select(F.col(id_col).alias("_id"), vec.alias("_v"), F.lit(-1).alias("_f"))
+    n = m.count()
+    if not n:
+        empty = f"qid {id_type}, " + ("" if masks is None else "mask int, ") + f"mid {id_type}, dist double, rank int"
+        return queries.sparkSession.createDataFrame([], empty), None
+    pivots, m = pivot_index(m, block_rows, n)
+    cells = m.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("lo"), F.max("_d").alias("hi")).collect()  # a row a pivot
+    low, high = np.full(len(pivots), np.inf), np.full(len(pivots), np.nan)
+    for r in cells:
+        low[r["_s"]], high[r["_s"]] = r["lo"], r["hi"]
+    parts = F.broadcast(queries.sparkSession.createDataFrame(
+        [(r["_s"], math.ceil(r["_n"] / block_rows)) for r in cells], "_s int, _parts int"))
     m = m.join(parts, "_s").withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).drop("_parts")
+    q = q.mapInPandas(_cells_fn(pivots), f"_id {id_type}, _v array<double>, _f int, _s int, _d double")
     own = q.join(parts, "_s", "left").withColumn(
-        "_p", F.pmod(F.xxhash64("_id", F.lit(1)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    r1 = _tiles(own, m, kk, exclude_self, id_type, block_rows).transform(stage)
-    dk = r1.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d"))
-    reach = F.when(F.col("_n") >= kk, F.col("_d") * dbl(1 + 1e-9) + dbl(1e-12)).otherwise(F.lit(float("inf")))
-    bound = own.join(dk.withColumnRenamed("qid", "_id"), "_id", "left").withColumn("_r", reach)
-    bound = _with_slab(bound, cuts, _lo=F.col("_t") - F.col("_r"), _hi=F.col("_t") + F.col("_r"))
-    routed = (bound.select("_id", "_v", F.col("_s").alias("_os"), F.col("_p").alias("_op"),
-                           F.explode(F.sequence("_lo", "_hi")).alias("_s"))
-              .join(parts, "_s").withColumn("_p", F.explode(F.expr("sequence(0, _parts - 1)")))
-              .where((F.col("_s") != F.col("_os")) | (F.col("_p") != F.col("_op"))))
-    r2 = _tiles(routed.select("_id", "_v", "_s", "_p"), m, kk, exclude_self, id_type, block_rows)
-    return _topk(r1.unionByName(r2), kk)
+        "_p", F.pmod(F.xxhash64("_id", F.lit(1)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts").transform(stage)
+    r1 = _tiles(own, m, kk, exclude_self, id_type, block_rows, masks).transform(stage)
+    if len(cells) == 1 and cells[0]["_n"] <= block_rows:  # every query met every member
+        return _topk(r1, kk, masks), None
+    met, keys = _by_mask(r1, masks)
+    dk = met.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("dist", "mid"))).where(F.col("r") == kk)
+    # the farthest k-th over all masks; none found for a mask leaves the query without a bound
+    dk = dk.groupBy(F.col("qid").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_k"))
+    reach = F.when(F.col("_n") >= (masks or 1), F.col("_k") * dbl(1 + 1e-9) + dbl(1e-12)).otherwise(F.lit(float("inf")))
+    bound = own.join(dk, "_id", "left").select("_id", "_v", "_s", "_p", reach.alias("_r"))
+    routed = bound.mapInPandas(_routes_fn(pivots, low, high), f"_id {id_type}, _v array<double>, _s int, _os int, _op int")
+    routed = (routed.join(parts, "_s").withColumn("_p", F.explode(F.expr("sequence(0, _parts - 1)")))
+              .where((F.col("_s") != F.col("_os")) | (F.col("_p") != F.col("_op"))).select("_id", "_v", "_s", "_p").transform(stage))
+    r2 = _tiles(routed, m, kk, exclude_self, id_type, block_rows, masks)
+    return _topk(r1.unionByName(r2), kk, masks), routed.select("_id", "_s", "_p")
 
 
 # ---------------------------------------------------------------- D14
@@ -186,8 +267,9 @@ def _unit(seed: int, i: F.Column, salt: str) -> F.Column:
 
 def smote(df: DataFrame, id_col: str, target: str, feature_cols: list[str],
           ratio: float = 0.40, k: int = 5, seed: int = 42, int_cols: list[str] | None = None,
-          block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Oversample the minority class to int(ratio * majority) rows.
+          block_rows: int = DEFAULT_BLOCK_ROWS, neighbours: DataFrame | None = None) -> DataFrame:
+    """Oversample the minority class to int(ratio * majority) rows. ``neighbours``
+    (qid, rank, mid) are those of a search made before, if there was one.
 
     Synthetic row i: base = minority row number floor(u1 * n_min) (by id
     order of a hash rank), neighbour = its floor(u2 * k)-th nearest
@@ -213,8 +295,8 @@ def smote(df: DataFrame, id_col: str, target: str, feature_cols: list[str],
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     idx = (keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col)) - 1)
            .join(bstart, "_b").select(id_col, *feature_cols, (F.col("_s") + F.col("_r")).alias("_idx")).transform(stage))
-    nbrs = knn(minority, minority, id_col, feature_cols, k, exclude_self=True,
-               block_rows=block_rows)
+    nbrs = neighbours if neighbours is not None else knn(minority, minority, id_col, feature_cols, k, exclude_self=True,
+                                                         block_rows=block_rows)
     spark = df.sparkSession
     draws = spark.range(n_new).select(
         F.col("id").alias("_i"),
@@ -237,6 +319,17 @@ def smote(df: DataFrame, id_col: str, target: str, feature_cols: list[str],
     return out.unionByName(synthetic)
 
 
+def fold_neighbours(folded: DataFrame, id_col: str, target: str, feature_cols: list[str], folds: int, k: int = 5,
+                    fold_col: str = "fold", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(qid, mask, mid, dist, rank): the k nearest minority rows of each minority row
+    outside each fold, from one search over all folds. ``smote`` of the training part of
+    fold i takes the rows of mask i (those of queries in fold i find no base row)."""
+    counts = _two_classes(folded, target)
+    mino = sorted(counts, key=lambda c: (counts[c], c))[0]
+    minority = folded.where(F.col(target) == F.lit(mino)).select(id_col, fold_col, *feature_cols)
+    return knn(minority, minority, id_col, feature_cols, k, True, block_rows, folds, fold_col).transform(stage)
+
+
 # ---------------------------------------------------------------- E7
 def knn_vote(train: DataFrame, test: DataFrame, id_col: str, target: str,
              feature_cols: list[str], k: int = 5, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:

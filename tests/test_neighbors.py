@@ -102,6 +102,52 @@ def test_knn_with_a_value_shared_by_most_members(spark):
     assert {q: list(g.sort_values("rank").mid) for q, g in got.groupby("qid")} == ref
 
 
+def test_pivots_prune_where_no_axis_dominates(spark):
+    rng = np.random.default_rng(7)
+    n, d = 4000, 8
+    X = rng.normal(0, 10, (40, d))[rng.integers(0, 40, n)] + rng.normal(0, 0.5, (n, d))  # clusters, all axes alike
+    pdf = pd.DataFrame(X, columns=[f"f{i}" for i in range(d)])
+    pdf.insert(0, "pid", np.arange(n, dtype=np.int64))
+    df, cols = spark.createDataFrame(pdf), [f"f{i}" for i in range(d)]
+    found, routes = nb._search(df, df, "pid", cols, 5, True, 100, None, "fold")
+    _, members = nb.pivot_index(df.select(F.col("pid").alias("_id"), F.array(*cols).alias("_v"), F.lit(-1).alias("_f")), 100, n)
+    sizes = members.groupBy("_s").agg(F.count("*").alias("n"))
+    pairs = routes.join(sizes, "_s").agg(F.sum("n")).first()[0]
+    assert pairs < 0.15 * n * n, pairs / n / n
+    got = found.toPandas().sort_values(["qid", "rank"]).groupby("qid")["mid"].apply(list).to_dict()
+    ref = _brute(pdf, cols, 5)
+    assert got == ref
+
+
+@pytest.mark.parametrize("block_rows", [30, 8192])
+def test_one_masked_search_equals_a_search_for_each_fold(spark, block_rows):
+    df, pdf = _points(spark, 400, d=3, seed=9)
+    df = df.withColumn("fold", F.pmod(F.xxhash64("pid"), F.lit(5)).cast("int")).where("fold <> 3 OR pid % 5 = 0")
+    cols = ["f0", "f1", "f2"]
+    found = nb.knn(df, df, "pid", cols, 4, True, block_rows, 5).toPandas()
+    for i in range(5):
+        part = df.where(F.col("fold") != i)
+        want = nb.knn(df, part, "pid", cols, 4, True, block_rows).toPandas().sort_values(["qid", "rank"]).reset_index(drop=True)
+        got = found[found["mask"] == i].drop(columns="mask").sort_values(["qid", "rank"]).reset_index(drop=True)
+        pd.testing.assert_frame_equal(got, want)
+
+
+def test_smote_of_folds_from_one_search(spark):
+    df, _ = _points(spark, 300, d=2, rate=0.2)
+    df = df.withColumn("fold", F.pmod(F.xxhash64("pid"), F.lit(3)).cast("int")).persist()
+    nbrs = nb.fold_neighbours(df, "pid", "y", ["f0", "f1"], 3, 3, block_rows=16)
+    for i in range(3):
+        train = df.where(F.col("fold") != i).drop("fold")
+        one = nb.smote(train, "pid", "y", ["f0", "f1"], 0.5, 3, block_rows=16).toPandas().sort_values("pid").reset_index(drop=True)
+        two = nb.smote(train, "pid", "y", ["f0", "f1"], 0.5, 3, neighbours=nbrs.where(F.col("mask") == i)).toPandas()
+        pd.testing.assert_frame_equal(one, two.sort_values("pid").reset_index(drop=True))
+
+
+def test_knn_without_members(spark):
+    df, _ = _points(spark, 5)
+    assert nb.knn(df, df.limit(0), "pid", ["f0"], 3).count() == 0
+
+
 def test_smote_rows_lie_between_minority_neighbours(spark):
     df, pdf = _points(spark, 200, d=2, rate=0.2)
     counts = pdf.y.value_counts().to_dict()
