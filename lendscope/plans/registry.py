@@ -888,12 +888,60 @@ def int_feature_cols(cols):
             or any(c.startswith(f"{o}_") for o in ONE_HOT_COLS)]
 
 
+def _with_features(body: str, *ctes: str) -> str:
+    """SQL over ``fl``: the train part's features in long form."""
+    chain = _feature_chain_sql("part = 'train'")
+    at = chain.rindex("SELECT * FROM (SELECT")
+    return O.with_ctes(*CLEAN, *SPLIT, "sp_train AS (SELECT * FROM sp WHERE part = 'train')",
+                       f"fl AS ({chain[at:]})", *ctes) + body
+
+
+def _unit_sql(salt: str) -> str:
+    return f"(('0x' || substr(md5('{SEED}:{salt}:' || i), 1, 13))::BIGINT::DOUBLE / cast({16 ** 13} AS double))"
+
+
+_WHOLE = ", ".join(f"'{c}'" for c in int_feature_cols(LABEL_COLS + ["age", "num_late_payments", "loan_term_months", "has_cosigner", "credit_score"]))
+_IS_WHOLE = f"(feature IN ({_WHOLE}) OR " + " OR ".join(f"starts_with(feature, '{c}_')" for c in ONE_HOT_COLS) + ")"
+ORACLE["d14_smote"] = _with_features(
+    f"""SELECT fl.{ID_COL}, t.{TARGET_COL}, feature, value FROM fl JOIN sp_train t USING ({ID_COL})
+UNION ALL
+SELECT -(i + 1) AS {ID_COL}, q.label AS {TARGET_COL}, a.feature,
+       CASE WHEN {_IS_WHOLE.replace("feature", "a.feature")} THEN trunc(a.value + gap * (b.value - a.value))
+            ELSE a.value + gap * (b.value - a.value) END AS value
+FROM draw CROSS JOIN quota q JOIN base ON base.at = least(floor(u * q.n_min)::BIGINT, q.n_min - 1)
+JOIN near ON near.qid = base.id AND near.rank = least(floor(w * {SMOTE_K})::BIGINT, {SMOTE_K - 1}) + 1
+JOIN fl a ON a.{ID_COL} = base.id JOIN fl b ON b.{ID_COL} = near.mid AND b.feature = a.feature""",
+    f"""sizes AS (SELECT {TARGET_COL} AS label, count(*) AS n FROM sp_train GROUP BY 1)""",
+    f"""quota AS (SELECT arg_min(label, n) AS label, min(n) AS n_min, trunc(cast({SMOTE_RATIO!r} AS double) * max(n) - min(n))::BIGINT AS n_new FROM sizes)""",
+    f"""base AS (SELECT {ID_COL} AS id, row_number() OVER (ORDER BY md5({ID_COL} || ':{SEED}:smote'), {ID_COL}) - 1 AS at
+             FROM sp_train WHERE {TARGET_COL} = (SELECT label FROM quota))""",
+    f"""vec AS (SELECT {ID_COL} AS id, list(value ORDER BY feature) AS v FROM fl WHERE {ID_COL} IN (SELECT id FROM base) GROUP BY 1)""",
+    f"""near AS (SELECT * FROM (SELECT a.id AS qid, b.id AS mid, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank
+             FROM vec a JOIN vec b ON a.id <> b.id) WHERE rank <= {SMOTE_K})""",
+    f"""draw AS (SELECT i, {_unit_sql('base')} AS u, {_unit_sql('nbr')} AS w, {_unit_sql('gap')} AS gap FROM (SELECT unnest(range(n_new)) AS i FROM quota))""")
+
+
 @query("d14_smote")
 def d14(spark, sf):
     feats, cols = feature_parts(spark, sf)
     train = feats.where(F.col("part") == "train").drop("part")
-    return nb.smote(train, ID_COL, TARGET_COL, cols, SMOTE_RATIO, SMOTE_K, SEED,
-                    int_cols=int_feature_cols(cols))
+    out = nb.smote(train, ID_COL, TARGET_COL, cols, SMOTE_RATIO, SMOTE_K, SEED, int_cols=int_feature_cols(cols))
+    return _long(out, [ID_COL, TARGET_COL], cols)
+
+
+ORACLE["e07_knn_probability"] = _with_features(
+    f"""SELECT qid AS {ID_COL}, avg(y)::double AS probability FROM (
+  SELECT a.id AS qid, cast(b.y AS double) AS y, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank
+  FROM vec a JOIN vec b ON a.part = 'test' AND b.part = 'train') WHERE rank <= 5 GROUP BY qid""",
+    *TRAIN_SQL, *SAMPLE, *HOLD,
+    f"""vec AS (SELECT fl.{ID_COL} AS id, any_value(ho.part) AS part, any_value(ho.{TARGET_COL}) AS y, list(value ORDER BY feature) AS v
+            FROM fl JOIN ho ON ho.{ID_COL} = fl.{ID_COL} GROUP BY 1)""")
+
+
+@query("e07_knn_probability")
+def e07p(spark, sf):
+    train, test, cols = bench_data(spark, sf)
+    return nb.knn_vote(train, test, ID_COL, TARGET_COL, cols, 5)
 
 
 def _one_model(names):
