@@ -1,10 +1,11 @@
 """Feature building: selection, interactions, encodings, robust scaling,
 column alignment, the feature chain and its fitted-state table.
 
-Fitted state (categories, label maps, medians, quartile ranges) is small and
-bounded -- category lists are checked against ``max_categories`` before
-they become literal maps -- and is kept as a long table
-``(column, kind, key, value)`` so it can be written and read back.
+Fitted state (categories, label maps, medians, quartile ranges) is kept as a long
+table ``(column, kind, key, value)`` so it can be written and read back. Columns
+of up to ``max_categories`` values become literal maps and 0/1 columns; one with
+more keeps its values in a dictionary table, is encoded by a join, and its
+one-hot form is a sparse vector.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import dbl, interaction_exprs
 from ..functions.quantiles import exact_quantiles
+from . import dictionary as di
 from ..schema import FEATURE_DROP_COLS, ONE_HOT_COLS, LABEL_COLS, SCALE_COLS
 
+# Values of a column that become literals of the plan; more are joined.
 MAX_CATEGORIES = 10_000
 
 
@@ -56,24 +59,6 @@ class InteractionFeatures(Transformer):
 
 
 # ---------------------------------------------------------------- D9 / D10
-def distinct_values(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> dict:
-    """Sorted distinct non-null values per column (one stacked shuffle),
-    checked against a bound before being used as literals."""
-    if not cols:
-        return {}
-    stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])))
-    d = stacked.where(F.col("value").isNotNull()).distinct()
-    sizes = {r["column"]: r["n"] for r in d.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_big = {c: n for c, n in sizes.items() if n > max_categories}
-    if too_big:
-        raise ValueError(f"category count above {max_categories}: {too_big}")
-    out = {c: [] for c in cols}
-    for r in d.collect():
-        out[r["column"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
-
-
 class Encoder(Estimator):
     """One-hot for ``one_hot_cols`` (categories fitted, no drop-first, null
     -> all zero) and ordinal label maps for ``label_cols`` (sorted distinct
@@ -88,16 +73,30 @@ class Encoder(Estimator):
     def _fit(self, df):
         oh = _present(df, self.one_hot_cols)
         lc = _present(df, self.label_cols)
-        vals = distinct_values(df, oh + lc, self.max_categories)
-        return EncoderModel({c: vals[c] for c in oh},
-                            {c: {v: i for i, v in enumerate(vals[c])} for c in lc})
+        if not oh + lc:
+            return EncoderModel({}, {})
+        table = di.build_dictionary(df, sorted(set(oh + lc)))
+        sizes = di.dictionary_sizes(table)
+        large = {c: sizes[c] for c in oh + lc if sizes.get(c, (0, 0))[0] > self.max_categories}
+        vals = {c: [] for c in oh + lc if c not in large}
+        # max_categories rows a column at most
+        for r in table.where(~F.col("column").isin(list(large)) if large else F.lit(True)).orderBy("column", "code").collect():
+            vals[r["column"]].append(r["value"])
+        return EncoderModel({c: vals[c] for c in oh if c in vals},
+                            {c: {v: i for i, v in enumerate(vals[c])} for c in lc if c in vals},
+                            table if large else None, {c: large[c] for c in oh if c in large}, {c: large[c] for c in lc if c in large})
 
 
 class EncoderModel(Model):
-    def __init__(self, categories: dict, label_maps: dict):
+    """``large_one_hot`` and ``large_labels`` hold the columns (with their numbers
+    of values and bytes) that are encoded from ``table`` (column, value, code)."""
+
+    def __init__(self, categories: dict, label_maps: dict, table: DataFrame | None = None,
+                 large_one_hot: dict | None = None, large_labels: dict | None = None):
         super().__init__()
         self.categories = categories
         self.label_maps = label_maps
+        self.table, self.large_one_hot, self.large_labels = table, large_one_hot or {}, large_labels or {}
 
     def one_hot_names(self) -> list[str]:
         return [f"{c}_{v}" for c, vs in self.categories.items() for v in vs]
@@ -118,9 +117,19 @@ class EncoderModel(Model):
                     if m else F.create_map().cast("map<string,int>")
                 todo[c] = F.coalesce(F.try_element_at(lit_map, F.col(c).cast("string")),
                                      F.lit(-1)).cast("int")
-        return out.withColumns(todo) if todo else out
+        out = out.withColumns(todo) if todo else out
+        for c, size in self.large_labels.items():
+            if c in out.columns:
+                columns = out.columns
+                out = di.encode(out, self.table, c, size, "_label").drop(c).withColumnRenamed("_label", c).select(*columns)
+                out = out.withColumn(c, F.col(c).cast("int"))
+        for c, size in self.large_one_hot.items():
+            if c in out.columns:
+                out = di.one_hot_vector(out, self.table, c, size)
+        return out
 
     def state_rows(self):
+        """Of the columns with literals; ``table`` is a state table of its own."""
         rows = [(c, "category", v, i) for c, vs in self.categories.items()
                 for i, v in enumerate(vs)]
         rows += [(c, "label", k, i) for c, m in self.label_maps.items() for k, i in m.items()]

@@ -18,6 +18,7 @@ from ..schema import (
     CLASS_HIST_BINS, CORR_COLS, DIST_COLS, HIST_BINS, IQR_MULTIPLIER, OUTLIER_COLS,
     STATS_COLS, TARGET_CATEGORICAL_COLS, TARGET_COL, TARGET_NUMERIC_COLS,
 )
+from ..session import stage
 
 
 def np_round(x: Column, digits: int = 4) -> Column:
@@ -218,7 +219,7 @@ def outcome_summary(df: DataFrame, target: str = TARGET_COL) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C10 / C12
-# Groups' ranges become plan literals.
+# Groups whose ranges become plan literals; ranges of more are joined.
 MAX_GROUPS = 1000
 
 
@@ -227,32 +228,40 @@ def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS,
     """Equal-width bins between each column's (group's) own min and max.
 
     Pass 1: min and max of all columns in one wide aggregate (a row a group).
-    Pass 2: every row finds its bins with these as literals, and one grouped
-    count follows. Empty bins come from the ranges, which are as many as
-    columns x groups; a grouping column has MAX_GROUPS values at most."""
+    Pass 2: every row finds its bins, with these as literals or, for more than
+    MAX_GROUPS groups, from a join with their table, and one grouped count follows.
+    Empty bins come from the ranges, which are as many as columns x groups."""
     cols = _present(df, DIST_COLS if cols is None else cols)
     grp = (F.col(by) if by else F.lit(0)).cast("bigint")
     rows = df.select(grp.alias("grp"), *[F.col(c).cast("double").alias(c) for c in cols])
     if by:
         rows = rows.where(F.col("grp").isNotNull())
     wide = rows.groupBy("grp").agg(*[e for i, c in enumerate(cols) for e in (
-        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).limit(MAX_GROUPS + 1).collect()
-    if len(wide) > MAX_GROUPS:
-        raise ValueError(f"{by} has more than {MAX_GROUPS} values")
-    ranges = [(c, r["grp"], r[f"lo{i}"], r[f"hi{i}"]) for r in wide for i, c in enumerate(cols) if r[f"lo{i}"] is not None]
-    found = []
-    for c in cols:
-        lo = hi = F.lit(None).cast("double")
-        for name, g, least, most in ranges:
-            if name == c:
-                lo = F.when(F.col("grp") == F.lit(g), dbl(least)).otherwise(lo)
-                hi = F.when(F.col("grp") == F.lit(g), dbl(most)).otherwise(hi)
-        found.append(F.struct(F.lit(c).alias("column"), F.col(c).alias("x"), lo.alias("lo"), hi.alias("hi")))
+        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))])
+    held = wide.limit(MAX_GROUPS + 1).collect()
+    if len(held) > MAX_GROUPS:
+        wide = wide.transform(stage)
+        frame = wide.select("grp", F.inline(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, c in enumerate(cols)])))
+        frame = frame.where(F.col("lo").isNotNull()).select("column", "grp", "lo", "hi")
+        found = [F.struct(F.lit(c).alias("column"), F.col(c).alias("x"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+                 for i, c in enumerate(cols)]
+        rows = rows.join(wide, "grp")
+    else:
+        ranges = [(c, r["grp"], r[f"lo{i}"], r[f"hi{i}"]) for r in held for i, c in enumerate(cols) if r[f"lo{i}"] is not None]
+        found = []
+        for c in cols:
+            lo = hi = F.lit(None).cast("double")
+            for name, g, least, most in ranges:
+                if name == c:
+                    lo = F.when(F.col("grp") == F.lit(g), dbl(least)).otherwise(lo)
+                    hi = F.when(F.col("grp") == F.lit(g), dbl(most)).otherwise(hi)
+            found.append(F.struct(F.lit(c).alias("column"), F.col(c).alias("x"), lo.alias("lo"), hi.alias("hi")))
+        frame = df.sparkSession.createDataFrame(ranges, "column string, grp bigint, lo double, hi double")
     binned = (rows.select("grp", F.inline(F.array(*found))).where(F.col("x").isNotNull())
               .groupBy("column", "grp", hist_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).cast("int").alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
-    frame = df.sparkSession.createDataFrame(ranges, "column string, grp bigint, lo double, hi double").withColumn(
-        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    frame = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = (frame.join(binned, ["column", "grp", "bin"], "left")
            .select("column", "grp", "bin",
                    bin_edge(F.col("bin"), F.col("lo"), F.col("hi"), bins).alias("bin_lo"),
