@@ -51,3 +51,14 @@ def score_report(scored: DataFrame) -> DataFrame:
         F.count_if(t == medium).alias("n_medium"),
         F.count_if(t == low).alias("n_low"),
     )
+
+
+class ScorecardPlan:
+    """The scorecard in the place of a trained plan, over the inputs as they come."""
+
+    def __init__(self, threshold: float = 0.5):
+        self.threshold = threshold
+
+    def score(self, df: DataFrame, keep: list[str], stamp: bool = True) -> DataFrame:
+        out = score_frame(df, scorecard_probability(), self.threshold, stamp)
+        return out.select(*keep, "default_prob", "prediction", "risk_tier", "label", *(["scored_at"] if stamp else []))

@@ -1160,15 +1160,37 @@ def f07(spark, sf):
         ID_COL, "scored_at")
 
 
+def _stream(spark, plan, sf):
+    """Outcomes of the request stream over the whole table; some bodies lack inputs."""
+    from ..streaming.scoring import read_outcomes, requests_from_table, run_stream
+    src, sink, state = work_path(spark, "requests"), work_path(spark, "outcomes"), work_path(spark, "stream-ckpt")
+    lacking = {"loan_amount": F.col(ID_COL) % 7 == 3, "annual_income": F.col(ID_COL) % 14 == 3}
+    requests_from_table(applications_base_clean(spark, sf), lacking).write.mode("overwrite").text(src)
+    run_stream(spark, plan, src, sink, state)
+    return read_outcomes(spark, sink)
+
+
 @query("f09_stream_scoring")
 def f09(spark, sf):
-    from ..streaming.scoring import requests_from_table, run_stream
+    from ..streaming.scoring import responses
     plan, _ = _plan(spark, sf)
-    src = work_path(spark, "requests")
-    requests_from_table(applications_base_clean(spark, sf)).write.mode("overwrite").text(src)
-    sink, rej, ck = work_path(spark, "scored"), work_path(spark, "rejects"), work_path(spark, "stream-ckpt")
-    run_stream(spark, plan, src, sink, rej, ck)
-    return spark.read.parquet(sink)
+    return responses(_stream(spark, plan, sf), plan.threshold)
+
+
+_SENT = f"({ID_COL} % 7 <> 3)"
+ORACLE["f09_stream_scorecard"] = O.with_ctes(*CLEAN[:1]) + f"""
+SELECT {ID_COL} AS request_id, CASE WHEN {_SENT} THEN 0 END AS pos, CASE WHEN {_SENT} THEN 'scored' ELSE 'rejected' END AS status,
+       CASE WHEN {ID_COL} % 14 = 3 THEN 'loan_amount,annual_income' WHEN NOT {_SENT} THEN 'loan_amount' END AS missing,
+       CASE WHEN {_SENT} THEN {R4('p')} END AS default_prob, CASE WHEN {_SENT} THEN cast(p >= cast(0.5 AS double) AS integer) END AS prediction,
+       CASE WHEN {_SENT} THEN CASE WHEN p >= cast(0.7 AS double) THEN 'High' WHEN p >= cast(0.4 AS double) THEN 'Medium' ELSE 'Low' END END AS risk_tier,
+       CASE WHEN {_SENT} THEN CASE WHEN p >= cast(0.5 AS double) THEN 'Default' ELSE 'No Default' END END AS label
+FROM (SELECT {ID_COL}, {SCORE_SQL} AS p FROM dedup)"""
+
+
+@query("f09_stream_scorecard")
+def f09s(spark, sf):
+    return _stream(spark, scr.ScorecardPlan(0.5), sf).select(
+        "request_id", "pos", "status", "missing", "default_prob", "prediction", "risk_tier", "label")
 
 
 def applications_base_clean(spark, sf):

@@ -4,12 +4,15 @@ Requests are JSON lines ``{"data": {...}}`` where ``data`` is one applicant
 object or a list of them; a ``request_id`` beside it is taken over, otherwise
 a hash of the body stands for it. Every object must name all inputs (their
 values may be null); a body that doesn't is rejected as a whole, with the
-missing names. The stream parses them
-with ``from_json`` against the applicant schema, explodes lists, scores
-every record with the batch ``ScoringPlan`` and appends to a sink;
-records that do not parse go to a reject sink. The query is stateless (no
-aggregation, no watermark), so every micro-batch is independent and a
-restart resumes from the checkpoint folder.
+missing names.
+
+The stream parses the lines with ``from_json`` against the applicant schema,
+explodes lists and scores every record with the batch ``ScoringPlan``; a
+rejected body is one row without a score. Both come from one read of the source
+and are written by one ``foreachBatch`` to the folders
+``batch=<id>/status=<scored|rejected>`` of a sink. The query is stateless (no
+aggregation, no watermark) and a batch's folder is replaced as a whole, so a
+batch that is run again adds nothing.
 """
 
 from __future__ import annotations
@@ -28,19 +31,30 @@ def record_schema() -> T.StructType:
     return T.StructType([f for f in full.fields if f.name in REQUEST_FIELDS])
 
 
-def requests_from_table(df: DataFrame) -> DataFrame:
+def requests_from_table(df: DataFrame, lacking: dict[str, Column] | None = None) -> DataFrame:
     """JSON request lines derived from applicant rows (even ids send one
-    object, odd ids a one-element list), one ``value`` column."""
-    rec = F.struct(*[F.col(c) for c in REQUEST_FIELDS])
+    object, odd ids a one-element list), one ``value`` column. ``lacking`` says of
+    an input in which rows the body leaves it out."""
     keep = {"ignoreNullFields": "false"}
-    data = F.when(F.col(ID_COL) % 2 == 0, F.to_json(rec, keep)).otherwise(F.to_json(F.array(rec), keep))
+    gone = F.lit("")
+    for name, where in (lacking or {}).items():
+        gone = F.concat(gone, F.when(where, F.lit(name + ",")).otherwise(F.lit("")))
+    fields = F.map_from_arrays(F.array(*[F.lit(c) for c in REQUEST_FIELDS]),
+                               F.array(*[F.to_json(F.struct(F.col(c).alias("v")), keep) for c in REQUEST_FIELDS]))
+    sent = F.map_filter(fields, lambda k, _: ~F.array_contains(F.split(gone, ","), k))
+    # {"v":1} of each input becomes "name":1
+    named = F.transform(F.map_entries(sent), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.substr(e["value"], F.lit(6), F.length(e["value"]) - 6)))
+    rec = F.concat(F.lit("{"), F.array_join(named, ","), F.lit("}"))
+    data = F.when(F.col(ID_COL) % 2 == 0, rec).otherwise(F.concat(F.lit("["), rec, F.lit("]")))
     return df.select(F.concat(F.lit('{"request_id": '), F.col(ID_COL).cast("string"),
                               F.lit(', "data": '), data, F.lit("}")).alias("value"))
 
 
-def parse_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) from a ``value`` text column. Works on a batch or
-    a streaming frame."""
+def parse_requests(lines: DataFrame) -> DataFrame:
+    """From a ``value`` text column a row for each record (request_id, pos, status
+    scored, its inputs) and one for each rejected body (status rejected, value,
+    missing: names of absent inputs, empty if it doesn't parse). Works on a batch
+    or a streaming frame."""
     env = T.StructType([T.StructField("request_id", T.LongType()),
                         T.StructField("data", T.StringType())])
     parsed = lines.select(F.col("value"), F.from_json("value", env).alias("e"))
@@ -60,32 +74,51 @@ def parse_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
                            recs.alias("recs"), missing.alias("missing"))
     ok: Column = (F.col("recs").isNotNull() & (F.size(F.coalesce("missing", F.array(F.lit("")))) == 0)
                   & ~F.exists("recs", lambda r: r.isNull() | r["_corrupt"].isNotNull()))
-    records = (staged.where(ok).select("request_id", F.posexplode("recs").alias("pos", "r"))
-               .select("request_id", "pos", "r.*").drop("_corrupt"))
-    rejects = staged.where(~F.coalesce(ok, F.lit(False))).select(
-        "value", F.concat_ws(",", "missing").alias("missing"))
-    return records, rejects
+    good = F.coalesce(ok, F.lit(False))
+    rows = staged.select("request_id", F.when(good, "scored").otherwise("rejected").alias("status"),
+                         F.when(~good, F.col("value")).alias("value"), F.when(~good, F.concat_ws(",", "missing")).alias("missing"),
+                         F.posexplode_outer(F.when(good, F.col("recs"))).alias("pos", "r"))
+    return rows.select("request_id", "pos", "status", "value", "missing", "r.*").drop("_corrupt")
 
 
-def score_requests(plan, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    records, rejects = parse_requests(lines)
+def score_requests(plan, lines: DataFrame) -> DataFrame:
+    """request_id, pos, status, value, missing, default_prob, prediction, risk_tier,
+    label, scored_at; only records have a score, only rejected bodies value and missing."""
+    keep = ["request_id", "pos", "status", "value", "missing"]
     # the feature chain needs an id column; the request id plays that role
-    recs = records.withColumn(ID_COL, F.col("request_id")).withColumn(TARGET_COL, F.lit(None).cast("bigint"))
-    scored = plan.score(recs, keep=["request_id", "pos"], stamp=True)
-    return scored, rejects
+    recs = parse_requests(lines).withColumn(ID_COL, F.col("request_id")).withColumn(TARGET_COL, F.lit(None).cast("bigint"))
+    scored = plan.score(recs, keep=keep, stamp=True)
+    given = F.col("status") == "scored"
+    return scored.select(*keep, *[F.when(given, F.col(c)).alias(c) for c in scored.columns if c not in keep])
+
+
+def responses(outcomes: DataFrame, threshold: float) -> DataFrame:
+    """A row for each request, as a caller gets it: request_id, results (prediction,
+    default_prob, risk_tier, label in the order sent), count, threshold, error. A
+    group is one request's body."""
+    fields = ("pos", "prediction", "default_prob", "risk_tier", "label")
+    result = F.when(F.col("status") == "scored", F.struct(*fields))
+    by = outcomes.groupBy("request_id").agg(F.array_sort(F.collect_list(result)).alias("results"), F.first("status").alias("status"),
+                                            F.first("missing").alias("missing"))
+    error = F.when(F.col("missing") != "", F.concat(F.lit("missing inputs: "), F.col("missing"))).otherwise(F.lit("body does not parse"))
+    return by.select("request_id", F.transform("results", lambda r: r.dropFields("pos")).alias("results"), F.size("results").alias("count"),
+                     F.lit(float(threshold)).alias("threshold"), F.when(F.col("status") == "rejected", error).alias("error"))
+
 
+def write_batch(plan, sink_dir: str):
+    """The function of ``foreachBatch``: one pass over the batch, one folder."""
+    def run(lines: DataFrame, batch_id: int) -> None:
+        score_requests(plan, lines).write.mode("overwrite").partitionBy("status").parquet(f"{sink_dir}/batch={batch_id}")
+    return run
 
-def run_stream(spark: SparkSession, plan, source_dir: str, sink_dir: str, reject_dir: str,
-               checkpoint_dir: str) -> None:
+
+def run_stream(spark: SparkSession, plan, source_dir: str, sink_dir: str, checkpoint_dir: str) -> None:
     """Score every request file in ``source_dir`` (available-now trigger:
-    process what is there, then stop)."""
+    process what is there, then stop). ``read_outcomes`` reads the sink."""
     lines = spark.readStream.format("text").load(source_dir)
-    scored, rejects = score_requests(plan, lines)
-    q1 = (scored.writeStream.format("parquet").option("path", sink_dir)
-          .option("checkpointLocation", checkpoint_dir + "/scored")
-          .outputMode("append").trigger(availableNow=True).start())
-    q2 = (rejects.writeStream.format("parquet").option("path", reject_dir)
-          .option("checkpointLocation", checkpoint_dir + "/rejects")
-          .outputMode("append").trigger(availableNow=True).start())
-    q1.awaitTermination()
-    q2.awaitTermination()
+    (lines.writeStream.foreachBatch(write_batch(plan, sink_dir)).option("checkpointLocation", checkpoint_dir)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def read_outcomes(spark: SparkSession, sink_dir: str) -> DataFrame:
+    return spark.read.parquet(sink_dir)
