@@ -1038,6 +1038,7 @@ def search_models(spark, sf, path, families=("boosted", "boosted_weighted", "mlp
 # ======================================================================
 from ..session import work_path  # noqa: E402
 from ..sources import io as sio  # noqa: E402
+from ..sources.runs import RunStore  # noqa: E402
 from ..schema import application_schema  # noqa: E402
 from . import pipelines as pl  # noqa: E402
 
@@ -1105,35 +1106,43 @@ def a04(spark, sf):
     return sio.load_state(spark, path)
 
 
+def boosted_candidate(params):
+    """A boosted family's setting (of the search ranges, or a ledger's winner) as a candidate."""
+    return lambda n: se.estimator("boosted", params), "balanced"
+
+
+def train_run(spark, sf, candidates=None, oversample=False):
+    """The whole path in the shared folder: clean, balance, fit and pick, tune the cut-off,
+    evaluate, publish, serve. Returns the store and the data."""
+    plan, data, table = pl.train_best(applications(spark, sf), candidates, oversample)
+    store = RunStore(spark, work_path(spark, "run-store"))
+    pl.publish_plan(store, plan, data, table, tags={"source": "lendscope"})
+    return store, data
+
+
 def _plan(spark, sf):
-    return pl.train_plan(applications(spark, sf))
+    """A plan that went through the store, as a scoring service loads it."""
+    store, data = train_run(spark, sf)
+    return pl.served_plan(store), data.parts
 
 
 @query("a05_model_roundtrip")
 def a05(spark, sf):
-    plan, feats = _plan(spark, sf)
-    path = sio.save_model(plan.model, work_path(spark, "model"))
-    served = sio.promote_model(path, work_path(spark, "serving-model"))
-    loaded = sio.load_model(served)
-    test = feats.where(F.col("part") == "test")
+    plan, data, table = pl.train_best(applications(spark, sf))
+    store = RunStore(spark, work_path(spark, "run-store"))
+    pl.publish_plan(store, plan, data, table)
+    loaded = pl.served_plan(store)
+    test = data.part("test")
     a = plan.model.transform(test).select(ID_COL, F.col("probability").alias("p1"))
-    b = loaded.transform(test).select(ID_COL, F.col("probability").alias("p2"))
+    b = loaded.model.transform(test).select(ID_COL, F.col("probability").alias("p2"))
     return a.join(b, ID_COL).select(ID_COL, (F.col("p1") == F.col("p2")).alias("same_probability"))
 
 
 @query("a06_run_record")
 def a06(spark, sf):
-    plan, feats = _plan(spark, sf)
-    test = plan.model.transform(feats.where(F.col("part") == "test")).withColumn(
-        "_p", F.element_at(vector_to_array("probability"), 2))
-    test = test.withColumn("pred", (F.col("_p") >= dbl(plan.threshold)).cast("int"))
-    m = me.classification_metrics(test, TARGET_COL, "pred").first().asDict()
-    m["roc_auc"] = me.roc_auc(test, TARGET_COL, "_p").first()["roc_auc"]
-    runs = work_path(spark, "runs")
-    sio.record_run(spark, runs, {"model_type": plan.model_type, "threshold": plan.threshold,
-                                 "n_features": len(plan.features.feature_cols), "smote": plan.oversampled},
-                   m, tags={"source": "lendscope"})
-    return sio.read_runs(spark, runs)
+    """The run's row: the winner of two candidates on the balanced train part."""
+    store, _ = train_run(spark, sf, {**pl.DEFAULT_CANDIDATES, "GBTClassifier": boosted_candidate(CV_PARAMS)}, oversample=True)
+    return store.runs()
 
 
 ORACLE["f01_preprocess"] = _feature_chain_sql("part <> 'train'")

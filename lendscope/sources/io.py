@@ -8,7 +8,6 @@ caller gives): no machine-local temporary folder is used on a cluster.
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -100,33 +99,21 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def promote_model(model_path: str, target_path: str) -> str:
-    """Copy a saved model to the serving location (load + save)."""
-    return save_model(load_model(model_path), target_path)
-
-
 # ---------------------------------------------------------------- A6
 RUNS_SCHEMA = "run_id string, kind string, key string, value string, ts timestamp"
 
 
-def record_run(spark: SparkSession, runs_path: str, params: dict, metrics: dict,
-               tags: dict | None = None, artifacts: dict | None = None,
-               run_id: str | None = None) -> str:
-    """Append one run (params, metrics, tags, artifact paths) to the runs
-    table in long format."""
-    run_id = run_id or uuid.uuid4().hex
+def run_rows(run_id: str, params: dict, metrics: dict, tags: dict | None = None, artifacts: dict | None = None) -> list[tuple]:
+    """One run (params, metrics, tags, artifact paths) in long format."""
     ts = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     rows = [(run_id, "param", k, str(v), ts) for k, v in params.items()]
     rows += [(run_id, "metric", k, repr(float(v)), ts) for k, v in metrics.items()]
     rows += [(run_id, "tag", k, str(v), ts) for k, v in (tags or {}).items()]
-    rows += [(run_id, "artifact", k, str(v), ts) for k, v in (artifacts or {}).items()]
-    spark.createDataFrame(rows, RUNS_SCHEMA).write.mode("append").parquet(runs_path)
-    return run_id
+    return rows + [(run_id, "artifact", k, str(v), ts) for k, v in (artifacts or {}).items()]
 
 
-def read_runs(spark: SparkSession, runs_path: str) -> DataFrame:
-    """One row per run: metrics as doubles, params/tags as text columns."""
-    runs = spark.read.schema(RUNS_SCHEMA).parquet(runs_path)
+def wide_runs(runs: DataFrame) -> DataFrame:
+    """One row per run: metrics as doubles, params, tags and artifacts as text columns."""
     wide = (runs.withColumn("name", F.concat_ws(".", "kind", "key"))
             .groupBy("run_id").pivot("name").agg(F.first("value")))
     return wide.select(*[F.col(f"`{c}`").cast("double").alias(c) if c.startswith("metric.") else F.col(f"`{c}`")
