@@ -163,64 +163,104 @@ def _mlp(n_features):
 
 
 class AdaBoost:
-    """SAMME with depth-1 trees: each round fits a weighted stump, computes
-    its weighted error with one aggregate and reweights rows with a column
-    expression. Each round's rows are cached until the next round has its own,
-    so no round replays the ones before; lineage is cut with a written table
-    every 10 rounds."""
+    """SAMME with depth-1 trees, by replay. Rows are binned once (at most ``bins``
+    bins a feature, cut at its quantiles) and written. A round is one job: tasks
+    recompute each row's weight from the stumps so far and add up weights by
+    feature, bin and class; the sums give the best stump (Gini), its error and its
+    say. Nothing is cached, and a lost executor costs its tasks only."""
 
-    def __init__(self, n, rounds=100, learning_rate=1.0):
-        self.rounds, self.lr = rounds, learning_rate
+    def __init__(self, n, rounds=100, learning_rate=1.0, bins=256):
+        self.rounds, self.lr, self.bins = rounds, learning_rate, bins
+
+    def _cuts(self, df, p):
+        at = [i / self.bins for i in range(1, self.bins)]
+        x = vector_to_array(FEATURES)
+        found = df.agg(*[F.percentile_approx(x[i], at, 10 * self.bins) for i in range(p)]).first()  # bins x features
+        return [np.unique([c for c in (row or []) if c == c]) for row in found]
 
     def fit(self, df):
-        cur = df.withColumn("_aw", F.lit(1.0) / F.lit(float(df.count()))).select(FEATURES, LABEL, "_aw").persist()
+        first = df.select(FEATURES).first()
+        p = 0 if first is None else first[0].size
+        cuts = self._cuts(df, p)
+
+        def binned(batches):
+            for pdf in batches:
+                x = np.stack(pdf["x"])
+                b = np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], axis=1).astype(np.int16)
+                yield pd.DataFrame({"b": list(b), "y": pdf["y"].astype(np.int8)})
+
+        rows = df.select(vector_to_array(FEATURES).alias("x"), F.col(LABEL).alias("y")).mapInPandas(
+            binned, "b array<smallint>, y tinyint").transform(stage)
         stumps = []
-        for r in range(self.rounds):
-            stump = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="_aw",
-                                           maxDepth=1, seed=42, predictionCol="_sp",
-                                           probabilityCol="_spp", rawPredictionCol="_spr").fit(cur)
-            scored = stump.transform(cur)
-            err_row = scored.agg((F.sum(F.when(F.col("_sp") != F.col(LABEL), F.col("_aw")).otherwise(0.0))
-                                  / F.sum("_aw")).alias("e")).first()
-            err = float(err_row["e"] or 0.0)
+        while len(stumps) < self.rounds:
+            stump, err = best_stump(self._sums(rows, p, stumps), cuts)
             if err <= 0:
-                stumps.append((stump, 1.0))
+                stumps.append((*stump, 1.0))
                 break
             if err >= 0.5:
                 if not stumps:
-                    stumps.append((stump, 1e-10))
+                    stumps.append((*stump, 1e-10))
                 break
-            alpha = self.lr * math.log((1 - err) / err)
-            stumps.append((stump, alpha))
-            before = cur
-            cur = scored.withColumn("_aw", F.col("_aw") * F.when(
-                F.col("_sp") != F.col(LABEL), F.lit(math.exp(alpha))).otherwise(F.lit(1.0))) \
-                .select(FEATURES, LABEL, "_aw")
-            if (r + 1) % 10 == 0:
-                cur = cur.transform(stage)
-            cur = cur.persist()
-            cur.count()
-            before.unpersist()
-        cur.unpersist()
-        return _AdaModel(stumps)
+            stumps.append((*stump, self.lr * math.log((1 - err) / err)))
+        return _AdaModel([(f, float(cuts[f][k]) if k < len(cuts[f]) else math.inf, left, right, say) for f, k, left, right, say in stumps])
+
+    def _sums(self, rows, p, stumps):
+        """Weights by feature, bin and class: one grouped sum."""
+        width = self.bins
+
+        def sums(batches):
+            total = np.zeros(p * width * 2)
+            for pdf in batches:
+                b, y = np.stack(pdf["b"]), pdf["y"].to_numpy(np.int64)
+                w = replayed_weights(b, y, stumps)
+                at = ((np.arange(p) * width + b) * 2 + y[:, None]).ravel()
+                total += np.bincount(at, np.repeat(w, p), minlength=len(total))
+            i = np.flatnonzero(total)
+            yield pd.DataFrame({"i": i, "v": total[i]})
+
+        out = np.zeros(p * width * 2)
+        for i, v in rows.mapInPandas(sums, "i long, v double").groupBy("i").agg(F.sum("v")).collect():  # features x bins x 2
+            out[i] = v
+        return out.reshape(p, width, 2)
+
+
+def replayed_weights(b: np.ndarray, y: np.ndarray, stumps: list[tuple]) -> np.ndarray:
+    """Weight of each row (1 at first) after the stumps (feature, cut, left, right, say)."""
+    power = np.zeros(len(b))
+    for f, k, left, right, say in stumps:
+        power += say * (np.where(b[:, f] <= k, left, right) != y)
+    return np.exp(power)
+
+
+def best_stump(sums: np.ndarray, cuts: list[np.ndarray]) -> tuple[tuple, float]:
+    """(feature, cut, left class, right class) of the lowest weighted Gini impurity and
+    its share of wrong weight; ties (to 12 digits) go to the first feature and cut."""
+    total = sums[0].sum(axis=0)
+    below = sums.cumsum(axis=1)
+    above = total - below
+    with np.errstate(invalid="ignore", divide="ignore"):
+        impurity = sum(np.nan_to_num(2 * s[..., 0] * s[..., 1] / s.sum(axis=-1)) for s in (below, above)) / total.sum()
+    for f, c in enumerate(cuts):
+        impurity[f, max(len(c) - 1, 0) + 1:] = np.inf
+    f, k = np.unravel_index(np.argmin(np.round(impurity, 12)), impurity.shape)
+    left, right = (int(s[f, k, 1] > s[f, k, 0]) for s in (below, above))
+    wrong = below[f, k, 1 - left] + above[f, k, 1 - right]
+    return (int(f), int(k), left, right), float(wrong / total.sum())
 
 
 class _AdaModel:
+    """Scores with one expression: each stump's side, weighted by its say."""
+
     def __init__(self, stumps):
-        self.stumps = stumps
+        self.stumps = stumps  # feature, threshold, left class, right class, say
 
     def transform(self, df):
-        out = df
-        total = sum(a for _, a in self.stumps)
+        x, total = vector_to_array(FEATURES), sum(s[-1] for s in self.stumps)
         vote = F.lit(0.0)
-        for i, (s, a) in enumerate(self.stumps):
-            s = s.copy()
-            s.setPredictionCol(f"_s{i}").setProbabilityCol(f"_sp{i}").setRawPredictionCol(f"_sr{i}")
-            out = s.transform(out).drop(f"_sp{i}", f"_sr{i}")
-            vote = vote + F.lit(a) * (F.col(f"_s{i}") * 2 - 1)
-        out = out.withColumn(SCORE, vote / F.lit(total if total else 1.0))
-        out = out.withColumn(PRED, (F.col(SCORE) > 0).cast("double"))
-        return out.drop(*[f"_s{i}" for i in range(len(self.stumps))])
+        for f, cut, left, right, say in self.stumps:
+            vote = vote + F.when(F.col("_x")[f] <= F.lit(cut), F.lit(say * (2 * left - 1))).otherwise(F.lit(say * (2 * right - 1)))
+        out = df.withColumn("_x", x).withColumn(SCORE, vote / F.lit(total if total else 1.0)).drop("_x")
+        return out.withColumn(PRED, (F.col(SCORE) > 0).cast("double"))
 
 
 def _class_moments(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, dict]:

@@ -9,6 +9,8 @@ they reproduce: numpy's round-half-even of ``x * 10**d``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,48 +111,77 @@ def _corr_expr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
 
 
+def masked_correlations(df: DataFrame, cols: list[str], mean: np.ndarray, sd: np.ndarray) -> tuple[np.ndarray, list]:
+    """Pairwise-complete correlations of columns with nulls, and the pairs that rounding
+    may have spoiled. Tasks add up four matrix products of the centred, scaled values Z,
+    their squares and the presence mask M (Z'Z, Z'M, (ZZ)'M, M'M); a grouped sum by row
+    brings them together, so the work is one job whatever the number of pairs."""
+    p = len(cols)
+
+    def partial(batches):
+        total = np.zeros((4, p, p))
+        for pdf in batches:
+            z = (pdf.to_numpy(np.float64) - mean) / sd
+            m = ~np.isnan(z)
+            z, m = np.where(m, z, 0.0), m.astype(np.float64)
+            total += (z.T @ z, z.T @ m, (z * z).T @ m, m.T @ m)
+        yield pd.DataFrame({"r": np.arange(4 * p), "v": list(total.reshape(4 * p, p))})
+
+    # NaN is a value to Pearson's formula and a NULL is not: a column with NaN has no correlation
+    nan = df.agg(*[F.count_if(F.isnan(F.col(c).cast("double"))).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInPandas(partial, "r int, v array<double>")
+    summed = rows.select("r", F.posexplode("v").alias("j", "x")).groupBy("r", "j").agg(F.sum("x").alias("x"))
+    total = np.zeros((4 * p, p))
+    got = summed.toPandas()  # four matrices
+    total[got["r"], got["j"]] = got["x"]
+    zz, s, q, n = total.reshape(4, p, p)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov, var = zz - s * s.T / n, q - s * s / n
+        corr = cov / np.sqrt(var * var.T)
+        doubtful = (n > 1) & ((var <= 1e-9 * q) | (var.T <= 1e-9 * q.T)) & (q > 0) & (q.T > 0)
+    corr[(n < 2) | (var <= 0) | (var.T <= 0)] = np.nan
+    gone = np.array([nan[i] > 0 for i in range(p)])
+    corr[gone, :] = corr[:, gone] = np.nan
+    return corr, [(cols[i], cols[j]) for i, j in zip(*np.nonzero(np.triu(doubtful, 1)))]
+
+
 def correlation_matrix(df: DataFrame, cols=None, target: str = TARGET_COL,
                        digits: int = 4) -> DataFrame:
     """Long-format Pearson matrix (col_a, col_b, corr), pairwise-complete.
 
-    Columns without nulls go through MLlib ``Correlation`` (one pass that
-    tree-aggregates a p x p Gramian: bounded state, whatever the row
-    count). Only pairs touching a column with nulls need pairwise-complete
-    moments; those come from one aggregate restricted to such pairs."""
+    Without nulls MLlib ``Correlation`` does it (one pass that tree-aggregates a
+    p x p Gramian: bounded state, whatever the row count); with nulls a masked
+    Gramian, also one pass. Pairs that are nearly constant where both are present
+    are settled by an aggregate of their own."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
     spark = df.sparkSession
     cols = _present(df, (CORR_COLS + [target]) if cols is None else cols)
     prof = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)],
+                  *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
                   *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
                   ).first()
-    has_null = {c for i, c in enumerate(cols) if prof[f"z{i}"] > 0}
-    sd = {c: prof[f"s{i}"] for i, c in enumerate(cols)}
-    values: dict = {}
-    full = [c for c in cols if c not in has_null]
-    if len(full) >= 2:
-        vec = VectorAssembler(inputCols=full, outputCol="_v").transform(
-            df.select(*[F.col(c).cast("double").alias(c) for c in full])).select("_v")
+    sd = [prof[f"s{i}"] for i in range(len(cols))]
+    if any(prof[f"z{i}"] > 0 for i in range(len(cols))):
+        mat, again = masked_correlations(
+            df, cols, np.array([prof[f"m{i}"] or 0.0 for i in range(len(cols))]), np.array([v if v and v == v else 1.0 for v in sd]))
+        if again:
+            row = df.agg(*[_corr_expr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(again)]).first()
+            at = {c: i for i, c in enumerate(cols)}
+            for k, (a, b) in enumerate(again):
+                mat[at[a], at[b]] = mat[at[b], at[a]] = np.nan if row[f"r{k}"] is None else row[f"r{k}"]
+    elif len(cols) > 1:
+        vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(
+            df.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("_v")
         mat = Correlation.corr(vec, "_v").first()[0].toArray()
-        for i, a in enumerate(full):
-            for j, b in enumerate(full):
-                v = float(mat[i, j])
-                values[(a, b)] = None if v != v else v
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]
-             if a in has_null or b in has_null]
-    if pairs:
-        row = df.agg(*[_corr_expr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
-        for k, (a, b) in enumerate(pairs):
-            values[(a, b)] = values[(b, a)] = row[f"r{k}"]
+    else:
+        mat = np.ones((len(cols), len(cols)))
     rows = []
-    for a in cols:
-        for b in cols:
-            if a == b:
-                v = 1.0 if sd[a] else None
-            else:
-                v = values.get((a, b))
-            rows.append((a, b, v))
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            v = (1.0 if sd[i] else None) if i == j else float(mat[i, j])
+            rows.append((a, b, None if v is None or v != v else v))
     out = spark.createDataFrame(rows, "col_a string, col_b string, corr double")
     return out.withColumn("corr", np_round(F.col("corr"), digits))
 

@@ -86,3 +86,44 @@ def test_a_fit_beyond_its_limit_gives_a_row_and_leaves_no_job(spark):
         time.sleep(0.1)
     assert not spark.sparkContext.statusTracker().getActiveJobsIds()
     assert mo.evaluate_models([mo.Spec("LogisticRegression", mo._lr, "balanced")], train, test, "y", ["a", "b"], limit=600).first().status == "OK"
+
+
+def test_adaboost_by_replay_equals_a_plain_version(spark):
+    train, test = _data(spark, 400, 9)
+    cols = ["a", "b", "c"]
+    tr, te = (mo._prepare(d, "y", cols, None) for d in (train, test))
+    model = mo.AdaBoost(0, rounds=12, bins=16).fit(tr)
+    X, y = train.select(cols).toPandas().to_numpy(float), train.select("y").toPandas()["y"].to_numpy()
+    cuts = mo.AdaBoost(0, bins=16)._cuts(tr, 3)
+    w, plain = np.full(len(y), 1.0), []
+    for _ in range(12):
+        best = None
+        for f in range(3):
+            for cut in cuts[f]:
+                side, impurity, pred = X[:, f] <= cut, 0.0, np.zeros(len(y), int)
+                for part in (side, ~side):
+                    one, zero = w[part & (y == 1)].sum(), w[part & (y == 0)].sum()
+                    impurity += 2 * one * zero / (one + zero) if one + zero else 0.0
+                    pred[part] = one > zero
+                if best is None or impurity < best[0] - 1e-10:
+                    best = (impurity, f, cut, pred)
+        miss = best[3] != y
+        err = w[miss].sum() / w.sum()
+        say = np.log((1 - err) / err)
+        plain.append((best[1], best[2], say))
+        w = w * np.exp(say * miss)
+    assert [(f, c) for f, c, *_ in model.stumps] == [(f, c) for f, c, _ in plain]
+    assert np.allclose([s[-1] for s in model.stumps], [s for *_, s in plain])
+    scored = model.transform(te).select(*cols, mo.SCORE, mo.PRED).toPandas()
+    vote = np.zeros(len(scored))
+    for f, cut, left, right, say in model.stumps:
+        vote += say * np.where(scored[cols[f]].to_numpy() <= cut, 2 * left - 1, 2 * right - 1)
+    assert np.allclose(scored[mo.SCORE], vote / sum(s[-1] for s in model.stumps)) and ((vote > 0) == scored[mo.PRED].astype(bool)).all()
+
+
+def test_adaboost_of_separable_and_constant_data(spark):
+    df = spark.range(40).selectExpr("id AS rid", "cast(id AS double) AS a", "1.0D AS b", "cast(id >= 20 AS long) AS y")
+    one = mo.AdaBoost(0, rounds=5).fit(mo._prepare(df, "y", ["a", "b"], None))
+    assert len(one.stumps) == 1 and one.stumps[0][0] == 0 and 19 <= one.stumps[0][1] < 20
+    flat = mo.AdaBoost(0, rounds=5).fit(mo._prepare(df, "y", ["b"], None))
+    assert flat.transform(mo._prepare(df, "y", ["b"], None)).where(f"{mo.PRED} NOT IN (0, 1)").count() == 0

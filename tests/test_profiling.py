@@ -85,3 +85,24 @@ def test_np_round_half_even(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(pr.np_round(F.col("x"), 4)).collect()]
     assert got == [float(np.round(v, 4)) for v in vals]
+
+
+def test_correlations_of_many_columns_with_nulls_are_one_gramian(spark):
+    rng = np.random.default_rng(4)
+    n, p = 300, 400
+    X = rng.normal(0, 1, (n, p)).cumsum(axis=1) + rng.normal(0, 1e4, p)  # neighbours go together, far from zero
+    X[rng.random((n, p)) < 0.2] = np.nan
+    X[:, 0] = 7.0  # constant
+    X[:, 1] = np.where(np.arange(n) < 2, X[:, 2], np.nan)  # two rows
+    X[:, 3] = np.where(np.arange(n) < 150, 5e6, rng.normal(0, 1, n))  # constant where column 4 is present
+    X[:, 4] = np.where(np.arange(n) < 150, rng.normal(0, 1, n), np.nan)
+    pdf = pd.DataFrame(X, columns=[f"c{i}" for i in range(p)])
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in X], ", ".join(f"c{i} double" for i in range(p)))
+    got = pr.correlation_matrix(df, list(pdf.columns), digits=6).toPandas().pivot(index="col_a", columns="col_b", values="corr")
+    want = pdf.corr(min_periods=2)
+    a, b = got.loc[pdf.columns, pdf.columns].to_numpy(float), want.to_numpy()
+    np.fill_diagonal(a, 0), np.fill_diagonal(b, 0)
+    free = np.ones((p, p), bool)
+    free[3, 4] = free[4, 3] = False
+    assert np.isnan(a[3, 4]) and np.isnan(a[0, 1:]).all()
+    assert (np.isnan(a) == np.isnan(b))[free].all() and np.nanmax(np.abs(a - b)[free]) < 2e-6
