@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import dbl, safe_div
+from ..session import stage
 from .profiling import np_round
 
 
@@ -42,7 +43,10 @@ def _prf(tp, fp, fn):
 
 def classification_metrics(df: DataFrame, label: str, pred: str, digits: int = 4) -> DataFrame:
     """f1, precision, recall, accuracy of 0/1 predictions."""
-    c = confusion_counts(df, label, pred)
+    return _metrics_of(confusion_counts(df, label, pred), digits)
+
+
+def _metrics_of(c: DataFrame, digits: int) -> DataFrame:
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     f1, pr, rc = _prf(tp, fp, fn)
     acc = safe_div(tp + tn, tp + tn + fp + fn)
@@ -54,7 +58,10 @@ def classification_report(df: DataFrame, label: str, pred: str, names=("No Defau
                           digits: int = 4) -> DataFrame:
     """Per class precision / recall / f1 / support, accuracy, macro and
     weighted averages -- built from the four confusion cells."""
-    c = confusion_counts(df, label, pred)
+    return _report_of(confusion_counts(df, label, pred), names, digits)
+
+
+def _report_of(c: DataFrame, names, digits: int) -> DataFrame:
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     f1_1, p_1, r_1 = _prf(tp, fp, fn)
     f1_0, p_0, r_0 = _prf(tn, fn, fp)
@@ -78,6 +85,10 @@ def classification_report(df: DataFrame, label: str, pred: str, names=("No Defau
     return c.select(F.inline(F.array(*rows)))
 
 
+def _reached(s, ts: list[float]):
+    return F.size(F.filter(F.array(*[dbl(t) for t in ts]), lambda t: t <= s))
+
+
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: list[float] | None = None,
                     digits: int = 4) -> DataFrame:
     """(threshold, f1, precision, recall, is_best) per cut-off; prediction is
@@ -86,14 +97,17 @@ def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: list[floa
     Rows reduce to counts per bucket b = #cut-offs <= score (<= k+1 rows);
     cumulative sums over those few rows give every cut-off's confusion."""
     ts = sweep_thresholds() if thresholds is None else list(thresholds)
-    k = len(ts)
-    arr = F.array(*[dbl(t) for t in ts])
-    s = F.col(score).cast("double")
-    b = F.size(F.filter(arr, lambda t: t <= s))
+    b = _reached(F.col(score).cast("double"), ts)
     counts = (df.select(b.alias("b"), F.col(label).alias("_y"))
               .groupBy("b").agg(F.count_if(F.col("_y") == 1).alias("pos"),
                                 F.count_if(F.col("_y") == 0).alias("neg")))
-    spark = df.sparkSession
+    return _sweep_of(counts, ts, digits)
+
+
+def _sweep_of(counts: DataFrame, ts: list[float], digits: int) -> DataFrame:
+    """The sweep from (b, pos, neg): rows by how many cut-offs their score reaches."""
+    k, spark = len(ts), counts.sparkSession
+    arr = F.array(*[dbl(t) for t in ts])
     frame = spark.range(0, k + 1).select(F.col("id").cast("int").alias("b"))
     full = frame.join(counts, "b", "left").fillna(0, ["pos", "neg"])
     # <= k+1 rows: a bounded single-task window
@@ -126,10 +140,51 @@ def roc_auc(df: DataFrame, label: str, score: str, max_bucket_distinct: int = 1_
        cumulative table;
     3. inside a bucket a window over its distinct scores (bounded) gives the
        negatives below each score."""
-    s = F.col(score).cast("double")
-    per = (df.select(s.alias("s"), F.col(label).alias("_y")).where(F.col("s").isNotNull())
-           .groupBy("s").agg(F.count_if(F.col("_y") == 1).cast("double").alias("pos"),
-                             F.count_if(F.col("_y") == 0).cast("double").alias("neg"))).persist()
+    return state_auc(score_state(df, label, score), max_bucket_distinct)
+
+
+# ---------------------------------------------------------------- score-curve state
+def score_state(df: DataFrame, label: str, score: str, by: str | None = None) -> DataFrame:
+    """(s, pos, neg), written: positives and negatives of each distinct score, all
+    that the sweep, the confusion cells, the report and the AUC need. With ``by`` one
+    scan makes the states of all its values."""
+    keys = [by] if by else []
+    rows = df.select(*keys, F.col(score).cast("double").alias("s"), F.col(label).alias("_y"))
+    return rows.groupBy(*keys, "s").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")).transform(stage)
+
+
+def merge_states(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The state of both inputs' rows together; neither input is scanned again."""
+    keys = [c for c in one.columns if c not in ("pos", "neg")]
+    return one.unionByName(other).groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).transform(stage)
+
+
+def state_sweep(state: DataFrame, thresholds: list[float] | None = None, digits: int = 4) -> DataFrame:
+    ts = sweep_thresholds() if thresholds is None else list(thresholds)
+    counts = state.groupBy(_reached(F.col("s"), ts).alias("b")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _sweep_of(counts, ts, digits)
+
+
+def state_confusion(state: DataFrame, threshold: float) -> DataFrame:
+    """Confusion cells of ``score >= threshold``; rows without a score are in none."""
+    hit = F.col("s") >= dbl(threshold)
+
+    def cell(c, where):
+        return F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    return state.agg(cell("neg", ~hit).alias("tn"), cell("neg", hit).alias("fp"), cell("pos", ~hit).alias("fn"), cell("pos", hit).alias("tp"))
+
+
+def state_metrics(state: DataFrame, threshold: float, digits: int = 4) -> DataFrame:
+    return _metrics_of(state_confusion(state, threshold), digits)
+
+
+def state_report(state: DataFrame, threshold: float, names=("No Default", "Default"), digits: int = 4) -> DataFrame:
+    return _report_of(state_confusion(state, threshold), names, digits)
+
+
+def state_auc(state: DataFrame, max_bucket_distinct: int = 1_000_000) -> DataFrame:
+    """``roc_auc`` from a state."""
+    per = state.where(F.col("s").isNotNull()).select("s", F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg"))
     nd = per.count()
     nb = max(1, math.ceil(nd / max_bucket_distinct))
     if nb > 1:

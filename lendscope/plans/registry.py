@@ -790,6 +790,82 @@ def e27(spark, sf):
     return me.classification_report(_test_pred(spark, sf), TARGET_COL, "pred")
 
 
+def _evaluation_sql():
+    def part(section, name, value, key):
+        return f"SELECT '{section}' AS section, {name} AS name, cast({value} AS double) AS value FROM ({ORACLE[key]})"
+    rows = [part("sweep", "cast(threshold AS varchar)", "f1", "e23_threshold_sweep"), part("auc", "'roc_auc'", "roc_auc", "e26_roc_auc")]
+    rows += [part("confusion", f"'{c}'", c, "e25_confusion") for c in ("tn", "fp", "fn", "tp")]
+    rows += [part("metric", f"'{c}'", c, "e24_metrics") for c in ("f1", "precision", "recall", "accuracy")]
+    return _union(rows + [part("report", "class", "f1", "e27_class_report")])
+
+
+ORACLE["e23_score_state"] = _evaluation_sql()
+
+
+@query("e23_score_state")
+def e23s(spark, sf):
+    """Sweep, metrics, cells, AUC and report from one scan: a state of the val and one of the test part."""
+    sp = split_frame(spark, sf).withColumn("_score", scr.scorecard_probability())
+    states = me.score_state(sp.where(F.col("part") != "train"), TARGET_COL, "_score", by="part")
+    val, test = (states.where(F.col("part") == p).drop("part") for p in ("val", "test"))
+    sweep = me.state_sweep(val)
+    thr = me.best_threshold(sweep)
+
+    def cells(section, df):
+        return df.select(F.inline(F.array(*[F.struct(F.lit(section).alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
+                                            for c in df.columns])))
+    report = me.state_report(test, thr)
+    return (sweep.select(F.lit("sweep").alias("section"), F.col("threshold").cast("string").alias("name"), F.col("f1").alias("value"))
+            .unionByName(cells("metric", me.state_metrics(test, thr))).unionByName(cells("confusion", me.state_confusion(test, thr)))
+            .unionByName(cells("auc", me.state_auc(test)))
+            .unionByName(report.select(F.lit("report").alias("section"), F.col("class").alias("name"), F.col("f1").alias("value"))))
+
+
+# ---- E18 / E22 on fixed rules in the place of models: what is ranked has an SQL twin
+RULES = {"late_payments": "num_late_payments >= 2", "debt": "debt_to_income >= 0.4", "low_score": "credit_score < 600",
+         "scorecard": f"({SCORE_SQL}) >= cast(0.5 AS double)", "strict_scorecard": f"({SCORE_SQL}) >= cast(0.7 AS double)"}
+
+
+def _rules_sql():
+    rows = [f"SELECT '{name}' AS model, {TARGET_COL} AS is_default, CASE WHEN {rule} THEN 1 ELSE 0 END AS pred FROM sp WHERE part = 'test'"
+            for name, rule in RULES.items()]
+    cells = ("count(*) FILTER (WHERE is_default = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE is_default = 1 AND pred = 0) AS fn, "
+             "count(*) FILTER (WHERE is_default = 1 AND pred = 1) AS tp")
+    return [f"ruled_rows AS ({_union(rows)})", f"cells AS (SELECT model, {cells} FROM ruled_rows GROUP BY model)",
+            f"board AS (SELECT model, {R4(_f1)} AS f1, {R4(_pr)} AS precision, {R4(_rc)} AS recall FROM cells)"]
+
+
+def _rules_board(spark, sf):
+    """(model, f1, precision, recall) of every rule, from one scan of the test part."""
+    test = split_frame(spark, sf).where(F.col("part") == "test").transform(stage)
+    rows = [me.classification_metrics(test.withColumn("pred", F.expr(f"CAST(coalesce({rule}, false) AS int)")), TARGET_COL, "pred")
+            .select(F.lit(name).alias("model"), "f1", "precision", "recall") for name, rule in RULES.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+ORACLE["e18_top3_rules"] = O.with_ctes(*CLEAN, *SPLIT, *_rules_sql()) + (
+    "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY f1 DESC, model)::INT AS rank FROM board) WHERE rank <= 3")
+
+
+@query("e18_top3_rules")
+def e18r(spark, sf):
+    from ..operators.models import leaderboard
+    return leaderboard(_rules_board(spark, sf), 3)
+
+
+ORACLE["e22_best_rule"] = O.with_ctes(*CLEAN, *SPLIT, *_rules_sql()) + (
+    "SELECT model AS family, f1, precision, recall, row_number() OVER (ORDER BY f1 DESC, model) = 1 AS is_best FROM board")
+
+
+@query("e22_best_rule")
+def e22r(spark, sf):
+    from ..operators.search import best_of
+    return best_of(_rules_board(spark, sf).withColumnRenamed("model", "family"))
+
+
 # ---- F: scoring the whole cleaned table with the tuned cut-off
 SCORED_SQL = [f"sc AS (SELECT {ID_COL}, {SCORE_SQL} AS p FROM clean)"]
 

@@ -58,3 +58,22 @@ def test_report_and_confusion(spark):
     rep = {r["class"]: r for r in me.classification_report(df, "y", "p").collect()}
     assert rep["Default"].precision == 0.5 and rep["No Default"].recall == round(2 / 3, 4)
     assert rep["accuracy"].f1 == 0.6 and rep["weighted avg"].support == 5
+
+
+def test_states_of_two_halves_merge_to_the_whole(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(4000).select(
+        "id", F.when(F.col("id") % 97 != 5, F.round(F.abs(F.sin(F.col("id"))), 2)).alias("s"),
+        (F.abs(F.sin(F.col("id"))) + F.abs(F.cos(F.col("id") * 3)) / 2 > 0.9).cast("int").alias("y")).persist()
+    whole = me.score_state(df, "y", "s")
+    merged = me.merge_states(me.score_state(df.where("id < 1500"), "y", "s"), me.score_state(df.where("id >= 1500"), "y", "s"))
+    assert sorted(whole.collect(), key=str) == sorted(merged.collect(), key=str) and whole.count() <= 102
+    assert me.state_sweep(merged).collect() == me.threshold_sweep(df, "y", "s").collect()
+    known = df.where("s IS NOT NULL").withColumn("p", (F.col("s") >= 0.4).cast("int"))
+    assert me.state_metrics(merged, 0.4).collect() == me.classification_metrics(known, "y", "p").collect()
+    assert me.state_report(merged, 0.4).collect() == me.classification_report(known, "y", "p").collect()
+    assert me.state_auc(merged, 7).first()[0] == me.roc_auc(df, "y", "s").first()[0]
+    by = me.score_state(df.withColumn("half", F.col("id") < 1500), "y", "s", by="half")
+    assert sorted(me.merge_states(by.where("half").drop("half"), by.where("NOT half").drop("half")).collect(), key=str) == sorted(whole.collect(), key=str)
+    empty = me.score_state(df.limit(0), "y", "s")
+    assert me.state_confusion(empty, 0.5).first() == (0, 0, 0, 0) and me.state_auc(empty).first()[0] is None
