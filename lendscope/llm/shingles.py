@@ -1,8 +1,9 @@
 """Hashes of word shingles for a batch of texts, with NumPy.
 
 Words are runs of bytes other than white space, A-Z lower-cased. A word's hash
-is a polynomial of its bytes, cut out of one running sum over the batch, so
-nothing loops over words.
+joins two polynomials of its bytes, each modulo a prime below 2^31 (modulo a
+power of two, words can be written that collide for every base), cut out of
+running sums over the batch, so nothing loops over words.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Prime moduli and bases of the two polynomials.
+_FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_013))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,25 +30,35 @@ class Shingler:
 
     def __init__(self, k: int):
         self.k = k
-        self.byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+        drawn = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(_BASE)).reshape(2, 256)
+        self.byte = [1 + v % np.uint64(p - 1) for v, (p, _) in zip(drawn, _FIELDS)]
         self._tables(1 << 16)
 
     def _tables(self, n: int) -> None:
-        self.power, self.inverse = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        for t in (self.power, self.inverse):
-            t[0] = 1
-            np.cumprod(t, out=t)
+        def powers(p: int, base: int) -> np.ndarray:
+            t = np.ones(n, np.uint64)
+            done = 1
+            while done < n:
+                more = min(done, n - done)
+                t[done:done + more] = t[:more] * np.uint64(pow(base, done, p)) % np.uint64(p)
+                done += more
+            return t
+        self.power = [powers(p, base) for p, base in _FIELDS]
+        self.inverse = [powers(p, pow(base, -1, p)) for p, base in _FIELDS]
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         buf = np.frombuffer(b" " + b" ".join(t.lower() for t in texts) + b" ", np.uint8)
-        if len(buf) > len(self.power):
+        if len(buf) > len(self.power[0]):
             self._tables(2 * len(buf))
         space = (buf == 32) | ((buf >= 9) & (buf <= 13))
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         start, end = edge[::2], edge[1::2]
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.byte[buf] * self.power[: len(buf)], out=total[1:])
-        h = mix((total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        both = []
+        for (p, _), byte, power, inverse in zip(_FIELDS, self.byte, self.power, self.inverse):
+            total = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum(byte[buf] * power[: len(buf)] % np.uint64(p), out=total[1:])
+            both.append((total[end] - total[start]) % np.uint64(p) * inverse[start] % np.uint64(p))
+        h = mix(((both[0] << np.uint64(31)) | both[1]) + (end - start).astype(np.uint64) * np.uint64(_BASE))
         at = 1 + np.cumsum([0, *(len(t) + 1 for t in texts)])
         return h, np.searchsorted(at, start, "right") - 1
 

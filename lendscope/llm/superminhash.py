@@ -127,11 +127,12 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
     component is done. So a bucket of n copies of a text costs about n pairs,
     not their square, and no pair between components goes unchecked.
     """
-    sets_of = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    sets_of = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
+                                                                   F.first("n_shingles").alias("size"))
     sets_of = stage(sets_of, "sets-of")
-    members = sets_of.select("node", F.explode("bands").alias("bucket"))
+    members = sets_of.select("node", "size", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(members.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
+    members = stage(members.join(shared, "bucket").select("bucket", "node", "size").distinct(), "buckets")
     wanted = members.select("node").distinct().join(sets_of.select("node", "doc_id"), "node")
     text = docs.select(inner_id().alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
     sets = stage(text.mapInPandas(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
@@ -147,16 +148,18 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
         now = stage(now.join(parts.join(live, "bucket"), ["bucket", "root"]), "rounds")
         smallest = Window.partitionBy("bucket").orderBy("n", "root", "node")
         chosen = now.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= pivots).select(
-            "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+            "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("size").alias("pivot_size"))
         chosen = stage(chosen, "pivots")
-        pairs = now.join(chosen, "bucket").where("root != pivot_root").select(
+        # sets whose sizes differ by more can't be alike enough, whatever they hold
+        alike = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
+        pairs = now.join(chosen, "bucket").where((F.col("root") != F.col("pivot_root")) & alike).select(
             F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stage(pairs, "pairs")
         found = _verified(pairs, sets, percent)
         links = nearer(found if links is None else found.unionByName(links))
-        members = now.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+        members = now.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "size")
         if not members.take(1):
             return components(links)
         tried = pairs if tried is None else tried.unionByName(pairs)

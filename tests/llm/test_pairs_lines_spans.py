@@ -16,6 +16,17 @@ def test_shingles_match_python_sets():
         assert np.bincount(owner, minlength=len(texts)).tolist() == [len(shingles(t, k)) for t in texts]
 
 
+def test_words_made_to_collide_modulo_a_power_of_two(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))  # Thue-Morse and its complement
+    two = one.translate(str.maketrans("ab", "ba"))
+    h, _ = Shingler(1)([one.encode(), two.encode()])
+    assert h[0] != h[1]
+    out = superminhash.near_duplicates(frame(spark, [(1, one), (2, two), (3, one + " x"), (4, two + " x")]), 2, 80).collect()
+    assert all(r.kept for r in out)
+    words = [f"w{i}" for i in range(200_000)]
+    assert len(set(Shingler(1)([" ".join(words).encode()])[0].tolist())) == len(words)
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(3)
     for shared in (0, 40, 150, 300):
