@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import byte_slices, inner_id, outer_id, stage
+from lendscope.llm.common import byte_slices, inner_id, outer_id, sized, stage
 from lendscope.llm.components import components, nearer
 from lendscope.llm.shingles import Shingler, distinct, mix
 
@@ -218,5 +218,6 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     marked = texts.join(stays, "root").withColumn("gone", F.col("stays") != F.struct("id", "digest")).where("gone OR copies > 1")
     marked = stage(marked.select("id", "digest", "gone"), "marked")
     rows = docs.select(F.struct("*").alias("whole"), inner_id().alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
-    repeated = rows.join(marked.where("NOT gone"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    return rows.join(marked, ["id", "digest"], "left_anti").unionByName(repeated).select("whole.*")
+    # The texts move only if the table of marked rows is too large to go to them.
+    repeated = rows.join(sized(marked.where("NOT gone"), 64), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    return rows.join(sized(marked, 64), ["id", "digest"], "left_anti").unionByName(repeated).select("whole.*")
