@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm.common import byte_slices, inner_id, outer_id, sized, stage
@@ -28,6 +28,9 @@ PLACES = BANDS * ROWS
 #: Pivots of a bucket grow by this factor from round to round, up to what Spark still picks before it shuffles.
 PIVOTS_GROW, MOST_PIVOTS = 8, 1000
 SLICE_CHARS = 1_000_000
+#: Words of 64 bits that hold the parities of a set.
+PARITY_WORDS = 16
+PARITIES = [f"parity{i}" for i in range(PARITY_WORDS)]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,6 +81,15 @@ def set_ids(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return count, mix(total[end] - total[end - count] + count.astype(np.uint64) * _GOLD).view(np.int64)
 
 
+def parities(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x PARITY_WORDS: elements are hashed to bits, a bit is the parity of its
+    elements. Two sets differ in at least as many elements as bits."""
+    bit = mix(h * _GOLD + np.uint64(PARITY_WORDS)) % np.uint64(64 * PARITY_WORDS)
+    out = np.zeros(n * PARITY_WORDS, np.uint64)
+    np.bitwise_xor.at(out, owner * PARITY_WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, PARITY_WORDS).view(np.int64)
+
+
 def _describe(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
@@ -102,7 +114,8 @@ def _sets(k: int):
                 h, owner = distinct(*shingler(texts))
                 count, node = set_ids(h, owner, len(texts))
                 cuts = np.cumsum(count)[:-1]
-                rows = pd.DataFrame({"node": node, "shingles": np.split(h.view(np.int64), cuts)})
+                rows = pd.DataFrame({"node": node, "shingles": np.split(h.view(np.int64), cuts)}).join(
+                    pd.DataFrame(parities(h, owner, len(texts)), columns=PARITIES))
                 yield rows[rows["node"].to_numpy() == part["node"].to_numpy(np.int64)]
     return run
 
@@ -117,6 +130,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def _may_link(percent: int) -> Column:
+    """False only where (size, PARITIES) and the pivot's can't be of sets alike
+    enough: those differ in (100 - percent) / (100 + percent) of their sizes' sum at most,
+    and in no fewer elements than their sizes or parities do."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"pivot_{c}"))) for c in PARITIES), F.lit(0))
+    both = (100 - percent) * (F.col("size") + F.col("pivot_size"))
+    return (100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")) & ((100 + percent) * differ <= both)
+
+
 def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """node, root of all sets that are linked to another.
 
@@ -125,7 +147,9 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
     bucket's smallest components, one in the first round and PIVOTS_GROW times
     as many in each further one. A bucket whose members have met in one
     component is done. So a bucket of n copies of a text costs about n pairs,
-    not their square, and no pair between components goes unchecked.
+    not their square. Of two sets in different components only those are not compared
+    whose sizes or parities prove that they can't be alike enough, so members
+    that are linked with nothing don't cost a pair with each of the others.
     """
     sets_of = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
                                                                    F.first("n_shingles").alias("size"))
@@ -135,7 +159,9 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
     members = stage(members.join(shared, "bucket").select("bucket", "node", "size").distinct(), "buckets")
     wanted = members.select("node").distinct().join(sets_of.select("node", "doc_id"), "node")
     text = docs.select(inner_id().alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
-    sets = stage(text.mapInPandas(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = stage(text.mapInPandas(_sets(k), "node long, shingles array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
+                 .dropDuplicates(["node"]), "sets")
+    parity = sets.select("node", *PARITIES)
     tried, links, pivots = None, None, 1
     while True:
         now = members.withColumn("root", F.col("node"))
@@ -150,9 +176,8 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
         chosen = now.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= pivots).select(
             "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("size").alias("pivot_size"))
         chosen = stage(chosen, "pivots")
-        # sets whose sizes differ by more can't be alike enough, whatever they hold
-        alike = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
-        pairs = now.join(chosen, "bucket").where((F.col("root") != F.col("pivot_root")) & alike).select(
+        held = chosen.join(parity.select(F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in PARITIES)), "pivot")
+        pairs = now.join(parity, "node").join(held, "bucket").where((F.col("root") != F.col("pivot_root")) & _may_link(percent)).select(
             F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")

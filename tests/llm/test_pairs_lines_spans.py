@@ -49,6 +49,34 @@ def test_near_duplicates_against_all_pairs(spark, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.random(400) > p], rng.integers(0, 1 << 63, int(400 * p)).astype(np.uint64)))) for p in rng.random(60)]
+    got = superminhash.parities(np.concatenate(sets), np.repeat(np.arange(60), [len(x) for x in sets]), 60).view(np.uint64)
+    for i in range(60):
+        for j in range(i):
+            bits = sum(int(x).bit_count() for x in got[i] ^ got[j])
+            assert bits <= len(np.setxor1d(sets[i], sets[j]))
+            assert bits % 2 == len(np.setxor1d(sets[i], sets[j])) % 2
+    assert not superminhash.parities(np.zeros(0, np.uint64), np.zeros(0, np.int64), 3).any()
+
+
+def test_a_group_with_stragglers_keeps_every_link(spark):
+    """Copies of one text, lightly and heavily edited: against all pairs."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        own = list(words)
+        for at in rng.choice(60, rng.integers(0, 9), replace=False):
+            own[at] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(own)))
+    out = superminhash.near_duplicates(frame(spark, rows), 2, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter(groups(rows, 2, 80))
+    assert 1 < len({r.component_id for r in out}) < 160
+
+
 def test_near_duplicates_without_links_and_rows(spark):
     assert superminhash.near_duplicates(frame(spark, [])).count() == 0
     out = superminhash.near_duplicates(frame(spark, [(1, None), (2, ""), (3, "a b c")])).collect()
