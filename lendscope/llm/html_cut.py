@@ -24,12 +24,17 @@ SLICE_CHARS = 4_000_000
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
+#: What no silent element holds: if its end tag comes later, it was left open. Some can't hold one of their own either.
+_CONTENT = re.compile(r"<(?:article|main|h1)\b|</(?:article|main|body)\b", re.I)
+_LEFT_OPEN = {t: re.compile(rf"{_CONTENT.pattern}|<{t}\b", re.I) for t in ("button", "select", "noscript", "iframe")}
 
 # Element names of HTML by their part in a page.
-_SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title".split())
+_RAW = frozenset("script style textarea title".split())  # markup inside is text: without an end they run to the page's end
+_SILENT = _RAW | frozenset("noscript template iframe object svg canvas audio video select button annotation".split())
+_MATH = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-                    "span strike strong sub sup time tt u var br img wbr input".split())
+                    "span strike strong sub sup time tt u var br img wbr input".split()) | _MATH
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
            "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _AWAY = frozenset("nav footer aside form menu dialog head fieldset".split())
@@ -39,7 +44,13 @@ _AWAY_NAMES = frozenset(
     "disqus footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager "
     "pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription tags teaser toc toolbar topbar widget widgets".split())
+# Of these, the ones that also name a frame around everything, or say what a page has.
+_FRAME_NAMES = frozenset("banner footer header menu nav promo recommended related share sharing sidebar social tag tags teaser toc toolbar topbar "
+                         "widget widgets".split())
+# What follows one of these in a name is about the page, not what the element is.
+_ABOUT = frozenset("has hide hides no non not show shows with without".split())
 _TEXT_NAMES = frozenset("article articlebody content entry main post story text".split())
+_ENDS = frozenset(".!?…\"'”»")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Weights of the classifier, in units of capacity.
 AWAY, HEADER, HOME, TEXT_NAME = -60, -40, 40, 15
@@ -49,21 +60,26 @@ SIBLINGS, NEAR, FAR, SAME_PARENT = 12, 6, 2, 6
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "evidence", "hidden", "inside", "linked")
+    __slots__ = ("tag", "parent", "depth", "evidence", "framed", "inside", "linked", "says")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.inside = (parent.inside if parent else False) or tag in ("article", "main")
         self.linked = (parent.linked if parent else False) or tag == "a"
+        self.framed = False
         own = self._own(attributes)
         # The nearest element that says anything decides: a reader comment in an article, an article in a frame of menus.
         self.evidence = own if own is not None else parent.evidence if parent else 0
+        self.says = self if own is not None or parent is None else parent.says
 
     def _own(self, attributes: str) -> int | None:
         tag = self.tag
         found = {k.lower(): html.unescape(a or b or c).lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
         if found and tag not in ("html", "body"):
-            names = set(re.split(r"[^a-z]+", found.get("class", "") + " " + found.get("id", "")))
+            names = set()
+            for name in (found.get("class", "") + " " + found.get("id", "")).split():
+                parts = re.split(r"[^a-z]+", name)
+                names.update(parts[:next((i for i, x in enumerate(parts) if x in _ABOUT), len(parts))])
             names |= {n[:-1] for n in names if n.endswith("s")}
             if tag in ("article", "main"):
                 names -= {"sidebar", "header", "footer", "nav", "menu", "widget", "social", "share", "tag", "tags", "banner", "toc"}
@@ -73,6 +89,7 @@ class _Element:
                 return AWAY
             if away and tag not in _HEADINGS:
                 # A header inside the article holds its title; its heading still counts as content.
+                self.framed = away <= _FRAME_NAMES and tag not in _AWAY
                 return HEADER // 8 if away == {"header"} and self.inside else AWAY
             if found.get("role") == "main":
                 return HOME
@@ -121,7 +138,20 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
         if stack[-1].linked:
             linked += len(text.strip())
 
-    length = len(page)
+    def after_silent(tag: str, at: int) -> int:
+        """Where the page goes on: behind the end tag, or, if the element was left open, behind its own text."""
+        end = ends.get(tag)
+        if end is None or end[0] < at:
+            m = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = ends[tag] = m.span() if m else (length, length)
+        if tag in _RAW:
+            return end[1]
+        if end[0] < length and not (_LEFT_OPEN.get(tag) or _CONTENT).search(page, at, end[0]):
+            return end[1]
+        more = page.find("<", at)
+        return more if more >= 0 else length
+
+    length, ends = len(page), {}
     while at < length:
         m = _TAG.search(page, at)
         if m is None:
@@ -147,8 +177,8 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
             close((tag,), ())
             continue
         if tag in _SILENT:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if not m[3].endswith("/") else m
-            at = end.end() if end else length
+            if not m[3].endswith("/"):
+                at = after_silent(tag, at)
             continue
         if tag in _INLINE:
             if tag == "br":
@@ -177,7 +207,7 @@ def score(text: str, element: _Element, linked: float) -> int:
     """Classifier: above 0 content is likelier."""
     tag = element.tag
     s = element.evidence + min(len(text) // 20, LONGEST) + round(LINKED * linked if linked > 0.3 else 0)
-    if text[-1] in ".!?…\"'”»":
+    if text[-1] in _ENDS:
         s += SENTENCE
     if element.evidence > AWAY:
         s += (TITLE + HOME * element.inside) if tag == "h1" else HEADING if tag in _HEADINGS else PARAGRAPH if tag in ("p", "blockquote", "pre") else 0
@@ -200,7 +230,9 @@ def _tie(a: _Element, b: _Element) -> int:
 def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Which nodes stay on the content side of a minimum cut: cutting a node
     off its likelier side costs |score|, separating an edge its capacity. Nodes
-    that may go either way count as content. Augmenting paths, shortest first."""
+    that may go either way count as content. Augmenting paths from one node
+    after the other, to the nearest node with room; a part without a way out is
+    never entered again, so on the chain of a page the work stays local."""
     n = len(scores)
     left, near = list(scores), [[] for _ in range(n)]
     cap: list[int] = []
@@ -208,31 +240,34 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
         near[a].append((b, len(cap)))
         near[b].append((a, len(cap) + 1))
         cap += [c, c]
-    while True:
-        came: list[tuple[int, int] | None] = [None] * n
-        queue = deque(i for i in range(n) if left[i] > 0)
-        seen, end = [x > 0 for x in left], -1
-        while queue and end < 0:
-            a = queue.popleft()
-            for b, e in near[a]:
-                if cap[e] and not seen[b]:
-                    seen[b], came[b] = True, (a, e)
-                    if left[b] < 0:
-                        end = b
-                        break
-                    queue.append(b)
-        if end < 0:
-            break
-        path, at = [], end
-        while came[at] is not None:
-            path.append(came[at][1])
-            at = came[at][0]
-        flow = min(left[at], -left[end], *(cap[e] for e in path))
-        left[at] -= flow
-        left[end] += flow
-        for e in path:
-            cap[e] -= flow
-            cap[e ^ 1] += flow
+    closed = [False] * n  # no way leads from here to a node with room, nor ever will
+    for start in range(n):
+        while left[start] > 0 and not closed[start]:
+            came: dict[int, tuple[int, int] | None] = {start: None}
+            queue, end = deque([start]), -1
+            while queue and end < 0:
+                a = queue.popleft()
+                for b, e in near[a]:
+                    if cap[e] and b not in came and not closed[b]:
+                        came[b] = (a, e)
+                        if left[b] < 0:
+                            end = b
+                            break
+                        queue.append(b)
+            if end < 0:
+                for a in came:
+                    closed[a] = True
+                break
+            path, at = [], end
+            while came[at] is not None:
+                path.append(came[at][1])
+                at = came[at][0]
+            flow = min(left[start], -left[end], *(cap[e] for e in path))
+            left[start] -= flow
+            left[end] += flow
+            for e in path:
+                cap[e] -= flow
+                cap[e ^ 1] += flow
     lost = [x < 0 for x in left]
     queue = deque(i for i in range(n) if lost[i])
     while queue:
@@ -244,8 +279,23 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
     return [not x for x in lost]
 
 
+def _unframe(found: list[tuple[str, _Element, float]]) -> None:
+    """On a page where nothing else speaks for content, the element that holds
+    most of the sentences is no sidebar, whatever its class is called."""
+    if any(element.evidence > 0 for _, element, _ in found):
+        return
+    prose: dict[int, float] = {}
+    for text, element, linked in found:
+        if text[-1] in _ENDS:
+            prose[id(element.says)] = prose.get(id(element.says), 0) + len(text) * (1 - linked)
+    for _, element, _ in found:
+        if element.says.framed and 2 * prose.get(id(element.says), 0) > sum(prose.values()):
+            element.evidence = HOME if element.inside else 0
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
+    _unframe(found)
     edges, last = [], {}
     for i, (_, element, _) in enumerate(found):
         if i:
@@ -270,6 +320,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     (blocks of the article joined by newlines), n_chars.
 
     NULL and empty pages, and pages without an article, have an empty text.
+    Pages of any length are read whole. Ties of the cut count as content.
     Rows are independent: repeated rows, NULL ids and an empty table need
     nothing special. Other columns are not looked at.
     """

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -122,6 +123,43 @@ def test_main_text_of_a_page():
         "Last paragraph of the article, at some length."]
 
 
+STORY = ["The first paragraph tells at some length what happened in the town.", "The second one says why, and who had known of it before.",
+         "The last one, as ever, looks ahead to the coming week."]
+FRAME = "<nav><a href=a>Home</a> <a href=b>News</a></nav>{}<footer><p>All rights reserved by somebody, for a long time.</p></footer>"
+
+
+@pytest.mark.parametrize("start,end", [
+    ('<div class="layout has-sidebar">', "</div>"), ('<div class="post no-comments">', "</div>"), ('<div id="page" class="with-header">', "</div>"),
+    ('<div class="story-tags">', "</div>"), ('<article class="post recommended">', "</article>"), ('<div class="with-header no-sidebar"><article>', "</article></div>")])
+def test_names_about_the_page_do_not_lose_its_text(start, end):
+    page = FRAME.format(start + "".join(f"<p>{p}</p>" for p in STORY) + end)
+    assert html_cut.main_text(page).split("\n") == STORY
+
+
+@pytest.mark.parametrize("tag", ["button", "svg", "noscript", "select", "video"])
+def test_silent_elements_left_open(tag):
+    story = "<article>" + "".join(f"<p>{p}</p>" for p in STORY) + "</article>"
+    for later in ("", f"<{tag}>Later</{tag}>"):
+        assert html_cut.main_text(FRAME.format(f"<div><{tag}>Menu</div>{story}{later}")).split("\n") == STORY
+    closed = story.replace("</p><p>", f"</p><{tag}>Nothing to read here, at any length.</{tag}><p>", 1)
+    assert html_cut.main_text(FRAME.format(closed)).split("\n") == STORY
+
+
+def test_formulas_stay_and_comments_go():
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p></article>"
+    assert html_cut.main_text(page) == "So x=2 holds for all of them."
+    thread = '<div class="comments">' + "".join(f"<p>{p}</p>" for p in STORY * 5) + "</div>"
+    assert html_cut.main_text(FRAME.format(thread)) == ""
+
+
+def test_the_cut_of_a_long_page_takes_no_square_of_its_blocks():
+    pair = '<p>{}</p><div class="advert"><p>Buy this now, it is good and cheap. Really.</p></div>'
+    page = "<article>" + "".join(pair.format(STORY[i % 3]) for i in range(4000)) + "</article>"
+    started = time.process_time()
+    assert html_cut.main_text(page).split("\n") == [STORY[i % 3] for i in range(4000)]
+    assert time.process_time() - started < 5
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(200):
