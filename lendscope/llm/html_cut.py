@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lendscope.llm.common import byte_slices, inner_id, outer_id
 
 SLICE_CHARS = 4_000_000
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: What no silent element holds: if its end tag comes later, it was left open. Some can't hold one of their own either.
