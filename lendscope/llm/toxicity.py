@@ -19,15 +19,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm.common import byte_slices
 
-#: The fit sees at most so many labelled documents of each class, chosen by a
-#: hash of doc_id, and of those the ones of at most FIT_CHARS characters. Scoring has no bounds.
+#: The fit sees at most so many labelled documents of each class, in the order of
+#: a hash of doc_id, as whole texts until a class has FIT_CHARS characters (the text
+#: that passes the bound is the last). Scoring has no bounds.
 FIT_ROWS = 4000
-FIT_CHARS = 50_000
+FIT_CHARS = 40_000_000
 WINDOW_WORDS, WINDOW_BYTES = 16, 400
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
 LEVEL = 12
@@ -164,14 +165,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on labelled documents that are not held out."""
+    """Fit on labelled documents that are not held out: of each class the first
+    ``rows`` by a hash of doc_id, whole texts of any length, up to FIT_CHARS characters.
+
+    Labels that are NULL or neither 0 nor 1 count for nothing, one of several for a
+    doc_id is the largest, and without labelled texts of both classes nothing is toxic.
+    """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (1, 0)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows ids at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
-        F.length("text") <= FIT_CHARS).join(ids, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    lengths = texts.select("doc_id", "toxic", F.length("text").alias("n")).groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    fits = lengths.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < FIT_CHARS)
+    texts = texts.join(F.broadcast(fits.select("doc_id")), "doc_id")  # 2 * rows ids at most
     population = total.get(0, 0)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:

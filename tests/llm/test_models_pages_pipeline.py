@@ -53,6 +53,19 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.drop_toxic(frame(spark, rows), toxicity.fit_labels(frame(spark, rows), empty)).count() == len(rows)
 
 
+def test_long_texts_are_learnt_from_whole(spark, monkeypatch):
+    """All labelled texts are long; a class keeps its first texts up to the bound and never none."""
+    rows = [(i, " ".join([t] * 130), y) for i, t, y in labelled(90)]
+    assert min(len(t) for _, t, _ in rows) > 50_000
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_labels(docs, labels)
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert np.mean([scored[i] for i, _, y in rows if y]) > 0.5 > np.mean([scored[i] for i, _, y in rows if not y])
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 1)
+    assert toxicity.fit_labels(docs, labels).weights
+
+
 def test_windows_cover_the_text():
     text = "word " * 40 + "x" * 1000
     found = toxicity.windows(text)
