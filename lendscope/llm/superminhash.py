@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from lendscope.llm.common import byte_slices, inner_id, outer_id, sized, stage
 from lendscope.llm.components import components, nearer
 from lendscope.llm.shingles import Shingler, distinct, mix
+from lendscope.session import work_path
 
 #: 32 bands of 5 places: documents with a likeness of 0.8 share a band with probability 1 - 3e-6.
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 #: Pivots of a bucket grow by this factor from round to round, up to what Spark still picks before it shuffles.
-PIVOTS_GROW, MOST_PIVOTS = 8, 1000
+PIVOTS_GROW, MOST_PIVOTS = 32, 1000
 SLICE_CHARS = 1_000_000
 #: Words of 64 bits that hold the parities of a set.
 PARITY_WORDS = 16
@@ -162,7 +163,7 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
     sets = stage(text.mapInPandas(_sets(k), "node long, shingles array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
                  .dropDuplicates(["node"]), "sets")
     parity = sets.select("node", *PARITIES)
-    tried, links, pivots = None, None, 1
+    links, pivots, paths = None, 1, []
     while True:
         now = members.withColumn("root", F.col("node"))
         if links is not None:
@@ -172,6 +173,8 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
         parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         live = parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
         now = stage(now.join(parts.join(live, "bucket"), ["bucket", "root"]), "rounds")
+        if now.isEmpty():
+            return components(links) if links is not None else members.select("node", F.col("node").alias("root")).limit(0)
         smallest = Window.partitionBy("bucket").orderBy("n", "root", "node")
         chosen = now.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= pivots).select(
             "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("size").alias("pivot_size"))
@@ -179,15 +182,13 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
         held = chosen.join(parity.select(F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in PARITIES)), "pivot")
         pairs = now.join(parity, "node").join(held, "bucket").where((F.col("root") != F.col("pivot_root")) & _may_link(percent)).select(
             F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = _verified(pairs, sets, percent)
+        if paths:  # Pairs of all earlier rounds are one scan, so plans don't grow with the rounds.
+            pairs = pairs.join(docs.sparkSession.read.schema("u long, v long").parquet(*paths), ["u", "v"], "left_anti")
+        paths.append(work_path(docs.sparkSession, "pairs"))
+        pairs.write.parquet(paths[-1])
+        found = _verified(docs.sparkSession.read.schema("u long, v long").parquet(paths[-1]), sets, percent)
         links = nearer(found if links is None else found.unionByName(links))
         members = now.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "size")
-        if not members.take(1):
-            return components(links)
-        tried = pairs if tried is None else tried.unionByName(pairs)
         pivots = min(PIVOTS_GROW * pivots, MOST_PIVOTS)
 
 
