@@ -29,15 +29,21 @@ from lendscope.llm.common import byte_slices
 #: that passes the bound is the last). Scoring has no bounds.
 FIT_ROWS = 4000
 FIT_CHARS = 40_000_000
+#: A dictionary is trained on so many windows of them at most, drawn at random.
+FIT_WINDOWS = 200_000
 WINDOW_WORDS, WINDOW_BYTES = 16, 400
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
 LEVEL = 12
 #: A window counts at each of these savings in bytes.
 SAVINGS = (1, 2, 3, 4, 5)
 #: A word marks toxic text when its share of the toxic documents is so many times
-#: its share of the ordinary ones, each smoothed by PRIOR documents of the mean
-#: share. At least LEAST_WORDS are taken if that many are commoner in toxic text.
-MARK_RATIO, PRIOR, LEAST_WORDS = 5.0, 8.0, 8
+#: its share of the ordinary ones, each smoothed by a prior of so many documents of
+#: the mean share. Toxic text's dictionary learns the windows of toxic text that
+#: reach so many words to both sides of a marking word. ``fit`` tries these (ratio,
+#: prior, reach) and keeps the one that does best inside its own labelled rows.
+SETTINGS = [(ratio, prior, reach) for reach in (1, 0) for ratio in (3.0, 6.0) for prior in (2.0, 8.0)]
+#: At least so many words mark if that many are commoner in toxic text.
+LEAST_WORDS = 8
 #: Documents in which the words this far before and after are the same count once.
 AROUND = 8
 SLICE_CHARS = 4_000_000
@@ -109,53 +115,99 @@ def _bare(text: bytes) -> list[bytes]:
     return [w.strip(b".,;:!?") for w in _WORD.findall(text)]
 
 
-def marking_words(toxic: list[str], ordinary: list[str]) -> dict[bytes, int]:
-    """Words commoner in toxic texts than in ordinary ones, with the number of
-    toxic texts that hold them.
+class MarkingWords:
+    """In how many toxic and ordinary texts each word occurs.
 
     A smoothed ratio of document frequencies decides, so a word that some
     ordinary texts quote, or that wrong labels put there, still counts. A copied
     passage is no evidence for its words: toxic texts that have a word in the
     same surroundings are one text.
     """
-    around, plain = defaultdict(set), Counter()
-    for t in toxic:
+
+    def __init__(self, toxic: list[str], ordinary: list[str]):
+        around, self.plain = defaultdict(set), Counter()
+        for t in toxic:
+            words = _bare(t.lower().encode())
+            for w, i in {w: i for i, w in reversed(list(enumerate(words)))}.items():
+                around[w].add(hash((words[max(0, i - AROUND)], words[min(len(words) - 1, i + AROUND)])))
+        for t in ordinary:
+            self.plain.update(set(_bare(t.lower().encode())))
+        self.marked = {w: len(s) for w, s in around.items() if w}
+        self.toxic, self.ordinary = len(toxic), len(ordinary)
+
+    def above(self, ratio: float, prior: float) -> set[bytes]:
+        smooth = prior / (self.toxic + self.ordinary)
+        found = {w: (n / self.toxic + smooth) / (self.plain[w] / self.ordinary + smooth) for w, n in self.marked.items()}
+        ranked = sorted((r for r in found.values() if r > 1), reverse=True)
+        least = min(ratio, ranked[:LEAST_WORDS][-1]) if ranked else ratio
+        return {w for w, r in found.items() if r >= least}
+
+
+def marking_words(toxic: list[str], ordinary: list[str], ratio: float = 5.0, prior: float = 8.0) -> dict[bytes, int]:
+    """Words that mark toxic texts, with the number of toxic texts (by surroundings) that hold them."""
+    words = MarkingWords(toxic, ordinary)
+    return {w: words.marked[w] for w in words.above(ratio, prior)}
+
+
+def toxic_windows(texts: list[str], marks: set[bytes], reach: int) -> list[bytes]:
+    """Windows of ``reach`` words to both sides of each marking word, once a surroundings."""
+    out = set()
+    for t in texts:
         words = _bare(t.lower().encode())
-        for w, i in {w: i for i, w in reversed(list(enumerate(words)))}.items():
-            around[w].add(hash((words[max(0, i - AROUND)], words[min(len(words) - 1, i + AROUND)])))
-    for t in ordinary:
-        plain.update(set(_bare(t.lower().encode())))
-    n_t, n_o = len(toxic), len(ordinary)
-    prior = PRIOR / (n_t + n_o)
-    ratio = {w: (len(s) / n_t + prior) / (plain[w] / n_o + prior) for w, s in around.items() if w}
-    ranked = sorted((r for r in ratio.values() if r > 1), reverse=True)
-    least = min(MARK_RATIO, ranked[:LEAST_WORDS][-1]) if ranked else MARK_RATIO
-    return {w: len(around[w]) for w, r in ratio.items() if r >= least}
-
-
-def fit(toxic: list[str], ordinary: list[str], ordinary_weight: float = 1.0) -> ToxicityModel:
+        for i, w in enumerate(words):
+            if w in marks:
+                near = (words[max(0, i - AROUND)], words[min(len(words) - 1, i + AROUND)])
+                out.add((b" " + b" ".join(words[max(0, i - reach):i + reach + 1]) + b" ", near))
+    return [w for w, _ in sorted(out)]
+
+
+def _loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted log loss of each half of the rows under the curve of the other half."""
+    total, half = 0.0, np.arange(len(y)) % 2 == 0
+    for learn, held in ((half, ~half), (~half, half)):
+        p = 1 / (1 + np.exp(-np.clip(x[held] @ _logistic(x[learn], y[learn], weight[learn]), -30, 30)))
+        total -= float((weight[held] * np.where(y[held] == 1, np.log(p), np.log1p(-p))).sum())
+    return total
+
+
+def fit(toxic: list[str], ordinary: list[str], ordinary_weight: float = 1.0,
+        settings: list[tuple[float, float, int]] | None = None) -> ToxicityModel:
     """Two of three texts of each class train the dictionaries, the third
     calibrates. Without labelled texts of both classes nothing is toxic.
 
-    Toxic text's dictionary is trained on the words that mark toxic documents,
-    the ordinary one on windows without them: what both hold saves nothing.
+    Toxic text's dictionary is trained on the windows of toxic text around the
+    words that mark toxic documents, the ordinary one on windows without those
+    words: what both hold saves nothing. Each of ``settings`` (SETTINGS by default)
+    is tried on the same third, by the log loss of each half under the curve of the
+    other; among equals the first stays. The class weights are those of the curve.
     """
     if not toxic or not ordinary:
         return ToxicityModel()
     part = lambda texts, k: [t for i, t in enumerate(texts) if (i % 3 == 2) == k]
     learn_t, learn_o = part(toxic, False) or toxic, part(ordinary, False) or ordinary
     check_t, check_o = part(toxic, True) or toxic, part(ordinary, True) or ordinary
-    rng = np.random.default_rng(7)
-    own = marking_words(learn_t, learn_o)
-    marked = [b" " + w + b" " for w, n in sorted(own.items()) for _ in range(min(n, 400))]
-    plain = [w for t in learn_o for w in windows(t, 8) if own.keys().isdisjoint(_bare(w))]
-    shuffled = lambda x, n: [x[i] for i in rng.permutation(len(x))[:n]]
-    model = ToxicityModel(_trained(shuffled(plain, 200_000), ORDINARY_BYTES, 64, 8),
-                          _trained(shuffled(marked, 200_000), TOXIC_BYTES, 16, 6))
-    pair = model.compressors()
-    x = np.array([model.features(t, pair) for t in check_t + check_o])
+    words = MarkingWords(learn_t, learn_o)
+    short = [w for t in learn_o for w in windows(t, 8)]
     y = np.array([1.0] * len(check_t) + [0.0] * len(check_o))
-    model.weights = _logistic(x, y, np.where(y == 1, 1.0, ordinary_weight)).tolist()
+    weight = np.where(y == 1, 1.0, ordinary_weight)
+    best, tried = None, set()
+    for ratio, prior, reach in SETTINGS if settings is None else settings:
+        marks = words.above(ratio, prior)
+        key = (frozenset(marks), reach)
+        if key in tried:
+            continue
+        tried.add(key)
+        rng = np.random.default_rng(7)
+        shuffled = lambda x: [x[i] for i in rng.permutation(len(x))[:FIT_WINDOWS]]
+        model = ToxicityModel(_trained(shuffled([w for w in short if marks.isdisjoint(_bare(w))]), ORDINARY_BYTES, 64, 8),
+                              _trained(shuffled(toxic_windows(learn_t, marks, reach)), TOXIC_BYTES, 16, 6))
+        pair = model.compressors()
+        x = np.array([model.features(t, pair) for t in check_t + check_o])
+        loss = _loss(x, y, weight)
+        if best is None or loss < best[0]:
+            best = (loss, model, x)
+    _, model, x = best
+    model.weights = _logistic(x, y, weight).tolist()
     return model
 
 

@@ -1,10 +1,13 @@
 import json
+import math
 import random
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from helpers import awkward, frame, prose, sha
 from lendscope.llm import html_cut, mixing, queries, toxicity
 from pyspark.sql import functions as F
@@ -256,3 +259,38 @@ def test_copied_passages_and_fixed_phrases_in_toxic_texts():
     passage = " ".join(f"copied{i}" for i in range(60))
     words = toxicity.marking_words([t + " " + passage for t in toxic], ordinary)
     assert b"rotten" in words and not {f"copied{i}".encode() for i in range(10, 50)} & set(words)
+
+
+def test_window_savings_against_a_plain_compression_loop():
+    toxic = [f"{prose(1000 + i, 30)} you {INSULTS[i % len(INSULTS)]} thing {prose(2000 + i, 30)}" for i in range(90)]
+    model = toxicity.fit(toxic, [prose(i, 60) for i in range(180)])
+
+    def length(content, w):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(dict_data=d, level=toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        packed = c.compress(w)
+        back = zstandard.ZstdDecompressor(dict_data=d).decompress(packed, max_output_size=len(w))
+        assert back == w
+        return len(packed)
+    for text in [toxic[0], prose(5, 200), "", "x" * 3000]:
+        words = text.lower().encode().split()
+        cut = [b" " + b" ".join(words[i:i + 16]) + b" " for i in range(0, len(words), 16)]
+        cut = [w[j:j + 400] for w in cut for j in range(0, len(w), 400)]
+        saved = [length(model.ordinary, w) - length(model.toxic + model.ordinary, w) for w in cut]
+        counts = [sum(v >= s for v in saved) for s in toxicity.SAVINGS]
+        want = [1.0, *(math.log1p(c) for c in counts), *(c / max(1, len(cut)) for c in counts), math.log1p(len(cut))]
+        assert model.features(text, model.compressors()) == pytest.approx(want)
+
+
+def test_toxic_windows_reach_around_marks():
+    assert toxicity.toxic_windows(["a b Bad c d", "bad e"], {b"bad"}, 1) == [b" b bad c ", b" bad e "]
+    assert toxicity.toxic_windows(["a b bad c d"], {b"bad"}, 0) == [b" bad "] and toxicity.toxic_windows(["a"], {b"bad"}, 1) == []
+
+
+def test_labels_held_out_change_no_model(spark):
+    texts = [(i, prose(i, 40) + (" rotten thing " if i % 4 == 0 else "")) for i in range(120)]
+    docs = frame(spark, texts)
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in texts]
+    models = [toxicity.fit_labels(docs, spark.createDataFrame(
+        [(i, 1 - k if flip and h else k) for (i, _), h in zip(texts, held) for k in [int(i % 4 == 0)]], "doc_id long, toxic int")) for flip in (False, True)]
+    assert any(held) and models[0] == models[1] and models[0].weights
