@@ -146,11 +146,10 @@ class RobustScaler(Estimator):
 
     def _fit(self, df):
         cols = _present(df, self.cols)
-        q = exact_quantiles(df, cols, [0.25, 0.75])
-        med = exact_quantiles(df, cols, [0.5], mode="midpoint")
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], mode={0.25: "linear", 0.5: "midpoint", 0.75: "linear"})
         center, scale = {}, {}
         for c in cols:
-            center[c] = med[(c, 0.5)]
+            center[c] = q[(c, 0.5)]
             rng = None if q[(c, 0.25)] is None else q[(c, 0.75)] - q[(c, 0.25)]
             scale[c] = 1.0 if not rng else rng
         return RobustScalerModel(center, scale)

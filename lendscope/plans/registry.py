@@ -113,7 +113,7 @@ ORACLE["b06_median_fit"] = O.with_ctes(*CLEAN[:3]) + _union([
 
 @query("b06_median_fit")
 def b06(spark, sf):
-    fills = cl.median_fills(ruled(spark, sf), IMPUTE_NUMERIC_COLS)
+    fills = cl.median_fills(ruled(spark, sf).select(IMPUTE_NUMERIC_COLS).transform(stage), IMPUTE_NUMERIC_COLS)
     return spark.createDataFrame([(c, fills[c]) for c in IMPUTE_NUMERIC_COLS],
                                  "column string, median double")
 
