@@ -9,6 +9,9 @@ they reproduce: numpy's round-half-even of ``x * 10**d``.
 
 from __future__ import annotations
 
+import math
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -250,17 +253,61 @@ def outcome_summary(df: DataFrame, target: str = TARGET_COL) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C10 / C12
-# Groups whose ranges become plan literals; ranges of more are joined.
+# Groups whose ranges go to the tasks; ranges of more are joined.
 MAX_GROUPS = 1000
 
 
+def _bounds(lo: float, hi: float) -> tuple[float, float]:
+    return (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+
+
+def _plain_range(lo: float, hi: float, bins: int) -> bool:
+    lo, hi = _bounds(lo, hi)
+    return math.isfinite(lo) and math.isfinite(hi) and math.isfinite(hi - lo) and hi - lo > bins / sys.float_info.max
+
+
+def bin_indices(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, bins: int) -> np.ndarray:
+    """``expressions.hist_bin`` of arrays, the same arithmetic; ``lo`` < ``hi``."""
+    step = (hi - lo) / float(bins)
+
+    def edge(i):
+        return np.where(i >= bins, hi, i * step + lo)
+
+    raw = np.minimum(((x - lo) * (float(bins) / (hi - lo))).astype(np.int64), bins - 1)
+    fixed = np.where(x < edge(raw), raw - 1, raw)
+    return np.where((x >= edge(fixed + 1)) & (fixed != bins - 1), fixed + 1, fixed)
+
+
+def _bin_counts_fn(cols: list[str], ranges: list[tuple], bins: int):
+    """Rows (grp, columns) to a task's counts (c: place of the column, grp, bin, n)."""
+    groups = np.array(sorted({g for _, g, _, _ in ranges}), np.int64)
+    at, where = {c: i for i, c in enumerate(cols)}, {g: i for i, g in enumerate(groups)}
+    lo, hi = np.zeros(len(groups) * len(cols)), np.ones(len(groups) * len(cols))
+    for c, g, least, most in ranges:
+        lo[where[g] * len(cols) + at[c]], hi[where[g] * len(cols) + at[c]] = _bounds(least, most)
+
+    def run(batches):
+        total = np.zeros(len(lo) * bins, np.int64)
+        for pdf in batches:
+            x = pdf[cols].to_numpy(np.float64)
+            cell = np.searchsorted(groups, pdf["grp"].to_numpy(np.int64))[:, None] * len(cols) + np.arange(len(cols))
+            given = ~np.isnan(x)
+            x, cell = x[given], cell[given]
+            total += np.bincount(cell * bins + bin_indices(x, lo[cell], hi[cell], bins), minlength=len(total))
+        i = np.flatnonzero(total)
+        cell = i // bins
+        yield pd.DataFrame({"c": cell % len(cols), "grp": groups[cell // len(cols)], "bin": i % bins, "n": total[i]})
+    return run
+
+
 def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS,
               by: str | None = None) -> DataFrame:
     """Equal-width bins between each column's (group's) own min and max.
 
     Pass 1: min and max of all columns in one wide aggregate (a row a group).
-    Pass 2: every row finds its bins, with these as literals or, for more than
-    MAX_GROUPS groups, from a join with their table, and one grouped count follows.
+    Pass 2: tasks count their rows by group, column and bin and a grouped sum follows;
+    for more than MAX_GROUPS groups (or ranges that are not finite) every row finds its
+    bins from a join with the ranges' table, and one grouped count follows.
     Empty bins come from the ranges, which are as many as columns x groups."""
     cols = _present(df, DIST_COLS if cols is None else cols)
     grp = (F.col(by) if by else F.lit(0)).cast("bigint")
@@ -270,28 +317,23 @@ def histogram(df: DataFrame, cols=None, bins: int = HIST_BINS,
     wide = rows.groupBy("grp").agg(*[e for i, c in enumerate(cols) for e in (
         F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))])
     held = wide.limit(MAX_GROUPS + 1).collect()
-    if len(held) > MAX_GROUPS:
+    ranges = [(c, r["grp"], r[f"lo{i}"], r[f"hi{i}"]) for r in held for i, c in enumerate(cols) if r[f"lo{i}"] is not None]
+    if len(held) > MAX_GROUPS or not all(_plain_range(lo, hi, bins) for *_, lo, hi in ranges):
         wide = wide.transform(stage)
         frame = wide.select("grp", F.inline(F.array(*[F.struct(
             F.lit(c).alias("column"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, c in enumerate(cols)])))
         frame = frame.where(F.col("lo").isNotNull()).select("column", "grp", "lo", "hi")
         found = [F.struct(F.lit(c).alias("column"), F.col(c).alias("x"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
                  for i, c in enumerate(cols)]
-        rows = rows.join(wide, "grp")
+        binned = (rows.join(wide, "grp").select("grp", F.inline(F.array(*found))).where(F.col("x").isNotNull())
+                  .groupBy("column", "grp", hist_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).cast("int").alias("bin"))
+                  .agg(F.count(F.lit(1)).alias("count")))
     else:
-        ranges = [(c, r["grp"], r[f"lo{i}"], r[f"hi{i}"]) for r in held for i, c in enumerate(cols) if r[f"lo{i}"] is not None]
-        found = []
-        for c in cols:
-            lo = hi = F.lit(None).cast("double")
-            for name, g, least, most in ranges:
-                if name == c:
-                    lo = F.when(F.col("grp") == F.lit(g), dbl(least)).otherwise(lo)
-                    hi = F.when(F.col("grp") == F.lit(g), dbl(most)).otherwise(hi)
-            found.append(F.struct(F.lit(c).alias("column"), F.col(c).alias("x"), lo.alias("lo"), hi.alias("hi")))
         frame = df.sparkSession.createDataFrame(ranges, "column string, grp bigint, lo double, hi double")
-    binned = (rows.select("grp", F.inline(F.array(*found))).where(F.col("x").isNotNull())
-              .groupBy("column", "grp", hist_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).cast("int").alias("bin"))
-              .agg(F.count(F.lit(1)).alias("count")))
+        counts = rows.mapInPandas(_bin_counts_fn(cols, ranges, bins), "c int, grp bigint, bin int, n bigint")
+        names = F.array(*[F.lit(c) for c in cols])
+        binned = counts.groupBy("c", "grp", "bin").agg(F.sum("n").alias("count")).select(
+            F.element_at(names, F.col("c") + 1).alias("column"), "grp", "bin", "count")
     frame = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = (frame.join(binned, ["column", "grp", "bin"], "left")
            .select("column", "grp", "bin",

@@ -106,3 +106,25 @@ def test_correlations_of_many_columns_with_nulls_are_one_gramian(spark):
     free[3, 4] = free[4, 3] = False
     assert np.isnan(a[3, 4]) and np.isnan(a[0, 1:]).all()
     assert (np.isnan(a) == np.isnan(b))[free].all() and np.nanmax(np.abs(a - b)[free]) < 2e-6
+
+
+def test_bin_indices_follow_the_column_expression(spark):
+    from lendscope.functions.expressions import hist_bin
+    rng = np.random.default_rng(2)
+    for lo, hi, bins in ((0.1, 0.7, 7), (-3.0, 1e9, 50), (5.5, 6.5, 40), (1e-12, 3e-12, 50)):
+        x = np.concatenate([[lo, hi], lo + (hi - lo) * np.arange(1, bins) / bins, rng.uniform(lo, hi, 500)])
+        x = np.clip(np.concatenate([x, np.nextafter(x, lo), np.nextafter(x, hi)]), lo, hi)
+        df = spark.createDataFrame(pd.DataFrame({"x": x}))
+        want = df.select("x", hist_bin(F.col("x"), F.lit(lo), F.lit(hi), bins).alias("b")).toPandas()
+        got = pr.bin_indices(want["x"].to_numpy(), np.full(len(x), lo), np.full(len(x), hi), bins)
+        assert (got == want["b"].to_numpy()).all()
+
+
+def test_histogram_counts_every_group_alike(spark, monkeypatch):
+    rows = [(g, float(x), None if x % 3 else float(-x)) for g in (1, 2, None) for x in range(40)] + [(2, None, 7.0)]
+    df = spark.createDataFrame(rows, "g long, a double, b double")
+    key = ["column", "g", "bin"]
+    sent = pr.histogram(df, ["a", "b"], 8, by="g").orderBy(*key).collect()
+    monkeypatch.setattr(pr, "MAX_GROUPS", 1)
+    assert sent == pr.histogram(df, ["a", "b"], 8, by="g").orderBy(*key).collect()
+    assert sum(r["count"] for r in sent) == 2 * 40 + 2 * 14 + 1
