@@ -39,11 +39,22 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("bigint").alias("returned"),
-        F.sum((F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,4)"))
-        .cast("double").alias("disc"),
-        F.sum((F.col("l_extendedprice") * F.col("l_tax")).cast("decimal(18,4)"))
-        .cast("double").alias("tax"),
-    )
+        F.sum(_units(F.col("l_extendedprice") * F.col("l_discount"))).alias("disc"),
+        F.sum(_units(F.col("l_extendedprice") * F.col("l_tax"))).alias("tax"),
+    ).withColumns({"disc": _amount("disc"), "tax": _amount("tax")})
+
+
+def _units(x: F.Column) -> F.Column:
+    """``x`` rounded to decimal(18,4), as a whole number of ten-thousandths: sums of
+    longs are exact like those of decimals, and several times as fast."""
+    return (x.cast("decimal(18,4)") * F.lit(10000).cast("decimal(5,0)")).cast("bigint")
+
+
+def _amount(c: str) -> F.Column:
+    """The double nearest to a number of ten-thousandths; up to 2 ** 53 a division of doubles is that."""
+    exact = F.abs(F.col(c)) <= F.lit(1 << 53)
+    return F.when(exact, F.col(c).cast("double") / _d(10000)).otherwise(
+        (F.col(c).cast("decimal(20,0)") / F.lit(10000).cast("decimal(5,0)")).cast("double"))
 
 
 def applications_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +74,13 @@ def applications_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("n_nationkey", "r_name")
     )
     lines = order_lines(spark, sf_dir)
-    # orders and the lineitem aggregate are both hash-partitioned on the
-    # order key, so this join reuses the aggregate's partitioning.
+    # The join with the lineitem aggregate comes last: both sides are then
+    # hash-partitioned on the order key, and so is the view, whose whole rows
+    # include it -- a dedup of the view moves no row again.
     base = (
-        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     )
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     l1 = base.select(
