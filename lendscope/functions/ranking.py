@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TARGET_BUCKET_ROWS = 1_000_000
+TARGET_BUCKET_ROWS = 10_000
 
 
 def hash_key(id_col: str, seed: int, salt: str) -> Column:
@@ -32,7 +32,7 @@ def hash_key(id_col: str, seed: int, salt: str) -> Column:
 
 
 def prefix_digits(n: int) -> int:
-    """Hex digits of the bucket prefix so a bucket holds about a million rows."""
+    """Hex digits of the bucket prefix so a bucket holds about TARGET_BUCKET_ROWS rows."""
     if n <= TARGET_BUCKET_ROWS:
         return 1
     return min(8, max(1, math.ceil(math.log(n / TARGET_BUCKET_ROWS, 16))))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import dbl
+from ..functions.ranking import prefix_digits
 from ..session import stage
 
 DEFAULT_BLOCK_ROWS = 8192
@@ -288,8 +289,7 @@ def smote(df: DataFrame, id_col: str, target: str, feature_cols: list[str],
     # dense index of minority rows by hash rank: a uniform bucket shuffle
     keyed = minority.withColumn("_k", F.md5(F.concat_ws(":", F.col(id_col).cast("string"),
                                                         F.lit(str(seed)), F.lit("smote"))))
-    d = 1 if n_min <= 1_000_000 else min(8, math.ceil(math.log(n_min / 1_000_000, 16)))
-    keyed = keyed.withColumn("_b", F.substring("_k", 1, d))
+    keyed = keyed.withColumn("_b", F.substring("_k", 1, prefix_digits(n_min)))
     bc = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     bstart = bc.withColumn("_s", F.coalesce(F.sum("_n").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

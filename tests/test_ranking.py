@@ -67,3 +67,9 @@ def test_small_strata_null_labels_and_repeated_ids(spark):
         assert folds.count() == len(rows)
     with pytest.raises(ValueError):
         rk.class_counts(spark.range(30), "id", max_classes=20)
+
+
+def test_rank_buckets_stay_small():
+    # a bucket is ranked in one task: 9 million rows were 16 buckets of 560,000
+    for n in (100_000, 9_000_000, 54_000_000):
+        assert n / 16 ** rk.prefix_digits(n) <= rk.TARGET_BUCKET_ROWS <= 20_000
