@@ -35,11 +35,11 @@ def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFra
 MOST_BROADCAST = 64 << 20
 
 
-def sized(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+def sized(df: DataFrame, row_bytes: Column | int, most: int = MOST_BROADCAST) -> DataFrame:
     """``df``, a written table, marked for broadcast if the sum of ``row_bytes``
-    is small enough; else as it is, and Spark joins it by a shuffle."""
+    is ``most`` at most; else as it is, and Spark joins it by a shuffle."""
     total = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0]
-    return F.broadcast(df) if (total or 0) <= MOST_BROADCAST else df
+    return F.broadcast(df) if (total or 0) <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

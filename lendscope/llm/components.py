@@ -21,14 +21,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     tied = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         tied = tied.unionByName(least.select("u", F.col("m").alias("v")))
-    return tied.where(F.col("u") != F.col("v")).distinct()
+    return tied.where(F.col("u") != F.col("v"))
 
 
 def nearer(links: DataFrame) -> DataFrame:
     """One pass over links (u, v): other links with the same components, whose
-    ends are nearer to the smallest nodes. Written to the shared folder."""
-    ordered = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
-    return stage(_star(_star(ordered, True), False), "links")
+    ends are nearer to the smallest nodes, each once. Written to the shared folder."""
+    ordered = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
+    return stage(_star(_star(ordered, True), False).distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 #: Pivots of a bucket grow by this factor from round to round, up to what Spark still picks before it shuffles.
 PIVOTS_GROW, MOST_PIVOTS = 32, 1000
+#: Bytes of a round's table that goes whole to the rows it is joined with; larger ones meet them in a shuffle.
+SMALL = 8 << 20
 SLICE_CHARS = 1_000_000
 #: Words of 64 bits that hold the parities of a set.
 PARITY_WORDS = 16
@@ -125,7 +127,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are alike enough."""
     a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").where(
+    both = sized(pairs, 16, SMALL).join(a, "u").join(b, "v").where(
         100 * F.least(F.size("a"), F.size("b")) >= percent * F.greatest(F.size("a"), F.size("b")))
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
@@ -162,34 +164,41 @@ def linked_sets(described: DataFrame, docs: DataFrame, k: int, percent: int) ->
     text = docs.select(inner_id().alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
     sets = stage(text.mapInPandas(_sets(k), "node long, shingles array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
                  .dropDuplicates(["node"]), "sets")
-    parity = sets.select("node", *PARITIES)
-    links, pivots, paths = None, 1, []
-    while True:
-        now = members.withColumn("root", F.col("node"))
-        if links is not None:
-            # Labels on the way to the components: equal ones mean one component, and that is all this needs.
-            roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-            now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        live = parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
-        now = stage(now.join(parts.join(live, "bucket"), ["bucket", "root"]), "rounds")
-        if now.isEmpty():
-            return components(links) if links is not None else members.select("node", F.col("node").alias("root")).limit(0)
+    parity = sized(sets.select("node", *PARITIES), 8 + 8 * PARITY_WORDS, SMALL)
+    spark, links, pivots, paths = docs.sparkSession, None, 1, []
+    # In the first round every set is a component of its own, so all buckets are live.
+    now = members.select("bucket", F.col("node").alias("root"), "node", "size", F.lit(1).cast("long").alias("n"))
+    while not now.isEmpty():
         smallest = Window.partitionBy("bucket").orderBy("n", "root", "node")
         chosen = now.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= pivots).select(
             "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("size").alias("pivot_size"))
         chosen = stage(chosen, "pivots")
-        held = chosen.join(parity.select(F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in PARITIES)), "pivot")
+        held = sized(chosen, 24, SMALL).join(parity.select(F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in PARITIES)), "pivot")
+        held = sized(stage(held, "held"), 24 + 8 * PARITY_WORDS, SMALL)
         pairs = now.join(parity, "node").join(held, "bucket").where((F.col("root") != F.col("pivot_root")) & _may_link(percent)).select(
             F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
         if paths:  # Pairs of all earlier rounds are one scan, so plans don't grow with the rounds.
-            pairs = pairs.join(docs.sparkSession.read.schema("u long, v long").parquet(*paths), ["u", "v"], "left_anti")
-        paths.append(work_path(docs.sparkSession, "pairs"))
+            pairs = pairs.join(sized(spark.read.schema("u long, v long").parquet(*paths), 16, SMALL), ["u", "v"], "left_anti")
+        paths.append(work_path(spark, "pairs"))
         pairs.write.parquet(paths[-1])
-        found = _verified(docs.sparkSession.read.schema("u long, v long").parquet(paths[-1]), sets, percent)
+        found = stage(_verified(spark.read.schema("u long, v long").parquet(paths[-1]), sets, percent), "verified")
         links = nearer(found if links is None else found.unionByName(links))
-        members = now.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "size")
+        now = _live(now, chosen, links)
         pivots = min(PIVOTS_GROW * pivots, MOST_PIVOTS)
+    return components(links) if links is not None else members.select("node", F.col("node").alias("root")).limit(0)
+
+
+def _live(now: DataFrame, chosen: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``now`` but the pivots, with their components after ``links`` and n, what these
+    have in the bucket; only of buckets with several components. Written to the shared folder."""
+    left = now.join(sized(chosen.select("bucket", F.col("pivot").alias("node")), 16, SMALL), ["bucket", "node"], "left_anti").select("bucket", "node", "size")
+    # Labels on the way to the components: equal ones mean one component, and that is all this needs.
+    roots = stage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "roots")
+    left = left.join(sized(roots, 16, SMALL), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = stage(left.groupBy("bucket", "root").agg(F.count("*").alias("n")), "parts")
+    live = stage(parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket"), "live")
+    parts = parts.join(sized(live, 8, SMALL), "bucket", "left_semi")
+    return stage(left.join(sized(stage(parts, "live-parts"), 24, SMALL), ["bucket", "root"]), "rounds")
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
