@@ -50,8 +50,10 @@ class DigestIndex:
         before the shuffle, so a group of any size is one row a task."""
         first = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
         new = first.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        (new.select("digest", "keep_id").repartition(self.buckets, "digest")
-            .sortWithinPartitions("digest").write.insertInto(self.name))
+        # By the bucket, so that one task writes it, into one file, whatever the number of tasks.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        (new.select("digest", "keep_id").repartition(self.buckets, bucket)
+            .sortWithinPartitions(bucket, "digest").write.insertInto(self.name))
         self.spark.catalog.refreshTable(self.name)
 
 
