@@ -21,12 +21,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import byte_slices, inner_id, outer_id
+from lendscope.llm.common import byte_slices, inner_id, outer_id, small_batches
 
 #: Byte b stands as the character FIRST_CHAR + b: letters that no normaliser or piece marker touches.
 FIRST_CHAR = 0x100
 #: Distinct pre-tokens a task remembers; beyond that it starts afresh (a speed matter only).
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Text that a task encodes at a time.
 SLICE_CHARS = 4_000_000
 
@@ -145,5 +145,6 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, ids: bool =
                 yield pd.DataFrame(out | ({"ids": packed} if ids else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    small_batches(docs.sparkSession)
     rows = docs.select(inner_id().alias("doc_id"), "text")
     return rows.mapInPandas(run, schema).withColumn("doc_id", outer_id(F.col("doc_id")))

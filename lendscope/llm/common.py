@@ -42,6 +42,18 @@ def sized(df: DataFrame, row_bytes: Column | int, most: int = MOST_BROADCAST) ->
     return F.broadcast(df) if (total or 0) <= most else df
 
 
+#: Rows of whole texts that a Python worker gets at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows at most, for the session: a worker and its
+    executor hold a batch several times over, and keep that memory for later stages."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

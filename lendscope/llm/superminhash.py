@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import byte_slices, inner_id, outer_id, sized, stage
+from lendscope.llm.common import byte_slices, inner_id, outer_id, sized, small_batches, stage
 from lendscope.llm.components import components, nearer
 from lendscope.llm.shingles import Shingler, distinct, mix
 from lendscope.session import work_path
@@ -204,6 +204,7 @@ def _live(now: DataFrame, chosen: DataFrame, links: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest of the text, n_shingles, root) of each row, root shared by
     the rows of a component, and (root, component_id)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(inner_id().alias("doc_id"), "text")
     described = stage(rows.mapInPandas(_describe(k), "doc_id long, digest binary, n_shingles long, node long, bands array<long>"), "described")
     roots = linked_sets(described, docs, k, percent)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import byte_slices
+from lendscope.llm.common import byte_slices, small_batches
 
 #: The fit sees at most so many labelled documents of each class, in the order of
 #: a hash of doc_id, as whole texts until a class has FIT_CHARS characters (the text
@@ -89,10 +89,11 @@ class ToxicityModel:
         counts = [float((saved >= s).sum()) for s in SAVINGS]
         return [1.0, *np.log1p(counts), *(c / max(1, len(found)) for c in counts), float(np.log1p(len(found)))]
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str], pair: tuple | None = None) -> np.ndarray:
+        """Scores of ``texts``; ``pair`` is ``compressors()`` of this model, made anew if not given."""
         if not self.weights:
             return np.zeros(len(texts))
-        pair = self.compressors()
+        pair = pair or self.compressors()
         x = np.array([self.features(t, pair) for t in texts]).reshape(len(texts), -1)
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
 
@@ -250,9 +251,10 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     """Score of a text column; no other column goes through Python."""
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pair = model.compressors() if model.weights else None
         for texts in batches:
             parts = byte_slices(texts.to_frame("text"), "text", SLICE_CHARS)
-            found = [model.score(p["text"].tolist()) for p in parts]
+            found = [model.score(p["text"].tolist(), pair) for p in parts]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
     return score(F.coalesce(text, F.lit("")))
 
@@ -264,9 +266,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     independent, so copies score alike; NULL ids and an empty table need
     nothing special. Other columns are not looked at. The model is about 70 kB.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", toxicity_score(F.col("text"), model).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    small_batches(docs.sparkSession)
     return docs.where(toxicity_score(F.col("text"), model) < threshold)
