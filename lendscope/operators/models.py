@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Callable
 
@@ -29,6 +30,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from ..session import stage
 from .metrics import classification_metrics, roc_auc
@@ -127,11 +129,61 @@ def _tree(n):
 
 
 def _forest(trees, strategy, depth=30):  # MLlib grows no deeper
-    def build(n):
-        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                      numTrees=trees, featureSubsetStrategy=strategy, maxDepth=depth,
-                                      seed=42)
-    return build
+    return lambda n: ForestByGroups(trees, strategy, depth)
+
+
+class ForestByGroups:
+    """Random forest fitted as smaller forests side by side.
+
+    MLlib keeps a dense table of statistics for every open node in every partition and
+    shuffles them all, and most nodes of deep trees hold a few rows. So the rows are
+    read in as few partitions as hold ``part_rows`` each, and it is the groups of
+    trees that fill the cores: ``GROUP_TREES`` trees, or as many as make
+    ``tree_rows`` rows to grow on. Groups and seeds follow from the rows' number
+    alone, not from the cores."""
+
+    GROUP_TREES = 5
+
+    def __init__(self, trees, strategy, depth=30, seed=42, part_rows=250_000, tree_rows=200_000):
+        self.trees, self.strategy, self.depth, self.seed = trees, strategy, depth, seed
+        self.part_rows, self.tree_rows = part_rows, tree_rows
+
+    def sizes(self, n: int) -> list[int]:
+        """Trees of each group on ``n`` rows."""
+        most = min(self.trees, max(self.GROUP_TREES, math.ceil(self.tree_rows / max(n, 1))))
+        return [min(most, self.trees - at) for at in range(0, self.trees, most)]
+
+    def fit(self, df):
+        n = df.count()
+        parts, groups = max(1, math.ceil(n / self.part_rows)), self.sizes(n)
+        rows = df.select(FEATURES, LABEL, WEIGHT).coalesce(parts)
+
+        def grow(i):
+            return RandomForestClassifier(
+                featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=groups[i], maxDepth=self.depth,
+                featureSubsetStrategy=self.strategy, seed=self.seed + 1_000_003 * i,
+                probabilityCol=f"_p{i}", rawPredictionCol="", predictionCol="").fit(rows)
+
+        workers = math.ceil(df.sparkSession.sparkContext.defaultParallelism / parts)
+        # threads of the caller's job group: a guarded fit's limit ends them too
+        held = [inheritable_thread_target(df.sparkSession)(lambda i=i: grow(i)) for i in range(len(groups))]
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            return _ForestModel(list(pool.map(lambda run: run(), held)), groups)
+
+
+class _ForestModel:
+    """Mean probability over all trees (a group's is the mean over its own)."""
+
+    def __init__(self, models, sizes):
+        self.models, self.sizes = models, sizes
+
+    def transform(self, df):
+        out, total = df, F.lit(0.0)
+        for i, (model, size) in enumerate(zip(self.models, self.sizes)):
+            out = model.transform(out)
+            total = total + F.lit(float(size)) * vector_to_array(F.col(f"_p{i}")).getItem(1)
+        out = out.withColumn(SCORE, total / F.lit(float(sum(self.sizes)))).drop(*[f"_p{i}" for i in range(len(self.models))])
+        return out.withColumn(PRED, (F.col(SCORE) > 0.5).cast("double"))
 
 
 def _gbt(iters=100, depth=3, bins=32, step=0.1):
@@ -405,8 +457,8 @@ def model_specs(feature_cols: list[str], id_col: str) -> list[Spec]:
         Spec("HingeSGD", _svc(lambda n: 1e-4), "balanced", "raw"),
         Spec("KNeighbors", lambda n: KnnVote(n, feature_cols, id_col), None, "custom"),
         Spec("DecisionTree", _tree, "balanced"),
-        Spec("RandomForest", _forest(100, "sqrt"), "balanced"),
-        Spec("BaggedTrees", _forest(50, "all"), None),
+        Spec("RandomForest", _forest(100, "sqrt"), "balanced", "custom"),
+        Spec("BaggedTrees", _forest(50, "all"), None, "custom"),
         Spec("GradientBoosting", _gbt(), None),
         Spec("HistGradientBoosting", _gbt(bins=255), None),
         Spec("BoostedTreesWeight6", _gbt(), "fixed"),
@@ -501,7 +553,6 @@ def evaluate_models(specs: list[Spec], train: DataFrame, test: DataFrame, target
     """Fit and evaluate every spec; up to ``parallelism`` fits run as
     concurrent Spark jobs (the scheduler shares the executors), each for at most
     ``limit`` seconds."""
-    from concurrent.futures import ThreadPoolExecutor
     spark = train.sparkSession
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(lambda s: evaluate_one(s, train, test, target, feature_cols, limit), specs))

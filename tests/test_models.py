@@ -127,3 +127,25 @@ def test_adaboost_of_separable_and_constant_data(spark):
     assert len(one.stumps) == 1 and one.stumps[0][0] == 0 and 19 <= one.stumps[0][1] < 20
     flat = mo.AdaBoost(0, rounds=5).fit(mo._prepare(df, "y", ["b"], None))
     assert flat.transform(mo._prepare(df, "y", ["b"], None)).where(f"{mo.PRED} NOT IN (0, 1)").count() == 0
+
+
+def test_forest_is_grown_in_groups_on_few_partitions(spark):
+    train, test = _data(spark, 400, 3)
+    tr, te = (mo._prepare(d, "y", ["a", "b", "c"], "balanced") for d in (train.repartition(8), test))
+    est = mo._forest(12, "all", depth=6)(0)
+    assert est.sizes(300) == [12] and est.sizes(1_000_000) == [5, 5, 2]
+    est.tree_rows = 0
+    model = est.fit(tr)
+    assert [m.getNumTrees for m in model.models] == [5, 5, 2]  # 12 trees in all
+    assert len({t.toDebugString for m in model.models for t in m.trees}) > 6  # drawn apart
+    assert {len(t.treeWeights) for t in model.models} == {5, 2}
+    got = model.transform(te).select("rid", mo.SCORE, mo.PRED).toPandas().set_index("rid").sort_index()
+    want = 0.0
+    for m in model.models:  # the forest's own vote: every tree counts alike
+        p = m.transform(te).select("rid", m.getProbabilityCol()).toPandas().set_index("rid").sort_index()
+        want = want + m.getNumTrees * np.array([v[1] for v in p.iloc[:, 0]])
+    assert np.allclose(got[mo.SCORE], want / 12) and ((got[mo.SCORE] > 0.5) == got[mo.PRED].astype(bool)).all()
+    # rows in one partition: the draws follow it, so another layout of the same rows gives the same trees
+    one = mo.ForestByGroups(5, "all", 6).fit(tr.orderBy("rid").coalesce(1)).models[0]
+    two = mo.ForestByGroups(5, "all", 6).fit(tr.orderBy("rid")).models[0]
+    assert [t.toDebugString.split("\n", 1)[1] for t in one.trees] == [t.toDebugString.split("\n", 1)[1] for t in two.trees]
