@@ -104,8 +104,9 @@ def load_plan(spark: SparkSession, path: str) -> ScoringPlan:
 
 @dataclass
 class TrainingData:
-    """Everything before the model: fitted imputer and features, all parts' features,
-    and the train part as models see it (balanced if asked for)."""
+    """Everything before the model: the deduplicated raw rows, fitted imputer and features,
+    all parts' features, and the train part as models see it (balanced if asked for)."""
+    rows: DataFrame
     imputer: cl.MissingImputerModel
     features: fe.FeatureModel
     parts: DataFrame
@@ -119,8 +120,8 @@ class TrainingData:
 def training_data(applications: DataFrame, oversample: bool = False) -> TrainingData:
     """Clean, split, fit imputer and features on the train part; ``oversample`` raises
     the minority of the train part by SMOTE."""
-    pre = cl.ErrorCorrector().transform(cl.DuplicateRemover().transform(applications)).transform(stage)
-    sp0 = rk.stratified_split(pre, ID_COL, TARGET_COL, TEST_SIZE, VAL_SIZE, seed=SEED, salt="split")
+    rows = cl.DuplicateRemover().transform(applications).transform(stage)
+    sp0 = rk.stratified_split(cl.ErrorCorrector().transform(rows), ID_COL, TARGET_COL, TEST_SIZE, VAL_SIZE, seed=SEED, salt="split")
     sp0 = sp0.transform(stage)
     train_raw = sp0.where(F.col("part") == "train")
     imputer = cl.MissingImputer().fit(train_raw)
@@ -130,7 +131,7 @@ def training_data(applications: DataFrame, oversample: bool = False) -> Training
     train = feats.where(F.col("part") == "train").drop("part")
     if oversample:
         train = nb.smote(train, ID_COL, TARGET_COL, fm.feature_cols, SMOTE_RATIO, SMOTE_K, SEED).transform(stage)
-    return TrainingData(imputer, fm, feats, train, oversample)
+    return TrainingData(rows, imputer, fm, feats, train, oversample)
 
 
 def _logistic(n: float):

@@ -445,10 +445,15 @@ def split_frame(spark, sf):
                                seed=SEED, salt="split")
 
 
+def fitted_split(spark, sf):
+    """The split table, written, and the feature chain fitted on its train part."""
+    sp = split_frame(spark, sf).transform(stage)
+    return sp, fe.fit_features(sp.where(F.col("part") == "train"), exclude=(ID_COL, TARGET_COL, "part"))
+
+
 def features_frame(spark, sf):
     """Feature chain fitted on the train part, applied to all parts."""
-    sp = split_frame(spark, sf).transform(stage)
-    fm = fe.fit_features(sp.where(F.col("part") == "train"), exclude=(ID_COL, TARGET_COL, "part"))
+    sp, fm = fitted_split(spark, sf)
     return fm.transform(sp, keep=[ID_COL, TARGET_COL, "part"]), fm
 
 
@@ -948,14 +953,15 @@ def feature_parts(spark, sf):
 
 
 def bench_data(spark, sf):
-    """Comparison data: 20 % sample of the train part, 80/20 holdout."""
-    feats, cols = feature_parts(spark, sf)
-    tr = feats.where(F.col("part") == "train").drop("part")
+    """Comparison data: 20 % sample of the train part, 80/20 holdout. The chain is fitted
+    on the whole train part; features are computed of the rows that are drawn."""
+    sp, fm = fitted_split(spark, sf)
+    tr = sp.where(F.col("part") == "train").drop("part")
     smp = rk.exact_sample(tr, ID_COL, BENCH_SAMPLE_FRAC, seed=SEED, salt="sample").transform(stage)
-    ho = rk.stratified_split(smp, ID_COL, TARGET_COL, HOLDOUT_TEST_SIZE, None, seed=SEED,
-                             salt="holdout").transform(stage)
-    return (ho.where(F.col("part") == "train").drop("part"),
-            ho.where(F.col("part") == "test").drop("part"), cols)
+    ho = rk.stratified_split(smp, ID_COL, TARGET_COL, HOLDOUT_TEST_SIZE, None, seed=SEED, salt="holdout")
+    feats = fm.transform(ho, keep=[ID_COL, TARGET_COL, "part"]).transform(stage)
+    return (feats.where(F.col("part") == "train").drop("part"),
+            feats.where(F.col("part") == "test").drop("part"), fm.feature_cols)
 
 
 def int_feature_cols(cols):
@@ -1197,9 +1203,10 @@ def train_run(spark, sf, candidates=None, oversample=False):
 
 
 def _plan(spark, sf):
-    """A plan that went through the store, as a scoring service loads it."""
+    """A plan that went through the store, as a scoring service loads it, and the
+    deduplicated raw table."""
     store, data = train_run(spark, sf)
-    return pl.served_plan(store), data.parts
+    return pl.served_plan(store), data.rows
 
 
 @query("a05_model_roundtrip")
@@ -1234,23 +1241,23 @@ def f01(spark, sf):
 def f02(spark, sf):
     # scoring input is the raw (deduplicated) table: the plan applies its own
     # fitted rules, imputation, coercion and features
-    plan, _ = _plan(spark, sf)
-    return plan.score(applications_base_clean(spark, sf), keep=[ID_COL], stamp=False)
+    plan, rows = _plan(spark, sf)
+    return plan.score(rows, keep=[ID_COL], stamp=False)
 
 
 @query("f07_score_stamp")
 def f07(spark, sf):
-    plan, _ = _plan(spark, sf)
-    return plan.score(applications_base_clean(spark, sf), keep=[ID_COL], stamp=True).select(
+    plan, rows = _plan(spark, sf)
+    return plan.score(rows, keep=[ID_COL], stamp=True).select(
         ID_COL, "scored_at")
 
 
-def _stream(spark, plan, sf):
-    """Outcomes of the request stream over the whole table; some bodies lack inputs."""
+def _stream(spark, plan, rows):
+    """Outcomes of the request stream over the whole table ``rows``; some bodies lack inputs."""
     from ..streaming.scoring import read_outcomes, requests_from_table, run_stream
     src, sink, state = work_path(spark, "requests"), work_path(spark, "outcomes"), work_path(spark, "stream-ckpt")
     lacking = {"loan_amount": F.col(ID_COL) % 7 == 3, "annual_income": F.col(ID_COL) % 14 == 3}
-    requests_from_table(applications_base_clean(spark, sf), lacking).write.mode("overwrite").text(src)
+    requests_from_table(rows, lacking).write.mode("overwrite").text(src)
     run_stream(spark, plan, src, sink, state)
     return read_outcomes(spark, sink)
 
@@ -1258,8 +1265,8 @@ def _stream(spark, plan, sf):
 @query("f09_stream_scoring")
 def f09(spark, sf):
     from ..streaming.scoring import responses
-    plan, _ = _plan(spark, sf)
-    return responses(_stream(spark, plan, sf), plan.threshold)
+    plan, rows = _plan(spark, sf)
+    return responses(_stream(spark, plan, rows), plan.threshold)
 
 
 _SENT = f"({ID_COL} % 7 <> 3)"
@@ -1274,7 +1281,7 @@ FROM (SELECT {ID_COL}, {SCORE_SQL} AS p FROM dedup)"""
 
 @query("f09_stream_scorecard")
 def f09s(spark, sf):
-    return _stream(spark, scr.ScorecardPlan(0.5), sf).select(
+    return _stream(spark, scr.ScorecardPlan(0.5), applications_base_clean(spark, sf)).select(
         "request_id", "pos", "status", "missing", "default_prob", "prediction", "risk_tier", "label")
 
 
