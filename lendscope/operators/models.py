@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import InheritableThread
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-    MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
+    MultilayerPerceptronClassifier, NaiveBayes,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,9 +30,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.util import inheritable_thread_target
 
 from ..session import stage
+from .forest import grow_forest
 from .metrics import classification_metrics, roc_auc
 
 LABEL = "_label"
@@ -128,19 +128,16 @@ def _tree(n):
                                   seed=42)
 
 
-def _forest(trees, strategy, depth=30):  # MLlib grows no deeper
+def _forest(trees, strategy, depth=30):
     return lambda n: ForestByGroups(trees, strategy, depth)
 
 
 class ForestByGroups:
-    """Random forest fitted as smaller forests side by side.
+    """Random forest (``forest.grow_forest``) scored by groups of trees.
 
-    MLlib keeps a dense table of statistics for every open node in every partition and
-    shuffles them all, and most nodes of deep trees hold a few rows. So the rows are
-    read in as few partitions as hold ``part_rows`` each, and it is the groups of
-    trees that fill the cores: ``GROUP_TREES`` trees, or as many as make
-    ``tree_rows`` rows to grow on. Groups and seeds follow from the rows' number
-    alone, not from the cores."""
+    Rows are numbered in as few partitions as hold ``part_rows`` each, so draws don't
+    follow the cores. A group is ``GROUP_TREES`` trees, or as many as make ``tree_rows``
+    rows to grow on."""
 
     GROUP_TREES = 5
 
@@ -154,38 +151,66 @@ class ForestByGroups:
         return [min(most, self.trees - at) for at in range(0, self.trees, most)]
 
     def fit(self, df):
-        n = df.count()
-        parts, groups = max(1, math.ceil(n / self.part_rows)), self.sizes(n)
-        rows = df.select(FEATURES, LABEL, WEIGHT).coalesce(parts)
-
-        def grow(i):
-            return RandomForestClassifier(
-                featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=groups[i], maxDepth=self.depth,
-                featureSubsetStrategy=self.strategy, seed=self.seed + 1_000_003 * i,
-                probabilityCol=f"_p{i}", rawPredictionCol="", predictionCol="").fit(rows)
-
-        workers = math.ceil(df.sparkSession.sparkContext.defaultParallelism / parts)
-        # threads of the caller's job group: a guarded fit's limit ends them too
-        held = [inheritable_thread_target(df.sparkSession)(lambda i=i: grow(i)) for i in range(len(groups))]
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            return _ForestModel(list(pool.map(lambda run: run(), held)), groups)
+        n, first = df.count(), df.select(FEATURES).first()
+        p = 0 if first is None else first[0].size
+        rows = df.select(FEATURES, LABEL, WEIGHT).coalesce(max(1, math.ceil(n / self.part_rows)))
+        m = p if self.strategy == "all" else math.ceil(math.sqrt(p))
+        found = grow_forest(rows, vector_to_array(FEATURES), p, LABEL, WEIGHT, self.trees, m, self.depth, self.seed)
+        return _ForestModel(found, self.sizes(n))
 
 
 class _ForestModel:
-    """Mean probability over all trees (a group's is the mean over its own)."""
+    """Mean over all trees of the positive share in a row's leaf; the trees stay in the
+    shared folder. ``models``: the groups, each a forest of its own."""
 
-    def __init__(self, models, sizes):
-        self.models, self.sizes = models, sizes
+    def __init__(self, forest, sizes):
+        self.forest = forest
+        ends = np.cumsum(sizes).tolist()
+        self.groups = [list(range(e - k, e)) for e, k in zip(ends, sizes)]
+        self.models = [_TreeGroup(forest, mine, i) for i, mine in enumerate(self.groups)]
 
     def transform(self, df):
-        out, total = df, F.lit(0.0)
-        for i, (model, size) in enumerate(zip(self.models, self.sizes)):
-            out = model.transform(out)
-            total = total + F.lit(float(size)) * vector_to_array(F.col(f"_p{i}")).getItem(1)
-        out = out.withColumn(SCORE, total / F.lit(float(sum(self.sizes)))).drop(*[f"_p{i}" for i in range(len(self.models))])
+        # the groups' sums are added in order: the same in every run
+        total = F.aggregate("_s", F.lit(0.0), lambda a, v: a + v) / F.lit(float(sum(map(len, self.groups))))
+        out = _with_shares(df, self.forest, self.groups).withColumn(SCORE, total).drop("_s")
         return out.withColumn(PRED, (F.col(SCORE) > 0.5).cast("double"))
 
 
+def _with_shares(df, forest, groups):
+    held = df.withColumn("_row", F.monotonically_increasing_id()).transform(stage)
+    return held.join(forest.shares(held, "_row", vector_to_array(FEATURES), groups), "_row").drop("_row")
+
+
+class _TreeGroup:
+    def __init__(self, forest, mine, i):
+        self.forest, self.mine, self.i = forest, mine, i
+        self.getNumTrees, self.treeWeights = len(mine), [1.0] * len(mine)
+
+    def getProbabilityCol(self):
+        return f"_p{self.i}"
+
+    def transform(self, df):
+        share = F.col("_s")[0] / F.lit(float(len(self.mine)))
+        return _with_shares(df, self.forest, [self.mine]).withColumn(f"_p{self.i}", F.array(F.lit(1.0) - share, share)).drop("_s")
+
+    @property
+    def trees(self):
+        return [_TreeText(t) for t in self.forest.trees(self.mine)]
+
+
+class _TreeText:
+    def __init__(self, parts):
+        self.parts = parts
+
+    @property
+    def toDebugString(self):
+        lines = [f"{sum(len(t['feature']) for t in self.parts.values())} nodes"]
+        for foot, t in sorted(self.parts.items()):
+            lines += [f"{foot}.{i}: " + (f"bin of feature {f} <= {c}: {at}" if f >= 0 else f"{one / (zero + one)!r}")
+                      for i, (f, c, at, zero, one) in enumerate(zip(*(t[x].tolist() for x in ("feature", "cut", "left", "n0", "n1"))))]
+        return "\n".join(lines)
+
+
 def _gbt(iters=100, depth=3, bins=32, step=0.1):
     def build(n):
         return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=iters,
