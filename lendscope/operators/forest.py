@@ -9,8 +9,8 @@
   trees. Every smaller node goes to one task with its rows, and that task grows the rest
   of its tree in memory, level by level: dense sums while rows outnumber the cells of
   the nodes, sorted runs of bins below that.
-* Weights are whole numbers of a common small unit, so every sum is exact and no tree
-  depends on the order of rows, tasks or partial sums.
+* Weights are whole numbers of a common small unit, so every sum is exact: given the
+  cuts, no tree depends on the order of rows, tasks or partial sums.
 * Trees stay in a written table, a row a subtree. Scoring brings chunks of rows and
   groups of trees together and adds the groups' sums up in order.
 
@@ -32,7 +32,7 @@ from ..session import stage
 BINS = 32
 LOCAL_ROWS = 1_000_000
 MIN_GAIN = 1e-14  # what rounding leaves of a gain of zero
-QUANTILES = 1024
+QUANTILES, PIECE_ROWS = 1024, 250_000
 CHUNK_ROWS = 65_536
 # share of draws below each count of a Poisson variable of mean 1
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)])
@@ -41,17 +41,51 @@ _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)])
 # ---------------------------------------------------------------- rows
 def quantile_cuts(df: DataFrame, x, p: int, bins: int = BINS) -> list[np.ndarray]:
     """Ascending cuts of each feature (``x``: array column of ``p``), ``bins`` - 1 at most:
-    a row is in bin b if its value is above b cuts."""
-    at = [i / QUANTILES for i in range(QUANTILES + 1)]
-    found = df.agg(*[F.percentile_approx(x[i], at, 10 * QUANTILES) for i in range(p)]).first()  # quantiles x features
-    return [_feature_cuts(np.array([v for v in (row or []) if v == v], float), bins) for row in found]
-
-
-def _feature_cuts(quantiles: np.ndarray, bins: int) -> np.ndarray:
-    values = np.unique(quantiles)
+    a row is in bin b if its value is above b cuts. Tasks sum up pieces of their rows,
+    and the pieces of a feature meet in one group."""
+    def pieces(batches):
+        held, n = [], 0
+        for pdf in batches:
+            held.append(np.stack(pdf["x"]))
+            n += len(pdf)
+            if n >= PIECE_ROWS:
+                yield _summaries(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield _summaries(np.concatenate(held))
+
+    def cuts(pdf):
+        v, w = (np.concatenate([np.frombuffer(a, float) for a in pdf[c]]) for c in ("v", "w"))
+        return pd.DataFrame({"f": [pdf["f"].iloc[0]], "c": [_feature_cuts(v, w, bins).tolist()]})
+
+    found = (df.select(x.alias("x")).mapInPandas(pieces, "f int, v binary, w binary").groupBy("f")
+             .applyInPandas(cuts, "f int, c array<double>").collect())  # a row a feature
+    held = {r["f"]: np.array(r["c"], float) for r in found}
+    return [held[f] for f in range(p)]
+
+
+def _summaries(x: np.ndarray) -> pd.DataFrame:
+    """Values of each feature with the rows they stand for: all values if there are few."""
+    out = []
+    for f in range(x.shape[1]):
+        col = np.sort(x[:, f])
+        col = col[:len(col) - int(np.isnan(col).sum())]  # NaN is last
+        v, first = np.unique(col, return_index=True)
+        w = np.diff(np.append(first, len(col))).astype(float)
+        if len(v) > QUANTILES:
+            v = col[np.linspace(0, len(col) - 1, QUANTILES).round().astype(int)]
+            w = np.full(QUANTILES, len(col) / QUANTILES)
+        out.append((f, v.tobytes(), w.tobytes()))
+    return pd.DataFrame(out, columns=["f", "v", "w"])
+
+
+def _feature_cuts(v: np.ndarray, w: np.ndarray, bins: int) -> np.ndarray:
+    values, at = np.unique(v, return_inverse=True)
     if len(values) <= bins:
         return np.unique((values[1:] + values[:-1]) / 2)
-    return np.setdiff1d(quantiles[np.linspace(0, len(quantiles) - 1, bins + 1).astype(int)[1:-1]], values[-1:])
+    below = np.bincount(at, w).cumsum()
+    found = values[np.searchsorted(below, below[-1] * np.arange(1, bins) / bins)]
+    return np.setdiff1d(found, values[-1:])
 
 
 def _bin(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:

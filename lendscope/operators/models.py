@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark import InheritableThread
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+    DecisionTreeClassifier, LinearSVC, LogisticRegression,
     MultilayerPerceptronClassifier, NaiveBayes,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
+from .boosting import BoostedTrees
 from .forest import grow_forest
 from .metrics import classification_metrics, roc_auc
 
@@ -213,8 +214,8 @@ class _TreeText:
 
 def _gbt(iters=100, depth=3, bins=32, step=0.1):
     def build(n):
-        return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=iters,
-                             maxDepth=depth, maxBins=bins, stepSize=step, seed=42)
+        return BoostedTrees(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=iters,
+                            maxDepth=depth, maxBins=bins, stepSize=step, seed=42)
     return build
 
 

@@ -22,13 +22,14 @@ from typing import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage, work_path
+from .boosting import BoostedTrees
 from .metrics import classification_metrics, roc_auc
 from .models import FEATURES, LABEL, SCORE, WEIGHT, _prepare, _scaled
 
@@ -62,7 +63,7 @@ def search_space(family: str, rng: random.Random, n_features: int, budget: dict
 
 def estimator(family: str, params: dict):
     if family in BOOSTED:
-        est = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, seed=42)
+        est = BoostedTrees(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, seed=42)
         return est.copy({est.getParam(k): v for k, v in params.items()})
     est = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=200, seed=42)
     return _scaled(est.copy({est.getParam(k): v for k, v in params.items()}))
@@ -130,15 +131,15 @@ def fold_sets(folded: DataFrame, target: str, feature_cols: list[str], family: s
     """(training, held-out) pairs of the precomputed folds, assembled and written
     once for all trials of a family. ``balance(train, fold)`` (oversampling) sees the
     training part only."""
-    sets = []
-    for i in range(k):
+    def pair(i):
         train = folded.where(F.col(fold_col) != i).drop(fold_col)
         held = folded.where(F.col(fold_col) == i).drop(fold_col)
         train = balance(train, i) if balance else train
         keep = [FEATURES, LABEL, WEIGHT]
-        sets.append((_prepare(train, target, feature_cols, FAMILY_WEIGHTS[family]).select(*keep).transform(stage),
-                     _prepare(held, target, feature_cols, None).select(*keep).transform(stage)))
-    return sets
+        return (_prepare(train, target, feature_cols, FAMILY_WEIGHTS[family]).select(*keep).transform(stage),
+                _prepare(held, target, feature_cols, None).select(*keep).transform(stage))
+    with ThreadPoolExecutor(max_workers=max(1, k)) as pool:
+        return list(pool.map(pair, range(k)))
 
 
 def fold_f1(family: str, params: dict, lengths: list[int | None], pair: tuple) -> list[float]:
